@@ -38,15 +38,24 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
+def fold(text: Column) -> Column:
+    """Text without case and outer blanks."""
+    return F.lower(strip(text))
+
+
 def null_if_token(text: Column) -> Column:
-    """Text with the missing-value tokens turned into null; other text is returned as written."""
-    return F.when(~F.lower(strip(text)).isin(*NULL_TOKENS), text)
+    """Text with the missing-value tokens turned into null; other text is returned as written.
+
+    Only texts that are empty or start with a blank or an ``n`` can be tokens; the others skip the full test.
+    """
+    possible = (text == "") | F.substring(text, 1, 1).isin("n", "N", *BLANKS)
+    return F.when(~possible, text).when(~F.lower(strip(text)).isin(*NULL_TOKENS), text)
 
 
 def parse_number(text: Column) -> Column:
     """Double for text that is a decimal number, else null (also for NaN, inf, 1d, 1,000 and hex)."""
-    trimmed = strip(text)
-    return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
+    possible = F.substring(text, 1, 1).isin("+", "-", ".", *"0123456789", *BLANKS)
+    return F.when(possible & strip(text).rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
 
 
 def canon(num: Column) -> Column:

@@ -35,46 +35,56 @@ BOOLEAN_WORDS = (
 )
 
 
-def _any_match(text: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+# Each test first looks at length or a few characters, which needs no decoding of the text, and runs its regular
+# expression only on texts that can still match. That keeps whole documents cheap to test.
+
+def _char(text: Column, place: int) -> Column:
+    return F.substring(text, place, 1)
 
 
 def is_date_string(text: Column) -> Column:
     """Date by the patterns used for declared column types (start of the text)."""
-    return _any_match(text, DATE_STRING_PATTERNS)
+    iso, slashed, dashed, month = DATE_STRING_PATTERNS
+    return (
+        ((_char(text, 5) == "-") & text.rlike(iso))
+        | ((_char(text, 3) == "/") & text.rlike(slashed))
+        | ((_char(text, 3) == "-") & text.rlike(dashed))
+        | (_char(text, 4).isin(" ", "\t", "\n", "\x0b", "\f", "\r") & text.rlike(month))
+    )
 
 
 def is_date_value(text: Column) -> Column:
     """Date by the looser patterns used for schema inference."""
-    return _any_match(text, (DATE_ISO, DATE_US, DATE_EU))
+    short = F.length(text) <= 10
+    return ((_char(text, 5) == "-") & text.rlike(DATE_ISO)) | (short & (text.rlike(DATE_US) | text.rlike(DATE_EU)))
 
 
 def is_boolean_word(text: Column) -> Column:
-    return F.lower(text).isin(*BOOLEAN_WORDS)
+    return (F.length(text) <= 8) & F.lower(text).isin(*BOOLEAN_WORDS)
 
 
 def is_phone(text: Column) -> Column:
-    return text.rlike(PHONE) & (F.length(F.regexp_replace(text, r"\D", "")) >= 7)
+    return F.length(text).between(7, 20) & text.rlike(PHONE) & (F.length(F.regexp_replace(text, r"\D", "")) >= 7)
 
 
 def is_unix_time(text: Column) -> Column:
-    return F.when(text.rlike(UNIX_TIME), text.try_cast("bigint") <= UNIX_TIME_MAX).otherwise(F.lit(False))
+    return F.length(text).between(10, 13) & text.rlike(UNIX_TIME) & (text.try_cast("bigint") <= UNIX_TIME_MAX)
 
 
 def pattern_tests(text: Column) -> dict[str, Column]:
     """Every single-value pattern test by name."""
     return {
-        "uuid": text.rlike(UUID),
-        "email": text.rlike(EMAIL),
+        "uuid": (F.length(text) == 36) & text.rlike(UUID),
+        "email": text.contains("@") & text.rlike(EMAIL),
         "phone": is_phone(text),
-        "url": text.rlike(URL),
-        "currency": text.rlike(CURRENCY),
-        "percent": text.rlike(PERCENT),
+        "url": F.lower(F.substring(text, 1, 4)).eqNullSafe("http") & text.rlike(URL),
+        "currency": _char(text, 1).isin("$", ",", *"0123456789") & text.rlike(CURRENCY),
+        "percent": text.endswith("%") & text.rlike(PERCENT),
         "unix_time": is_unix_time(text),
         "boolean": is_boolean_word(text),
         "date": is_date_value(text),
         "date_string": is_date_string(text),
-        "alphanumeric": text.rlike(ALPHANUMERIC),
+        "alphanumeric": ~text.contains(" ") & text.rlike(ALPHANUMERIC),
     }
 
 
@@ -86,7 +96,7 @@ PATTERN_NAMES = (
 
 def pattern_flags(text: Column) -> Column:
     """Struct of booleans, one per pattern."""
-    return F.struct(*[test.alias(name) for name, test in pattern_tests(text).items()])
+    return F.struct(*[F.coalesce(test, F.lit(False)).alias(name) for name, test in pattern_tests(text).items()])
 
 
 def pattern_marks(text: Column) -> Column:

@@ -176,9 +176,8 @@ def near_duplicate_labels(source, col: str, top_k: int | None = None) -> DataFra
     )
     if top_k:
         labels = labels.orderBy(F.col("cnt").desc(), "label").limit(top_k)
-    same = F.lower(cells.strip(F.col("label")))
     return (
-        labels.groupBy(same.alias("normalized"))
+        labels.groupBy(cells.fold(F.col("label")).alias("normalized"))
         .agg(F.count(F.lit(1)).alias("spellings"), F.sum("cnt").alias("rows"),
              F.min("label").alias("first_label"), F.max("label").alias("last_label"))
         .where(F.col("spellings") > 1)
@@ -268,9 +267,7 @@ def segment_profile(source, max_segments: int | None = 5) -> DataFrame:
     overall = {m: s["mean"] for m, s in t.moments(measures).items() if s["mean"]}
     schema = ("segment_order bigint, column string, value string, size bigint, share double, measure string, "
               "segment_mean double, difference_percent double")
-    small = {r["column"] for r in distinct_counts(_counts(t, t.categorical)).where("unique_count between 2 and 10").collect()} \
-        if t.categorical else set()
-    cats = [c for c in t.categorical if c in small]
+    cats = t.few_valued(2, 10)
     if not cats or not overall:
         return t.spark.createDataFrame([], schema)
     parts = None

@@ -1,5 +1,8 @@
 """The value-count table: one row per column and distinct value.
 
+``value`` is the canonical text (a digest for long texts), ``num`` its number, ``marks`` the patterns it matches,
+``folded`` the text without case and outer blanks, ``cnt`` its number of cells.
+
 Built as one aggregation per column on the column's own type, so the parquet scan reads each column once, partial
 aggregation runs on native keys before the shuffle (a value holding a third of the rows becomes one partial row
 per task), and text conversion and patterns run once per distinct value.
@@ -37,7 +40,8 @@ def _counts_of(df: DataFrame, name: str) -> DataFrame:
             grouping_key(F.col("text")).alias("value"),
             F.when(long, F.length("text")).alias("long_chars"),
             F.when(long, patterns.pattern_marks(F.col("text"))).alias("long_marks"),
-        ).groupBy("value", "long_chars", "long_marks").agg(F.count(F.lit(1)).alias("cnt"))
+            F.when(long, F.sha2(cells.fold(F.col("text")), 256)).alias("long_folded"),
+        ).groupBy("value", "long_chars", "long_marks", "long_folded").agg(F.count(F.lit(1)).alias("cnt"))
         numeric = cells.parse_number(F.col("value")) if isinstance(dtype, T.StringType) else F.lit(None)
         digest = F.col("long_chars").isNotNull()
         return grouped.select(
@@ -46,6 +50,7 @@ def _counts_of(df: DataFrame, name: str) -> DataFrame:
             F.when(~digest, numeric.cast("double")).alias("num"),
             F.coalesce("long_chars", F.length("value")).cast("bigint").alias("chars"),
             F.coalesce("long_marks", patterns.pattern_marks(F.col("value"))).alias("marks"),
+            F.coalesce("long_folded", cells.fold(F.col("value"))).alias("folded"),
             digest.alias("digest"),
             "cnt",
         )
@@ -60,13 +65,14 @@ def _counts_of(df: DataFrame, name: str) -> DataFrame:
         "num",
         F.length("value").cast("bigint").alias("chars"),
         patterns.pattern_marks(F.col("value")).alias("marks"),
+        F.col("value").alias("folded"),
         F.lit(False).alias("digest"),
         "cnt",
     )
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows (column, value, num, chars, marks, digest, cnt); missing cells form one row with a null value."""
+    """Rows (column, value, num, chars, marks, folded, digest, cnt); missing cells form one row with a null value."""
     parts = [_counts_of(df, c) for c in (cols or df.columns)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -89,7 +95,7 @@ def top_values(vc: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("column").orderBy(F.col("cnt").desc(), F.col("value").asc())
     return (
         vc.where(F.col("value").isNotNull())
-        .select("column", "value", "cnt", "chars", "marks", "digest")
+        .select("column", "value", "cnt", "chars", "marks", "folded", "digest")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.functions import cells, patterns
+from lynceus.functions.patterns import has_mark
 from lynceus.operators import ranks
-from lynceus.operators.values import LONG_TEXT, quoted, value_counts
+from lynceus.operators.values import LONG_TEXT, distinct_counts, quoted, top_values, value_counts
 
 COLUMNS_PER_SCAN = 8
 COLUMNS_PER_JOB = 50
@@ -107,6 +108,58 @@ class Table:
                 self._summary[c].update(quartiles)
         return {c: self._summary[c] for c in facts}
 
+    def few_valued(self, least: int, most: int) -> list[str]:
+        """Categorical columns with between ``least`` and ``most`` distinct values, in column order.
+
+        Distinct values are counted exactly only for columns a sketch finds small.
+        """
+        cats = self.categorical
+        if not cats:
+            return []
+        if self._vc is None:
+            rough = self.df.agg(*[F.approx_count_distinct(quoted(c).cast("string") if not cells.is_nested_type(
+                self.df.schema[c].dataType) else self.text(c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
+            cats = [c for i, c in enumerate(cats) if rough[f"u{i}"] <= 2 * most + 10]
+            if not cats:
+                return []
+            counts = distinct_counts(value_counts(self.df, cats))
+        else:
+            counts = distinct_counts(self.values)
+        small = {r["column"] for r in counts.where(F.col("unique_count").between(least, most)).collect()}
+        return [c for c in cats if c in small]
+
+    @cached_property
+    def duplicates(self) -> int:
+        """Rows that repeat an earlier row."""
+        from lynceus.operators.profile import duplicate_rows
+
+        return duplicate_rows(self).first()["duplicate_rows"]
+
+    @cached_property
+    def categories(self) -> dict[str, dict]:
+        """Per categorical column: missing cells, distinct values and the ten most frequent values.
+
+        Ten short values (digests for long texts) per column are what reaches the driver. Both results come from one
+        query over the same shuffled counts.
+        """
+        cats = self.categorical
+        if not cats:
+            return {}
+        vc = value_counts(self.df, cats) if self._vc is None else self.values.where(F.col("column").isin(*cats))
+        counts = distinct_counts(vc).select("column", F.lit(0).alias("rank"), "rows", "null_count", "unique_count")
+        top = top_values(vc, 10).select(
+            "column", "rank", "value", "cnt", "chars", has_mark(F.col("marks"), "alphanumeric").alias("alphanumeric"),
+            "folded", "digest")
+        out: dict[str, dict] = {c: {"rows": 0, "null_count": 0, "unique_count": 0, "top": []} for c in cats}
+        found = counts.unionByName(top, allowMissingColumns=True).collect()
+        for r in sorted(found, key=lambda r: (r["column"], r["rank"])):
+            facts = out[r["column"]]
+            if r["rank"]:
+                facts["top"].append(r.asDict())
+            else:
+                facts.update(rows=r["rows"], null_count=r["null_count"], unique_count=r["unique_count"])
+        return out
+
     @property
     def values(self) -> DataFrame:
         """The value-count table of all columns, kept for reuse until ``release``."""
