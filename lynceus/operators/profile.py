@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.functions import cells
-from lynceus.operators.values import distinct_counts, grouping_key, quoted, spell_out, top_values, value_counts
+from lynceus.operators.values import distinct_counts, grouping_key, quoted, spell_out, top_values
 from lynceus.table import Table
 
 STATS_SCHEMA = (
@@ -51,29 +51,22 @@ def _approximate_stats(t: Table, names: list[str]) -> DataFrame:
     return t.df.agg(*aggregates).select(F.inline(F.array(*records)))
 
 
-def _counts(t: Table, names: list[str]) -> DataFrame:
-    """Value counts of some columns, from the kept table if there is one."""
-    if t._vc is not None:
-        return t.values.where(F.col("column").isin(*names))
-    return value_counts(t.df, names)
-
-
 def categorical_stats(source, cols: list[str] | None = None, k: int = 10) -> DataFrame:
     """Rows per categorical column and top value: count (missing included), null_count, unique_count, rank, value."""
     t = Table.of(source)
     names = list(cols or t.categorical)
-    vc = _counts(t, names)
-    top = top_values(vc, k).select("column", "rank", "value", "digest", F.col("cnt").alias("value_count"))
+    vc = t.counts(names)
+    top = top_values(vc, k).select("column", "rank", "value", F.col("cnt").alias("value_count"))
     top = spell_out(t.df, top, [c for c in names if c in t.long_texts])
     per_column = distinct_counts(vc).select("column", F.col("rows").alias("count"), "null_count", "unique_count")
-    return per_column.join(top.drop("digest"), "column", "left")
+    return per_column.join(top, "column", "left")
 
 
 def column_nulls_uniques(source, approx: bool = False) -> DataFrame:
     """Missing cells and distinct values per column; ``approx`` counts distinct values with HyperLogLog in one scan."""
     t = Table.of(source)
     if not approx:
-        return distinct_counts(_counts(t, t.columns)).select("column", "null_count", "unique_count")
+        return distinct_counts(t.counts(t.columns)).select("column", "null_count", "unique_count")
     aggregates, records = [], []
     for i, c in enumerate(t.columns):
         aggregates += [F.count_if(~cells.present(t.df, c)).alias(f"z{i}"), F.approx_count_distinct(t.text(c)).alias(f"u{i}")]
@@ -101,7 +94,7 @@ def dataset_summary(source) -> DataFrame:
     """One row: size, column kinds, share of missing cells, duplicate rows, and maps of nulls and distinct values."""
     t = Table.of(source)
     width = len(t.columns)
-    per_column = distinct_counts(_counts(t, t.columns)).agg(
+    per_column = distinct_counts(t.counts(t.columns)).agg(
         F.sum("null_count").alias("nulls"),
         F.map_from_entries(F.collect_list(F.struct("column", "null_count"))).alias("null_counts"),
         F.map_from_entries(F.collect_list(F.struct("column", "unique_count"))).alias("unique_counts"),
@@ -119,7 +112,7 @@ def dataset_summary(source) -> DataFrame:
 def category_distribution(source, col: str, k: int = 8) -> DataFrame:
     """The k most frequent values of a column with their counts (bar and pie chart data)."""
     t = Table.of(source)
-    top = spell_out(t.df, top_values(_counts(t, [col]), k), [c for c in [col] if c in t.long_texts])
+    top = spell_out(t.df, top_values(t.counts([col]), k), [c for c in [col] if c in t.long_texts])
     return top.select("rank", "value", F.col("cnt").alias("count"))
 
 
@@ -271,18 +264,19 @@ def segment_profile(source, max_segments: int | None = 5) -> DataFrame:
     if not cats or not overall:
         return t.spark.createDataFrame([], schema)
     parts = None
+    slots = {m: f"x{i}" for i, m in enumerate(overall)}
     for place, cat in enumerate(cats):
         groups = (
-            t.df.select(t.text(cat).alias("value"), *[t.number(m).alias(m) for m in overall])
+            t.df.select(t.text(cat).alias("value"), *[t.number(m).alias(x) for m, x in slots.items()])
             .where(F.col("value").isNotNull())
-            .groupBy("value").agg(F.count(F.lit(1)).alias("size"), *[F.avg(quoted(m)).alias(m) for m in overall])
+            .groupBy("value").agg(F.count(F.lit(1)).alias("size"), *[F.avg(x).alias(x) for x in slots.values()])
         )
         top = groups.orderBy(F.col("size").desc(), "value").limit(5).where(F.col("size") >= 10)
         rows = top.select(
             F.lit(place).alias("place"), F.lit(cat).alias("column"), "value", "size",
             F.inline(F.array(*[
-                F.struct(F.lit(m).alias("measure"), quoted(m).alias("segment_mean"),
-                         (100 * (quoted(m) - F.lit(v)) / F.lit(v)).alias("difference_percent"))
+                F.struct(F.lit(m).alias("measure"), F.col(slots[m]).alias("segment_mean"),
+                         (100 * (F.col(slots[m]) - F.lit(v)) / F.lit(v)).alias("difference_percent"))
                 for m, v in overall.items()])),
         )
         parts = rows if parts is None else parts.unionByName(rows)

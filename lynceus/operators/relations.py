@@ -32,8 +32,9 @@ def _as_tables(tables) -> dict[str, Table]:
     return {t.name: t for t in tables}
 
 
-def _key_names(t: Table, patterns) -> dict[str, bool]:
-    names = t.spark.createDataFrame([(c,) for c in t.columns], "column string")
+def _key_names(tables: dict[str, Table], patterns) -> dict[str, bool]:
+    spark = next(iter(tables.values())).spark
+    names = spark.createDataFrame([(c,) for c in sorted({c for t in tables.values() for c in t.columns})], "column string")
     return {r["column"]: r["key"] for r in names.select("column", looks_like_key(F.col("column"), patterns).alias("key")).collect()}
 
 
@@ -43,18 +44,24 @@ def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
     Rows (table, column, unique_count, total_count, named_key). Columns that a sketch shows to be far below one half
     and that are not named like a key are dropped before the exact count.
     """
-    parts = []
-    for name, t in _as_tables(tables).items():
-        named = _key_names(t, key_patterns)
-        aggregates = []
+    tables, sketched = _as_tables(tables), []
+    for name, t in tables.items():
+        aggregates, records = [], []
         for i, c in enumerate(t.columns):
             text = quoted(c) if not _needs_text(t, c) else t.text(c)
             aggregates += [F.approx_count_distinct(text, 0.05).alias(f"u{i}"), F.count(text).alias(f"n{i}")]
-        rough = t.df.agg(*aggregates).first()
-        # three standard errors of the sketch below one half is certain enough only to skip work, so leave a wide gap
-        open_cols = [c for i, c in enumerate(t.columns) if named[c] or rough[f"u{i}"] > 0.25 * (rough[f"n{i}"] or 0)]
-        open_cols = [c for c in open_cols if rough[f"n{t.columns.index(c)}"]]
-        for c in open_cols:
+            records.append(F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"),
+                                    F.col(f"u{i}").alias("u"), F.col(f"n{i}").alias("n")))
+        sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*records))))
+    rough = {(r["table"], r["column"]): (r["u"], r["n"]) for r in reduce(DataFrame.unionByName, sketched).collect()}
+    named = _key_names(tables, key_patterns)
+    parts = []
+    for name, t in tables.items():
+        for c in t.columns:
+            u, n = rough[name, c]
+            # the sketch errs by a few percent; far below one half it may only be used to skip work
+            if not n or not (named[c] or u > 0.25 * n):
+                continue
             text = grouping_key(t.text(c)) if _needs_text(t, c) else quoted(c)
             groups = t.df.select(text.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
             parts.append(groups.agg(
@@ -62,7 +69,7 @@ def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
             ).select(F.lit(name).alias("table"), F.lit(c).alias("column"), "unique_count", "total_count",
                      F.lit(named[c]).alias("named_key")))
     if not parts:
-        spark = next(iter(_as_tables(tables).values())).spark
+        spark = next(iter(tables.values())).spark
         return spark.createDataFrame([], "table string, column string, unique_count bigint, total_count bigint, named_key boolean")
     return reduce(DataFrame.unionByName, parts).where(
         F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count")))

@@ -226,7 +226,7 @@ def infer_schema(source, overrides: dict[str, str] | None = None, stored: dict[s
         .withColumn("confidence", F.when(keep_known, F.col("known_confidence")).otherwise(F.col("confidence")))
         .withColumn("level", confidence_level(F.col("confidence")))
     )
-    top = spell_out(t.df, top_values(t.values, samples), t.long_texts)
+    top = spell_out(t.df, top_values(t.counts(t.columns), samples), t.long_texts)
     shown = top.groupBy("column").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("samples"))
     can_ask = (F.size("alternatives") > 0) | (F.col("unique_count") == F.col("n"))

@@ -34,47 +34,46 @@ def grouping_key(text: Column) -> Column:
 def _counts_of(df: DataFrame, name: str) -> DataFrame:
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType) or cells.is_nested_type(dtype):
-        text = cells.text_column(df, name)
         long = F.length("text") > LONG_TEXT
-        grouped = text.select(
+        grouped = cells.text_column(df, name).select(
             grouping_key(F.col("text")).alias("value"),
             F.when(long, F.length("text")).alias("long_chars"),
             F.when(long, patterns.pattern_marks(F.col("text"))).alias("long_marks"),
             F.when(long, F.sha2(cells.fold(F.col("text")), 256)).alias("long_folded"),
         ).groupBy("value", "long_chars", "long_marks", "long_folded").agg(F.count(F.lit(1)).alias("cnt"))
-        numeric = cells.parse_number(F.col("value")) if isinstance(dtype, T.StringType) else F.lit(None)
-        digest = F.col("long_chars").isNotNull()
+        numeric = cells.parse_number(F.col("value")) if isinstance(dtype, T.StringType) else F.lit(None).cast("double")
         return grouped.select(
-            F.lit(name).alias("column"),
-            "value",
-            F.when(~digest, numeric.cast("double")).alias("num"),
-            F.coalesce("long_chars", F.length("value")).cast("bigint").alias("chars"),
-            F.coalesce("long_marks", patterns.pattern_marks(F.col("value"))).alias("marks"),
-            F.coalesce("long_folded", cells.fold(F.col("value"))).alias("folded"),
-            digest.alias("digest"),
-            "cnt",
-        )
+            F.lit(name).alias("column"), "value", F.when(F.col("long_chars").isNull(), numeric).alias("num"),
+            "long_chars", "long_marks", "long_folded", "cnt")
     native = F.when(~F.isnan(quoted(name)), quoted(name)) if isinstance(dtype, (T.FloatType, T.DoubleType)) else quoted(name)
     grouped = df.select(native.alias(name)).groupBy(quoted(name)).agg(F.count(F.lit(1)).alias("cnt"))
-    shown = grouped.select(
-        cells.text_view(grouped, name).alias("value"), cells.numeric_view(grouped, name).alias("num"), "cnt"
-    )
-    return shown.select(
-        F.lit(name).alias("column"),
-        "value",
-        "num",
-        F.length("value").cast("bigint").alias("chars"),
-        patterns.pattern_marks(F.col("value")).alias("marks"),
-        F.col("value").alias("folded"),
-        F.lit(False).alias("digest"),
-        "cnt",
+    return grouped.select(
+        F.lit(name).alias("column"), cells.text_view(grouped, name).alias("value"),
+        cells.numeric_view(grouped, name).alias("num"), F.lit(None).cast("int").alias("long_chars"),
+        F.lit(None).cast("int").alias("long_marks"), F.lit(None).cast("string").alias("long_folded"), "cnt")
+
+
+def raw_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Rows (column, value, num, long_chars, long_marks, long_folded, cnt); the ``long_*`` facts are known for long
+    texts only, for short ones ``described`` derives them from the value."""
+    return reduce(DataFrame.unionByName, [_counts_of(df, c) for c in (cols or df.columns)])
+
+
+def described(counts: DataFrame) -> DataFrame:
+    """Add length, patterns and folded text. Apply to kept or reduced counts, so that it runs once per value."""
+    value = F.col("value")
+    return (
+        counts.withColumn("chars", F.coalesce("long_chars", F.length(value)).cast("bigint"))
+        .withColumn("marks", F.coalesce("long_marks", patterns.pattern_marks(value)))
+        .withColumn("folded", F.coalesce("long_folded", cells.fold(value)))
+        .withColumn("digest", F.col("long_chars").isNotNull())
+        .drop("long_chars", "long_marks", "long_folded")
     )
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows (column, value, num, chars, marks, folded, digest, cnt); missing cells form one row with a null value."""
-    parts = [_counts_of(df, c) for c in (cols or df.columns)]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows (column, value, num, cnt, chars, marks, folded, digest); missing cells form one row with a null value."""
+    return described(raw_counts(df, cols))
 
 
 def distinct_counts(vc: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
 
 
 def top_values(vc: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each column, ties by value.
+    """The k most frequent values of each column, ties by value. ``vc`` are raw or described counts.
 
     The rank filter sits right above the window, so each partition keeps at most k rows per column before the
     shuffle and no task receives a whole column.
@@ -95,7 +94,7 @@ def top_values(vc: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("column").orderBy(F.col("cnt").desc(), F.col("value").asc())
     return (
         vc.where(F.col("value").isNotNull())
-        .select("column", "value", "cnt", "chars", "marks", "folded", "digest")
+        .drop("num")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )
@@ -108,7 +107,7 @@ def spell_out(df: DataFrame, top: DataFrame, long_texts: list[str]) -> DataFrame
     """
     if not long_texts:
         return top
-    wanted = F.broadcast(top.where("digest").select("column", "value"))
+    wanted = F.broadcast(top.where(F.length("value") > LONG_TEXT).select("column", "value"))
     found = reduce(DataFrame.unionByName, [
         cells.text_column(df, c).where(F.length("text") > LONG_TEXT)
         .select(F.lit(c).alias("column"), grouping_key(F.col("text")).alias("value"), "text") for c in long_texts

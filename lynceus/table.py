@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lynceus.functions import cells, patterns
 from lynceus.functions.patterns import has_mark
 from lynceus.operators import ranks
-from lynceus.operators.values import LONG_TEXT, distinct_counts, quoted, top_values, value_counts
+from lynceus.operators.values import LONG_TEXT, described, distinct_counts, quoted, raw_counts, top_values
 
 COLUMNS_PER_SCAN = 8
 COLUMNS_PER_JOB = 50
@@ -122,9 +122,9 @@ class Table:
             cats = [c for i, c in enumerate(cats) if rough[f"u{i}"] <= 2 * most + 10]
             if not cats:
                 return []
-            counts = distinct_counts(value_counts(self.df, cats))
+            counts = distinct_counts(raw_counts(self.df, cats))
         else:
-            counts = distinct_counts(self.values)
+            counts = distinct_counts(self._vc)
         small = {r["column"] for r in counts.where(F.col("unique_count").between(least, most)).collect()}
         return [c for c in cats if c in small]
 
@@ -145,9 +145,9 @@ class Table:
         cats = self.categorical
         if not cats:
             return {}
-        vc = value_counts(self.df, cats) if self._vc is None else self.values.where(F.col("column").isin(*cats))
+        vc = self.counts(cats)
         counts = distinct_counts(vc).select("column", F.lit(0).alias("rank"), "rows", "null_count", "unique_count")
-        top = top_values(vc, 10).select(
+        top = described(top_values(vc, 10)).select(
             "column", "rank", "value", "cnt", "chars", has_mark(F.col("marks"), "alphanumeric").alias("alphanumeric"),
             "folded", "digest")
         out: dict[str, dict] = {c: {"rows": 0, "null_count": 0, "unique_count": 0, "top": []} for c in cats}
@@ -160,12 +160,18 @@ class Table:
                 facts.update(rows=r["rows"], null_count=r["null_count"], unique_count=r["unique_count"])
         return out
 
+    def counts(self, names: list[str]) -> DataFrame:
+        """Raw value counts of some columns, from the kept table if there is one."""
+        if self._vc is None:
+            return raw_counts(self.df, names)
+        return self._vc.where(F.col("column").isin(*names))
+
     @property
     def values(self) -> DataFrame:
-        """The value-count table of all columns, kept for reuse until ``release``."""
+        """The value-count table of all columns. The counts are kept for reuse until ``release``."""
         if self._vc is None:
-            self._vc = value_counts(self.df).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._vc
+            self._vc = raw_counts(self.df).persist(StorageLevel.MEMORY_AND_DISK)
+        return described(self._vc)
 
     def release(self) -> None:
         if self._vc is not None:
