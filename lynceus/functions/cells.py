@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,22 +60,42 @@ def parse_number(text: Column) -> Column:
     return F.when(possible & strip(text).rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
 
 
-def canon(num: Column) -> Column:
-    """Canonical text of a double: no ``.0`` and no exponent between 1e-6 and 1e21."""
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` evaluated as a function of one bound variable.
+
+    Keeps long expressions out of the generated code of the surrounding operator and computes ``value`` only once.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _spelled(num: Column) -> Column:
+    """Canonical text of numbers that are large, tiny or have many digits."""
     size = F.abs(num)
     digits = F.regexp_replace(num.try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
     small = F.regexp_replace(num.try_cast("decimal(38,30)").cast("string"), r"0+$", "")
     exponent = F.regexp_replace(F.regexp_replace(num.cast("string"), r"\.0E", "E"), "E(?!-)", "E+")
     return (
-        F.when((F.rint(num) == num) & (size < 9.0e15), num.try_cast("bigint").cast("string"))
-        .when((F.rint(num) == num) & (size < 1e21), num.try_cast("decimal(38,0)").cast("string"))
-        .when((size >= 1e-3) & (size < 1e7), num.cast("string"))
+        F.when((F.rint(num) == num) & (size < 1e21), num.try_cast("decimal(38,0)").cast("string"))
         .when((size >= 1e7) & (size < 1e21), digits)
         .when((size >= 1e-6) & (size < 1e-3), small)
         .otherwise(F.lower(exponent))
     )
 
 
+def canon(num: Column) -> Column:
+    """Canonical text of a double: no ``.0`` and no exponent between 1e-6 and 1e21."""
+
+    def text(x: Column) -> Column:
+        size = F.abs(x)
+        return (
+            F.when((F.rint(x) == x) & (size < 9.0e15), x.try_cast("bigint").cast("string"))
+            .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
+            .otherwise(_spelled(x))
+        )
+
+    return once(num, text)
+
+
 def numeric_view(df: DataFrame, name: str) -> Column:
     """The cell as a double where it holds a number, else null."""
     dtype, cell = df.schema[name].dataType, F.col(f"`{name}`")

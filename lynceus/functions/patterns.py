@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lynceus.functions.cells import once
+
 # Fixed patterns and word list.
 DATE_STRING_PATTERNS = (
     r"^\d{4}-\d{2}-\d{2}",
@@ -101,9 +103,13 @@ def pattern_flags(text: Column) -> Column:
 
 def pattern_marks(text: Column) -> Column:
     """The pattern tests packed into one integer, bit ``i`` for ``PATTERN_NAMES[i]``."""
-    tests = pattern_tests(text)
-    bits = [F.when(tests[name], F.lit(1 << i)).otherwise(F.lit(0)) for i, name in enumerate(PATTERN_NAMES)]
-    return reduce(lambda a, b: a + b, bits)
+
+    def marks(x: Column) -> Column:
+        tests = pattern_tests(x)
+        bits = [F.when(tests[name], F.lit(1 << i)).otherwise(F.lit(0)) for i, name in enumerate(PATTERN_NAMES)]
+        return reduce(lambda a, b: a + b, bits)
+
+    return once(text, marks)
 
 
 def has_mark(marks: Column, name: str) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.functions.cells import is_nested_type, text_view
 from lynceus.functions.names import KEY_PATTERNS, looks_like_key, match_type_of_rank, name_tokens
 from lynceus.operators.values import grouping_key, quoted
 from lynceus.table import Table
@@ -76,8 +77,17 @@ def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
 
 
 def _needs_text(t: Table, c: str) -> bool:
-    """Columns whose distinct values differ from those of the raw column (text, floating point, nested)."""
-    return t.df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long", "date", "timestamp", "timestamp_ntz")
+    """Columns whose distinct values differ from those of the raw column: text and nested values."""
+    kind = t.df.schema[c].dataType
+    return kind.typeName() == "string" or is_nested_type(kind)
+
+
+def _distinct_texts(t: Table, c: str) -> DataFrame:
+    """Canonical text of a column; floating-point values are made distinct before they are spelled out."""
+    df = t.df.select(quoted(c))
+    if t.df.schema[c].dataType.typeName() in ("float", "double"):
+        df = df.distinct()
+    return df.select(grouping_key(text_view(df, c)).alias("v"))
 
 
 def relationship_type(source_unique: Column, source_total: Column, target_unique: Column, target_total: Column) -> Column:
@@ -124,7 +134,7 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
         return spark.createDataFrame([], RELATIONSHIP_SCHEMA)
     used = {i for a, b, _ in pairs for i in (a, b)}
     values = reduce(DataFrame.unionByName, [
-        named[n].df.select(grouping_key(named[n].text(c)).alias("v"), F.lit(i).alias("id"))
+        _distinct_texts(named[n], c).withColumn("id", F.lit(i))
         for (n, c), i in order.items() if i in used])
     holders = values.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("id").alias("ids"))  # ids: columns only
     # each value asks a lookup from column to later partners, then keeps the partners that hold it too
