@@ -1,4 +1,9 @@
-"""How one cell is read: missing or not, number or not, and its canonical text."""
+"""How one cell is read: missing or not, number or not, and its canonical text.
+
+The rules are SQL templates over one expression ``x``. Applied to a name they become plain generated code; applied to
+a Column they are bound as a function of one variable, so that the column is computed once and a long rule stays out
+of the generated code around it.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +19,9 @@ NULL_TOKENS = ("", "null", "na")
 # Fixed pattern: decimal numbers with optional sign, fraction and exponent.
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Fixed value: characters stripped from both ends of a cell.
-BLANKS = " \t\n\r\x0b\x0c\u00a0\ufeff"
+# Fixed value: characters stripped from both ends of a cell (as escapes of a SQL text).
+BLANKS = r" \t\n\r\u000b\u000c\u00a0\ufeff"
+_BLANK_LIST = r"' ', '\t', '\n', '\r', '\u000b', '\u000c', '\u00a0', '\ufeff'"
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -35,120 +41,127 @@ def is_nested_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, _NESTED)
 
 
-def strip(text: Column) -> Column:
-    """Text without blanks at either end."""
-    return F.trim(text, F.lit(BLANKS))
+def rule(template: Callable[[str], str], cell: Column | str) -> Column:
+    """Apply a SQL template to a SQL expression (text) or to a Column."""
+    if isinstance(cell, str):
+        return F.expr(template(cell))
+    bound = F.call_function("transform", F.array(cell), F.expr(f"x -> {template('x')}"))
+    return F.call_function("get", bound, F.lit(0))
 
 
-def fold(text: Column) -> Column:
-    """Text without case and outer blanks."""
-    return F.lower(strip(text))
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def null_if_token(text: Column) -> Column:
-    """Text with the missing-value tokens turned into null; other text is returned as written.
+def strip_sql(x: str) -> str:
+    return f"trim(BOTH '{BLANKS}' FROM {x})"
 
-    Only texts that are empty or start with a blank or an ``n`` can be tokens; the others skip the full test.
-    """
-    possible = (text == "") | F.substring(text, 1, 1).isin("n", "N", *BLANKS)
-    return F.when(~possible, text).when(~F.lower(strip(text)).isin(*NULL_TOKENS), text)
 
+def fold_sql(x: str) -> str:
+    return f"lower({strip_sql(x)})"
 
-def parse_number(text: Column) -> Column:
-    """Double for text that is a decimal number, else null (also for NaN, inf, 1d, 1,000 and hex)."""
-    possible = F.substring(text, 1, 1).isin("+", "-", ".", *"0123456789", *BLANKS)
-    return F.when(possible & strip(text).rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
 
+def null_if_token_sql(x: str) -> str:
+    # only texts that are empty or start with a blank or an n can be tokens; the others skip the full test
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    return (f"CASE WHEN {x} <> '' AND substring({x}, 1, 1) NOT IN ('n', 'N', {_BLANK_LIST}) THEN {x} "
+            f"WHEN {fold_sql(x)} NOT IN ({tokens}) THEN {x} END")
 
-def once(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` evaluated as a function of one bound variable.
 
-    Keeps long expressions out of the generated code of the surrounding operator and computes ``value`` only once.
-    """
-    return F.get(F.transform(F.array(value), fn), 0)
+def parse_number_sql(x: str) -> str:
+    starts = ", ".join(f"'{c}'" for c in "+-.0123456789")
+    return (f"CASE WHEN substring({x}, 1, 1) IN ({starts}, {_BLANK_LIST}) AND {strip_sql(x)} RLIKE r'{NUMBER_PATTERN}' "
+            f"THEN try_cast({strip_sql(x)} AS DOUBLE) END")
 
 
-def _spelled(num: Column) -> Column:
-    """Canonical text of numbers that are large, tiny or have many digits."""
-    size = F.abs(num)
-    digits = F.regexp_replace(num.try_cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
-    small = F.regexp_replace(num.try_cast("decimal(38,30)").cast("string"), r"0+$", "")
-    exponent = F.regexp_replace(F.regexp_replace(num.cast("string"), r"\.0E", "E"), "E(?!-)", "E+")
-    return (
-        F.when((F.rint(num) == num) & (size < 1e21), num.try_cast("decimal(38,0)").cast("string"))
-        .when((size >= 1e7) & (size < 1e21), digits)
-        .when((size >= 1e-6) & (size < 1e-3), small)
-        .otherwise(F.lower(exponent))
-    )
+def canon_sql(x: str) -> str:
+    digits = rf"regexp_replace(CAST(try_cast({x} AS DECIMAL(38,16)) AS STRING), r'\.?0+$', '')"
+    small = f"regexp_replace(CAST(try_cast({x} AS DECIMAL(38,30)) AS STRING), r'0+$', '')"
+    exponent = rf"lower(regexp_replace(regexp_replace(CAST({x} AS STRING), r'\.0E', 'E'), r'E(?!-)', 'E+'))"
+    return f"""CASE
+        WHEN rint({x}) = {x} AND abs({x}) < 9.0e15D THEN CAST(try_cast({x} AS BIGINT) AS STRING)
+        WHEN abs({x}) >= 1e-3D AND abs({x}) < 1e7D THEN CAST({x} AS STRING)
+        WHEN rint({x}) = {x} AND abs({x}) < 1e21D THEN CAST(try_cast({x} AS DECIMAL(38,0)) AS STRING)
+        WHEN abs({x}) >= 1e7D AND abs({x}) < 1e21D THEN {digits}
+        WHEN abs({x}) >= 1e-6D AND abs({x}) < 1e-3D THEN {small}
+        ELSE {exponent} END"""
 
 
-def canon(num: Column) -> Column:
-    """Canonical text of a double: no ``.0`` and no exponent between 1e-6 and 1e21."""
+def strip(text: Column | str) -> Column:
+    """Text without blanks at either end."""
+    return rule(strip_sql, text)
 
-    def text(x: Column) -> Column:
-        size = F.abs(x)
-        return (
-            F.when((F.rint(x) == x) & (size < 9.0e15), x.try_cast("bigint").cast("string"))
-            .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
-            .otherwise(_spelled(x))
-        )
 
-    return once(num, text)
+def fold(text: Column | str) -> Column:
+    """Text without case and outer blanks."""
+    return rule(fold_sql, text)
+
+
+def null_if_token(text: Column | str) -> Column:
+    """Text with the missing-value tokens turned into null; other text is returned as written."""
+    return rule(null_if_token_sql, text)
+
+
+def parse_number(text: Column | str) -> Column:
+    """Double for text that is a decimal number, else null (also for NaN, inf, 1d, 1,000 and hex)."""
+    return rule(parse_number_sql, text)
+
+
+def canon(num: Column) -> Column:
+    """Canonical text of a double: no ``.0`` and no exponent between 1e-6 and 1e21."""
+    return rule(canon_sql, num)
 
 
 def numeric_view(df: DataFrame, name: str) -> Column:
     """The cell as a double where it holds a number, else null."""
-    dtype, cell = df.schema[name].dataType, F.col(f"`{name}`")
+    dtype, x = df.schema[name].dataType, sql_name(name)
     if isinstance(dtype, T.BooleanType):
-        return cell.cast("int").cast("double")
+        return F.expr(f"CAST(CAST({x} AS INT) AS DOUBLE)")
     if isinstance(dtype, _FLOATS):
-        wide = cell.cast("double")
-        return F.when(~F.isnan(wide), wide)
+        return F.expr(f"CASE WHEN NOT isnan({x}) THEN CAST({x} AS DOUBLE) END")
     if is_number_type(dtype):
-        return cell.cast("double")
+        return F.expr(f"CAST({x} AS DOUBLE)")
     if isinstance(dtype, T.StringType):
-        return parse_number(cell)
+        return parse_number(x)
     return F.lit(None).cast("double")
 
 
 def text_view(df: DataFrame, name: str) -> Column:
     """The cell as canonical text, null where it is missing. This text keys distinct counts and joins."""
-    dtype, cell = df.schema[name].dataType, F.col(f"`{name}`")
+    dtype, x = df.schema[name].dataType, sql_name(name)
     if isinstance(dtype, T.BooleanType):
-        return cell.cast("int").cast("string")
-    if isinstance(dtype, _INTEGERS):
-        return cell.cast("string")
+        return F.expr(f"CAST(CAST({x} AS INT) AS STRING)")
     if isinstance(dtype, T.DecimalType):
-        plain = cell.cast("string")
-        return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+        return F.expr(rf"CASE WHEN CAST({x} AS STRING) LIKE '%.%' THEN regexp_replace(CAST({x} AS STRING), r'\.?0+$', '') "
+                      rf"ELSE CAST({x} AS STRING) END")
     if isinstance(dtype, T.DoubleType):
-        return canon(F.when(~F.isnan(cell), cell))
+        return canon(F.expr(f"CASE WHEN NOT isnan({x}) THEN {x} END"))
     if isinstance(dtype, T.FloatType):
-        return canon(F.when(~F.isnan(cell), cell).cast("string").cast("double"))
+        return canon(F.expr(f"CASE WHEN NOT isnan({x}) THEN CAST(CAST({x} AS STRING) AS DOUBLE) END"))
     if is_nested_type(dtype):
-        return F.to_json(cell)
+        return F.to_json(F.col(x))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(canon(parse_number(cell)), null_if_token(cell))
-    return cell.cast("string")
+        return F.coalesce(canon(parse_number(x)), null_if_token(x))
+    return F.col(x).cast("string")
 
 
 def text_column(df: DataFrame, name: str) -> DataFrame:
     """One column ``text``: the canonical text of the cells, with the number test run once per cell."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df.select(text_view(df, name).alias("text"))
-    parsed = df.select(F.col(f"`{name}`").alias("raw")).select("raw", parse_number(F.col("raw")).alias("num"))
+    parsed = df.select(F.col(sql_name(name)).alias("raw")).selectExpr("raw", f"{parse_number_sql('raw')} AS num")
     return parsed.select(
-        F.when(F.col("num").isNotNull(), canon(F.col("num"))).otherwise(null_if_token(F.col("raw"))).alias("text"))
+        F.when(F.col("num").isNotNull(), canon(F.col("num"))).otherwise(null_if_token("raw")).alias("text"))
 
 
 def present(df: DataFrame, name: str) -> Column:
     """True where the cell is not missing."""
-    dtype, cell = df.schema[name].dataType, F.col(f"`{name}`")
+    dtype, x = df.schema[name].dataType, sql_name(name)
     if isinstance(dtype, _FLOATS):
-        return cell.isNotNull() & ~F.isnan(cell)
+        return F.expr(f"{x} IS NOT NULL AND NOT isnan({x})")
     if isinstance(dtype, T.StringType):
-        return null_if_token(cell).isNotNull()
-    return cell.isNotNull()
+        return F.expr(f"({null_if_token_sql(x)}) IS NOT NULL")
+    return F.expr(f"{x} IS NOT NULL")
 
 
 def normalize_cells(df: DataFrame, numeric_suffix: str | None = None) -> DataFrame:
@@ -158,15 +171,15 @@ def normalize_cells(df: DataFrame, numeric_suffix: str | None = None) -> DataFra
     """
     out: list[Column] = []
     for field in df.schema.fields:
-        cell = F.col(f"`{field.name}`")
+        x = sql_name(field.name)
         if isinstance(field.dataType, T.StringType):
-            out.append(strip(null_if_token(cell)).alias(field.name))
+            out.append(F.expr(strip_sql(f"({null_if_token_sql(x)})")).alias(field.name))
             if numeric_suffix:
-                out.append(parse_number(cell).alias(field.name + numeric_suffix))
+                out.append(parse_number(x).alias(field.name + numeric_suffix))
         elif isinstance(field.dataType, T.BooleanType):
-            out.append(cell.cast("int").alias(field.name))
+            out.append(F.col(x).cast("int").alias(field.name))
         elif is_nested_type(field.dataType):
-            out.append(F.to_json(cell).alias(field.name))
+            out.append(F.to_json(F.col(x)).alias(field.name))
         else:
-            out.append(cell)
+            out.append(F.col(x))
     return df.select(*out)

@@ -48,7 +48,8 @@ KEY_PATTERNS = (
 
 
 def contains_any(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """Does the text contain one of the words? Words are letters, digits and underscores only."""
+    return text.rlike("|".join(words))
 
 
 def looks_like_key(name: Column, patterns=KEY_PATTERNS) -> Column:

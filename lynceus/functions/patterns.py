@@ -5,12 +5,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lynceus.functions.cells import once
+from lynceus.functions.cells import rule
 
 # Fixed patterns and word list.
 DATE_STRING_PATTERNS = (
@@ -40,54 +38,47 @@ BOOLEAN_WORDS = (
 # Each test first looks at length or a few characters, which needs no decoding of the text, and runs its regular
 # expression only on texts that can still match. That keeps whole documents cheap to test.
 
-def _char(text: Column, place: int) -> Column:
-    return F.substring(text, place, 1)
+_WORDS = ", ".join(f"'{w}'" for w in BOOLEAN_WORDS)
 
 
-def is_date_string(text: Column) -> Column:
-    """Date by the patterns used for declared column types (start of the text)."""
+def date_string_sql(x: str) -> str:
     iso, slashed, dashed, month = DATE_STRING_PATTERNS
     return (
-        ((_char(text, 5) == "-") & text.rlike(iso))
-        | ((_char(text, 3) == "/") & text.rlike(slashed))
-        | ((_char(text, 3) == "-") & text.rlike(dashed))
-        | (_char(text, 4).isin(" ", "\t", "\n", "\x0b", "\f", "\r") & text.rlike(month))
-    )
-
-
-def is_date_value(text: Column) -> Column:
-    """Date by the looser patterns used for schema inference."""
-    short = F.length(text) <= 10
-    return ((_char(text, 5) == "-") & text.rlike(DATE_ISO)) | (short & (text.rlike(DATE_US) | text.rlike(DATE_EU)))
+        f"(substring({x}, 5, 1) = '-' AND {x} RLIKE r'{iso}') OR (substring({x}, 3, 1) = '/' AND {x} RLIKE r'{slashed}') "
+        f"OR (substring({x}, 3, 1) = '-' AND {x} RLIKE r'{dashed}') "
+        rf"OR (substring({x}, 4, 1) IN (' ', '\t', '\n', '\u000b', '\u000c', '\r') AND {x} RLIKE r'{month}')")
 
 
-def is_boolean_word(text: Column) -> Column:
-    return (F.length(text) <= 8) & F.lower(text).isin(*BOOLEAN_WORDS)
+def date_value_sql(x: str) -> str:
+    return (f"(substring({x}, 5, 1) = '-' AND {x} RLIKE r'{DATE_ISO}') "
+            f"OR (length({x}) <= 10 AND ({x} RLIKE r'{DATE_US}' OR {x} RLIKE r'{DATE_EU}'))")
 
 
-def is_phone(text: Column) -> Column:
-    return F.length(text).between(7, 20) & text.rlike(PHONE) & (F.length(F.regexp_replace(text, r"\D", "")) >= 7)
+def tests_sql(x: str) -> dict[str, str]:
+    """Every single-value pattern test by name."""
+    return {
+        "uuid": f"length({x}) = 36 AND {x} RLIKE r'{UUID}'",
+        "email": f"contains({x}, '@') AND {x} RLIKE r'{EMAIL}'",
+        "phone": rf"length({x}) BETWEEN 7 AND 20 AND {x} RLIKE r'{PHONE}' AND length(regexp_replace({x}, r'\D', '')) >= 7",
+        "url": f"lower(substring({x}, 1, 4)) = 'http' AND {x} RLIKE r'{URL}'",
+        "currency": f"substring({x}, 1, 1) IN ('$', ',', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND {x} RLIKE r'{CURRENCY}'",
+        "percent": f"endswith({x}, '%') AND {x} RLIKE r'{PERCENT}'",
+        "unix_time": f"length({x}) BETWEEN 10 AND 13 AND {x} RLIKE r'{UNIX_TIME}' AND try_cast({x} AS BIGINT) <= {UNIX_TIME_MAX}",
+        "boolean": f"length({x}) <= 8 AND lower({x}) IN ({_WORDS})",
+        "date": date_value_sql(x),
+        "date_string": date_string_sql(x),
+        "alphanumeric": f"NOT contains({x}, ' ') AND {x} RLIKE r'{ALPHANUMERIC}'",
+    }
 
 
-def is_unix_time(text: Column) -> Column:
-    return F.length(text).between(10, 13) & text.rlike(UNIX_TIME) & (text.try_cast("bigint") <= UNIX_TIME_MAX)
+def is_date_string(text: Column | str) -> Column:
+    """Date by the patterns used for declared column types (start of the text)."""
+    return rule(date_string_sql, text)
 
 
-def pattern_tests(text: Column) -> dict[str, Column]:
-    """Every single-value pattern test by name."""
-    return {
-        "uuid": (F.length(text) == 36) & text.rlike(UUID),
-        "email": text.contains("@") & text.rlike(EMAIL),
-        "phone": is_phone(text),
-        "url": F.lower(F.substring(text, 1, 4)).eqNullSafe("http") & text.rlike(URL),
-        "currency": _char(text, 1).isin("$", ",", *"0123456789") & text.rlike(CURRENCY),
-        "percent": text.endswith("%") & text.rlike(PERCENT),
-        "unix_time": is_unix_time(text),
-        "boolean": is_boolean_word(text),
-        "date": is_date_value(text),
-        "date_string": is_date_string(text),
-        "alphanumeric": ~text.contains(" ") & text.rlike(ALPHANUMERIC),
-    }
+def is_date_value(text: Column | str) -> Column:
+    """Date by the looser patterns used for schema inference."""
+    return rule(date_value_sql, text)
 
 
 PATTERN_NAMES = (
@@ -96,20 +87,20 @@ PATTERN_NAMES = (
 )
 
 
-def pattern_flags(text: Column) -> Column:
+def pattern_flags(text: Column | str) -> Column:
     """Struct of booleans, one per pattern."""
-    return F.struct(*[F.coalesce(test, F.lit(False)).alias(name) for name, test in pattern_tests(text).items()])
+    return rule(lambda x: "struct(" + ", ".join(
+        f"coalesce({test}, false) AS {name}" for name, test in tests_sql(x).items()) + ")", text)
 
 
-def pattern_marks(text: Column) -> Column:
-    """The pattern tests packed into one integer, bit ``i`` for ``PATTERN_NAMES[i]``."""
+def marks_sql(x: str) -> str:
+    tests = tests_sql(x)
+    return " + ".join(f"CASE WHEN {tests[name]} THEN {1 << i} ELSE 0 END" for i, name in enumerate(PATTERN_NAMES))
 
-    def marks(x: Column) -> Column:
-        tests = pattern_tests(x)
-        bits = [F.when(tests[name], F.lit(1 << i)).otherwise(F.lit(0)) for i, name in enumerate(PATTERN_NAMES)]
-        return reduce(lambda a, b: a + b, bits)
 
-    return once(text, marks)
+def pattern_marks(text: Column | str) -> Column:
+    """The pattern tests packed into one integer, bit ``i`` for ``PATTERN_NAMES[i]``."""
+    return rule(marks_sql, text)
 
 
 def has_mark(marks: Column, name: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,14 @@ from lynceus.table import Table
 
 
 def catalog(tables) -> DataFrame:
-    """One row per table and column: the schema metadata the comparisons below work on."""
+    """One row per table and column with the size of the table: what the comparisons below work on."""
     named = _as_tables(tables)
     spark = next(iter(named.values())).spark
     rows = [(i, n, len(t.columns), c) for i, (n, t) in enumerate(named.items()) for c in t.columns]
-    return spark.createDataFrame(rows, "place int, table string, width int, column string")
+    columns = spark.createDataFrame(rows, "place int, table string, width int, column string")
+    counts = reduce(DataFrame.unionByName, [
+        t.df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, t in named.items()])
+    return columns.join(counts, "table").select("place", "table", "width", "column", "rows")
 
 
 def catalog_similarity(tables, limit: int = 10) -> DataFrame:
@@ -28,17 +33,17 @@ def catalog_similarity(tables, limit: int = 10) -> DataFrame:
     in_order = F.col("place1") < F.col("place2")
     common = (
         first.join(second, F.col("column1") == F.col("column2")).where(in_order)
-        .groupBy("table1", "table2", "width1", "width2")
+        .groupBy("table1", "table2", "width1", "width2", "rows1", "rows2")
         .agg(F.count(F.lit(1)).alias("shared"), F.array_sort(F.collect_list("column1")).alias("columns"))
     )
     overlap = F.col("shared") / F.greatest("width1", "width2")
     shared_rows = common.select(
         F.lit("common_columns").alias("kind"), "table1", "table2",
         F.least(F.lit(90.0), 50.0 + 10.0 * F.col("shared")).alias("confidence"), "columns",
-        F.col("shared").cast("double").alias("measure"))
+        F.col("shared").cast("double").alias("measure"), "rows1", "rows2")
     schema_rows = common.where(overlap > 0.7).select(
         F.lit("schema_similarity").alias("kind"), "table1", "table2", F.lit(85.0).alias("confidence"), "columns",
-        overlap.alias("measure"))
+        overlap.alias("measure"), "rows1", "rows2")
     return shared_rows.unionByName(_possible_joins(c)).unionByName(schema_rows).orderBy(
         F.col("confidence").desc(), "kind", "table1", "table2", "columns").limit(limit)
 
@@ -52,18 +57,20 @@ def _possible_joins(c: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.length("squeezed") - s + 1), lambda n: F.substring("squeezed", s, n)))))
     groups = F.array_compact(F.array(*[
         F.when(F.col("squeezed").isin(*forms), F.lit("#" + forms[0])) for forms in KEY_SPELLINGS]))
-    whole = keys.select("place", "table", "column", F.explode(F.concat(F.array("squeezed"), groups)).alias("token"))
+    whole = keys.select("place", "table", "column", "rows", F.explode(F.concat(F.array("squeezed"), groups)).alias("token"))
     parts = keys.select(F.col("place").alias("place2"), F.col("table").alias("table2"), F.col("column").alias("column2"),
-                        F.explode(F.concat(pieces, groups)).alias("token"))
+                        F.col("rows").alias("rows2"), F.explode(F.concat(pieces, groups)).alias("token"))
     joined = whole.join(parts, "token").where((F.col("place") != F.col("place2")) & (F.col("column") != F.col("column2")))
     earlier = F.col("place") < F.col("place2")
     return joined.select(
         F.when(earlier, F.col("table")).otherwise(F.col("table2")).alias("table1"),
         F.when(earlier, F.col("table2")).otherwise(F.col("table")).alias("table2"),
         F.when(earlier, F.array("column", "column2")).otherwise(F.array("column2", "column")).alias("columns"),
+        F.when(earlier, F.col("rows")).otherwise(F.col("rows2")).alias("rows1"),
+        F.when(earlier, F.col("rows2")).otherwise(F.col("rows")).alias("rows2"),
     ).distinct().select(
         F.lit("possible_join").alias("kind"), "table1", "table2", F.lit(70.0).alias("confidence"), "columns",
-        F.lit(1.0).alias("measure"))
+        F.lit(1.0).alias("measure"), "rows1", "rows2")
 
 
 def compare_datasets(a, b, order_by: list[str] | None = None) -> DataFrame:

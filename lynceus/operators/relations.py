@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.functions.cells import is_nested_type, text_view
+from lynceus.functions.cells import is_nested_type
 from lynceus.functions.names import KEY_PATTERNS, looks_like_key, match_type_of_rank, name_tokens
-from lynceus.operators.values import grouping_key, quoted
+from lynceus.operators.values import SLOTS, grouping_key, native_counts, quoted, text_of
 from lynceus.table import Table
 
 MIN_CONFIDENCE = 30
@@ -56,24 +56,23 @@ def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
         sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*records))))
     rough = {(r["table"], r["column"]): (r["u"], r["n"]) for r in reduce(DataFrame.unionByName, sketched).collect()}
     named = _key_names(tables, key_patterns)
-    parts = []
-    for name, t in tables.items():
-        for c in t.columns:
-            u, n = rough[name, c]
-            # the sketch errs by a few percent; far below one half it may only be used to skip work
-            if not n or not (named[c] or u > 0.25 * n):
-                continue
-            text = grouping_key(t.text(c)) if _needs_text(t, c) else quoted(c)
-            groups = t.df.select(text.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-            parts.append(groups.agg(
-                F.count(F.lit(1)).alias("unique_count"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total_count")
-            ).select(F.lit(name).alias("table"), F.lit(c).alias("column"), "unique_count", "total_count",
-                     F.lit(named[c]).alias("named_key")))
-    if not parts:
-        spark = next(iter(tables.values())).spark
-        return spark.createDataFrame([], "table string, column string, unique_count bigint, total_count bigint, named_key boolean")
-    return reduce(DataFrame.unionByName, parts).where(
-        F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count")))
+    # the sketch errs by a few percent; far below one half it may only be used to skip work
+    kept = [(n, c) for (n, c), (u, total) in rough.items() if total and (named[c] or u > 0.25 * total)]
+    schema = "table string, column string, unique_count bigint, total_count bigint, named_key boolean"
+    if not kept:
+        return next(iter(tables.values())).spark.createDataFrame([], schema)
+    counts = native_counts([(tables[n].df, c) for n, c in kept])
+    filled = counts.where(reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS if s in counts.columns]))
+
+    def at(values: list) -> Column:
+        return F.array(*[F.lit(v) for v in values])[F.col("id")]
+
+    return (
+        filled.groupBy("id").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("cnt").alias("total_count"))
+        .select(at([n for n, _ in kept]).alias("table"), at([c for _, c in kept]).alias("column"), "unique_count",
+                "total_count", at([named[c] for _, c in kept]).alias("named_key"))
+        .where(F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count")))
+    )
 
 
 def _needs_text(t: Table, c: str) -> bool:
@@ -82,14 +81,6 @@ def _needs_text(t: Table, c: str) -> bool:
     return kind.typeName() == "string" or is_nested_type(kind)
 
 
-def _distinct_texts(t: Table, c: str) -> DataFrame:
-    """Canonical text of a column; floating-point values are made distinct before they are spelled out."""
-    df = t.df.select(quoted(c))
-    if t.df.schema[c].dataType.typeName() in ("float", "double"):
-        df = df.distinct()
-    return df.select(grouping_key(text_view(df, c)).alias("v"))
-
-
 def relationship_type(source_unique: Column, source_total: Column, target_unique: Column, target_total: Column) -> Column:
     first = source_unique / source_total > PRIMARY_SHARE
     second = target_unique / target_total > PRIMARY_SHARE
@@ -132,10 +123,11 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
     pairs = [(r["id"], r["id2"], r["rank"]) for r in _named_pairs(keys, strip_prefix).collect()]
     if not pairs:
         return spark.createDataFrame([], RELATIONSHIP_SCHEMA)
-    used = {i for a, b, _ in pairs for i in (a, b)}
-    values = reduce(DataFrame.unionByName, [
-        _distinct_texts(named[n], c).withColumn("id", F.lit(i))
-        for (n, c), i in order.items() if i in used])
+    used = sorted({i for a, b, _ in pairs for i in (a, b)})
+    columns = {i: nc for nc, i in order.items()}
+    distinct = native_counts([(named[columns[i][0]].df, columns[i][1]) for i in used])
+    values = distinct.select(
+        text_of(distinct).alias("v"), F.array(*[F.lit(i) for i in used])[F.col("id")].alias("id"))
     holders = values.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("id").alias("ids"))  # ids: columns only
     # each value asks a lookup from column to later partners, then keeps the partners that hold it too
     partners: dict[int, list[int]] = {}

@@ -3,9 +3,9 @@
 ``value`` is the canonical text (a digest for long texts), ``num`` its number, ``marks`` the patterns it matches,
 ``folded`` the text without case and outer blanks, ``cnt`` its number of cells.
 
-Built as one aggregation per column on the column's own type, so the parquet scan reads each column once, partial
-aggregation runs on native keys before the shuffle (a value holding a third of the rows becomes one partial row
-per task), and text conversion and patterns run once per distinct value.
+Each column is read by its own narrow scan and put into a slot of its own type; all columns share one aggregation.
+Equal cells merge before the shuffle (a value holding a third of the rows becomes one partial row per task), and text
+conversion and patterns run once per distinct value.
 """
 
 from __future__ import annotations
@@ -31,44 +31,89 @@ def grouping_key(text: Column) -> Column:
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#" * 65), F.sha2(text, 256))).otherwise(text)
 
 
-def _counts_of(df: DataFrame, name: str) -> DataFrame:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.StringType) or cells.is_nested_type(dtype):
+SLOTS = ("whole", "real", "moment", "day", "text")
+
+
+def slot_of(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "whole"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "real"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return "moment"
+    return "day" if isinstance(dtype, T.DateType) else "text"
+
+
+def _native(df: DataFrame, name: str) -> DataFrame:
+    """One column in its slot: whole, real, moment, day, or text with the ``long_*`` facts of long texts."""
+    dtype, cell = df.schema[name].dataType, quoted(name)
+    slot = slot_of(dtype)
+    if slot == "text":
         long = F.length("text") > LONG_TEXT
-        grouped = cells.text_column(df, name).select(
-            grouping_key(F.col("text")).alias("value"),
+        return cells.text_column(df, name).select(
+            grouping_key(F.col("text")).alias("text"),
             F.when(long, F.length("text")).alias("long_chars"),
             F.when(long, patterns.pattern_marks(F.col("text"))).alias("long_marks"),
-            F.when(long, F.sha2(cells.fold(F.col("text")), 256)).alias("long_folded"),
-        ).groupBy("value", "long_chars", "long_marks", "long_folded").agg(F.count(F.lit(1)).alias("cnt"))
-        numeric = cells.parse_number(F.col("value")) if isinstance(dtype, T.StringType) else F.lit(None).cast("double")
-        return grouped.select(
-            F.lit(name).alias("column"), "value", F.when(F.col("long_chars").isNull(), numeric).alias("num"),
-            "long_chars", "long_marks", "long_folded", "cnt")
-    native = F.when(~F.isnan(quoted(name)), quoted(name)) if isinstance(dtype, (T.FloatType, T.DoubleType)) else quoted(name)
-    grouped = df.select(native.alias(name)).groupBy(quoted(name)).agg(F.count(F.lit(1)).alias("cnt"))
-    return grouped.select(
-        F.lit(name).alias("column"), cells.text_view(grouped, name).alias("value"),
-        cells.numeric_view(grouped, name).alias("num"), F.lit(None).cast("int").alias("long_chars"),
-        F.lit(None).cast("int").alias("long_marks"), F.lit(None).cast("string").alias("long_folded"), "cnt")
+            F.when(long, F.sha2(cells.fold("text"), 256)).alias("long_folded"))
+    if slot == "whole":
+        value = (cell.cast("int") if isinstance(dtype, T.BooleanType) else cell).cast("bigint")
+    elif slot == "real":
+        plain = cell.cast("string").cast("double") if isinstance(dtype, T.FloatType) else cell
+        value = F.when(~F.isnan(cell), plain)
+    else:
+        value = cell.cast("timestamp_ntz") if slot == "moment" else cell
+    return df.select(value.alias(slot))
+
+
+def native_counts(sources: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Rows (id, one column per slot in use, cnt) for columns of one or several tables; ``id`` is the place in
+    ``sources``. One shuffle for all of them."""
+    parts = [_native(df, name).withColumn("id", F.lit(i)) for i, (df, name) in enumerate(sources)]
+    used = {c: dict(p.dtypes)[c] for p in parts for c in p.columns}
+    order = [c for c in ("id", *SLOTS, "long_chars", "long_marks", "long_folded") if c in used]
+    both = reduce(DataFrame.union, [
+        p.selectExpr(*[c if c in p.columns else f"CAST(NULL AS {used[c]}) AS {c}" for c in order]) for p in parts])
+    return both.groupBy(*order).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def text_of(counts: DataFrame) -> Column:
+    """Canonical text of rows of ``native_counts``."""
+    made = {
+        "whole": lambda c: c.cast("string"), "real": cells.canon, "moment": lambda c: c.cast("string"),
+        "day": lambda c: c.cast("string"), "text": lambda c: c,
+    }
+    return F.coalesce(*[made[s](F.col(s)) for s in SLOTS if s in counts.columns])
 
 
 def raw_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows (column, value, num, long_chars, long_marks, long_folded, cnt); the ``long_*`` facts are known for long
     texts only, for short ones ``described`` derives them from the value."""
-    return reduce(DataFrame.unionByName, [_counts_of(df, c) for c in (cols or df.columns)])
+    names = list(cols or df.columns)
+    counts = native_counts([(df, c) for c in names])
+    have = set(counts.columns)
+    short = F.col("long_chars").isNull() if "text" in have else F.lit(True)
+    nested = [i for i, c in enumerate(names) if cells.is_nested_type(df.schema[c].dataType)]
+    numbers = [F.col("whole").cast("double")] if "whole" in have else []
+    numbers += [F.col("real")] if "real" in have else []
+    if "text" in have:
+        readable = short & ~F.col("id").isin(*nested) if nested else short
+        numbers.append(F.when(readable, cells.parse_number("text")))
+    facts = {"long_chars": "int", "long_marks": "int", "long_folded": "string"}
+    return counts.select(
+        F.array(*[F.lit(c) for c in names])[F.col("id")].alias("column"), text_of(counts).alias("value"),
+        (F.coalesce(*numbers) if numbers else F.lit(None).cast("double")).alias("num"),
+        *[F.col(k) if k in have else F.lit(None).cast(kind).alias(k) for k, kind in facts.items()], "cnt")
 
 
 def described(counts: DataFrame) -> DataFrame:
     """Add length, patterns and folded text. Apply to kept or reduced counts, so that it runs once per value."""
     value = F.col("value")
-    return (
-        counts.withColumn("chars", F.coalesce("long_chars", F.length(value)).cast("bigint"))
-        .withColumn("marks", F.coalesce("long_marks", patterns.pattern_marks(value)))
-        .withColumn("folded", F.coalesce("long_folded", cells.fold(value)))
-        .withColumn("digest", F.col("long_chars").isNotNull())
-        .drop("long_chars", "long_marks", "long_folded")
-    )
+    return counts.withColumns({
+        "chars": F.expr("CAST(coalesce(long_chars, length(value)) AS BIGINT)"),
+        "marks": F.coalesce("long_marks", patterns.pattern_marks(value)),
+        "folded": F.coalesce("long_folded", cells.fold("value")),
+        "digest": F.expr("long_chars IS NOT NULL"),
+    }).drop("long_chars", "long_marks", "long_folded")
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -86,7 +131,7 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
 
 
 def top_values(vc: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each column, ties by value. ``vc`` are raw or described counts.
+    """The k most frequent values of each column, ties by value (long texts by digest). ``vc``: raw or described counts.
 
     The rank filter sits right above the window, so each partition keeps at most k rows per column before the
     shuffle and no task receives a whole column.

@@ -6,6 +6,7 @@ number of columns. They are computed once, on first use.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -17,6 +18,7 @@ from lynceus.functions import cells, patterns
 from lynceus.functions.patterns import has_mark
 from lynceus.operators import ranks
 from lynceus.operators.values import LONG_TEXT, described, distinct_counts, quoted, raw_counts, top_values
+from lynceus.session import ensure_checkpoint_dir
 
 COLUMNS_PER_SCAN = 8
 COLUMNS_PER_JOB = 50
@@ -36,6 +38,15 @@ class Table:
     def of(cls, source: "Table | DataFrame", **facts) -> "Table":
         return source if isinstance(source, Table) else cls(source, **facts)
 
+    def stored(self) -> "Table":
+        """The same table written as parquet beside the checkpoints.
+
+        Worth it for the result of joins or aggregations: the analyses read a table many times, a few columns each.
+        """
+        path = f"{ensure_checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        self.df.write.parquet(path)
+        return Table(self.spark.read.parquet(path), self.name, self.order_by, self.id_cols, self._types)
+
     @property
     def spark(self):
         return self.df.sparkSession
@@ -195,14 +206,14 @@ def _type_shares(df: DataFrame) -> DataFrame:
             F.count(text).alias(f"present{i}"),
             F.max(F.length(text)).alias(f"chars{i}"),
             F.count_if(text.isNotNull() & number).alias(f"number{i}"),
-            F.count_if(text.isNotNull() & ~number & patterns.is_date_string(cells.strip(text))).alias(f"date{i}"),
+            F.count_if(text.isNotNull() & ~number & patterns.is_date_string(cells.strip_sql(f"t{i}"))).alias(f"date{i}"),
         ]
         records.append(F.struct(
             F.lit(name).alias("column"), F.col(f"present{i}").alias("present"), F.col(f"chars{i}").alias("max_chars"),
             F.col(f"number{i}").alias("numbers"), F.col(f"date{i}").alias("dates")))
     seen = df.select(
-        *[cells.null_if_token(quoted(c)).alias(f"t{i}") for i, c in enumerate(names)],
-        *[cells.parse_number(quoted(c)).isNotNull().alias(f"d{i}") for i, c in enumerate(names)])
+        *[cells.null_if_token(cells.sql_name(c)).alias(f"t{i}") for i, c in enumerate(names)],
+        *[cells.parse_number(cells.sql_name(c)).isNotNull().alias(f"d{i}") for i, c in enumerate(names)])
     shares = seen.agg(*aggregates).select(F.inline(F.array(*records)))
     return shares.withColumn(
         "type",

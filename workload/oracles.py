@@ -118,11 +118,15 @@ ORACLES["value_counts"] = f"""SELECT "column", value, CAST(length(value) AS BIGI
 FROM ({value_counts_sql('part', COLUMNS['part'])})"""
 
 
+# equally frequent values: by value, texts above 128 characters by their SHA-256 after the "#" block
+TIE = "CASE WHEN length(value) > 128 THEN repeat('#', 65) || sha256(value) ELSE value END"
+
+
 def categorical_sql(source: str, cols: list[str], k: int = 10, value: str = "value") -> str:
     return f"""WITH vc AS ({value_counts_sql(source, cols)}),
 facts AS (SELECT "column", CAST(sum(cnt) AS BIGINT) AS count, CAST(coalesce(sum(cnt) FILTER (value IS NULL), 0) AS BIGINT) AS null_count,
                  count(value) AS unique_count FROM vc GROUP BY 1),
-top AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value) AS rank FROM vc WHERE value IS NOT NULL)
+top AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, {TIE}) AS rank FROM vc WHERE value IS NOT NULL)
 SELECT f."column", count, null_count, unique_count, rank, {value}, cnt AS value_count
 FROM facts f LEFT JOIN (SELECT * FROM top WHERE rank <= {k}) t ON f."column" = t."column" """
 
@@ -446,8 +450,8 @@ cand AS (SELECT k, c, idx, mb + m AS bm, ma + m AS am, abs(ma - mb) / (pooled *
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY sig DESC, idx) AS rk FROM cand WHERE sig > 2),
 greedy AS (SELECT k, c, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS added FROM (SELECT DISTINCT k, c FROM ranked)
   UNION ALL
-  SELECT g.k, g.c, r.rk, CASE WHEN len(list_filter(g.kept, e -> abs(e - r.idx) < 5)) = 0 THEN list_append(g.kept, r.idx) ELSE g.kept END,
-         CASE WHEN len(list_filter(g.kept, e -> abs(e - r.idx) < 5)) = 0 THEN r.idx END
+  SELECT g.k, g.c, r.rk, CASE WHEN len(list_filter(g.kept, lambda e: abs(e - r.idx) < 5)) = 0 THEN list_append(g.kept, r.idx) ELSE g.kept END,
+         CASE WHEN len(list_filter(g.kept, lambda e: abs(e - r.idx) < 5)) = 0 THEN r.idx END
   FROM greedy g JOIN ranked r ON r.k = g.k AND r.c = g.c AND r.rk = g.rk + 1)"""
 
 
@@ -629,3 +633,295 @@ SELECT {SHOWN} FROM (SELECT * FROM every ORDER BY every.confidence DESC, o, colu
 ORACLES["correlation_insights"] = f"""SELECT column1, column2, round(r, 6) AS value, round(r * r, 6) AS r_squared,
 CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'surprisingly_weak' END AS kind FROM ({pairs_sql(MEASURES, MEASURE_COLUMNS)})
 WHERE abs(r) > 0.7 OR (abs(r) < 0.1 AND {related('column1', 'column2')})"""
+
+
+# --- meaning of columns ----------------------------------------------------------------------------------------
+
+DESCRIBED_COLUMNS = {
+    "order_id": "number", "c_name": "text", "o_orderstatus": "text", "total_price": "number", "created": "moment",
+    "contact_email": "text", "link": "text", "paid": "text", "share_text": "text", "rich": "text", "churn_rate": "number",
+    "item_count": "number", "unix_timestamp": "number", "segment": "text",
+}
+CUSTOMER_KINDS = {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"}
+EVENT_KINDS = {"event_id": "number", "ts": "moment", "user_id": "number", "event_type": "text", "value": "number", "props": "text"}
+
+
+def any_word(name: str, words: str) -> str:
+    return "(" + " OR ".join(f"contains({name}, '{w}')" for w in words.split()) + ")"
+
+
+def meaning_ctes(source: str, kinds: dict[str, str]) -> str:
+    """CTEs ``f`` (facts per column), ``b`` (with the basic type) and ``sc`` (with the thirteen scores)."""
+    marks = tests("t")
+    rows = union([
+        f"""SELECT '{c}' AS "column", lower('{c}') AS nm, {i} AS place, count(*) AS total, count(*) - count(t) AS nulls, count(t) AS n,
+  count(DISTINCT t) AS uniq, count(v) AS nums, count(t) - count(v) AS strs, min(v) AS lo, max(v) AS hi,
+  count(*) FILTER (v = floor(v) AND v >= 0) AS nat, count(*) FILTER (v <> floor(v)) AS frac,
+  count(*) FILTER (round(v, 2) = v AND round(v, 1) <> v) AS cents, sum(length(t)) AS chars, count(DISTINCT lower(t)) AS low_uniq,
+  {', '.join(f'count(*) FILTER ({marks[m]}) AS {m}' for m in ('uuid', 'email', 'phone', 'url', 'currency', 'percent', 'unix_time', 'boolean', 'date'))}
+  FROM (SELECT {canon(c, k == 'number' and c in DOUBLES)} AS t, {f'CAST({c} AS DOUBLE)' if k == 'number' else 'CAST(NULL AS DOUBLE)'} AS v FROM {source} q)"""
+        for i, (c, k) in enumerate(kinds.items())])
+    num = "basic_type = 'number'"
+    hundred = f"({num} AND nums > 0 AND lo >= 0 AND hi <= 100 AND hi > 1)"
+    unit = f"({num} AND nums > 0 AND lo >= 0 AND hi <= 1)"
+    pct = any_word("nm", "percent pct share proportion")
+    rate = any_word("nm", "rate ratio probability likelihood")
+    scores = {
+        "id": f"""CASE WHEN uuid > 0.8 * n THEN 95 ELSE least(100, CASE WHEN uniq = n AND n > 10 THEN 40 ELSE 0 END
+          + CASE WHEN {any_word('nm', '_id uuid guid identifier')} THEN 35 WHEN ends_with(nm, 'id') THEN 30 WHEN {any_word('nm', 'key code')} THEN 15 ELSE 0 END
+          + CASE WHEN nums = n AND n > 10 AND uniq = n AND lo >= 0 THEN CASE WHEN contains(nm, 'id') THEN 25 ELSE 10 END ELSE 0 END) END""",
+        "boolean": "CASE WHEN low_uniq = 2 THEN round(100.0 * boolean / n) WHEN boolean > 0.9 * n THEN round(95.0 * boolean / n) ELSE 0 END",
+        "percentage": f"""CASE WHEN percent > 0.8 * n THEN 95 ELSE least(100, CASE WHEN {pct} THEN 35 ELSE 0 END + CASE WHEN {hundred} THEN 30 ELSE 0 END
+          + CASE WHEN {hundred} AND (hi > 90 OR lo < 10) THEN 15 ELSE 0 END + CASE WHEN {unit} AND {pct} THEN 30 WHEN {unit} THEN 15 ELSE 0 END) END""",
+        "currency": f"""CASE WHEN currency > 0.8 * n THEN 90 ELSE least(100,
+          CASE WHEN {any_word('nm', 'price cost revenue income expense salary wage fee payment balance budget')} THEN 50
+               WHEN {any_word('nm', 'amount total spend value')} THEN 25 ELSE 0 END
+          + CASE WHEN nums > 0 AND lo >= 0 AND hi < 10000000 THEN 15 ELSE 0 END + CASE WHEN cents > 0.5 * nums THEN 20 ELSE 0 END) END""",
+        "count": f"""CASE WHEN {num} THEN CASE WHEN {any_word('nm', 'count quantity qty num number total amount units items size length age year month day')} THEN 25 ELSE 0 END
+          + CASE WHEN nat > 0.95 * nums THEN 40 WHEN nat > 0.8 * nums THEN 25 ELSE 0 END ELSE 0 END""",
+        "rate": f"""CASE WHEN {num} THEN least(100, CASE WHEN {rate} THEN 45 WHEN {any_word('nm', 'confidence score conversion churn retention')} THEN 25 ELSE 0 END
+          + CASE WHEN nums > 0 AND lo >= 0 AND hi <= 1 THEN CASE WHEN {rate} THEN 50 ELSE 40 END + CASE WHEN frac > 0.5 * nums THEN 10 ELSE 0 END ELSE 0 END) ELSE 0 END""",
+        "date": f"""CASE WHEN {any_word('nm', 'date time created updated modified timestamp born start end expire due')} THEN 25 ELSE 0 END
+          + CASE WHEN date > 0.8 * n THEN 60 WHEN date > 0.5 * n THEN 35 ELSE 0 END""",
+        "timestamp": f"CASE WHEN {any_word('nm', 'timestamp unix')} THEN 40 ELSE 0 END + CASE WHEN unix_time > 0.8 * n THEN 50 ELSE 0 END",
+        "email": f"CASE WHEN {any_word('nm', 'email mail')} THEN 40 ELSE 0 END + CASE WHEN email > 0.8 * n THEN 55 WHEN email > 0.5 * n THEN 30 ELSE 0 END",
+        "phone": f"CASE WHEN {any_word('nm', 'phone tel mobile')} THEN 40 ELSE 0 END + CASE WHEN phone > 0.8 * n THEN 50 ELSE 0 END",
+        "url": f"CASE WHEN {any_word('nm', 'url link website')} THEN 40 ELSE 0 END + CASE WHEN url > 0.8 * n THEN 55 ELSE 0 END",
+        "categorical": """CASE WHEN uniq <= 10 AND n > 50 THEN 85 WHEN uniq < 0.05 * n AND n > 100 THEN 75 WHEN uniq < 0.1 * n AND n > 50 THEN 60
+          WHEN uniq <= 20 AND basic_type = 'string' THEN 50 ELSE 0 END""",
+        "text": "CASE WHEN basic_type = 'string' THEN CASE WHEN chars / n > 50 THEN 80 WHEN chars / n > 20 THEN 60 ELSE 30 END ELSE 0 END",
+    }
+    return f"""f AS ({rows}),
+b AS (SELECT *, CASE WHEN n = 0 THEN 'null' WHEN boolean > 0.9 * n THEN 'boolean' WHEN date > 0.8 * n THEN 'date' WHEN nums > 0.8 * n THEN 'number' ELSE 'string' END AS basic_type,
+ CAST(CASE WHEN n = 0 THEN 100 WHEN boolean > 0.9 * n THEN round(100.0 * boolean / n) WHEN date > 0.8 * n THEN round(100.0 * date / n)
+      WHEN nums > 0.8 * n THEN round(100.0 * nums / n) WHEN strs > 0.8 * n THEN round(100.0 * strs / n) ELSE 50 END AS DOUBLE) AS basic_confidence FROM f),
+sc AS (SELECT *, {', '.join(f'CAST({e} AS DOUBLE) AS score_{k}' for k, e in scores.items())} FROM b),
+long AS (SELECT "column", k, o, s FROM sc CROSS JOIN LATERAL (VALUES {', '.join(f"('{k}', {o}, score_{k})" for o, k in enumerate(scores))}) l(k, o, s) WHERE s > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY s DESC, o) AS rk FROM long),
+sem AS (SELECT sc.*, coalesce(k, 'unknown') AS semantic_type, coalesce(s, 30) AS confidence,
+ (SELECT count(*) FROM best x WHERE x."column" = sc."column") AS options FROM sc LEFT JOIN best ON best."column" = sc."column" AND rk = 1)"""
+
+
+SCORES = ("id", "boolean", "percentage", "currency", "count", "rate", "date", "timestamp", "email", "phone", "url", "categorical", "text")
+LEVEL = "CASE WHEN confidence >= 90 THEN 'high' WHEN confidence >= 70 THEN 'medium' WHEN confidence >= 50 THEN 'low' ELSE 'very_low' END"
+ORACLES["basic_types"] = f"""WITH {meaning_ctes(DESCRIBED, DESCRIBED_COLUMNS)} SELECT "column", basic_type, basic_confidence FROM b"""
+ORACLES["semantic_scores"] = f"""WITH {meaning_ctes(DESCRIBED, DESCRIBED_COLUMNS)} SELECT "column", {', '.join(f'score_{k}' for k in SCORES)} FROM sc"""
+ORACLES["semantic_types"] = f"""WITH {meaning_ctes(DESCRIBED, DESCRIBED_COLUMNS)} SELECT "column", basic_type, semantic_type, confidence, {LEVEL} AS level FROM sem"""
+ORACLES["infer_schema"] = f"""WITH {meaning_ctes('events', EVENT_KINDS)},
+known AS (SELECT * EXCLUDE (semantic_type, confidence), CASE WHEN "column" = 'props' THEN 'text' WHEN "column" = 'value' AND confidence <= 20 THEN 'currency' ELSE semantic_type END AS semantic_type,
+ CASE WHEN "column" = 'props' THEN 100 WHEN "column" = 'value' AND confidence <= 20 THEN 20 ELSE confidence END AS confidence FROM sem)
+SELECT "column", basic_type, semantic_type, confidence, {LEVEL} AS level, total AS total_count, nulls AS null_count, uniq AS unique_count, nums AS numeric_count, strs AS string_count,
+confidence < 70 AND (options > 1 OR uniq = n) AS needs_review,
+CASE WHEN "column" = 'event_type' THEN (SELECT string_agg(event_type, ',' ORDER BY c DESC, event_type) FROM (SELECT event_type, count(*) AS c FROM events GROUP BY 1)) END AS samples FROM known"""
+ORACLES["overall_confidence"] = f"""WITH {meaning_ctes('customer', CUSTOMER_KINDS)}
+SELECT count(*) AS columns, round(avg(confidence), 6) AS confidence, count(*) FILTER (confidence < 70) AS uncertain_columns FROM sem"""
+
+
+# --- relationships ---------------------------------------------------------------------------------------------
+
+KEY_NAME = r"regexp_matches({c}, '^(id|.*_id|pk|fk_.*|.*_key|.*_code|uuid|guid)$', 'i') OR regexp_matches({c}, '^.*Id$')"
+
+
+def keys_cte(tables: dict[str, list[str]], named: str) -> str:
+    rows, i = [], 0
+    for t, cols in tables.items():
+        for c in cols:
+            rows.append(f"""SELECT {i} AS id, '{t}' AS "table", '{c}' AS "column", count(DISTINCT {c}) AS unique_count, count({c}) AS total_count FROM {t}""")
+            i += 1
+    return f"""allcols AS ({union(rows)}), keyed AS (SELECT *, {named.format(c='"column"')} AS named_key FROM allcols),
+keys AS (SELECT * FROM keyed WHERE total_count > 0 AND (named_key OR unique_count > 0.5 * total_count))"""
+
+
+ORACLES["candidate_keys"] = f"""WITH {keys_cte(COLUMNS, KEY_NAME)} SELECT "table", "column", unique_count, total_count, named_key FROM keys"""
+ORACLES["value_overlap"] = """WITH a AS (SELECT DISTINCT c_custkey AS v FROM customer), b AS (SELECT DISTINCT o_custkey AS v FROM orders),
+x AS (SELECT (SELECT count(*) FROM a) AS s, (SELECT count(*) FROM b) AS t, (SELECT count(*) FROM a JOIN b USING (v)) AS m)
+SELECT s AS source_unique, t AS target_unique, m AS matched, s - m AS source_orphans, t - m AS target_orphans, round(100.0 * m / least(s, t), 6) AS match_percent FROM x"""
+
+
+def reasons(share: str) -> str:
+    return (f"CASE WHEN {share} > 50 THEN 'Data export timing mismatch; Different data periods or filters applied' "
+            f"WHEN {share} > 10 THEN 'Records deleted from related table; Data entry errors or inconsistencies' "
+            f"ELSE 'Recent records not yet synced; Test/demo data mixed with production' END")
+
+
+ORACLES["orphans"] = f"""WITH a AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS v FROM documents), o AS (SELECT v FROM a WHERE v NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)),
+x AS (SELECT (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM o) AS k)
+SELECT 'doc_id' AS "column", n AS value_count, k AS orphan_count, round(100.0 * k / n, 6) AS orphan_percent,
+(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT v FROM o ORDER BY v LIMIT 10)) AS sample_orphans, {reasons('100.0 * k / n')} AS possible_reasons FROM x"""
+
+
+def relations_cte(tables: dict[str, list[str]], named: str, bare: str) -> str:
+    values = union([f"""SELECT DISTINCT {i} AS id, {canon(c, c in DOUBLES)} AS v FROM {t}""" for i, (t, c) in enumerate(
+        (t, c) for t, cols in tables.items() for c in cols) if c not in ("embedding", "text", "html")])
+    name = [bare.format(c=f'{x}."column"') for x in "ab"]
+    return f"""{keys_cte(tables, named)},
+pairs AS (SELECT a.id AS a, b.id AS b, {match_type(*name)} AS match_type FROM keys a, keys b WHERE a.id < b.id AND a."table" <> b."table"),
+vals AS ({values}),
+hits AS (SELECT p.a, p.b, p.match_type, count(*) AS matched FROM pairs p JOIN vals x ON x.id = p.a JOIN vals y ON y.id = p.b AND x.v = y.v
+ WHERE match_type IS NOT NULL AND x.v IS NOT NULL GROUP BY 1, 2, 3),
+rel AS (SELECT a."table" AS source_table, a."column" AS source_column, b."table" AS target_table, b."column" AS target_column,
+ CASE WHEN a.unique_count > 0.95 * a.total_count THEN CASE WHEN b.unique_count > 0.95 * b.total_count THEN 'one_to_one' ELSE 'one_to_many' END
+      WHEN b.unique_count > 0.95 * b.total_count THEN 'many_to_one' ELSE 'many_to_many' END AS relationship_type, match_type,
+ a.unique_count AS source_unique, b.unique_count AS target_unique, matched, 100.0 * matched / least(a.unique_count, b.unique_count) AS pct
+ FROM hits JOIN keys a ON a.id = hits.a JOIN keys b ON b.id = hits.b),
+scored AS (SELECT *, CAST(greatest(0, least(100, CASE match_type WHEN 'exact' THEN 70 WHEN 'fuzzy' THEN 50 ELSE 30 END
+ + CASE WHEN pct > 80 THEN 20 WHEN pct > 50 THEN 10 WHEN pct < 20 THEN -20 ELSE 0 END
+ + CASE WHEN matched > 100 THEN 10 WHEN matched < 10 THEN -10 ELSE 0 END)) AS DOUBLE) AS confidence FROM rel)"""
+
+
+RELATION = """SELECT source_table, source_column, target_table, target_column, relationship_type, match_type, confidence, source_unique, target_unique, matched,
+source_unique - matched AS source_orphans, target_unique - matched AS target_orphans, round(pct, 6) AS match_percent FROM scored WHERE confidence >= 30"""
+ORACLES["find_relationships"] = f"WITH {relations_cte(COLUMNS, KEY_NAME, '{c}')} {RELATION}"
+SALES = {t: COLUMNS[t] for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+ORACLES["find_relationships_prefixed"] = f"""WITH {relations_cte(SALES, "regexp_matches({c}, '^.*key$', 'i')", "regexp_replace({c}, '^[a-z]{{1,2}}_', '')")} {RELATION}"""
+
+
+def orphan_side(a: str, b: str) -> str:
+    share = f"100.0 * ({a}_unique - matched) / {a}_unique"
+    return f"""SELECT {a}_table AS "table", {a}_column AS "column", {b}_table AS partner_table, {b}_column AS partner_column, {a}_unique - matched AS orphan_count,
+round({share}, 6) AS orphan_percent, {reasons(share)} AS possible_reasons FROM scored WHERE confidence >= 30 AND {a}_unique > matched"""
+
+
+ORACLES["orphan_report"] = f"""WITH {relations_cte(COLUMNS, KEY_NAME, '{c}')} {orphan_side('source', 'target')} UNION ALL {orphan_side('target', 'source')}"""
+ORACLES["join_related"] = "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+ORACLES["join_related_inner"] = """SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"""
+
+
+def quality_ctes(source: str, cols: list[str], nums: list[str]) -> str:
+    """CTE ``issues`` (issue, column, severity, affected_count, percent) and ``score``."""
+    cats = [c for c in cols if c not in nums]
+    parts = [f"""SELECT 'missing' AS issue, '{c}' AS "column", CASE WHEN p > 20 THEN 'critical' WHEN p > 5 THEN 'warning' ELSE 'info' END AS severity, k AS affected_count, p AS percent
+ FROM (SELECT count(*) - count({c}) AS k, 100.0 * (count(*) - count({c})) / count(*) AS p FROM {source} q) WHERE k > 0""" for c in cols]
+    parts += [f"""SELECT 'suspicious', '{c}', 'info', CAST(floor(n * r) AS BIGINT), 100 * r FROM (SELECT count(*) AS n, coalesce(avg(CASE WHEN CAST({c} AS DOUBLE) % 5 = 0 THEN 1.0 WHEN {c} IS NOT NULL THEN 0 END), 0) AS r FROM {source} q) WHERE r > 0.8"""
+              for c in nums]
+    parts += [f"""SELECT 'outlier', '{c}', CASE WHEN 100.0 * k / n > 5 THEN 'warning' ELSE 'info' END, k, 100.0 * k / n
+ FROM (SELECT count(*) FILTER ({c} < p25 - 1.5 * (p75 - p25) OR {c} > p75 + 1.5 * (p75 - p25)) AS k, count(*) AS n FROM {source} q, z{i}) WHERE k > 0""" for i, c in enumerate(nums)]
+    parts += [f"""SELECT 'many_values', '{c}', 'warning', u, 100.0 * u / n FROM (SELECT count(DISTINCT {c}) AS u, count(*) AS n FROM {source} q) WHERE u > 0.9 * n AND n > 100""" for c in cats]
+    parts += [f"""SELECT 'near_duplicate', '{c}', 'warning', CAST(2 * sum(g * (g - 1) // 2) AS BIGINT), NULL FROM (SELECT count(*) AS g FROM
+ (SELECT CAST({c} AS VARCHAR) AS v FROM {source} q WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) GROUP BY lower(trim(v))) HAVING sum(g * (g - 1) // 2) > 0""" for c in cats]
+    parts.append(f"""SELECT 'duplicate', NULL, CASE WHEN 100.0 * k / n > 10 THEN 'critical' ELSE 'warning' END, k, 100.0 * k / n
+ FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source} d)) AS k FROM {source} q) WHERE k > 0""")
+    stats = ",\n".join(stats_cte(f"z{i}", source, c) for i, c in enumerate(nums))
+    return f"""{stats}, issues AS ({union(parts)}),
+score AS (SELECT CAST(greatest(0, floor(100 - coalesce(sum(CASE issue WHEN 'missing' THEN least(percent, 20) WHEN 'near_duplicate' THEN 5 WHEN 'duplicate' THEN least(percent, 15) ELSE 0 END), 0) + 0.5)) AS BIGINT) AS score FROM issues)"""
+
+
+UNTIDY_COLUMNS = ["customer_group", "price", "rounded_cost", "skewed", "label", "o_orderstatus"]
+UNTIDY_NUMBERS = UNTIDY_COLUMNS[:4]
+UNTIDY_QUALITY = quality_ctes(UNTIDY, UNTIDY_COLUMNS, UNTIDY_NUMBERS)
+BAND = "CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'moderate' ELSE 'poor' END"
+ORACLES["quality_issues"] = f"""WITH {UNTIDY_QUALITY} SELECT issue, "column", severity, affected_count, round(percent, 5) AS percent FROM issues"""
+ORACLES["quality_score"] = f"WITH {UNTIDY_QUALITY} SELECT score, {BAND} AS band FROM score"
+
+NO_TEXT = "(SELECT doc_id, lang, source, n_chars FROM documents)"
+
+
+def side_sql(source: str, cols: list[str], nums: list[str], side: str) -> str:
+    return union([
+        f"""SELECT '{c}' AS "column", count(*) - count({c}) AS null_count_{side}, count(DISTINCT {c}) AS unique_count_{side},
+ {f'avg({c})' if c in nums else 'CAST(NULL AS DOUBLE)'} AS mean_{side}, {f'stddev_pop({c})' if c in nums else 'CAST(NULL AS DOUBLE)'} AS std_{side}, true AS in_{side} FROM {source} q""" for c in cols])
+
+
+ORACLES["compare_datasets"] = f"""WITH l AS ({side_sql(NO_TEXT, ['doc_id', 'lang', 'source', 'n_chars'], ['doc_id', 'n_chars'], 'left')}),
+r AS ({side_sql('labels', COLUMNS['labels'], COLUMNS['labels'], 'right')}),
+ql AS (WITH {quality_ctes(NO_TEXT, ['doc_id', 'lang', 'source', 'n_chars'], ['doc_id', 'n_chars'])} SELECT score FROM score),
+qr AS (WITH {quality_ctes('labels', COLUMNS['labels'], COLUMNS['labels'])} SELECT score FROM score)
+SELECT "column", CASE WHEN in_left AND in_right THEN 'common' WHEN in_left THEN 'only_left' ELSE 'only_right' END AS presence,
+ null_count_left, null_count_right, unique_count_left, unique_count_right, round(mean_left, 5) AS mean_left, round(mean_right, 5) AS mean_right,
+ round(std_left, 5) AS std_left, round(std_right, 5) AS std_right, round(mean_right - mean_left, 5) AS mean_change,
+ CAST(NULL AS BIGINT) AS rows_left, CAST(NULL AS BIGINT) AS rows_right, NULL AS columns_left, NULL AS columns_right, CAST(NULL AS BIGINT) AS score_left, CAST(NULL AS BIGINT) AS score_right
+FROM l FULL JOIN r USING ("column")
+UNION ALL SELECT NULL, 'table', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, (SELECT count(*) FROM documents), (SELECT count(*) FROM labels), 4, 3,
+ (SELECT score FROM ql), (SELECT score FROM qr)"""
+CATALOG = ", ".join(f"({i}, '{t}', {len(cols)}, '{c}')" for i, (t, cols) in enumerate(COLUMNS.items()) for c in cols)
+
+
+def similar_names(x: str, y: str) -> str:
+    x, y = (f"regexp_replace(lower({c}), '[_\\-\\s]', '', 'g')" for c in (x, y))
+    forms = ("'customerid','custid','customer_id','cust_id','clientid'", "'productid','prodid','product_id','prod_id','itemid'",
+             "'orderid','ordid','order_id','ord_id'", "'userid','user_id','uid','accountid'")
+    same = " OR ".join(f"({x} IN ({f}) AND {y} IN ({f}))" for f in forms)
+    return f"({x} = {y} OR contains({x}, {y}) OR contains({y}, {x}) OR {same})"
+
+
+ORACLES["catalog_similarity"] = f"""WITH cat(p, t, w, c) AS (VALUES {CATALOG}),
+sizes AS ({union([f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in COLUMNS])}),
+common AS (SELECT a.t AS table1, b.t AS table2, a.w AS w1, b.w AS w2, count(*) AS k, string_agg(a.c, ',' ORDER BY a.c) AS columns FROM cat a JOIN cat b ON a.c = b.c AND a.p < b.p GROUP BY 1, 2, 3, 4),
+every AS (SELECT 'common_columns' AS kind, table1, table2, CAST(least(90, 50 + 10 * k) AS DOUBLE) AS confidence, columns, CAST(k AS DOUBLE) AS measure FROM common
+UNION ALL SELECT 'schema_similarity', table1, table2, 85, columns, k / greatest(w1, w2) FROM common WHERE k / greatest(w1, w2) > 0.7
+UNION ALL SELECT 'possible_join', a.t, b.t, 70, a.c || ',' || b.c, 1 FROM cat a JOIN cat b ON a.p < b.p AND a.c <> b.c
+ WHERE {any_word('lower(a.c)', 'id _id key code')} AND {any_word('lower(b.c)', 'id _id key code')} AND {similar_names('a.c', 'b.c')})
+SELECT kind, table1, table2, confidence, columns, round(measure, 6) AS measure, x.n AS rows1, y.n AS rows2 FROM every JOIN sizes x ON x.t = table1 JOIN sizes y ON y.t = table2 ORDER BY confidence DESC, kind, table1, table2, columns LIMIT 10"""
+ORDER_ROW = " || '|' || ".join(f"coalesce({canon(c, c in DOUBLES)}, '∅')" for c in COLUMNS["orders"])
+ORACLES["dataset_fingerprint"] = f"""SELECT 'orders' AS name, count(*) AS row_count, 6 AS column_count, '{'|'.join(COLUMNS['orders'])}' AS columns,
+left(md5('{'|'.join(COLUMNS['orders'])}'), 8) AS column_hash, CAST(sum(CAST('0x' || left(md5({ORDER_ROW}), 15) AS HUGEINT)) AS VARCHAR) AS content_hash FROM orders"""
+
+# --- insights --------------------------------------------------------------------------------------------------
+
+def notes_sql(source: str, cols: list[str], nums: list[str]) -> str:
+    rows = []
+    for c in cols:
+        if c in nums:
+            rows.append(f"""SELECT '{c}' AS "column", 'numeric' AS kind, 0 AS unique_count, CASE WHEN min({c}) = 0 AND max({c}) = 100 THEN 'percentage'
+ WHEN coalesce(stddev_pop({c}) / nullif(avg({c}), 0), 0) < 0.1 AND count(*) > 100 THEN 'low_variance' WHEN stddev_pop({c}) / nullif(avg({c}), 0) > 2 THEN 'high_variance' END AS note FROM {source} q""")
+        else:
+            rows.append(f"""SELECT '{c}', 'categorical', u, CASE WHEN u = n AND n > 100 THEN 'all_unique' WHEN length(t) > 20 AND regexp_matches(t, '^[A-Za-z0-9]+$') THEN 'garbage' END
+ FROM (SELECT count(DISTINCT {c}) AS u, count(*) AS n, (SELECT CAST({c} AS VARCHAR) FROM {source} w WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS t FROM {source} q)""")
+    return union(rows)
+
+
+ORACLES["variable_notes"] = notes_sql("customer", COLUMNS["customer"], ["c_custkey", "c_nationkey", "c_acctbal"])
+ORACLES["eda_overview"] = """SELECT count(*) AS rows, 6 AS columns, 3 AS numeric_columns, 2 AS categorical_columns,
+count(*) > 1000 AND count(*) * 6 = count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS suspiciously_clean FROM orders"""
+CHECKED = "(SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)"
+ORACLES["synthetic_checks"] = f"""WITH m AS ({pairs_sql(CHECKED, ['l_quantity', 'l_discount', 'l_tax'])}),
+g AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), o AS (SELECT avg(m) AS mm, count(*) AS k FROM g),
+every AS (SELECT 'no_missing' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(0 AS DOUBLE) AS value FROM lineitem HAVING count(*) > 1000
+ AND count(*) * 4 = count(l_quantity) + count(l_discount) + count(l_tax) + count(l_returnflag)
+UNION ALL SELECT 'no_correlation', NULL, max(abs(r)) FROM m HAVING max(abs(r)) < 0.1 AND count(*) >= 3
+UNION ALL SELECT 'equal_means', 'l_returnflag', max(abs(m - mm)) FROM g, o WHERE (SELECT count(*) > 1000 AND stddev_pop(l_quantity) > 10 FROM lineitem) HAVING max(abs(m - mm)) < 1 AND max(k) >= 3)
+SELECT "check", "column", round(value, 5) AS value, (SELECT count(*) FROM every) >= 2 AS synthetic FROM every"""
+ORACLES["eda_findings"] = f"""WITH {series_cte(MONTH_SERIES)}, {TREND}, m AS (SELECT corr(quantity, tax) AS r FROM {MONTHLY} q),
+{stats_cte('z0', MONTHLY, 'quantity')}, {stats_cte('z1', MONTHLY, 'tax')},
+o AS (SELECT count(*) FILTER (quantity < z0.p25 - 1.5 * (z0.p75 - z0.p25) OR quantity > z0.p75 + 1.5 * (z0.p75 - z0.p25))
+ + count(*) FILTER (tax < z1.p25 - 1.5 * (z1.p75 - z1.p25) OR tax > z1.p75 + 1.5 * (z1.p75 - z1.p25)) AS k FROM {MONTHLY} q, z0, z1)
+SELECT 'complete' AS finding, 'quality' AS category, 'success' AS severity, CAST(NULL AS VARCHAR) AS "column", CAST(0 AS DOUBLE) AS value
+UNION ALL SELECT 'strong_correlations', 'finding', 'success', 'quantity, tax', 1 FROM m WHERE abs(r) > 0.5
+UNION ALL SELECT 'trend', 'finding', 'info', c, round(chg, 4) FROM u WHERE {KEPT} AND abs(chg) > 5
+UNION ALL SELECT 'outliers', 'anomaly', CASE WHEN k > 10 THEN 'warning' ELSE 'info' END, NULL, k FROM o WHERE k > 0"""
+QUICK = union([f"SELECT {i} AS i, '{c}' AS c, count(*) - count({c}) AS k, count(*) AS n FROM {UNTIDY} q" for i, c in enumerate(UNTIDY_COLUMNS)])
+ORACLES["quick_insights"] = f"""WITH {", ".join(stats_cte(f"z{i}", UNTIDY, c) for i, c in enumerate(UNTIDY_NUMBERS))},
+miss AS (SELECT 1 AS o, 'missing' AS insight, c AS "column", 100.0 * k / n AS value FROM ({QUICK}) WHERE k > 0 ORDER BY k DESC, i LIMIT 1),
+best AS (SELECT 2 AS o, 'strong_correlation', column1 || ', ' || column2, r FROM ({pairs_sql(UNTIDY, UNTIDY_NUMBERS)}) WHERE abs(r) >= 0.7 ORDER BY abs(r) DESC, column1, column2 LIMIT 1),
+outs AS (SELECT 3 AS o, 'outliers', c, CASE WHEN hi > u THEN hi ELSE lo END FROM ({union([f"SELECT {i} AS i, '{c}' AS c, lo, hi, p25 - 1.5 * (p75 - p25) AS l, p75 + 1.5 * (p75 - p25) AS u FROM z{i}" for i, c in enumerate(UNTIDY_NUMBERS)])})
+ WHERE lo < l OR hi > u ORDER BY i LIMIT 1),
+dom AS (SELECT 4 AS o, 'dominated', c, 100.0 * k / n FROM ({union([f"SELECT {i} AS i, '{c}' AS c, count(*) AS k, (SELECT count(*) FROM {UNTIDY} w) AS n FROM {UNTIDY} q WHERE {c} IS NOT NULL GROUP BY {c}" for i, c in enumerate(UNTIDY_COLUMNS[4:])])})
+ WHERE 100.0 * k / n > 50 ORDER BY i LIMIT 1),
+every AS (SELECT * FROM miss UNION ALL SELECT * FROM best UNION ALL SELECT * FROM outs UNION ALL SELECT * FROM dom)
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS place, insight, "column", round(value, 4) AS value FROM every"""
+DEEP = f"""{UNTIDY_QUALITY}, m AS ({pairs_sql(UNTIDY, UNTIDY_NUMBERS)}),
+sh AS ({union([f"SELECT {i} AS i, '{c}' AS c, skew, mean, lo, hi, sd FROM z{i}" for i, c in enumerate(UNTIDY_NUMBERS)])}),
+an AS (SELECT count(*) FILTER (z > 2.5) AS k, count(*) AS n FROM (SELECT CASE WHEN {' + '.join(f'(({c} IS NOT NULL)::INT)' for c in UNTIDY_NUMBERS)} >= 2 THEN
+ ({' + '.join(f'coalesce(abs(({c} - z{i}.mean) / z{i}.sd), 0)' for i, c in enumerate(UNTIDY_NUMBERS))}) / ({' + '.join(f'(({c} IS NOT NULL)::INT)' for c in UNTIDY_NUMBERS)}) END AS z FROM {UNTIDY} q, z0, z1, z2, z3)),
+dom AS ({union([f"SELECT '{c}' AS c, max(k) / sum(k) AS share FROM (SELECT count({c}) AS k FROM {UNTIDY} q GROUP BY {c})" for c in UNTIDY_COLUMNS[4:]])}),
+sim AS ({similar_sql(UNTIDY, UNTIDY_NUMBERS)}), seg AS ({segments_sql(UNTIDY, UNTIDY_COLUMNS[4:], UNTIDY_NUMBERS[:3])}),
+deep AS (SELECT issue AS insight, 'quality' AS type, severity, CAST(95 AS DOUBLE) AS confidence, coalesce("column", '') AS columns FROM issues
+UNION ALL SELECT 'skewed', 'anomaly', 'info', 85, c FROM sh WHERE abs(skew) > 2
+UNION ALL SELECT 'concentrated', 'anomaly', 'info', 70, c FROM sh WHERE (mean - lo) / nullif(hi - lo, 0) < 0.2 OR (mean - lo) / nullif(hi - lo, 0) > 0.8
+UNION ALL SELECT 'anomalous_rows', 'anomaly', CASE WHEN k > 0.05 * n THEN 'warning' ELSE 'info' END, 80, '' FROM an WHERE k > 0
+UNION ALL SELECT 'similar_distributions', 'pattern', 'info', 75, column1 || ',' || column2 FROM sim
+UNION ALL SELECT 'dominated', 'pattern', CASE WHEN share > 0.9 THEN 'warning' ELSE 'info' END, 90, c FROM dom WHERE share > 0.7
+UNION ALL SELECT 'strong_correlation', 'correlation', 'success', 90, column1 || ',' || column2 FROM m WHERE abs(r) > 0.7
+UNION ALL SELECT 'surprisingly_weak_correlation', 'anomaly', 'info', 60, column1 || ',' || column2 FROM m WHERE abs(r) < 0.1 AND {related('column1', 'column2')}
+UNION ALL SELECT DISTINCT 'segment ' || "column" || ': ' || value, 'segment', 'info', 70, "column" FROM seg)"""
+ORACLES["deep_insights"] = f"WITH {DEEP} SELECT * FROM deep"
+
+# --- full report: the same results as the single operators, on four columns of events ---------------------------
+
+PART = "(SELECT event_id, user_id, event_type, value FROM events)"
+PART_NUMBERS = ["event_id", "user_id", "value"]
+ORACLES["full_report_numeric"] = numeric_stats_sql(PART, PART_NUMBERS).replace("round(s, 1)", "round(s, 4)").replace("round(skew, 5)", "round(skew, 4)")
+ORACLES["full_report_categorical"] = categorical_sql(PART, ["event_type"])
+ORACLES["full_report_correlations"] = matrix_sql(PART, PART_NUMBERS).replace("round(r, 6)", "round(r, 4)")
+ORACLES["full_report_outliers"] = iqr_sql(PART, PART_NUMBERS, ["event_id"]).replace(", 5)", ", 4)")
+ORACLES["full_report_trends"] = trend_sql([(PART, "1", c, "event_id") for c in PART_NUMBERS], "").replace(", 5)", ", 4)")

@@ -627,7 +627,7 @@ def confounders(spark, sf):
 def described(spark, sf):
     """One wide table with ids, dates, text, money, flags and links."""
     o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select(
+    joined = o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("order_id"), "c_name", "o_orderstatus", F.col("o_totalprice").alias("total_price"),
         F.col("o_orderdate").alias("created"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("contact_email"),
         F.concat(F.lit("https://example.com/"), F.col("c_custkey").cast("string")).alias("link"),
@@ -637,6 +637,7 @@ def described(spark, sf):
         (F.col("c_acctbal") / 10000).alias("churn_rate"), F.col("c_nationkey").alias("item_count"),
         (F.col("o_orderkey") + 1700000000).alias("unix_timestamp"),
         F.when(F.col("o_orderstatus") != "P", F.col("c_mktsegment")).alias("segment"))
+    return ly.Table(joined).stored()
 
 
 @query
@@ -736,11 +737,6 @@ def dataset_fingerprint(spark, sf):
     return ly.dataset_fingerprint(load(spark, sf, "orders"), "orders")
 
 
-@query
-def column_sets(spark, sf):
-    return ly.column_sets(load(spark, sf, "documents"), load(spark, sf, "labels"))
-
-
 # --- quality and insights --------------------------------------------------------------------------------------
 
 def untidy(spark, sf):
