@@ -2,44 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 
 from lynceus.operators import association, hypotheses, insights, outliers, profile, quality, schema, series
 from lynceus.table import Table
 
 
+class Report(Mapping):
+    """Named results of one table. A result is computed when it is first asked for; facts of one row per column, the
+    correlation matrix and the trends are shared between results."""
+
+    def __init__(self, t: Table, order: list[str], fast: bool, max_hypotheses: int, schema_options: dict):
+        self.table, self.order = t, order
+        self._parts: dict[str, Callable[[], DataFrame]] = {
+            "schema": lambda: schema.infer_schema(t, **schema_options),
+            "summary": lambda: profile.dataset_summary(t),
+            "numeric": lambda: profile.numeric_stats(t),
+            "categorical": lambda: profile.categorical_stats(t),
+            "correlations": lambda: self.matrix,
+            "outliers": lambda: outliers.outliers_iqr(t),
+            "overview": lambda: insights.eda_overview(t),
+            "notes": lambda: insights.variable_notes(t),
+            "checks": lambda: insights.synthetic_checks(t, self.matrix),
+            "findings": lambda: insights.eda_findings(t, order, self.matrix, self.trends),
+            "quality": lambda: quality.quality_score(t),
+            "issues": lambda: quality.quality_issues(t),
+            "insights": lambda: insights.deep_insights(t, order, self.matrix, self.trends),
+            "recommendations": lambda: insights.recommendations(t, order, self["insights"]),
+            "quick": lambda: insights.quick_insights(t, order, self.matrix, self.trends),
+            "kpis": lambda: insights.kpis(t, order, self.trends),
+        }
+        if order and t.numeric:
+            self._parts["trends"] = lambda: self.trends
+        if not fast:
+            self._parts["hypotheses"] = lambda: hypotheses.hypotheses(t, order, max_hypotheses, self.matrix, self.trends)
+            if order and t.numeric:
+                self._parts["time_series"] = lambda: series.time_series_report(t, None, order)
+        self._done: dict[str, DataFrame] = {}
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return association.correlation_matrix(self.table).cache()
+
+    @cached_property
+    def trends(self) -> DataFrame | None:
+        if not (self.order and self.table.numeric):
+            return None
+        return series.trend(self.table, None, self.order).cache()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._done:
+            self._done[name] = self._parts[name]()
+        return self._done[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+    def release(self) -> None:
+        """Drop what is kept in memory."""
+        for name in ("matrix", "trends"):
+            if self.__dict__.get(name) is not None:
+                self.__dict__.pop(name).unpersist()
+        self._done.clear()
+        self.table.release()
+
+
 def full_report(source, order_by: list[str] | None = None, id_cols: list[str] | None = None, fast: bool = False,
-                max_hypotheses: int = 10, **schema_options) -> dict[str, DataFrame]:
+                max_hypotheses: int = 10, **schema_options) -> Report:
     """Schema, statistics, findings, insights, hypotheses and time series as named DataFrames.
 
-    Facts of one row per column are computed once and shared. ``fast`` leaves out hypotheses and time series. Call
-    ``release`` on the Table passed in when the value counts are no longer needed.
+    ``fast`` leaves out hypotheses and time series. Results that follow the row order need ``order_by``.
     """
     t = Table.of(source, order_by=order_by, id_cols=id_cols)
-    order = list(order_by or t.order_by)
-    matrix = association.correlation_matrix(t).cache()
-    trends = series.trend(t, None, order) if order and t.numeric else None
-    if trends is not None:
-        trends = trends.cache()
-    out = {
-        "schema": schema.infer_schema(t, **schema_options),
-        "summary": profile.dataset_summary(t),
-        "numeric": profile.numeric_stats(t),
-        "categorical": profile.categorical_stats(t),
-        "correlations": matrix,
-        "outliers": outliers.outliers_iqr(t),
-        "overview": insights.eda_overview(t),
-        "notes": insights.variable_notes(t),
-        "checks": insights.synthetic_checks(t, matrix),
-        "findings": insights.eda_findings(t, order, matrix, trends),
-        "quality": quality.quality_score(t),
-        "issues": quality.quality_issues(t),
-        "insights": insights.deep_insights(t, order, matrix, trends),
-    }
-    if trends is not None:
-        out["trends"] = trends
-    if not fast:
-        out["hypotheses"] = hypotheses.hypotheses(t, order, max_hypotheses, matrix, trends)
-        if order and t.numeric:
-            out["time_series"] = series.time_series_report(t, None, order)
-    return out
+    return Report(t, list(order_by or t.order_by), fast, max_hypotheses, schema_options)

@@ -817,7 +817,7 @@ def _report_part(part: str, spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 4)
 
 
-for _part in ("numeric", "categorical", "correlations", "outliers", "trends", "hypotheses"):
+for _part in ("numeric", "categorical", "correlations", "outliers", "trends", "hypotheses", "kpis", "overview"):
     REGISTRY[f"full_report_{_part}"] = partial(_report_part, _part)
 
 
