@@ -49,6 +49,11 @@ def rule(template: Callable[[str], str], cell: Column | str) -> Column:
     return F.call_function("get", bound, F.lit(0))
 
 
+def bound_sql(template: Callable[[str], str], x: str) -> str:
+    """The template applied to a SQL expression that is computed once."""
+    return f"get(transform(array({x}), x -> {template('x')}), 0)"
+
+
 def sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -149,9 +154,9 @@ def text_column(df: DataFrame, name: str) -> DataFrame:
     """One column ``text``: the canonical text of the cells, with the number test run once per cell."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df.select(text_view(df, name).alias("text"))
-    parsed = df.select(F.col(sql_name(name)).alias("raw")).selectExpr("raw", f"{parse_number_sql('raw')} AS num")
-    return parsed.select(
-        F.when(F.col("num").isNotNull(), canon(F.col("num"))).otherwise(null_if_token("raw")).alias("text"))
+    x = sql_name(name)
+    return df.selectExpr(f"{x} AS raw", f"{parse_number_sql(x)} AS num").selectExpr(
+        f"CASE WHEN num IS NOT NULL THEN {bound_sql(canon_sql, 'num')} ELSE {null_if_token_sql('raw')} END AS text")
 
 
 def present(df: DataFrame, name: str) -> Column:

@@ -68,11 +68,11 @@ def outlier_counts(source, cols: list[str] | None = None) -> dict[str, dict]:
     aggregates: list[Column] = []
     for i, (c, s) in enumerate(facts.items()):
         low, high = fences(s)
-        v = t.number(c)
+        v = F.col(f"x{i}")
         out = (v < low) | (v > high)
         aggregates += [F.count_if(out).alias(f"n{i}"),
                        F.max(F.when(out, F.abs(zscore(v, F.lit(s["mean"]), F.lit(s["std"]))))).alias(f"z{i}")]
-    row = t.df.agg(*aggregates).first()
+    row = t.df.select(*[t.number(c).alias(f"x{i}") for i, c in enumerate(facts)]).agg(*aggregates).first()
     return {c: {"outliers": row[f"n{i}"], "max_zscore": row[f"z{i}"] or 0.0, "expected_min": fences(s)[0],
                 "expected_max": fences(s)[1]} for i, (c, s) in enumerate(facts.items())}
 

@@ -117,17 +117,16 @@ def _finish(df: DataFrame, views: dict[str, Column], targets: list[Target]) -> N
         parts.append(
             df.select(views[name].alias("v")).where(v.isNotNull())
             .withColumn("region", region)
-            .select("region", keep.alias("v"))
-            .groupBy("region", "v").agg(F.count(F.lit(1)).alias("cnt"))
-            .select(F.lit(name).alias("column"), "region", "v", "cnt",
-                    F.array(*[F.lit(t.rank).cast("bigint") for t in wanted]).alias("ranks"))
+            .select(F.lit(len(parts)).alias("k"), "region", keep.alias("v"))
         )
-    running = Window.partitionBy("column").orderBy("region", "v").rowsBetween(Window.unboundedPreceding, 0)
+    names = list(by_column)
+    running = Window.partitionBy("k").orderBy("region", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array(*[F.array(*[F.lit(t.rank).cast("bigint") for t in wanted]) for wanted in by_column.values()])
     hits = (
-        reduce(DataFrame.unionByName, parts)
+        reduce(DataFrame.union, parts).groupBy("k", "region", "v").agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("upto", F.sum("cnt").over(running))
-        .select("column", "region", "v", F.explode(F.filter(
-            "ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("cnt")))).alias("rank"))
+        .select(F.array(*[F.lit(c) for c in names])[F.col("k")].alias("column"), "region", "v", F.explode(F.filter(
+            ranks[F.col("k")], lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("cnt")))).alias("rank"))
     )
     found = {(r["column"], r["rank"]): (r["region"], r["v"]) for r in hits.collect()}
     for t in targets:

@@ -32,6 +32,10 @@ def grouping_key(text: Column) -> Column:
 
 
 SLOTS = ("whole", "real", "moment", "day", "text")
+SLOT_TYPES = {
+    "whole": "bigint", "real": "double", "moment": "timestamp_ntz", "day": "date", "text": "string",
+    "long_chars": "int", "long_marks": "int", "long_folded": "string",
+}
 
 
 def slot_of(dtype: T.DataType) -> str:
@@ -44,36 +48,37 @@ def slot_of(dtype: T.DataType) -> str:
     return "day" if isinstance(dtype, T.DateType) else "text"
 
 
-def _native(df: DataFrame, name: str) -> DataFrame:
-    """One column in its slot: whole, real, moment, day, or text with the ``long_*`` facts of long texts."""
-    dtype, cell = df.schema[name].dataType, quoted(name)
+def _native(df: DataFrame, name: str, facts: bool) -> tuple[DataFrame, dict[str, str]]:
+    """One column as SQL for its slot: whole, real, moment, day, or text with the ``long_*`` facts of long texts."""
+    dtype, x = df.schema[name].dataType, cells.sql_name(name)
     slot = slot_of(dtype)
     if slot == "text":
-        long = F.length("text") > LONG_TEXT
-        return cells.text_column(df, name).select(
-            grouping_key(F.col("text")).alias("text"),
-            F.when(long, F.length("text")).alias("long_chars"),
-            F.when(long, patterns.pattern_marks(F.col("text"))).alias("long_marks"),
-            F.when(long, F.sha2(cells.fold("text"), 256)).alias("long_folded"))
-    if slot == "whole":
-        value = (cell.cast("int") if isinstance(dtype, T.BooleanType) else cell).cast("bigint")
+        long = f"length(text) > {LONG_TEXT}"
+        made = {
+            "text": f"CASE WHEN {long} THEN concat(repeat('#', 65), sha2(text, 256)) ELSE text END",
+            "long_chars": f"CASE WHEN {long} THEN length(text) END"}
+        if facts:
+            made["long_marks"] = f"CASE WHEN {long} THEN {cells.bound_sql(patterns.marks_sql, 'text')} END"
+            made["long_folded"] = f"CASE WHEN {long} THEN sha2({cells.fold_sql('text')}, 256) END"
+        return cells.text_column(df, name), made
+    if isinstance(dtype, T.BooleanType):
+        x = f"CAST({x} AS INT)"
+    elif isinstance(dtype, T.FloatType):
+        x = f"CASE WHEN NOT isnan({x}) THEN CAST(CAST({x} AS STRING) AS DOUBLE) END"
     elif slot == "real":
-        plain = cell.cast("string").cast("double") if isinstance(dtype, T.FloatType) else cell
-        value = F.when(~F.isnan(cell), plain)
-    else:
-        value = cell.cast("timestamp_ntz") if slot == "moment" else cell
-    return df.select(value.alias(slot))
+        x = f"CASE WHEN NOT isnan({x}) THEN {x} END"
+    return df, {slot: f"CAST({x} AS {SLOT_TYPES[slot]})"}
 
 
-def native_counts(sources: list[tuple[DataFrame, str]]) -> DataFrame:
+def native_counts(sources: list[tuple[DataFrame, str]], facts: bool = False) -> DataFrame:
     """Rows (id, one column per slot in use, cnt) for columns of one or several tables; ``id`` is the place in
-    ``sources``. One shuffle for all of them."""
-    parts = [_native(df, name).withColumn("id", F.lit(i)) for i, (df, name) in enumerate(sources)]
-    used = {c: dict(p.dtypes)[c] for p in parts for c in p.columns}
-    order = [c for c in ("id", *SLOTS, "long_chars", "long_marks", "long_folded") if c in used]
+    ``sources``. One shuffle for all of them. ``facts`` adds patterns and folded form of long texts."""
+    parts = [_native(df, name, facts) for df, name in sources]
+    used = [s for s in SLOT_TYPES if any(s in made for _, made in parts)]
     both = reduce(DataFrame.union, [
-        p.selectExpr(*[c if c in p.columns else f"CAST(NULL AS {used[c]}) AS {c}" for c in order]) for p in parts])
-    return both.groupBy(*order).agg(F.count(F.lit(1)).alias("cnt"))
+        df.selectExpr(f"{i} AS id", *[f"{made.get(s, f'CAST(NULL AS {SLOT_TYPES[s]})')} AS {s}" for s in used])
+        for i, (df, made) in enumerate(parts)])
+    return both.groupBy("id", *used).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def text_of(counts: DataFrame) -> Column:
@@ -85,11 +90,11 @@ def text_of(counts: DataFrame) -> Column:
     return F.coalesce(*[made[s](F.col(s)) for s in SLOTS if s in counts.columns])
 
 
-def raw_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def raw_counts(df: DataFrame, cols: list[str] | None = None, facts: bool = False) -> DataFrame:
     """Rows (column, value, num, long_chars, long_marks, long_folded, cnt); the ``long_*`` facts are known for long
-    texts only, for short ones ``described`` derives them from the value."""
+    texts only (marks and folded form only with ``facts``), for short ones ``described`` derives them."""
     names = list(cols or df.columns)
-    counts = native_counts([(df, c) for c in names])
+    counts = native_counts([(df, c) for c in names], facts)
     have = set(counts.columns)
     short = F.col("long_chars").isNull() if "text" in have else F.lit(True)
     nested = [i for i, c in enumerate(names) if cells.is_nested_type(df.schema[c].dataType)]
@@ -118,7 +123,7 @@ def described(counts: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows (column, value, num, cnt, chars, marks, folded, digest); missing cells form one row with a null value."""
-    return described(raw_counts(df, cols))
+    return described(raw_counts(df, cols, facts=True))
 
 
 def distinct_counts(vc: DataFrame) -> DataFrame:

@@ -26,21 +26,37 @@ def profile_state(df: DataFrame, by: list[str] | None = None, cols: list[str] |
     than any other.
     """
     names = [c for c in (cols or df.columns) if c not in (by or [])]
-    aggregates, records = [], []
+    keys = [quoted(b) for b in by or []]
+    views = [v for i, c in enumerate(names) for v in (
+        cells.numeric_view(df, c).alias(f"x{i}"), cells.present(df, c).alias(f"p{i}"), _identity(df, c).alias(f"u{i}"))]
+    seen = df.select(*keys, *views)
+    moments, moment_rows, sketches, sketch_rows = [], [], [], []
     for i, c in enumerate(names):
-        v = cells.numeric_view(df, c)
-        aggregates += [
-            F.count(F.lit(1)).alias(f"r{i}"), F.count_if(~cells.present(df, c)).alias(f"z{i}"), F.count(v).alias(f"n{i}"),
-            F.sum(v).alias(f"s{i}"), F.var_pop(v).alias(f"v{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-            F.hll_sketch_agg(cells.text_view(df, c), DISTINCT_BITS).alias(f"d{i}"), sketch_of(v).alias(f"q{i}")]
-        records.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"r{i}").alias("rows"), F.col(f"z{i}").alias("nulls"), F.col(f"n{i}").alias("n"),
+        v = F.col(f"x{i}")
+        moments += [
+            F.count_if(~F.col(f"p{i}")).alias(f"z{i}"), F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"),
+            F.var_pop(v).alias(f"v{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        moment_rows.append(F.struct(
+            F.lit(c).alias("column"), F.col("rows"), F.col(f"z{i}").alias("nulls"), F.col(f"n{i}").alias("n"),
             F.col(f"s{i}").alias("total"), (F.col(f"n{i}") * F.col(f"v{i}")).alias("deviations"),
-            F.col(f"lo{i}").alias("lowest"), F.col(f"hi{i}").alias("highest"),
-            F.col(f"d{i}").alias("distinct_sketch"), F.col(f"q{i}").alias("quantile_sketch")))
-    keys = [quoted(b) for b in by or []]
-    grouped = df.groupBy(*keys).agg(*aggregates)
-    return grouped.select(*keys, F.inline(F.array(*records)))
+            F.col(f"lo{i}").alias("lowest"), F.col(f"hi{i}").alias("highest")))
+        sketches += [F.hll_sketch_agg(f"u{i}", DISTINCT_BITS).alias(f"d{i}"), sketch_of(v).alias(f"q{i}")]
+        sketch_rows.append(F.struct(
+            F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_sketch"), F.col(f"q{i}").alias("quantile_sketch")))
+    # moments and sketches are separate rows of the state, because sketches keep Spark from compiling the moments
+    exact = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *moments).select(*keys, F.inline(F.array(*moment_rows)))
+    rough = seen.groupBy(*keys).agg(*sketches).select(*keys, F.inline(F.array(*sketch_rows)))
+    return exact.unionByName(rough, allowMissingColumns=True)
+
+
+def _identity(df: DataFrame, name: str) -> Column:
+    """What makes two cells of a column distinct, in a type the distinct sketch reads fast."""
+    kind = df.schema[name].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long", "boolean"):
+        return quoted(name).cast("bigint") if kind != "boolean" else quoted(name).cast("int").cast("bigint")
+    if kind in ("float", "double"):
+        return F.expr(f"CASE WHEN NOT isnan({cells.sql_name(name)}) THEN CAST({cells.sql_name(name)} AS STRING) END")
+    return cells.text_view(df, name)
 
 
 def merge_states(states: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:

@@ -156,7 +156,7 @@ class Table:
         cats = self.categorical
         if not cats:
             return {}
-        vc = self.counts(cats)
+        vc = self.counts(cats, facts=True)
         counts = distinct_counts(vc).select("column", F.lit(0).alias("rank"), "rows", "null_count", "unique_count")
         top = described(top_values(vc, 10)).select(
             "column", "rank", "value", "cnt", "chars", has_mark(F.col("marks"), "alphanumeric").alias("alphanumeric"),
@@ -171,17 +171,17 @@ class Table:
                 facts.update(rows=r["rows"], null_count=r["null_count"], unique_count=r["unique_count"])
         return out
 
-    def counts(self, names: list[str]) -> DataFrame:
+    def counts(self, names: list[str], facts: bool = False) -> DataFrame:
         """Raw value counts of some columns, from the kept table if there is one."""
         if self._vc is None:
-            return raw_counts(self.df, names)
+            return raw_counts(self.df, names, facts)
         return self._vc.where(F.col("column").isin(*names))
 
     @property
     def values(self) -> DataFrame:
         """The value-count table of all columns. The counts are kept for reuse until ``release``."""
         if self._vc is None:
-            self._vc = raw_counts(self.df).persist(StorageLevel.MEMORY_AND_DISK)
+            self._vc = raw_counts(self.df, facts=True).persist(StorageLevel.MEMORY_AND_DISK)
         return described(self._vc)
 
     def release(self) -> None:

@@ -51,8 +51,8 @@ def events_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 def monthly_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem")
-    return li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
-        F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_tax") * 100).alias("tax"))
+    return ly.Table(li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
+        F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_tax") * 100).alias("tax"))).stored()
 
 
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
