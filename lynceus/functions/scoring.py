@@ -22,8 +22,13 @@ def zscore(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std == 0, F.lit(0.0)).otherwise(F.try_divide(value - mean, std))
 
 
+def clamp(value: Column, low: float, high: float) -> Column:
+    """Value kept within bounds; null stays null (least and greatest alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
+
+
 def confidence_score(value: Column) -> Column:
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), value.cast("double")))
+    return clamp(value.cast("double"), 0.0, 100.0)
 
 
 def confidence_level(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.names import CONFOUNDER_WORDS, names_related
-from lynceus.functions.scoring import correlation_strength
+from lynceus.functions.scoring import clamp, correlation_strength
 from lynceus.operators.values import grouping_key
 from lynceus.table import Table
 
@@ -71,7 +71,7 @@ def _pair_moments(t: Table, pairs: list[tuple[str, str]], facts: dict[str, dict]
             r = pearson(F.try_divide(f"xy{i}", n) - mean_x * mean_y,
                         F.try_divide(f"xx{i}", n) - mean_x * mean_x, F.try_divide(f"yy{i}", n) - mean_y * mean_y)
         records.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                                F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)).alias("value"),
+                                clamp(r, -1.0, 1.0).alias("value"),
                                 n.cast("bigint").alias("n")))
     return centred.agg(*aggregates).select(F.inline(F.array(*records)))
 
@@ -100,7 +100,7 @@ def cramers_v(source, a: str, b: str) -> DataFrame:
     one = both.agg(*[F.max(c).alias(c) for c in ("n", "s", "row_levels", "col_levels")])
     smaller = F.least(F.col("row_levels"), F.col("col_levels")) - 1
     chi = F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0))
-    v = F.when(smaller < 1, 0.0).otherwise(F.least(F.lit(1.0), F.sqrt(F.try_divide(chi, F.col("n") * smaller))))
+    v = F.when(smaller < 1, 0.0).otherwise(clamp(F.sqrt(F.try_divide(chi, F.col("n") * smaller)), 0.0, 1.0))
     return one.select(
         F.lit(a).alias("column1"), F.lit(b).alias("column2"), "n", "row_levels", "col_levels",
         F.when(smaller < 1, 0.0).otherwise(F.coalesce(chi, F.lit(0.0))).alias("chi_squared"),
@@ -134,7 +134,7 @@ def point_biserial(source, num: str, cat: str) -> DataFrame:
     return sums.select(
         F.lit(num).alias("measure"), F.lit(cat).alias("category_column"), "category", "n1", "n0",
         mean1.alias("mean1"), mean0.alias("mean0"),
-        F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0)).alias("point_biserial"),
+        F.coalesce(clamp(r, -1.0, 1.0), F.lit(0.0)).alias("point_biserial"),
     )
 
 

@@ -222,7 +222,8 @@ def uniformity_check(source, cols: list[str] | None = None) -> DataFrame:
         return t.spark.createDataFrame([], schema)
     aggregates, records = [], []
     for i, c in enumerate(spans):
-        bucket = F.least(F.lit(4), F.floor(t.number(c) / 20))
+        v = t.number(c)
+        bucket = F.when(v.isNotNull(), F.least(F.lit(4), F.floor(v / 20)))  # least alone would skip a null
         aggregates += [F.count_if(bucket == b).alias(f"b{i}_{b}") for b in range(5)]
         even = spans[c]["count"] / 5
         worst = F.greatest(*[F.abs(F.col(f"b{i}_{b}") - F.lit(even)) for b in range(5)]) / F.lit(even)

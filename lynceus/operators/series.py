@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.functions.scoring import correlation_t, p_value, p_value_ref
+from lynceus.functions.scoring import clamp, correlation_t, p_value, p_value_ref
 from lynceus.operators.values import quoted
 from lynceus.session import checkpointed
 from lynceus.table import Table
@@ -152,7 +152,7 @@ def trend_test(source, cols: list[str] | None = None, order_by: list[str] | None
     """Correlation of value and position with its p-value; supported if |r| >= .2 and p < .05 (10 values or more)."""
     s = Series(source, cols, order_by, series)
     r = F.coalesce(F.try_divide(F.col("cov"), F.sqrt("var_idx") * F.sqrt("var")), F.lit(0.0))
-    tested = trend_all(s).where(F.col("n") >= 10).withColumn("r", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    tested = trend_all(s).where(F.col("n") >= 10).withColumn("r", clamp(r, -1.0, 1.0))
     statistic = correlation_t(F.col("r"), F.col("n"))
     tested = (
         tested.withColumn("t_statistic", statistic)
