@@ -38,6 +38,13 @@ def _ids(t: Table, id_cols: list[str] | None) -> list[str]:
     return list(id_cols if id_cols is not None else t.id_cols)
 
 
+def _outside(t: Table, col: str, low: float, high: float) -> Column:
+    """Outside the bounds; on floating-point columns a plain comparison that the file scan can use."""
+    if t.df.schema[col].dataType.typeName() in ("float", "double"):
+        return ((quoted(col) < low) | (quoted(col) > high)) & ~F.isnan(quoted(col))
+    return (t.number(col) < low) | (t.number(col) > high)
+
+
 def outliers_iqr(source, cols: list[str] | None = None, id_cols: list[str] | None = None) -> DataFrame:
     """Values outside [p25 - 1.5 iqr, p75 + 1.5 iqr], most extreme z-score first."""
     t = Table.of(source)
@@ -50,7 +57,7 @@ def outliers_iqr(source, cols: list[str] | None = None, id_cols: list[str] | Non
         low, high = fences(s)
         v = t.number(c)
         parts.append(
-            t.df.where((v < low) | (v > high)).select(
+            t.df.where(_outside(t, c, low, high)).select(
                 *[quoted(i) for i in ids], F.lit(c).alias("column"), v.alias("value"),
                 F.lit(low).alias("expected_min"), F.lit(high).alias("expected_max"),
                 zscore(v, F.lit(s["mean"]), F.lit(s["std"])).alias("zscore")))

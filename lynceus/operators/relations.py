@@ -63,13 +63,16 @@ def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
     if not kept:
         return next(iter(tables.values())).spark.createDataFrame([], schema)
     counts = native_counts([(tables[n].df, c) for n, c in kept])
-    filled = counts.where(reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS if s in counts.columns]))
+    # counted with a condition instead of filtered: a filter would move below the aggregation and run on every row
+    filled = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS if s in counts.columns])
 
     def at(values: list) -> Column:
         return F.array(*[F.lit(v) for v in values])[F.col("id")]
 
     return (
-        filled.groupBy("id").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("cnt").alias("total_count"))
+        counts.groupBy("id").agg(
+            F.count_if(filled).alias("unique_count"),
+            F.coalesce(F.sum(F.when(filled, F.col("cnt"))), F.lit(0)).alias("total_count"))
         .select(at([n for n, _ in kept]).alias("table"), at([c for _, c in kept]).alias("column"), "unique_count",
                 "total_count", at([named[c] for _, c in kept]).alias("named_key"))
         .where(F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count")))
@@ -123,7 +126,8 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
     distinct = native_counts([(named[columns[i][0]].df, columns[i][1]) for i in used])
     values = distinct.select(
         text_of(distinct).alias("v"), F.array(*[F.lit(i) for i in used])[F.col("id")].alias("id"))
-    holders = values.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("id").alias("ids"))  # ids: columns only
+    # ids are columns, so a set is small whatever the value; missing values collect no id
+    holders = values.groupBy("v").agg(F.collect_set(F.when(F.col("v").isNotNull(), F.col("id"))).alias("ids"))
     # each value asks a lookup from column to later partners, then keeps the partners that hold it too
     partners: dict[int, list[int]] = {}
     for a, b, _ in pairs:

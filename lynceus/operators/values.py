@@ -141,12 +141,14 @@ def top_values(vc: DataFrame, k: int) -> DataFrame:
     The rank filter sits right above the window, so each partition keeps at most k rows per column before the
     shuffle and no task receives a whole column.
     """
-    order = Window.partitionBy("column").orderBy(F.col("cnt").desc(), F.col("value").asc())
+    # missing cells are ranked apart and dropped after the window: dropping them first would put the text conversion
+    # of every row below the aggregation, and keep other uses of the counts from sharing it
+    order = Window.partitionBy("column", "missing").orderBy(F.col("cnt").desc(), F.col("value").asc())
     return (
-        vc.where(F.col("value").isNotNull())
-        .drop("num")
+        vc.drop("num").withColumn("missing", F.col("value").isNull())
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
+        .where(F.col("value").isNotNull()).drop("missing")
     )
 
 
