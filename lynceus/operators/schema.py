@@ -71,9 +71,11 @@ def column_evidence(vc: DataFrame) -> DataFrame:
     )
     # exactly two spellings up to case: nothing lies between the lowest and the highest one
     ends = facts.select("column", "lowest", "highest")
+    # (conditions and a left join instead of filters, so that all uses share one shuffle of the counts)
+    outside = filled & (F.col("lowered") != F.col("lowest")) & (F.col("lowered") != F.col("highest"))
     between = (
-        seen.where(filled).join(F.broadcast(ends), "column")  # one row per column
-        .groupBy("column").agg(F.max((F.col("lowered") != F.col("lowest")) & (F.col("lowered") != F.col("highest"))).alias("others"))
+        seen.join(F.broadcast(ends), "column", "left")  # one row per column
+        .groupBy("column").agg(F.coalesce(F.max(outside), F.lit(False)).alias("others"))
     )
     return facts.join(between, "column", "left").withColumn(
         "two_valued", F.coalesce((F.col("lowest") != F.col("highest")) & ~F.col("others"), F.lit(False))
@@ -226,7 +228,7 @@ def infer_schema(source, overrides: dict[str, str] | None = None, stored: dict[s
         .withColumn("confidence", F.when(keep_known, F.col("known_confidence")).otherwise(F.col("confidence")))
         .withColumn("level", confidence_level(F.col("confidence")))
     )
-    top = spell_out(t.df, top_values(t.counts(t.columns), samples), t.long_texts)
+    top = spell_out(t.df, top_values(t.counts(t.columns, facts=True), samples), t.long_texts)
     shown = top.groupBy("column").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("samples"))
     can_ask = (F.size("alternatives") > 0) | (F.col("unique_count") == F.col("n"))

@@ -172,17 +172,21 @@ class Table:
         return out
 
     def counts(self, names: list[str], facts: bool = False) -> DataFrame:
-        """Raw value counts of some columns, from the kept table if there is one."""
+        """Raw value counts of some columns, from the kept counts if there are any."""
         if self._vc is None:
             return raw_counts(self.df, names, facts)
         return self._vc.where(F.col("column").isin(*names))
 
     @property
     def values(self) -> DataFrame:
-        """The value-count table of all columns. The counts are kept for reuse until ``release``."""
+        """The value-count table of all columns. Within one query its shuffle is shared between uses."""
+        return described(self.counts(self.columns, facts=True))
+
+    def keep(self) -> "Table":
+        """Keep the value counts for several queries, until ``release``."""
         if self._vc is None:
             self._vc = raw_counts(self.df, facts=True).persist(StorageLevel.MEMORY_AND_DISK)
-        return described(self._vc)
+        return self
 
     def release(self) -> None:
         if self._vc is not None:
