@@ -165,8 +165,16 @@ def score_columns() -> dict[str, Column]:
     }
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    """A result of a few rows per column, computed now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _evidence_of(t: Table) -> DataFrame:
-    return column_evidence(t.values).withColumns(basic_type_columns())
+    """One row per column; the counts behind it are kept only while it is computed."""
+    with t.kept():
+        evidence = _fixed(column_evidence(t.values))
+    return evidence.withColumns(basic_type_columns())
 
 
 def basic_types(source) -> DataFrame:
@@ -216,7 +224,9 @@ def infer_schema(source, overrides: dict[str, str] | None = None, stored: dict[s
     more confident one. Columns below ``threshold`` whose meaning can be asked about are marked ``needs_review``.
     """
     t = Table.of(source)
-    found = _meanings(_evidence_of(t))
+    with t.kept():
+        found = _meanings(_evidence_of(t))
+        top = _fixed(top_values(t.counts(t.columns), samples).select("column", "rank", "value"))
     given = [(c, k, 100.0, True) for c, k in (overrides or {}).items()]
     given += [(c, k, float(s), False) for c, (k, s) in (stored or {}).items() if c not in (overrides or {})]
     known = t.spark.createDataFrame(given, "column string, known_type string, known_confidence double, by_user boolean")
@@ -228,7 +238,7 @@ def infer_schema(source, overrides: dict[str, str] | None = None, stored: dict[s
         .withColumn("confidence", F.when(keep_known, F.col("known_confidence")).otherwise(F.col("confidence")))
         .withColumn("level", confidence_level(F.col("confidence")))
     )
-    top = spell_out(t.df, top_values(t.counts(t.columns, facts=True), samples), t.long_texts)
+    top = spell_out(t.df, top, t.long_texts)
     shown = top.groupBy("column").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("samples"))
     can_ask = (F.size("alternatives") > 0) | (F.col("unique_count") == F.col("n"))

@@ -7,6 +7,7 @@ number of columns. They are computed once, on first use.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -188,6 +189,17 @@ class Table:
             self._vc = raw_counts(self.df, facts=True).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    @contextmanager
+    def kept(self):
+        """Keep the value counts within a block, and beyond it only if they were kept before."""
+        before = self._vc is not None
+        self.keep()
+        try:
+            yield self
+        finally:
+            if not before:
+                self.release()
+
     def release(self) -> None:
         if self._vc is not None:
             self._vc.unpersist()
