@@ -925,3 +925,11 @@ ORACLES["full_report_categorical"] = categorical_sql(PART, ["event_type"])
 ORACLES["full_report_correlations"] = matrix_sql(PART, PART_NUMBERS).replace("round(r, 6)", "round(r, 4)")
 ORACLES["full_report_outliers"] = iqr_sql(PART, PART_NUMBERS, ["event_id"]).replace(", 5)", ", 4)")
 ORACLES["full_report_trends"] = trend_sql([(PART, "1", c, "event_id") for c in PART_NUMBERS], "").replace(", 5)", ", 4)")
+ORACLES["full_report_overview"] = f"""SELECT count(*) AS rows, 4 AS columns, 3 AS numeric_columns, 1 AS categorical_columns,
+count(*) > 1000 AND count(*) * 4 = count(event_id) + count(user_id) + count(event_type) + count(value) AS suspiciously_clean FROM {PART} q"""
+ORACLES["full_report_kpis"] = f"""WITH {series_cte([(PART, "1", "value", "event_id")])}, {TREND}, w AS (SELECT * FROM u WHERE {KEPT})
+SELECT 'total_records' AS kpi, NULL AS "column", CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS change, NULL AS change_type FROM events
+UNION ALL SELECT 'total', 'value', round(sum(value), 4), round((SELECT chg FROM w) / 100, 4),
+  (SELECT CASE dir WHEN 'up' THEN 'increase' WHEN 'down' THEN 'decrease' ELSE 'neutral' END FROM w) FROM events
+UNION ALL SELECT 'average', 'value', round(avg(value), 4), NULL, NULL FROM events
+UNION ALL SELECT 'unique', 'event_type', count(DISTINCT event_type), NULL, NULL FROM events"""
