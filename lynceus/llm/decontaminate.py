@@ -64,7 +64,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 13, max_broadcast_wind
         inside = F.col("at") > before
         start, size = F.when(inside, F.col("at") - before).otherwise(start), F.when(inside, k).otherwise(size)
         before = before + F.greatest(F.size("words") - (k - 1), F.lit(0))
-    one = hashed.select("doc_id", "text_hash", "words", F.posexplode("hashes").alias("at", "hash"))
+    one = hashed.select("doc_id", "text_hash", "words", F.posexplode_outer("hashes").alias("at", "hash"))
     same = (F.col("one.hash") == F.col("bench.hash")) & (F.slice("one.words", F.col("one.start"), F.col("one.size"))
                                                          == F.col("bench.window"))
     met = (one.withColumns({"start": F.coalesce(start, F.lit(1)), "size": F.coalesce(size, F.lit(0))}).alias("one")

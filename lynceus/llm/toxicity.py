@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
-Every sentence has a logistic score over its words; the document's score is their noisy-or, ``1 - prod(1 - p)``. Only
+Every sentence has a logistic score over its words and their beginnings; the document's score is their noisy-or, ``1 - prod(1 - p)``. Only
 documents carry labels, so the gradient of the document's likelihood decides which sentences take the blame, and the
 same sentence scores then locate the offending ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,9 +20,10 @@ from pyspark.sql import types as T
 
 from lynceus.llm.common import crc_part
 
-#: Pieces of a text: the end of a sentence, or a word.
-PIECE = re.compile(r"[.!?\n]|\w+")
-ENDS = frozenset(".!?\n")
+END = re.compile(r"[.!?\n]")
+WORDS = re.compile(r"\w+")
+#: Lengths of the word beginnings that are features too.
+PREFIXES = (4, 5, 6, 7)
 
 RESULT = T.StructType([
     T.StructField("score", T.DoubleType()),
@@ -39,59 +41,56 @@ class ToxicityModel:
 
 
 def _bags(text: str) -> list[set[str]]:
-    bags, bag = [], set()
-    for piece in PIECE.findall(text.lower()):
-        if piece in ENDS:
-            if bag:
-                bags.append(bag)
-                bag = set()
-        else:
-            bag.add(piece)
-    if bag:
-        bags.append(bag)
-    return bags
-
-
-def learn(texts: list[str], labels: list[int], min_docs: int = 5, rounds: int = 200, rate: float = 0.3,
-          decay: float = 2e-4) -> ToxicityModel:
-    """Maximum likelihood of the document labels under noisy-or, by AdaGrad over all given documents.
-
-    Words in fewer than ``min_docs`` documents get no weight. Both classes weigh the same in total. Without documents
-    of both classes the model is empty and scores every text 0.
+    """The distinct words of each sentence that has any."""
+    return [words for part in END.split(text) if (words := set(WORDS.findall(part.lower())))]
+
+
+def _features(word: str) -> list[str]:
+    """The word and its beginnings, which stems of many endings share."""
+    return [word[:n] for n in PREFIXES if n < len(word)] + [word]
+
+
+def learn(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int = 150, rate: float = 0.5,
+          sparsity: float = 0.6, ridge: float = 0.1, positive_weight: float = 2.5) -> ToxicityModel:
+    """Maximum a posteriori fit to the document labels under noisy-or: AdaGrad with an elastic-net prior.
+
+    Features in fewer than ``min_docs`` documents get no weight. Without documents of both classes the model is empty
+    and scores every text 0.
     """
     y = np.asarray(labels, dtype=bool)
     if not len(y) or y.all() or not y.any():
         return ToxicityModel()
-    docs = [_bags(x) for x in texts]
+    docs = [[{f for w in bag for f in _features(w)} for bag in _bags(x)] for x in texts]
     seen: dict[str, int] = {}
     for bags in docs:
-        for word in set().union(*bags):
-            seen[word] = seen.get(word, 0) + 1
-    ids = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
-    sentence_doc, word_sentence, word_id = [], [], []
+        for f in set().union(*bags):
+            seen[f] = seen.get(f, 0) + 1
+    ids = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
+    sentence_doc, feature_sentence, feature_id = [], [], []
     for d, bags in enumerate(docs):
         for bag in bags:
-            known = [ids[w] for w in bag if w in ids]
-            word_id += known
-            word_sentence += [len(sentence_doc)] * len(known)
+            known = sorted(ids[f] for f in bag if f in ids)
+            feature_id += known
+            feature_sentence += [len(sentence_doc)] * len(known)
             sentence_doc.append(d)
-    sd, ws, wi = (np.asarray(x, dtype=np.int64) for x in (sentence_doc, word_sentence, word_id))
-    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    sd, fs, fi = (np.asarray(x, dtype=np.int64) for x in (sentence_doc, feature_sentence, feature_id))
     w, b = np.zeros(len(ids)), -4.0
     gw, gb = np.full(len(ids), 1e-8), 1e-8
     for _ in range(rounds):
-        z = b + np.bincount(ws, w[wi], len(sd))
+        z = b + np.bincount(fs, w[fi], len(sd))
         p = 1 / (1 + np.exp(-z))
         miss = np.bincount(sd, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence is toxic
-        pull = np.where(y, -weight / np.expm1(np.maximum(miss, 1e-9)), weight)
+        pull = np.where(y, -positive_weight / np.expm1(np.clip(miss, 1e-9, 500)), 1.0)
         g = pull[sd] * p
-        dw = np.bincount(wi, g[ws], len(ids)) + decay * w / max(1, len(ids))
+        dw = np.bincount(fi, g[fs], len(ids)) + ridge * w
         db = g.sum()
         gw += dw * dw
         gb += db * db
-        w -= rate * dw / np.sqrt(gw)
+        step = rate / np.sqrt(gw)
+        w -= step * dw
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * sparsity)
         b -= rate * db / np.sqrt(gb)
-    return ToxicityModel(float(b), {x: float(w[i]) for x, i in ids.items()})
+    return ToxicityModel(float(b), {f: float(w[i]) for f, i in ids.items() if w[i]})
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 8000,
@@ -108,26 +107,38 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     return learn(rows["text"].tolist(), rows["label"].tolist())
 
 
-def judge(model: ToxicityModel, text: str, floor: float = 0.5) -> tuple[float, list[dict]]:
-    """Score of one text and its sentences (code point offsets) that score ``floor`` or more."""
-    if model.bias is None:
-        return 0.0, []
-    get, bias = model.weights.get, model.bias
-    keep, found = 0.0, []  # keep: log of the chance that no sentence is toxic
-    for start, end, z in _sentences(text, get, bias):
-        keep -= z if z > 30 else float(np.log1p(np.exp(z)))
-        if z >= 0 and 1 / (1 + np.exp(-z)) >= floor:
-            found.append({"start": start, "end": end, "score": float(1 / (1 + np.exp(-z)))})
-    return float(-np.expm1(keep)), found
-
-
-def _sentences(text: str, get, bias: float) -> Iterator[tuple[int, int, float]]:
-    start = 0
-    for part in re.split(r"[.!?\n]", text):
-        words = set(re.findall(r"\w+", part.lower()))
-        if words:
-            yield start, start + len(part), bias + sum(get(w, 0.0) for w in words)
-        start += len(part) + 1
+class Judge:
+    """Scores texts by a model; remembers the log-odds of the words it has met, up to a bound."""
+
+    def __init__(self, model: ToxicityModel, floor: float = 0.5, remember: int = 500_000):
+        self.model, self.floor, self.remember = model, floor, remember
+        self.known: dict[str, float] = {}
+
+    def odds(self, words: set[str]) -> float:
+        known, get = self.known, self.model.weights.get
+        total = self.model.bias
+        for w in words:
+            if (x := known.get(w)) is None:
+                if len(known) >= self.remember:
+                    known.clear()
+                x = known[w] = sum(get(f, 0.0) for f in _features(w))
+            total += x
+        return total
+
+    def __call__(self, text: str) -> tuple[float, list[dict]]:
+        """Score of one text and its sentences (code point offsets) that score ``floor`` or more."""
+        if self.model.bias is None:
+            return 0.0, []
+        quiet, found, start = 0.0, [], 0  # quiet: log of the chance that no sentence is toxic
+        for part in END.split(text):
+            if words := set(WORDS.findall(part.lower())):
+                z = self.odds(words)
+                quiet -= z if z > 30 else math.log1p(math.exp(z))
+                p = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+                if p >= self.floor:
+                    found.append({"start": start, "end": start + len(part), "score": p})
+            start += len(part) + 1
+        return -math.expm1(quiet), found
 
 
 def toxicity(text: Column, model: ToxicityModel, floor: float = 0.5) -> Column:
@@ -139,8 +150,9 @@ def toxicity(text: Column, model: ToxicityModel, floor: float = 0.5) -> Column:
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        judge = Judge(model, floor)
         for texts in batches:
-            out = [judge(model, x or "", floor) for x in texts]
+            out = [judge(x or "") for x in texts]
             yield pd.DataFrame({"score": [x[0] for x in out], "sentences": [x[1] for x in out]})
 
     return score(text)
