@@ -114,7 +114,7 @@ class Judge:
         self.model, self.floor, self.remember = model, floor, remember
         self.known: dict[str, float] = {}
 
-    def odds(self, words: set[str]) -> float:
+    def odds(self, words: dict[str, None]) -> float:
         known, get = self.known, self.model.weights.get
         total = self.model.bias
         for w in words:
@@ -138,7 +138,7 @@ class Judge:
                 if p >= self.floor:
                     found.append({"start": start, "end": start + len(part), "score": p})
             start += len(part) + 1
-        return -math.expm1(quiet), found
+        return max(0.0, -math.expm1(quiet)), found
 
 
 def toxicity(text: Column, model: ToxicityModel, floor: float = 0.5) -> Column:
