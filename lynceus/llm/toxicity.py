@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
-Every sentence has a logistic score over its words and their beginnings; the document's score is their noisy-or, ``1 - prod(1 - p)``. Only
-documents carry labels, so the gradient of the document's likelihood decides which sentences take the blame, and the
-same sentence scores then locate the offending ones.
+Every sentence has a logistic score over its words and their beginnings; the document's score is their noisy-or,
+``1 - prod(1 - p)``. Only documents carry labels, so the gradient of the document's likelihood decides which sentences
+take the blame, and the same sentence scores then locate the offending ones.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,20 +61,21 @@ def learn(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int =
     y = np.asarray(labels, dtype=bool)
     if not len(y) or y.all() or not y.any():
         return ToxicityModel()
-    docs = [[{f for w in bag for f in _features(w)} for bag in _bags(x)] for x in texts]
     seen: dict[str, int] = {}
-    for bags in docs:
-        for f in set().union(*bags):
+    for text in texts:
+        for f in {f for bag in _bags(text) for w in bag for f in _features(w)}:
             seen[f] = seen.get(f, 0) + 1
     ids = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
-    sentence_doc, feature_sentence, feature_id = [], [], []
-    for d, bags in enumerate(docs):
-        for bag in bags:
-            known = sorted(ids[f] for f in bag if f in ids)
-            feature_id += known
-            feature_sentence += [len(sentence_doc)] * len(known)
+    del seen
+    sentence_doc, length, feature_id = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for bag in _bags(text):
+            known = sorted({ids[f] for w in bag for f in _features(w) if f in ids})
+            feature_id.extend(known)
+            length.append(len(known))
             sentence_doc.append(d)
-    sd, fs, fi = (np.asarray(x, dtype=np.int64) for x in (sentence_doc, feature_sentence, feature_id))
+    sd, fi = np.frombuffer(sentence_doc, np.int32), np.frombuffer(feature_id, np.int32)
+    fs = np.repeat(np.arange(len(sd), dtype=np.int32), np.frombuffer(length, np.int32))
     w, b = np.zeros(len(ids)), -4.0
     gw, gb = np.full(len(ids), 1e-8), 1e-8
     for _ in range(rounds):
@@ -93,18 +95,27 @@ def learn(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int =
     return ToxicityModel(float(b), {f: float(w[i]) for f, i in ids.items() if w[i]})
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 8000,
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 6000,
         max_chars: int = 50_000) -> ToxicityModel:
     """The model of a bounded sample of labelled documents.
 
-    ``max_docs`` rows, those of the smallest key hash, go to the driver; rows above ``max_chars`` characters are not
-    learned from. Rows with a null text or label are skipped.
+    ``max_docs`` rows, those of the smallest key hash, are learned from in one task; rows above ``max_chars``
+    characters are not among them. Rows with a null text or label are skipped. Only weights reach the driver.
     """
+
+    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"text": [], "label": []})])
+        model = learn(rows["text"].tolist(), rows["label"].astype(int).tolist())
+        yield pd.DataFrame({"feature": [None, *model.weights], "weight": [model.bias, *model.weights.values()]},
+                           ).astype({"weight": float})
+
     rows = (labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= max_chars))
             .select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
                     F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-            .orderBy("h", "k", "text").limit(max_docs).select("text", "label").toPandas())
-    return learn(rows["text"].tolist(), rows["label"].tolist())
+            .orderBy("h", "k", "text").limit(max_docs).select("text", "label"))
+    found = {r[0]: r[1] for r in rows.mapInPandas(train, "feature string, weight double").collect()}
+    bias = found.pop(None, None)
+    return ToxicityModel(None if bias is None or math.isnan(bias) else bias, found)
 
 
 class Judge:
