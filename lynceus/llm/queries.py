@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, repetition, toxicity
+from lynceus.llm import decontaminate, html_text, line_dedup, mixing, repetition, toxicity
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "REGISTRY"]
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op3(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op5(table(spark, sf_dir, "pages"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.op7(table(spark, sf_dir, "documents"))
 
@@ -26,4 +38,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_repetition_rules, op8_decontamination, op10_toxicity)}
+    f.__name__: f for f in (
+        op3_line_dedup, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination, op10_toxicity)}
