@@ -95,12 +95,13 @@ def learn(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int =
     return ToxicityModel(float(b), {f: float(w[i]) for f, i in ids.items() if w[i]})
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 6000,
-        max_chars: int = 50_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+        max_docs: int = 6000, max_chars: int = 50_000) -> ToxicityModel:
     """The model of a bounded sample of labelled documents.
 
-    ``max_docs`` rows, those of the smallest key hash, are learned from in one task; rows above ``max_chars``
-    characters are not among them. Rows with a null text or label are skipped. Only weights reach the driver.
+    The ``max_docs`` labels of the smallest key hash are learned from in one task, but for texts that are null or have
+    more than ``max_chars`` characters. Null labels are skipped; of several labels of a key the largest holds. Only
+    weights reach the driver.
     """
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,10 +110,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         yield pd.DataFrame({"feature": [None, *model.weights], "weight": [model.bias, *model.weights.values()]},
                            ).astype({"weight": float})
 
-    rows = (labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= max_chars))
-            .select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-                    F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-            .orderBy("h", "k", "text").limit(max_docs).select("text", "label"))
+    wanted = (labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
+              .withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(max_docs))
+    rows = (docs.join(F.broadcast(wanted), key).where(F.length(text) <= max_chars)  # max_docs rows of two numbers
+            .select(F.col(text).alias("text"), F.col("__label").alias("label"), "__h", key)
+            .orderBy("__h", key, "text").limit(max_docs).select("text", "label"))
     found = {r[0]: r[1] for r in rows.mapInPandas(train, "feature string, weight double").collect()}
     bias = found.pop(None, None)
     return ToxicityModel(None if bias is None or math.isnan(bias) else bias, found)
@@ -169,16 +171,9 @@ def toxicity(text: Column, model: ToxicityModel, floor: float = 0.5) -> Column:
     return score(text)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """Documents with their label, of the rows whose crc32(doc_id) mod 3 is not 1; several labels: the largest."""
-    known = (labels.where(crc_part(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max(label).alias("label"))
-             .where("label is not null"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op10(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """The contract's columns for every row of ``docs``, and the offending sentences."""
-    model = fit(training_rows(docs, labels), label="label")
+    model = fit(docs, labels.where(crc_part(F.col("doc_id"), 3) != 1))
     return (docs.select("doc_id", (crc_part(F.col("doc_id"), 3) == 1).alias("held_out"),
                         toxicity(F.col("text"), model).alias("t"))
             .select("doc_id", "held_out", "t.score", (F.col("t.score") >= limit).cast("int").alias("predicted"),
