@@ -171,9 +171,12 @@ def learn(pages: list[str]) -> PageModel:
 def fit(pages: DataFrame, page: str = "html", key: str = "page_id", max_pages: int = 400,
         max_chars: int = 200_000) -> PageModel:
     """Scores from a bounded sample: the ``max_pages`` pages of the smallest key hash that mark an article."""
-    rows = (pages.where(F.col(page).rlike("(?i)<(article|main)[ >]") & (F.length(page) <= max_chars))
-            .select(F.col(page).alias("page"), F.xxhash64(key).alias("h")).orderBy("h", "page").limit(max_pages).collect())
-    return learn([r[0] for r in rows])
+    marked = pages.where(F.col(page).rlike("(?i)<(article|main)[ >]") & (F.length(page) <= max_chars)).select(
+        F.col(page).alias("page"), F.xxhash64(key).alias("h"))
+    least = [r[0] for r in marked.select("h").orderBy("h").limit(max_pages).collect()]
+    if not least:
+        return PageModel()
+    return learn([r[0] for r in marked.where(F.col("h") <= least[-1]).limit(2 * max_pages).orderBy("h", "page").collect()])
 
 
 def page_text(page: Column, model: PageModel) -> Column:

@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, html_text, line_dedup, mixing, repetition, toxicity
+from lynceus.llm import decontaminate, html_text, line_dedup, mixing, near_dup, repetition, secrets, toxicity
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "REGISTRY"]
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op5(table(spark, sf_dir, "pages"))
 
@@ -39,4 +47,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_line_dedup, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination, op10_toxicity)}
+        op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination, op10_toxicity)}
