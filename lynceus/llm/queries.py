@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, html_text, line_dedup, mixing, near_dup, repetition, secrets, toxicity
+from lynceus.llm import decontaminate, html_text, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
@@ -41,10 +41,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination, op10_toxicity)}
+        op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination,
+        op9_suffix_dedup, op10_toxicity)}
