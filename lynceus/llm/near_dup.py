@@ -8,6 +8,7 @@ similarity; bands of samples propose pairs, and each pair counts only if its tru
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import lower_ascii, stored, word_list
+from lynceus.llm.common import stored
 from lynceus.llm.components import components
 from lynceus.llm.hashing import BASE, mix, pieces, signed, window_hashes, word_hashes
 
@@ -132,20 +133,32 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def _signatures(docs: DataFrame, known: Frequencies, n: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash, node (128 bits of the words; null without any) and the band keys of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys = []
-            for found, counts in shingles(_encoded(frame["text"]), n):
-                drawn = samples(found, counts * shared.value.idf(found), bands * rows).reshape(bands, rows)
-                key = drawn[:, 0]
-                for k in range(1, rows):
-                    key = mix(key * BASE + drawn[:, k])
-                keys.append(signed(key).tolist())
-            yield pd.DataFrame({"node": frame["node"], "keys": keys})
-
-    return docs.mapInPandas(sign, "node binary, keys array<long>")
+            texts = _encoded(frame["text"])
+            nodes, keys = [], []
+            for i, j in pieces(texts):
+                words, begins = word_hashes(texts[i:j])
+                for a, b in zip(begins[:-1], begins[1:]):
+                    if a == b:
+                        nodes.append(None)
+                        keys.append(None)
+                        continue
+                    nodes.append(hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest())
+                    found, counts = np.unique(window_hashes(words[a:b], n), return_counts=True)
+                    drawn = samples(found, counts * shared.value.idf(found), bands * rows).reshape(bands, rows)
+                    key = drawn[:, 0]
+                    for k in range(1, rows):
+                        key = mix(key * BASE + drawn[:, k])
+                    keys.append(signed(key).tolist())
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "node": nodes, "keys": keys},
+                               dtype=object)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInPandas(sign, f"doc_id {kind}, text_hash long, node binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, n: int, threshold: float) -> DataFrame:
@@ -173,32 +186,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     Texts with the same words (A-Z as a-z) are one node; a class is a connected component of the links between nodes of
     weighted Jaccard ``threshold`` or more. In a bucket of equal band keys each node is paired with the least one and,
-    where these links leave nodes apart, with the one next to it in the order of the following bands, so similar
-    signatures stand side by side; buckets of more than ``hot`` nodes are ordered in parts by the next band's key. Pairs
-    grow with the nodes, never with their square. At 0.8 a pair shares one of 12 bands of 3 samples with 99.97 %.
+    where these links leave nodes apart, with two that each band draws anew and with the one next to it in the order of
+    the following bands, so similar signatures stand side by side; buckets of more than ``hot`` nodes are ordered in
+    parts by the next band's key. Pairs grow with the nodes, never with their square. At 0.8 a pair shares one of 12
+    bands of 3 samples with 99.97 %.
 
     Null, empty and wordless texts have no shingles: such a row is a class of its own per doc_id. Repeated rows share
     their class. A class without any doc_id has a null class_id. Only doc_id and text are read.
     """
-    norm = F.array_join(word_list(lower_ascii(F.col("text"))), " ")
     known = frequencies(docs, words)
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), norm.alias("norm"), "text")
-    rows_of = base.select("doc_id", "text_hash", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))).alias("node"))
-    rows_of = stored(rows_of, "near-rows")
-    with_text = base.where("norm <> ''").select(F.unhex(F.md5("norm")).alias("node"), "text")
-    signed_rows = _signatures(with_text, known, words, bands, rows)
-    nodes = stored(signed_rows.groupBy("node").agg(F.first("keys").alias("keys")), "near-nodes")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows_of = stored(_signatures(base, known, words, bands, rows), "near-rows")
+    nodes = stored(rows_of.where("node is not null").groupBy("node").agg(
+        F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_hash")).alias("at")), "near-nodes")
 
     key = ["band", "bucket"]
     spread = nodes.select("node", "keys", F.posexplode("keys").alias("band", "bucket"))
-    buckets = (spread.groupBy(*key).agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    draw = F.xxhash64("node", "band")
+    buckets = (spread.groupBy(*key).agg(F.min("node").alias("leader"), F.min_by("node", draw).alias("second"),
+                                        F.max_by("node", draw).alias("third"), F.count("*").alias("n")).where("n > 1"))
     order = F.slice(F.concat("keys", "keys"), F.col("band") + 2, 4)  # the keys of the bands that follow
-    members = stored(spread.join(buckets, key).select("node", *key, "leader", "n", order.alias("order")), "near-members")
-    candidates = members.select("node").distinct()
-    if candidates.count() <= max_broadcast:  # 16 bytes each
-        candidates = F.broadcast(candidates)
-    texts = stored(with_text.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")),
-                   "near-texts")
+    members = stored(spread.join(buckets, key).select(
+        "node", *key, "leader", "second", "third", "n", order.alias("order")), "near-members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        "node", F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash"))
+    if wanted.count() <= max_broadcast:  # some 32 bytes each
+        wanted = F.broadcast(wanted)
+    texts = base.join(wanted, (F.col("__hash") == F.col("text_hash")) & F.col("__id").eqNullSafe(F.col("doc_id")))
+    texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     by_leader = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_verified(by_leader, texts, known, words, threshold), "near-links")
@@ -206,15 +221,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     part = F.when(F.col("n") > hot, F.pmod(F.get("order", F.lit(0)), F.ceil(F.col("n") / hot))).otherwise(0)
     beside = Window.partitionBy(*key, "part").orderBy("order", "node")
     near = (members.withColumn("part", part).withColumn("beside", F.lag("node").over(beside))
-            .where("beside is not null and beside <> leader and node <> leader")
-            .select(F.least("node", "beside").alias("a"), F.greatest("node", "beside").alias("b")).distinct())
+            .select("node", F.explode(F.array("second", "third", "beside")).alias("other"))
+            .where("other <> node")
+            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     label = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     near = (near.join(label, "a", "left").join(other, "b", "left")
             .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
     links = links.unionByName(_verified(near, texts, known, words, threshold))
     labels = components(links).withColumnRenamed("label", "class")
-    placed = rows_of.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    placed = rows_of.drop("keys").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return (placed.join(least, "class", "left")
             .select("doc_id", "text_hash", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(
