@@ -30,14 +30,14 @@ def crc_part(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder of ``spark.checkpoint.dir`` and reads it back.
 
     Cuts the lineage: what was written survives the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*partitions or []).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -66,9 +66,10 @@ def _all_windows(rows: DataFrame, min_words: int) -> DataFrame:
                 out["hash"] += [hashlib.blake2b(raw[8 * i:8 * j + 8], digest_size=16).digest() for i, j in zip(a, b)]
             yield pd.DataFrame(out, dtype=object)
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "text_hash", "text").where("text <> ''").mapInPandas(
-        scan, f"doc_id {kind}, text_hash long, first int, last int, fingerprint long, hash binary")
+    kind = dict(rows.dtypes)["doc_id"]  # as text in pandas, where numbers with nulls would turn into floats
+    return (rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "text").where("text <> ''")
+            .mapInPandas(scan, "doc_id string, text_hash long, first int, last int, fingerprint long, hash binary")
+            .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -116,7 +117,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     met = docs.join(runs, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text")), "left")
     return (met.withColumn("__cut", cut(F.col("text"), F.col("__runs")))
             .withColumns({"text": F.col("__cut.text"), "lines_deleted": F.col("__cut.deleted")})
-            .select(*docs.columns, "lines_deleted"))
+            .select(*[c for c in docs.columns if c != "lines_deleted"], "lines_deleted"))
 
 
 def op3(docs: DataFrame) -> DataFrame:

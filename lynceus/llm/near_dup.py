@@ -158,7 +158,9 @@ def _signatures(docs: DataFrame, known: Frequencies, n: int, bands: int, rows: i
                                dtype=object)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInPandas(sign, f"doc_id {kind}, text_hash long, node binary, keys array<long>")
+    return (docs.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn numbers with nulls into floats
+            .mapInPandas(sign, "doc_id string, text_hash long, node binary, keys array<long>")
+            .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, n: int, threshold: float) -> DataFrame:
@@ -241,15 +243,17 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each class, the one whose doc_id is the class's least.
 
     Rows of that doc_id with another text, or that repeat the document, go as well if they are of the same class. Rows
-    without a class_id (no doc_id in their class) all stay.
+    without a class_id (no doc_id in their class) all stay. The least text hash decides among texts of one doc_id.
     """
     found = near_duplicates(docs, **parameters)
-    chosen = (found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-              .select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")).distinct())
-    numbered = docs.withColumn("__copy", F.row_number().over(
-        Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
+    chosen = (found.where("class_id is not null").groupBy("class_id")
+              .agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+              .unionByName(found.where("class_id is null").select("doc_id", "text_hash"))
+              .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text"))
-    return numbered.where("doc_id is null or __copy = 1").join(chosen, same, "left_semi").drop("__copy")
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return (docs.join(chosen, same, "left_semi").withColumn("__copy", F.row_number().over(copies))
+            .where("doc_id is null or __copy = 1").drop("__copy"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

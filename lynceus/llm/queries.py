@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, html_text, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity
+from lynceus.llm import decontaminate, html_text, katz, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "REGISTRY"]
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination,
+        op1_katz_scores, op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination,
         op9_suffix_dedup, op10_toxicity)}

@@ -217,7 +217,7 @@ def _counted(slices: DataFrame, length: int) -> DataFrame:
                 F.struct("a", (F.col("a") + length).cast("int").alias("b"))).alias("ranges")))
 
 
-def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 30_000, max_broadcast: int = 1_000_000) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_broadcast: int = 1_000_000) -> DataFrame:
     """node and ranges (bytes, sorted or not, may overlap) of the strings that start elsewhere too, in distinct texts.
 
     ``rows`` has node (128 bits of the text) and text; equal texts count as one here.
@@ -247,7 +247,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 30_000, max_b
     return (found.join(marks, key)
             .select("node", F.when(F.col("full") & (F.col("high") - F.col("low") >= length), whole).otherwise(shifted)
                     .alias("ranges")).where(F.size("ranges") > 0)
-            .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges")))
+            .groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
