@@ -22,6 +22,8 @@ from lynceus.llm.common import stored
 from lynceus.llm.hashing import BASE, BYTE, mix
 
 GRAM = 32
+#: A range a to b of a text as one number: a * PLACES + b.
+PLACES = 1 << 31
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -218,7 +220,7 @@ def _counted(slices: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_broadcast: int = 1_000_000) -> DataFrame:
-    """node and ranges (bytes, sorted or not, may overlap) of the strings that start elsewhere too, in distinct texts.
+    """node and ranges (bytes, as a * PLACES + b, may overlap) of the strings that start elsewhere too, in distinct texts.
 
     ``rows`` has node (128 bits of the text) and text; equal texts count as one here.
     """
@@ -242,14 +244,23 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
     marks = (matches.withColumn("full", F.lit(False)).unionByName(
         full.withColumn("ranges", F.array().cast("array<struct<a:int,b:int>>")))
         .groupBy(*key).agg(F.max("full").alias("full"), F.flatten(F.collect_list("ranges")).alias("ranges")))
-    whole = F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))
-    shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
+    number = lambda a, b: a.cast("long") * PLACES + b
+    whole = F.array(number(F.col("low"), F.col("high")))
+    shifted = F.transform("ranges", lambda r: number(r["a"] + F.col("at"), r["b"] + F.col("at")))
     return (found.join(marks, key)
             .select("node", F.when(F.col("full") & (F.col("high") - F.col("low") >= length), whole).otherwise(shifted)
                     .alias("ranges")).where(F.size("ranges") > 0)
             .groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
 
 
+def unpacked(ranges: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal ranges that cover the given ones, each one number; ranges that touch are one."""
+    ranges = np.unique(ranges)
+    a, b = ranges // PLACES, np.maximum.accumulate(ranges % PLACES)
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[new].tolist(), b[np.append(new[1:], len(b)) - 1].tolist()))
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -271,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         out = []
         for text, found, all_of_it in zip(texts, ranges, copied):
             raw = text.encode("utf-8", "surrogatepass")
-            gone = [(0, len(raw))] if all_of_it is True else merged([(r["a"], r["b"]) for r in found]) if found is not None else []
+            gone = [(0, len(raw))] if all_of_it is True else [] if found is None else unpacked(found)
             edges = [0, *[x for r in gone for x in r], len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             out.append((len(raw), len(raw) - len(kept), len(gone), kept))
