@@ -15,7 +15,6 @@ from lynceus.llm.common import lower_ascii, word_list
 #: What stands between two words; a word is made of digits, letters and all of Unicode beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 INSIDE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-NO_HITS = "array<struct<start:int,end:int>>"
 
 
 def normal_words(text: Column) -> Column:
@@ -119,7 +118,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, spans: bool = False) -> Dat
                                             lambda i: F.concat(F.get(gaps, i - 1), F.get(words, i - 1))), ""),
                    F.get(gaps, F.size(words)))
     return (docs.join(found, same, "left").withColumns({
-        "__words": word_list(F.col("text"), BETWEEN),
+        "__words": word_list(F.col("text"), BETWEEN.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")),  # A-Z as they are
         "__gaps": F.split(F.col("text"), INSIDE)})
         .withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut))
         .select(*docs.columns))

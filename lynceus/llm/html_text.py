@@ -70,7 +70,7 @@ def _not_content(name: str, attributes: str, in_article: bool) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, inside an article) per token. Text comes in pieces; kind ``tag:name`` or ``word:context``."""
     at, skip, depth, article, links, items, heads = 0, "", 0, 0, 0, 0, 0
-    length, lower = len(page), None
+    length = len(page)
 
     def context() -> str:
         return "word:" + ("link" if links > 0 else "item" if items > 0 else "heading" if heads > 0 else "text")
@@ -125,9 +125,10 @@ def _raw_end(page: str, at: int, name: str) -> int:
 
 def main_text(page: str, model: PageModel) -> str:
     """Text of the best run: blocks in page order, white space turned into single spaces, character references decoded."""
-    parts, total, best, start, span = [], 0.0, 0.0, 0, (0, 0)
-    for kind, text, _ in tokens(page):
+    parts, inside, total, best, start, span = [], [], 0.0, 0.0, 0, (0, 0)
+    for kind, text, in_article in tokens(page):
         parts.append((kind, text))
+        inside.append(in_article)
         if kind.startswith("tag:"):
             score = model.of(kind)
         elif words := len(text.split()):
@@ -139,8 +140,13 @@ def main_text(page: str, model: PageModel) -> str:
         total += score
         if total > best:
             best, span = total, (start, len(parts))
+    first, last = span  # a run that begins or ends inside a marked article takes in the rest of it
+    while last > 0 and first > 0 and inside[first] and inside[first - 1]:
+        first -= 1
+    while 0 < last < len(parts) and inside[last - 1] and inside[last]:
+        last += 1
     out = []
-    for kind, text in parts[span[0]:span[1]]:
+    for kind, text in parts[first:last]:
         out.append(html.unescape(text) if text else "" if kind[4:] in INLINE else " ")
     return " ".join("".join(out).split())
 

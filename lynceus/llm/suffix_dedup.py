@@ -31,7 +31,7 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     h, n, power = BYTE[text], 1, BASE
     while n < GRAM:
         h = h[:-n] * power + h[n:]
-        power = power * power
+        power = np.uint64(int(power) ** 2 % 2**64)
         n *= 2
     return mix(h)
 
@@ -132,7 +132,7 @@ ANCHORS = "node binary, anchor long, at int, low int, high int, around long"
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """node, anchor hash, its place, its reach in the text and the digest of these bytes."""
+    """node, anchor hash, its place, its reach in the text and the digest of these bytes and of the place in them."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -146,7 +146,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 out["at"] += at.tolist()
                 out["low"] += low.tolist()
                 out["high"] += high.tolist()
-                out["around"] += [_digest(raw[a:b]) for a, b in zip(low.tolist(), high.tolist())]
+                out["around"] += [_digest(b"%d:" % (p - a) + raw[a:b]) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist())]
                 if len(out["at"]) > 100_000:
                     yield pd.DataFrame(out)
                     out = {k: [] for k in out}
@@ -213,8 +213,9 @@ def _counted(slices: DataFrame, length: int) -> DataFrame:
                                         "string": digests})
 
     all_strings = slices.mapInPandas(strings, "anchor long, around long, a int, string binary")
-    more = all_strings.groupBy("string").agg(F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y")
-    return (all_strings.join(more.select("string"), "string", "left_semi")
+    key = ["anchor", "a", "string"]  # at the same place from the anchor, or a string would meet itself
+    more = all_strings.groupBy(*key).agg(F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y")
+    return (all_strings.join(more.select(*key), key, "left_semi")
             .groupBy("anchor", "around").agg(F.collect_list(
                 F.struct("a", (F.col("a") + length).cast("int").alias("b"))).alias("ranges")))
 
