@@ -117,13 +117,18 @@ def canon(num: Column) -> Column:
     return rule(canon_sql, num)
 
 
+def finite(x: str) -> str:
+    """SQL test of a float: neither NaN, which sorts above all numbers, nor infinite. Others count as missing."""
+    return f"abs({x}) < CAST('Infinity' AS DOUBLE)"
+
+
 def numeric_view(df: DataFrame, name: str) -> Column:
     """The cell as a double where it holds a number, else null."""
     dtype, x = df.schema[name].dataType, sql_name(name)
     if isinstance(dtype, T.BooleanType):
         return F.expr(f"CAST(CAST({x} AS INT) AS DOUBLE)")
     if isinstance(dtype, _FLOATS):
-        return F.expr(f"CASE WHEN NOT isnan({x}) THEN CAST({x} AS DOUBLE) END")
+        return F.expr(f"CASE WHEN {finite(x)} THEN CAST({x} AS DOUBLE) END")
     if is_number_type(dtype):
         return F.expr(f"CAST({x} AS DOUBLE)")
     if isinstance(dtype, T.StringType):
@@ -140,9 +145,9 @@ def text_view(df: DataFrame, name: str) -> Column:
         return F.expr(rf"CASE WHEN CAST({x} AS STRING) LIKE '%.%' THEN regexp_replace(CAST({x} AS STRING), r'\.?0+$', '') "
                       rf"ELSE CAST({x} AS STRING) END")
     if isinstance(dtype, T.DoubleType):
-        return canon(F.expr(f"CASE WHEN NOT isnan({x}) THEN {x} END"))
+        return canon(F.expr(f"CASE WHEN {finite(x)} THEN {x} END"))
     if isinstance(dtype, T.FloatType):
-        return canon(F.expr(f"CASE WHEN NOT isnan({x}) THEN CAST(CAST({x} AS STRING) AS DOUBLE) END"))
+        return canon(F.expr(f"CASE WHEN {finite(x)} THEN CAST(CAST({x} AS STRING) AS DOUBLE) END"))
     if is_nested_type(dtype):
         return F.to_json(F.col(x))
     if isinstance(dtype, T.StringType):
@@ -163,7 +168,7 @@ def present(df: DataFrame, name: str) -> Column:
     """True where the cell is not missing."""
     dtype, x = df.schema[name].dataType, sql_name(name)
     if isinstance(dtype, _FLOATS):
-        return F.expr(f"{x} IS NOT NULL AND NOT isnan({x})")
+        return F.expr(f"{x} IS NOT NULL AND {finite(x)}")
     if isinstance(dtype, T.StringType):
         return F.expr(f"({null_if_token_sql(x)}) IS NOT NULL")
     return F.expr(f"{x} IS NOT NULL")

@@ -23,8 +23,8 @@ def zscore(value: Column, mean: Column, std: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    """Value kept within bounds; null stays null (least and greatest alone would skip it)."""
-    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
+    """Value kept within bounds; null stays null (least and greatest alone would skip it) and NaN becomes null."""
+    return F.when(value.isNotNull() & ~F.isnan(value), F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def confidence_score(value: Column) -> Column:

@@ -112,9 +112,10 @@ def dataset_fingerprint(source, name: str | None = None) -> DataFrame:
     """
     t = Table.of(source)
     label = name or t.name
-    texts = [F.coalesce(t.text(c), F.lit("∅")) for c in t.columns]
-    row = F.md5(F.concat_ws("|", *texts))
-    bits = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    # Each cell begins with its length, so cells cannot run into each other; a missing one is "-".
+    cells = [F.coalesce(F.concat(F.length(t.text(c)).cast("string"), F.lit(":"), t.text(c)), F.lit("-")) for c in t.columns]
+    row = F.md5(F.concat(*cells))
+    bits = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(28,0)")
     return t.df.select(bits.alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").cast("string").alias("content_hash")
     ).select(

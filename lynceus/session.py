@@ -21,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+    elif sc.master.split("[")[0] == "local":  # not local-cluster, whose executors share no folder
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lynceus-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running ordered analyses")

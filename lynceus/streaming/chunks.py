@@ -45,7 +45,8 @@ def apply_in_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
     source = df
     if names:
         keys = [quoted(c) for c in names]
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(spread))
+        hashable = [quoted(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]  # Spark hashes no maps
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(spread))
         source = (
             df.withColumn("__salt", salt).repartition(*keys, "__salt").sortWithinPartitions(*keys).drop("__salt"))
     return source.mapInPandas(chunks, schema)

@@ -852,7 +852,8 @@ UNION ALL SELECT 'schema_similarity', table1, table2, 85, columns, k / greatest(
 UNION ALL SELECT 'possible_join', a.t, b.t, 70, a.c || ',' || b.c, 1 FROM cat a JOIN cat b ON a.p < b.p AND a.c <> b.c
  WHERE {any_word('lower(a.c)', 'id _id key code')} AND {any_word('lower(b.c)', 'id _id key code')} AND {similar_names('a.c', 'b.c')})
 SELECT kind, table1, table2, confidence, columns, round(measure, 6) AS measure, x.n AS rows1, y.n AS rows2 FROM every JOIN sizes x ON x.t = table1 JOIN sizes y ON y.t = table2 ORDER BY confidence DESC, kind, table1, table2, columns LIMIT 10"""
-ORDER_ROW = " || '|' || ".join(f"coalesce({canon(c, c in DOUBLES)}, '∅')" for c in COLUMNS["orders"])
+ORDER_ROW = " || ".join(f"coalesce(length({canon(c, c in DOUBLES)}) || ':' || {canon(c, c in DOUBLES)}, '-')"
+                        for c in COLUMNS["orders"])
 ORACLES["dataset_fingerprint"] = f"""SELECT 'orders' AS name, count(*) AS row_count, 6 AS column_count, '{'|'.join(COLUMNS['orders'])}' AS columns,
 left(md5('{'|'.join(COLUMNS['orders'])}'), 8) AS column_hash, CAST(sum(CAST('0x' || left(md5({ORDER_ROW}), 15) AS HUGEINT)) AS VARCHAR) AS content_hash FROM orders"""
 
