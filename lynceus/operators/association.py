@@ -154,8 +154,8 @@ def both_ways(matrix: DataFrame) -> DataFrame:
     return matrix.select("column1", "column2", "value").unionByName(swapped)
 
 
-def confounder_table(t: Table, pairs: DataFrame, matrix: DataFrame, limit: int = 5) -> DataFrame:
-    """Per pair (column1, column2) up to ``limit`` confounders: columns with |r| > .3 to both, then columns whose
+def confounder_table(t: Table, pairs: DataFrame, matrix: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per pair (column1, column2) its confounders (the first ``limit``, if given): columns with |r| > .3 to both, then columns whose
     names suggest one. Rows (column1, column2, confounder, source, place)."""
     links = both_ways(matrix).where(F.abs("value") > 0.3)
     to_first = links.select(F.col("column1").alias("column1"), F.col("column2").alias("confounder"))
@@ -174,16 +174,16 @@ def confounder_table(t: Table, pairs: DataFrame, matrix: DataFrame, limit: int =
         .groupBy("column1", "column2", "confounder").agg(F.min("by_name").alias("by_name"))
         .join(places, "confounder")
     )
-    ranked = merged.groupBy("column1", "column2").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("by_name", "place", "confounder"))), 1, limit).alias("found"))
+    ordered = F.array_sort(F.collect_list(F.struct("by_name", "place", "confounder")))  # at most one per column
+    ranked = merged.groupBy("column1", "column2").agg((F.slice(ordered, 1, limit) if limit else ordered).alias("found"))
     return ranked.select("column1", "column2", F.posexplode("found").alias("position", "entry")).select(
         "column1", "column2", "position", F.col("entry.confounder").alias("confounder"),
         F.when(F.col("entry.by_name") == 1, "name").otherwise("correlation").alias("basis"))
 
 
-def confounders(source, a: str, b: str, matrix: DataFrame | None = None) -> DataFrame:
-    """Columns that may explain the correlation of two columns, at most five."""
+def confounders(source, a: str, b: str, matrix: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Columns that may explain the correlation of two columns; ``limit`` keeps the first ones."""
     t = Table.of(source)
     pair = t.spark.createDataFrame([(a, b)], "column1 string, column2 string")
-    found = confounder_table(t, pair, matrix if matrix is not None else correlation_matrix(t))
+    found = confounder_table(t, pair, matrix if matrix is not None else correlation_matrix(t), limit)
     return found.select("position", "confounder", "basis")

@@ -25,8 +25,9 @@ def catalog(tables) -> DataFrame:
     return columns.join(counts, "table").select("place", "table", "width", "column", "rows")
 
 
-def catalog_similarity(tables, limit: int = 10) -> DataFrame:
-    """Per pair of tables: common columns, possible joins by key name, and schema overlap above 70 %."""
+def catalog_similarity(tables, limit: int | None = None) -> DataFrame:
+    """Per pair of tables: common columns, possible joins by key name, and schema overlap above 70 %, most confident
+    first; ``limit`` keeps the first ones."""
     c = catalog(tables)
     first = c.select(*[F.col(x).alias(x + "1") for x in c.columns])
     second = c.select(*[F.col(x).alias(x + "2") for x in c.columns])
@@ -44,8 +45,9 @@ def catalog_similarity(tables, limit: int = 10) -> DataFrame:
     schema_rows = common.where(overlap > 0.7).select(
         F.lit("schema_similarity").alias("kind"), "table1", "table2", F.lit(85.0).alias("confidence"), "columns",
         overlap.alias("measure"), "rows1", "rows2")
-    return shared_rows.unionByName(_possible_joins(c)).unionByName(schema_rows).orderBy(
-        F.col("confidence").desc(), "kind", "table1", "table2", "columns").limit(limit)
+    ranked = shared_rows.unionByName(_possible_joins(c)).unionByName(schema_rows).orderBy(
+        F.col("confidence").desc(), "kind", "table1", "table2", "columns")
+    return ranked.limit(limit) if limit else ranked
 
 
 def _possible_joins(c: DataFrame) -> DataFrame:

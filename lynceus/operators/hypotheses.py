@@ -32,11 +32,13 @@ def _no_names() -> Column:
     return F.array().cast("array<string>")
 
 
-def hypotheses_correlation(source, matrix: DataFrame | None = None) -> DataFrame:
-    """The five strongest pairs with |r| >= .4."""
+def hypotheses_correlation(source, matrix: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Pairs with |r| >= .4; ``limit`` keeps the strongest ones."""
     t = Table.of(source)
     m = matrix if matrix is not None else correlation_matrix(t)
-    top = m.where(F.abs("value") >= 0.4).orderBy(F.abs("value").desc(), "column1", "column2").limit(5)
+    top = m.where(F.abs("value") >= 0.4)
+    if limit:
+        top = top.orderBy(F.abs("value").desc(), "column1", "column2").limit(limit)
     listed = confounder_table(t, top, m).groupBy("column1", "column2").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "confounder"))), lambda x: x["confounder"])
         .alias("confounders"))
@@ -53,11 +55,11 @@ def hypotheses_correlation(source, matrix: DataFrame | None = None) -> DataFrame
         "confounders")
 
 
-def hypotheses_group_difference(source) -> DataFrame:
-    """The first three categorical columns of at most ten values against the first three measures, where the means of
-    the highest and lowest group (five values or more) differ by 10 % of their middle."""
+def hypotheses_group_difference(source, max_columns: int | None = None) -> DataFrame:
+    """Categorical columns of at most ten values against measures, where the means of the highest and lowest group
+    (five values or more) differ by 10 % of their middle. ``max_columns`` takes the first columns of either kind only."""
     t = Table.of(source)
-    cats, nums = t.few_valued(2, 10)[:3], t.numeric[:3]
+    cats, nums = t.few_valued(2, 10)[:max_columns], t.numeric[:max_columns]
     if not cats or not nums:
         return t.spark.createDataFrame([], SCHEMA)
     pairs = reduce(DataFrame.unionByName, [group_extremes(t, c, nums) for c in cats])
@@ -74,16 +76,19 @@ def hypotheses_group_difference(source) -> DataFrame:
         _no_names().alias("confounders"))
 
 
-def hypotheses_trend(source, order_by: list[str] | None = None, trends: DataFrame | None = None) -> DataFrame:
-    """Columns (the first five with a trend) that changed by 5 % or more."""
+def hypotheses_trend(source, order_by: list[str] | None = None, trends: DataFrame | None = None,
+                     limit: int | None = None) -> DataFrame:
+    """Columns with a trend that changed by 5 % or more; ``limit`` keeps the first ones in column order."""
     t = Table.of(source)
     found = trends if trends is not None else trend(t, None, order_by)
-    places = t.spark.createDataFrame(list(zip(t.columns, range(len(t.columns)))), "column string, place int")
     change = F.abs("change_percent")
-    first = found.join(places, "column").orderBy("place").limit(5)
+    steady = found.where((F.col("direction") != "stable") & (change >= 5))
+    if limit:
+        places = t.spark.createDataFrame(list(zip(t.columns, range(len(t.columns)))), "column string, place int")
+        steady = steady.join(places, "column").orderBy("place").limit(limit)
     raw = (
         F.lit(50.0) + F.when(change > 50, 25).when(change > 20, 15).otherwise(0) + (10 if t.rows > 100 else 0))
-    return first.where((F.col("direction") != "stable") & (change >= 5)).select(
+    return steady.select(
         F.lit("trend").alias("kind"), F.col("column").alias("column1"), F.lit(None).cast("string").alias("column2"),
         F.least(F.lit(85.0), raw).alias("confidence"), F.lit("correlational").alias("interpretation"),
         F.col("change_percent").alias("statistic"), F.lit(None).cast("double").alias("p_value"),
@@ -108,15 +113,17 @@ def hypotheses_anomaly(source) -> DataFrame:
     return t.spark.createDataFrame(rows, SCHEMA)
 
 
-def hypotheses(source, order_by: list[str] | None = None, limit: int = 10, matrix: DataFrame | None = None,
+def hypotheses(source, order_by: list[str] | None = None, limit: int | None = None, matrix: DataFrame | None = None,
                trends: DataFrame | None = None) -> DataFrame:
-    """All hypotheses, most confident first. Trends need a row order and are left out without one."""
+    """All hypotheses, most confident first; ``limit`` keeps the first ones. Trends need a row order and are left out
+    without one."""
     t = Table.of(source)
     parts = [hypotheses_correlation(t, matrix), hypotheses_group_difference(t)]
     if trends is not None or order_by or t.order_by:
         parts.append(hypotheses_trend(t, order_by, trends))
     parts.append(hypotheses_anomaly(t))
-    return reduce(DataFrame.unionByName, parts).orderBy(
+    ranked = reduce(DataFrame.unionByName, parts).orderBy(
         F.col("confidence").desc(),
         F.array_position(F.array(*map(F.lit, ("correlation", "group_difference", "trend", "anomaly"))), F.col("kind")),
-        "column1", "column2").limit(limit)
+        "column1", "column2")
+    return ranked.limit(limit) if limit else ranked

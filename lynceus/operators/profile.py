@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,32 +234,43 @@ def uniformity_check(source, cols: list[str] | None = None) -> DataFrame:
     return t.df.agg(*aggregates).select(F.inline(F.array(*records)))
 
 
+def group_means_agree(t: Table, cats: list[str], nums: list[str]) -> DataFrame:
+    """``group_mean_homogeneity`` of every category with every measure: one grouping per category."""
+    stds = {c: s["std"] for c, s in t.moments(nums).items()}
+    slots = {n: f"m{i}" for i, n in enumerate(nums)}
+    parts = []
+    for cat in cats:
+        groups = t.df.select(
+            F.coalesce(grouping_key(t.text(cat)), F.lit("null")).alias("g"),
+            *[t.number(n).alias(m) for n, m in slots.items()],
+        ).groupBy("g").agg(*[F.avg(m).alias(m) for m in slots.values()])
+        facts = groups.agg(*[
+            F.struct(F.lit(n).alias("measure"), F.lit(stds[n]).cast("double").alias("std"), F.count(m).alias("groups"),
+                     F.avg(m).alias("middle"), F.min(m).alias("lowest"), F.max(m).alias("highest")).alias(m)
+            for n, m in slots.items()])
+        parts.append(facts.select(F.lit(cat).alias("category"), F.inline(F.array(*slots.values()))))
+    spread = F.greatest(F.col("highest") - F.col("middle"), F.col("middle") - F.col("lowest"))
+    return reduce(DataFrame.unionByName, parts).select(
+        "category", "measure", "groups", spread.alias("max_difference"), "std",
+        F.coalesce((F.col("groups") >= 3) & (spread < 1) & (F.col("std") > 10), F.lit(False)).alias("homogeneous"))
+
+
 def group_mean_homogeneity(source, cat: str, num: str) -> DataFrame:
     """Do the group means agree (largest distance below 1) although the values spread (std above 10)?"""
-    t = Table.of(source)
-    std = t.moments([num])[num]["std"]
-    groups = (
-        t.df.select(F.coalesce(t.text(cat), F.lit("null")).alias("g"), t.number(num).alias("v"))
-        .where(F.col("v").isNotNull()).groupBy("g").agg(F.avg("v").alias("m"))
-    )
-    overall = groups.agg(F.count(F.lit(1)).alias("groups"), F.avg("m").alias("mean_of_means"),
-                         F.min("m").alias("lowest"), F.max("m").alias("highest"))
-    spread = F.greatest(F.col("highest") - F.col("mean_of_means"), F.col("mean_of_means") - F.col("lowest"))
-    return overall.select(
-        F.lit(cat).alias("category"), F.lit(num).alias("measure"), "groups", spread.alias("max_difference"),
-        F.lit(std).cast("double").alias("std"),
-        F.coalesce((F.col("groups") >= 3) & (spread < 1) & (F.lit(std).cast("double") > 10), F.lit(False)).alias("homogeneous"),
-    )
+    return group_means_agree(Table.of(source), [cat], [num])
 
 
-def segment_profile(source, max_segments: int | None = 5) -> DataFrame:
-    """Segments that differ: the top five values (10 rows or more) of columns with 2 to 10 values, and the first three
-    measures whose segment mean is more than 10 % off the overall mean.
+def segment_profile(source, max_segments: int | None = None, max_measures: int | None = None,
+                    max_values: int | None = None) -> DataFrame:
+    """Segments that differ: values (10 rows or more) of columns with 2 to 10 values, and the measures whose segment
+    mean is more than 10 % off the overall mean.
 
-    One row per segment and such measure; ``max_segments`` keeps the first segments in column and frequency order.
+    One row per segment and such measure. For a short report, ``max_measures`` takes the first measures only,
+    ``max_values`` the most frequent values of a column and ``max_segments`` the first segments in column and frequency
+    order; by default nothing is left out.
     """
     t = Table.of(source)
-    measures = t.numeric[:3]
+    measures = t.numeric[:max_measures]
     overall = {m: s["mean"] for m, s in t.moments(measures).items() if s["mean"]}
     schema = ("segment_order bigint, column string, value string, size bigint, share double, measure string, "
               "segment_mean double, difference_percent double")
@@ -272,7 +285,9 @@ def segment_profile(source, max_segments: int | None = 5) -> DataFrame:
             .where(F.col("value").isNotNull())
             .groupBy("value").agg(F.count(F.lit(1)).alias("size"), *[F.avg(x).alias(x) for x in slots.values()])
         )
-        top = groups.orderBy(F.col("size").desc(), "value").limit(5).where(F.col("size") >= 10)
+        if max_values:
+            groups = groups.orderBy(F.col("size").desc(), "value").limit(max_values)
+        top = groups.where(F.col("size") >= 10)
         rows = top.select(
             F.lit(place).alias("place"), F.lit(cat).alias("column"), "value", "size",
             F.inline(F.array(*[
@@ -282,7 +297,7 @@ def segment_profile(source, max_segments: int | None = 5) -> DataFrame:
         )
         parts = rows if parts is None else parts.unionByName(rows)
     distinct = parts.where(F.abs("difference_percent") > 10).withColumn("share", F.col("size") / F.lit(t.rows))
-    # at most 5 rows per column with 2 to 10 values, so the ranking window is small by construction
+    # at most 10 segments per column, so the ranking window is small by construction
     order = Window.orderBy("place", F.col("size").desc(), "value")
     ranked = distinct.withColumn("segment_order", F.dense_rank().over(order).cast("bigint"))
     if max_segments:

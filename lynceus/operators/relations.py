@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.functions.cells import is_nested_type
 from lynceus.functions.names import KEY_PATTERNS, looks_like_key, match_type_of_rank, name_tokens
 from lynceus.operators.values import SLOTS, grouping_key, native_counts, quoted, text_of
 from lynceus.table import Table
@@ -42,15 +41,14 @@ def _key_names(tables: dict[str, Table], patterns) -> dict[str, bool]:
 def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
     """Columns whose name looks like a key or whose distinct share exceeds one half.
 
-    Rows (table, column, unique_count, total_count, named_key). Columns that a sketch shows to be far below one half
-    and that are not named like a key are dropped before the exact count.
+    Rows (table, column, unique_count, total_count, named_key). Columns that are not named like a key are counted
+    exactly only if a sketch of the same values (missing ones left out) does not show them to be far below one half.
     """
     tables, sketched = _as_tables(tables), []
     for name, t in tables.items():
         aggregates, records = [], []
         for i, c in enumerate(t.columns):
-            # raw cells have at least as many distinct values as canonical ones, so the sketch never hides a key
-            text = t.text(c) if is_nested_type(t.df.schema[c].dataType) else quoted(c)
+            text = t.text(c)
             aggregates += [F.approx_count_distinct(text, 0.05).alias(f"u{i}"), F.count(text).alias(f"n{i}")]
             records.append(F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"),
                                     F.col(f"u{i}").alias("u"), F.col(f"n{i}").alias("n")))

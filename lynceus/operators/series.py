@@ -19,8 +19,8 @@ from lynceus.session import checkpointed
 from lynceus.table import Table
 
 PERIOD_LABELS = {7: "weekly", 12: "monthly", 4: "quarterly", 24: "hourly"}  # fixed values
-WHOLE_SERIES = 1 << 18  # longest series transformed as one group
-BLOCK = 1 << 20         # positions per block when thinning change points
+BLOCK = 1 << 20      # positions per block when thinning change points
+LAG_BLOCK = 1 << 16  # positions per block when the lags are bounded
 
 
 class Series:
@@ -275,21 +275,39 @@ def change_points(source, cols: list[str] | None = None, order_by: list[str] | N
 
 # --- autocorrelation -------------------------------------------------------------------------------------------
 
-def _whole_series(keys: list[str]):
-    """Autocovariance sums of one short series."""
+def _block_sums(keys: list[str]):
+    """Products of the values of one block with those up to the largest lag behind them."""
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, lags = len(pdf), int(pdf["max_lag"].iloc[0])
-        x = np.zeros(n)
-        x[pdf["idx"].to_numpy()] = pdf["x"].to_numpy()
-        size = 1 << int(2 * n - 1).bit_length()
-        products = np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: lags + 1]
+        pdf = pdf.sort_values("idx")
+        x, own = pdf["x"].to_numpy(), pdf["own"].to_numpy()
+        lags = min(int(pdf["max_lag"].iloc[0]), len(x) - 1)
+        size = 1 << int(len(x) + own.sum()).bit_length()
+        products = np.fft.irfft(np.conj(np.fft.rfft(x[own], size)) * np.fft.rfft(x, size), size)[: lags + 1]
         out = {k: [pdf[k].iloc[0]] * (lags + 1) for k in keys}
         return pd.DataFrame({**out, "lag": np.arange(lags + 1), "total": products})
 
     return sums
 
 
+def bounded_autocovariance_sums(placed: DataFrame, keys: list[str], max_lag: int, block: int = LAG_BLOCK) -> DataFrame:
+    """Per series and lag up to ``max_lag`` (at most ``block``) the sum of x(i) x(i + lag).
+
+    Blocks of positions see the values just behind them, so one shuffle is enough and no group exceeds two blocks.
+    """
+    names = [quoted(k) for k in keys]
+    home = F.floor(F.col("idx") / block)
+    copies = F.array_compact(F.array(
+        F.struct(home.alias("block"), F.lit(True).alias("own")),
+        F.when((F.col("idx") % block < max_lag) & (home > 0), F.struct((home - 1).alias("block"), F.lit(False).alias("own")))))
+    spread = placed.select(
+        *names, "idx", (F.col("value") - F.col("mean")).alias("x"),
+        F.least(F.lit(max_lag), F.col("n") - 1).alias("max_lag"), F.inline(copies))
+    key_schema = "".join(f"`{k}` {placed.schema[k].dataType.simpleString()}, " for k in keys)
+    sums = spread.groupBy(*names, "block").applyInPandas(_block_sums(keys), key_schema + "lag bigint, total double")
+    return sums.groupBy(*names, "lag").agg(F.sum("total").alias("total"))
+
+
 def _column_step(keys: list[str], forward_power: bool):
     """One pass of the transform over a group of positions sharing a remainder.
 
@@ -335,36 +353,37 @@ def _last_step(keys: list[str]):
     return step
 
 
-def autocovariance_sums(placed: DataFrame, keys: list[str], max_lag: Column, whole: int = WHOLE_SERIES) -> DataFrame:
+def autocovariance_sums(placed: DataFrame, keys: list[str], max_lag: Column) -> DataFrame:
     """Per series and lag the sum of x(i) x(i + lag), for all lags up to ``max_lag``.
 
-    Short series are one group each. A longer series goes through a distributed transform in groups of about the
-    square root of its padded length, so all n/2 lags cost O(n log n) and no group grows with the series.
+    Every series goes through a distributed transform in groups of about the square root of its padded length, so all
+    n/2 lags cost O(n log n) and no group holds a series.
     """
     names = [quoted(k) for k in keys]
     x = placed.select(*names, "idx", "n", (F.col("value") - F.col("mean")).alias("x"), max_lag.cast("bigint").alias("max_lag"))
     key_schema = "".join(f"`{k}` {placed.schema[k].dataType.simpleString()}, " for k in keys)
     sums_schema = key_schema + "lag bigint, total double"
-    short = x.where(F.col("n") <= whole).groupBy(*names).applyInPandas(_whole_series(keys), sums_schema)
     bits = F.ceil(F.log2((2 * F.col("n")).cast("double"))).cast("int")
     step_schema = key_schema + "g bigint, j bigint, re double, im double, n1 bigint, n2 bigint, max_lag bigint"
     n1 = F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint")
     n2 = F.pow(F.lit(2.0), bits - F.floor(bits / 2)).cast("bigint")
     start = (
-        x.where(F.col("n") > whole).withColumn("n1", n1).withColumn("n2", n2)
+        x.withColumn("n1", n1).withColumn("n2", n2)
         .select(*names, (F.col("idx") % F.col("n1")).alias("g"), F.floor(F.col("idx") / F.col("n1")).alias("j"),
                 F.col("x").alias("re"), F.lit(0.0).alias("im"), "n1", "n2", "max_lag")
     )
     turned = start.groupBy(*names, "g").applyInPandas(_column_step(keys, False), step_schema)
     power = turned.groupBy(*names, "g").applyInPandas(_column_step(keys, True), step_schema)
-    long = power.groupBy(*names, "g").applyInPandas(_last_step(keys), sums_schema)
-    return short.unionByName(long)
+    return power.groupBy(*names, "g").applyInPandas(_last_step(keys), sums_schema)
 
 
 def _correlogram(s: Series, max_lag: int | None, min_n: int) -> DataFrame:
     placed = s.placed().where((F.col("n") >= min_n) & (F.col("var") > 0))
-    lags = F.floor(F.col("n") / 2) if max_lag is None else F.least(F.lit(max_lag), F.col("n") - 1)
-    sums = autocovariance_sums(placed, s.keys, lags)
+    if max_lag is not None and max_lag <= LAG_BLOCK:
+        sums = bounded_autocovariance_sums(placed, s.keys, max_lag)
+    else:
+        lags = F.floor(F.col("n") / 2) if max_lag is None else F.least(F.lit(max_lag), F.col("n") - 1)
+        sums = autocovariance_sums(placed, s.keys, lags)
     facts = s.parts().select(*s.keys, "n", "var").distinct()
     return sums.join(facts, s.keys).select(
         *[quoted(k) for k in s.keys], "lag", (F.col("total") / ((F.col("n") - F.col("lag")) * F.col("var"))).alias("acf"))
@@ -389,7 +408,8 @@ def seasonality_of(s: Series, max_period: int | None = None, min_n: int = 8) ->
         .where((F.col("sides") == 2) & (F.col("acf") > F.col("beside")) & (F.col("acf") > 0.3))
     )
     best = higher.groupBy(*s.keys).agg(
-        F.max(F.struct(F.col("acf"), (-F.col("lag")).alias("early"))).alias("best"))
+        # multiples of a period may tie; rounding keeps the transform's last bits from choosing among them
+        F.max(F.struct(F.round("acf", 9).alias("rounded"), (-F.col("lag")).alias("early"), "acf")).alias("best"))
     return best.select(*s.keys, (-F.col("best.early")).alias("period"), F.col("best.acf").alias("strength"))
 
 

@@ -1,6 +1,6 @@
 """The value-count table: one row per column and distinct value.
 
-``value`` is the canonical text (a digest for long texts), ``num`` its number, ``marks`` the patterns it matches,
+``value`` is the canonical text, ``num`` its number, ``marks`` the patterns it matches,
 ``folded`` the text without case and outer blanks, ``cnt`` its number of cells.
 
 Each column is read by its own narrow scan and put into a slot of its own type; all columns share one aggregation.
@@ -27,8 +27,13 @@ def quoted(name: str) -> Column:
 
 
 def grouping_key(text: Column) -> Column:
-    """Short text itself, or a digest of long text. A digest is longer than any short text, so they never meet."""
-    return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#" * 65), F.sha2(text, 256))).otherwise(text)
+    """Short text itself; of long text its beginning and a digest of all of it.
+
+    Such a key is longer than any short text, so they never meet, and keys sort by the first ``LONG_TEXT`` characters
+    of their texts.
+    """
+    long = F.concat(F.substring(text, 1, LONG_TEXT), F.sha2(text, 256))
+    return F.when(F.length(text) > LONG_TEXT, long).otherwise(text)
 
 
 SLOTS = ("whole", "real", "moment", "day", "text")
@@ -55,11 +60,13 @@ def _native(df: DataFrame, name: str, facts: bool) -> tuple[DataFrame, dict[str,
     if slot == "text":
         long = f"length(text) > {LONG_TEXT}"
         made = {
-            "text": f"CASE WHEN {long} THEN concat(repeat('#', 65), sha2(text, 256)) ELSE text END",
+            "text": f"CASE WHEN {long} THEN concat(substring(text, 1, {LONG_TEXT}), sha2(text, 256)) ELSE text END",
             "long_chars": f"CASE WHEN {long} THEN length(text) END"}
         if facts:
             made["long_marks"] = f"CASE WHEN {long} THEN {cells.bound_sql(patterns.marks_sql, 'text')} END"
-            made["long_folded"] = f"CASE WHEN {long} THEN sha2({cells.fold_sql('text')}, 256) END"
+            folded = cells.fold_sql("text")  # blanks around a short text may make it long
+            made["long_folded"] = (
+                f"CASE WHEN {long} THEN CASE WHEN length({folded}) > {LONG_TEXT} THEN sha2({folded}, 256) ELSE {folded} END END")
         return cells.text_column(df, name), made
     if isinstance(dtype, T.BooleanType):
         x = f"CAST({x} AS INT)"
@@ -122,8 +129,14 @@ def described(counts: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows (column, value, num, cnt, chars, marks, folded, digest); missing cells form one row with a null value."""
-    return described(raw_counts(df, cols, facts=True))
+    """Rows (column, value, num, cnt, chars, marks, folded); missing cells form one row with a null value.
+
+    Long texts are counted by digest and spelled out at the end.
+    """
+    names = list(cols or df.columns)
+    counts = described(raw_counts(df, names, facts=True))
+    texts = [c for c in names if slot_of(df.schema[c].dataType) == "text"]
+    return spell_out(df, counts, texts, small=False).drop("digest")
 
 
 def distinct_counts(vc: DataFrame) -> DataFrame:
@@ -136,7 +149,7 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
 
 
 def top_values(vc: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each column, ties by value (long texts by digest). ``vc``: raw or described counts.
+    """The k most frequent values of each column, ties by ``grouping_key``. ``vc``: raw or described counts.
 
     The rank filter sits right above the window, so each partition keeps at most k rows per column before the
     shuffle and no task receives a whole column.
@@ -152,14 +165,16 @@ def top_values(vc: DataFrame, k: int) -> DataFrame:
     )
 
 
-def spell_out(df: DataFrame, top: DataFrame, long_texts: list[str]) -> DataFrame:
-    """Replace digests in a small table of top values by the text itself.
+def spell_out(df: DataFrame, top: DataFrame, long_texts: list[str], small: bool = True) -> DataFrame:
+    """Replace digests by the text itself.
 
-    ``top`` holds at most k rows per column, so it is the broadcast side while the long-text columns stream by.
+    A ``small`` table holds at most k rows per column and is the broadcast side while the long-text columns stream by.
     """
     if not long_texts:
         return top
-    wanted = F.broadcast(top.where(F.length("value") > LONG_TEXT).select("column", "value"))
+    wanted = top.where(F.length("value") > LONG_TEXT).select("column", "value")
+    if small:
+        wanted = F.broadcast(wanted)
     found = reduce(DataFrame.unionByName, [
         cells.text_column(df, c).where(F.length("text") > LONG_TEXT)
         .select(F.lit(c).alias("column"), grouping_key(F.col("text")).alias("value"), "text") for c in long_texts

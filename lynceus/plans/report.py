@@ -15,7 +15,7 @@ class Report(Mapping):
     """Named results of one table. A result is computed when it is first asked for; facts of one row per column, the
     correlation matrix and the trends are shared between results."""
 
-    def __init__(self, t: Table, order: list[str], fast: bool, max_hypotheses: int, schema_options: dict):
+    def __init__(self, t: Table, order: list[str], fast: bool, max_hypotheses: int | None, schema_options: dict):
         self.table, self.order = t, order
         self._parts: dict[str, Callable[[], DataFrame]] = {
             "schema": lambda: schema.infer_schema(t, **schema_options),
@@ -74,7 +74,7 @@ class Report(Mapping):
 
 
 def full_report(source, order_by: list[str] | None = None, id_cols: list[str] | None = None, fast: bool = False,
-                max_hypotheses: int = 10, **schema_options) -> Report:
+                max_hypotheses: int | None = None, **schema_options) -> Report:
     """Schema, statistics, findings, insights, hypotheses and time series as named DataFrames.
 
     ``fast`` leaves out hypotheses and time series. Results that follow the row order need ``order_by``.

@@ -32,10 +32,10 @@ def flatten_json_column(df: DataFrame, col: str, fields: dict[str, str] | None =
         *kept, "position", *[F.try_variant_get("__record", f"$.{k}", kind).alias(k) for k, kind in fields.items()], whole)
 
 
-def merge_pages(df: DataFrame, page_col: str, payload_col: str, limit: int = 100, max_pages: int | None = 10,
+def merge_pages(df: DataFrame, page_col: str, payload_col: str, limit: int = 100, max_pages: int | None = None,
                 fields: dict[str, str] | None = None) -> DataFrame:
     """Records of paged responses in page order, up to and including the first page with fewer than ``limit``
-    records. ``max_pages`` bounds the pages read, ``fields`` as in ``flatten_json_column``."""
+    records. ``max_pages`` reads the first pages only, ``fields`` as in ``flatten_json_column``."""
     pages = df.select(quoted(page_col), quoted(payload_col))
     if max_pages:
         pages = pages.orderBy(quoted(page_col)).limit(max_pages)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from lynceus.operators.values import quoted
 
-REPORT_LIMITS = {"correlations": 10, "outliers": 50}  # fixed values
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV folder with header; missing cells are empty, quotes are doubled."""
     nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct", "variant")}
@@ -17,16 +14,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
 
 
-def write_report(results: dict[str, DataFrame], path: str, data: DataFrame | None = None, sample_rows: int = 1000) -> None:
-    """One JSON folder per result, the first rows of the data and a ``metadata`` row with the ``truncated`` flag."""
+def write_report(results: dict[str, DataFrame], path: str, data: DataFrame | None = None,
+                 max_rows: int | None = None, limits: dict[str, int] | None = None) -> None:
+    """One JSON folder per result, the data and a ``metadata`` row.
+
+    ``limits`` keeps the first rows of the named results and ``max_rows`` those of the data, whose metadata then say
+    whether it is ``truncated``; by default everything is written.
+    """
     for name, result in results.items():
-        limit = REPORT_LIMITS.get(name)
+        limit = (limits or {}).get(name)
         (result.limit(limit) if limit else result).write.mode("overwrite").json(f"{path}/{name}")
     if data is not None:
-        data.limit(sample_rows).write.mode("overwrite").json(f"{path}/data")
+        truncated = F.lit(False) if max_rows is None else F.col("row_count") > max_rows
+        (data if max_rows is None else data.limit(max_rows)).write.mode("overwrite").json(f"{path}/data")
         data.agg(F.count(F.lit(1)).alias("row_count")).select(
             "row_count", F.lit(len(data.columns)).alias("column_count"),
-            F.array(*map(F.lit, data.columns)).alias("columns"), (F.col("row_count") > sample_rows).alias("truncated"),
+            F.array(*map(F.lit, data.columns)).alias("columns"), truncated.alias("truncated"),
         ).write.mode("overwrite").json(f"{path}/metadata")
 
 

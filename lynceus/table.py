@@ -123,14 +123,14 @@ class Table:
     def few_valued(self, least: int, most: int) -> list[str]:
         """Categorical columns with between ``least`` and ``most`` distinct values, in column order.
 
-        Distinct values are counted exactly only for columns a sketch finds small.
+        Distinct values are counted exactly only for columns a sketch of the same values finds small.
         """
         cats = self.categorical
         if not cats:
             return []
         if self._vc is None:
-            rough = self.df.agg(*[F.approx_count_distinct(quoted(c).cast("string") if not cells.is_nested_type(
-                self.df.schema[c].dataType) else self.text(c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
+            rough = self.df.agg(*[
+                F.approx_count_distinct(self.text(c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
             cats = [c for i, c in enumerate(cats) if rough[f"u{i}"] <= 2 * most + 10]
             if not cats:
                 return []
@@ -172,6 +172,17 @@ class Table:
                 facts.update(rows=r["rows"], null_count=r["null_count"], unique_count=r["unique_count"])
         return out
 
+    @cached_property
+    def near_duplicates(self) -> dict[str, int]:
+        """Per column the pairs of values that are equal without case and outer blanks, over all its values."""
+        cats = [c for c in self.categorical if not cells.is_moment_type(self.df.schema[c].dataType)]
+        if not cats:
+            return {}
+        folded = described(self.counts(cats, facts=True)).groupBy("column", "folded").agg(F.count("value").alias("n"))
+        pairs = folded.where(F.col("n") > 1).groupBy("column").agg(
+            F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
+        return {r["column"]: r["pairs"] for r in pairs.collect()}
+
     def counts(self, names: list[str], facts: bool = False) -> DataFrame:
         """Raw value counts of some columns, from the kept counts if there are any."""
         if self._vc is None:

@@ -64,12 +64,21 @@ def test_distributed_transform_equals_direct_sums(spark, n):
     rng = np.random.default_rng(n)
     x = rng.normal(3, 2, n)
     s = so.Series(frame(spark, x), ["y"], ["i"])
-    for whole in (4, so.WHOLE_SERIES):
-        sums = so.autocovariance_sums(s.placed(), s.keys, F.floor(F.col("n") / 2), whole).orderBy("lag").collect()
-        c = x - x.mean()
-        want = [float((c[: n - k] * c[k:]).sum()) for k in range(n // 2 + 1)]
-        assert [r["lag"] for r in sums] == list(range(n // 2 + 1))
-        assert np.allclose([r["total"] for r in sums], want, atol=1e-9)
+    c = x - x.mean()
+    want = [float((c[: n - k] * c[k:]).sum()) for k in range(n // 2 + 1)]
+    sums = so.autocovariance_sums(s.placed(), s.keys, F.floor(F.col("n") / 2)).orderBy("lag").collect()
+    assert [r["lag"] for r in sums] == list(range(n // 2 + 1))
+    assert np.allclose([r["total"] for r in sums], want, atol=1e-9)
+    for block in (4, 16, so.LAG_BLOCK):
+        sums = so.bounded_autocovariance_sums(s.placed(), s.keys, 4, block).orderBy("lag").collect()
+        assert [r["lag"] for r in sums] == list(range(5))
+        assert np.allclose([r["total"] for r in sums], want[:5], atol=1e-9)
+
+
+def test_lag_bound_beyond_the_series(spark):
+    x = [1.0, 3.0, 2.0, 5.0, 4.0]
+    got = ly.acf(frame(spark, x), ["y"], ["i"], max_lag=50)
+    assert [r["lag"] for r in got.orderBy("lag").collect()] == [2, 3, 4]
 
 
 def test_weekly_season(spark):

@@ -118,8 +118,8 @@ ORACLES["value_counts"] = f"""SELECT "column", value, CAST(length(value) AS BIGI
 FROM ({value_counts_sql('part', COLUMNS['part'])})"""
 
 
-# equally frequent values: by value, texts above 128 characters by their SHA-256 after the "#" block
-TIE = "CASE WHEN length(value) > 128 THEN repeat('#', 65) || sha256(value) ELSE value END"
+# equally frequent values: by their first 128 characters, then by SHA-256
+TIE = "CASE WHEN length(value) > 128 THEN left(value, 128) || sha256(value) ELSE value END"
 
 
 def categorical_sql(source: str, cols: list[str], k: int = 10, value: str = "value") -> str:
@@ -231,21 +231,24 @@ SELECT t."column", value, cnt AS value_count, round(cnt / t.n, 6) AS share, roun
 cnt / top > 0.6 AS imbalanced, cnt / t.n > 0.7 AS dominated, cnt / t.n > 0.9 AS nearly_constant FROM t JOIN s ON t."column" = s."column" WHERE k = 1"""
 
 
+SIZED = "(SELECT *, CASE WHEN n_chars > 200 THEN 'long' ELSE 'short' END AS size FROM documents)"
+
+
 def segments_sql(source: str, cats: list[str], nums: list[str]) -> str:
     parts = union([
         f"""SELECT {i} AS place, '{c}' AS "column", value, size, '{m}' AS measure, m{j} AS segment_mean, 100 * (m{j} - o{j}) / o{j} AS difference_percent
         FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS size, {', '.join(f'avg({x}) AS m{y}' for y, x in enumerate(nums))} FROM {source} q
-              WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY size DESC, value LIMIT 5) g,
+              WHERE {c} IS NOT NULL GROUP BY 1) g,
              (SELECT {', '.join(f'avg({x}) AS o{y}' for y, x in enumerate(nums))} FROM {source} q) o
         WHERE size >= 10 AND (SELECT count(DISTINCT {c}) BETWEEN 2 AND 10 FROM {source} q)"""
         for i, c in enumerate(cats) for j, m in enumerate(nums)])
     return f"""WITH p AS ({parts}),
 k AS (SELECT *, dense_rank() OVER (ORDER BY place, size DESC, value) AS segment_order FROM p WHERE abs(difference_percent) > 10)
 SELECT segment_order, "column", value, size, round(size / (SELECT count(*) FROM {source} q), 4) AS share, measure,
-round(segment_mean, 4) AS segment_mean, round(difference_percent, 4) AS difference_percent FROM k WHERE segment_order <= 5"""
+round(segment_mean, 4) AS segment_mean, round(difference_percent, 4) AS difference_percent FROM k"""
 
 
-ORACLES["segment_profile"] = segments_sql("documents", ["lang", "source"], ["doc_id", "n_chars"])
+ORACLES["segment_profile"] = segments_sql(SIZED, ["lang", "source", "size"], ["doc_id", "n_chars"])
 SHAPED = "(SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 ORACLES["distribution_shape"] = "WITH " + ",\n".join(
     stats_cte(f"s{i}", SHAPED, c) for i, c in enumerate(["doc_id", "n_chars", "quality", "toxic"])) + "\n" + union([
@@ -424,6 +427,8 @@ u AS (SELECT *, 100 * (b - a) / CASE WHEN a <> 0 THEN abs(a) WHEN m <> 0 THEN ab
   CASE WHEN slope > abs(m) * 0.05 / n THEN 'up' WHEN slope < -abs(m) * 0.05 / n THEN 'down' ELSE 'stable' END AS dir FROM t)"""
 KEPT = "n >= 5 AND (dir <> 'stable' OR abs(chg) > 5)"
 EVENT_SERIES = [("events", "event_type", "value", "ts, event_id")]
+SEASONAL = "(SELECT strftime(l_shipdate, '%Y-%m') AS month, sum(l_quantity) AS quantity, sum(l_tax * 100) AS tax, sum(l_quantity * month(l_shipdate)) AS weighted FROM lineitem GROUP BY 1)"
+SEASONAL_SERIES = [(SEASONAL, "1", c, "month") for c in ("quantity", "tax", "weighted")]
 MONTH_SERIES = [(MONTHLY, "1", "quantity", "month"), (MONTHLY, "1", "tax", "month")]
 
 
@@ -481,13 +486,13 @@ PEAKS = """e AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS f FROM p WINDOW
 peaks AS (SELECT * FROM e WHERE v > b AND v > f)"""
 ORACLES["acf"] = acf_sql([(HOURLY, "1", "total", "hour")], "", "floor(x.n / 2)")
 ORACLES["acf_events"] = acf_sql(EVENT_SERIES, "k AS event_type, ", "24")
-ORACLES["seasonality"] = f"""WITH {series_cte(MONTH_SERIES)}, {acf_cte('floor(x.n / 2)', 8)}, {SEASON}, {PEAKS},
+ORACLES["seasonality"] = f"""WITH {series_cte(SEASONAL_SERIES)}, {acf_cte('floor(x.n / 2)', 8)}, {SEASON}, {PEAKS},
 ten AS (SELECT k, c, string_agg(idx, ',' ORDER BY idx) AS peaks FROM (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY idx) AS rk FROM peaks) WHERE rk <= 10 GROUP BY 1, 2)
 SELECT best.c AS "column", lag AS period, round(acf, 6) AS strength,
 CASE lag WHEN 7 THEN 'weekly' WHEN 12 THEN 'monthly' WHEN 4 THEN 'quarterly' WHEN 24 THEN 'hourly' END AS label, coalesce(peaks, '') AS peaks
 FROM best LEFT JOIN ten ON best.k = ten.k AND best.c = ten.c WHERE rk = 1"""
 ORACLES["local_peaks"] = f"""WITH {series_cte(EVENT_SERIES)}, {PEAKS} SELECT k AS event_type, c AS "column", idx, v AS value FROM peaks"""
-ORACLES["time_series_report"] = f"""WITH RECURSIVE {series_cte(MONTH_SERIES)}, {change_cte(20)}, {acf_cte('floor(x.n / 2)', 20)}, {SEASON}
+ORACLES["time_series_report"] = f"""WITH RECURSIVE {series_cte(SEASONAL_SERIES)}, {change_cte(20)}, {acf_cte('floor(x.n / 2)', 20)}, {SEASON}
 SELECT r.c AS "column", 'change_point' AS finding, r.idx AS position, round(sig, 4) AS strength, round(bm, 4) AS before_mean,
 round(am, 4) AS after_mean, CASE WHEN am > bm THEN 'increase' ELSE 'decrease' END AS direction
 FROM ranked r JOIN greedy g ON g.k = r.k AND g.c = r.c AND g.added = r.idx
@@ -588,13 +593,13 @@ listed AS (SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY by_name, pl
 ALL_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "net_price", "unit_price", "quantity_tax", "order_size"]
 ORACLES["confounders"] = f"""WITH {confounder_cte(MEASURES, MEASURE_COLUMNS, ALL_MEASURES)}
 SELECT position, x AS confounder, CASE by_name WHEN 1 THEN 'name' ELSE 'correlation' END AS basis FROM listed
-WHERE c1 = 'l_quantity' AND c2 = 'l_extendedprice' AND position < 5"""
+WHERE c1 = 'l_quantity' AND c2 = 'l_extendedprice'"""
 
 
 def correlation_hypotheses(source: str, cols: list[str], all_cols: list[str]) -> str:
     return f"""{confounder_cte(source, cols, all_cols)},
-top AS (SELECT * FROM m WHERE abs(r) >= 0.4 ORDER BY abs(r) DESC, column1, column2 LIMIT 5),
-hc AS (SELECT top.*, (SELECT count(*) FROM listed WHERE c1 = column1 AND c2 = column2 AND position < 5) AS k, (SELECT count(*) FROM {source} q) AS rows FROM top),
+top AS (SELECT * FROM m WHERE abs(r) >= 0.4),
+hc AS (SELECT top.*, (SELECT count(*) FROM listed WHERE c1 = column1 AND c2 = column2) AS k, (SELECT count(*) FROM {source} q) AS rows FROM top),
 hcorr AS (SELECT 'correlation' AS kind, column1, column2,
  CAST(greatest(30, least(95, round(abs(r) * 80) + CASE WHEN rows > 1000 THEN 10 WHEN rows < 100 THEN -10 ELSE 0 END - CASE WHEN k > 2 THEN 10 ELSE 0 END)) AS DOUBLE) AS confidence,
  {direction('column1', 'column2')} AS interpretation, r AS statistic, CAST(NULL AS DOUBLE) AS p_value, k FROM hc)"""
@@ -624,12 +629,12 @@ def group_hypotheses(source: str, cats: list[str], nums: list[str]) -> str:
 SHOWN = "kind, column1, column2, round(confidence, 4) AS confidence, interpretation, round(statistic, 4) AS statistic, round(p_value, 4) AS p_value"
 ORACLES["hypotheses_correlation"] = f"""WITH {correlation_hypotheses(MEASURES, MEASURE_COLUMNS, ALL_MEASURES)}
 SELECT {SHOWN}, CAST(k AS INTEGER) AS n_confounders FROM hcorr"""
-ORACLES["hypotheses_group_difference"] = f"""WITH {group_hypotheses('documents', ['lang', 'source'], ['n_chars'])} SELECT {SHOWN} FROM hgroup"""
+ORACLES["hypotheses_group_difference"] = f"""WITH {group_hypotheses(SIZED, ['lang', 'source', 'size'], ['doc_id', 'n_chars'])} SELECT {SHOWN} FROM hgroup"""
 ORACLES["hypotheses_anomaly"] = f"""WITH {anomaly_hypotheses('events', ['value', 'user_id'])} SELECT {SHOWN} FROM hanom"""
 ORACLES["hypotheses"] = f"""WITH {correlation_hypotheses(MEASURES, MEASURE_COLUMNS, ALL_MEASURES)},
-{group_hypotheses(MEASURES, ['l_returnflag', 'l_linestatus'], MEASURE_COLUMNS[:3])}, {anomaly_hypotheses(MEASURES, MEASURE_COLUMNS)},
+{group_hypotheses(MEASURES, ['l_returnflag', 'l_linestatus'], MEASURE_COLUMNS)}, {anomaly_hypotheses(MEASURES, MEASURE_COLUMNS)},
 every AS (SELECT 1 AS o, * EXCLUDE (k) FROM hcorr UNION ALL SELECT 2, * FROM hgroup UNION ALL SELECT 4, * FROM hanom)
-SELECT {SHOWN} FROM (SELECT * FROM every ORDER BY every.confidence DESC, o, column1, column2 LIMIT 10)"""
+SELECT {SHOWN} FROM every"""
 ORACLES["correlation_insights"] = f"""SELECT column1, column2, round(r, 6) AS value, round(r * r, 6) AS r_squared,
 CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'surprisingly_weak' END AS kind FROM ({pairs_sql(MEASURES, MEASURE_COLUMNS)})
 WHERE abs(r) > 0.7 OR (abs(r) < 0.1 AND {related('column1', 'column2')})"""
@@ -729,7 +734,7 @@ def keys_cte(tables: dict[str, list[str]], named: str) -> str:
             rows.append(f"""SELECT {i} AS id, '{t}' AS "table", '{c}' AS "column", count(DISTINCT {c}) AS unique_count, count({c}) AS total_count FROM {t}""")
             i += 1
     return f"""allcols AS ({union(rows)}), keyed AS (SELECT *, {named.format(c='"column"')} AS named_key FROM allcols),
-keys AS (SELECT * FROM keyed WHERE total_count > 0 AND (named_key OR unique_count > 0.5 * total_count))"""
+keys AS MATERIALIZED (SELECT * FROM keyed WHERE total_count > 0 AND (named_key OR unique_count > 0.5 * total_count))"""
 
 
 ORACLES["candidate_keys"] = f"""WITH {keys_cte(COLUMNS, KEY_NAME)} SELECT "table", "column", unique_count, total_count, named_key FROM keys"""
@@ -751,14 +756,15 @@ SELECT 'doc_id' AS "column", n AS value_count, k AS orphan_count, round(100.0 *
 
 
 def relations_cte(tables: dict[str, list[str]], named: str, bare: str) -> str:
-    values = union([f"""SELECT DISTINCT {i} AS id, {canon(c, c in DOUBLES)} AS v FROM {t}""" for i, (t, c) in enumerate(
-        (t, c) for t, cols in tables.items() for c in cols) if c not in ("embedding", "text", "html")])
+    values = union([f"""SELECT DISTINCT {i} AS id, {canon(c, c in DOUBLES)} AS v FROM {t} WHERE {i} IN (SELECT a FROM pairs UNION SELECT b FROM pairs)""" for i, (t, c) in enumerate(
+        (t, c) for t, cols in tables.items() for c in cols)])
     name = [bare.format(c=f'{x}."column"') for x in "ab"]
     return f"""{keys_cte(tables, named)},
-pairs AS (SELECT a.id AS a, b.id AS b, {match_type(*name)} AS match_type FROM keys a, keys b WHERE a.id < b.id AND a."table" <> b."table"),
+pairs AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, {match_type(*name)} AS match_type FROM keys a, keys b
+ WHERE a.id < b.id AND a."table" <> b."table") WHERE match_type IS NOT NULL),
 vals AS ({values}),
 hits AS (SELECT p.a, p.b, p.match_type, count(*) AS matched FROM pairs p JOIN vals x ON x.id = p.a JOIN vals y ON y.id = p.b AND x.v = y.v
- WHERE match_type IS NOT NULL AND x.v IS NOT NULL GROUP BY 1, 2, 3),
+ WHERE x.v IS NOT NULL GROUP BY 1, 2, 3),
 rel AS (SELECT a."table" AS source_table, a."column" AS source_column, b."table" AS target_table, b."column" AS target_column,
  CASE WHEN a.unique_count > 0.95 * a.total_count THEN CASE WHEN b.unique_count > 0.95 * b.total_count THEN 'one_to_one' ELSE 'one_to_many' END
       WHEN b.unique_count > 0.95 * b.total_count THEN 'many_to_one' ELSE 'many_to_many' END AS relationship_type, match_type,
@@ -798,7 +804,7 @@ def quality_ctes(source: str, cols: list[str], nums: list[str]) -> str:
  FROM (SELECT count(*) FILTER ({c} < p25 - 1.5 * (p75 - p25) OR {c} > p75 + 1.5 * (p75 - p25)) AS k, count(*) AS n FROM {source} q, z{i}) WHERE k > 0""" for i, c in enumerate(nums)]
     parts += [f"""SELECT 'many_values', '{c}', 'warning', u, 100.0 * u / n FROM (SELECT count(DISTINCT {c}) AS u, count(*) AS n FROM {source} q) WHERE u > 0.9 * n AND n > 100""" for c in cats]
     parts += [f"""SELECT 'near_duplicate', '{c}', 'warning', CAST(2 * sum(g * (g - 1) // 2) AS BIGINT), NULL FROM (SELECT count(*) AS g FROM
- (SELECT CAST({c} AS VARCHAR) AS v FROM {source} q WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) GROUP BY lower(trim(v))) HAVING sum(g * (g - 1) // 2) > 0""" for c in cats]
+ (SELECT CAST({c} AS VARCHAR) AS v FROM {source} q WHERE {c} IS NOT NULL GROUP BY 1) GROUP BY lower(trim(v))) HAVING sum(g * (g - 1) // 2) > 0""" for c in cats]
     parts.append(f"""SELECT 'duplicate', NULL, CASE WHEN 100.0 * k / n > 10 THEN 'critical' ELSE 'warning' END, k, 100.0 * k / n
  FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source} d)) AS k FROM {source} q) WHERE k > 0""")
     stats = ",\n".join(stats_cte(f"z{i}", source, c) for i, c in enumerate(nums))
@@ -851,7 +857,7 @@ every AS (SELECT 'common_columns' AS kind, table1, table2, CAST(least(90, 50 + 1
 UNION ALL SELECT 'schema_similarity', table1, table2, 85, columns, k / greatest(w1, w2) FROM common WHERE k / greatest(w1, w2) > 0.7
 UNION ALL SELECT 'possible_join', a.t, b.t, 70, a.c || ',' || b.c, 1 FROM cat a JOIN cat b ON a.p < b.p AND a.c <> b.c
  WHERE {any_word('lower(a.c)', 'id _id key code')} AND {any_word('lower(b.c)', 'id _id key code')} AND {similar_names('a.c', 'b.c')})
-SELECT kind, table1, table2, confidence, columns, round(measure, 6) AS measure, x.n AS rows1, y.n AS rows2 FROM every JOIN sizes x ON x.t = table1 JOIN sizes y ON y.t = table2 ORDER BY confidence DESC, kind, table1, table2, columns LIMIT 10"""
+SELECT kind, table1, table2, confidence, columns, round(measure, 6) AS measure, x.n AS rows1, y.n AS rows2 FROM every JOIN sizes x ON x.t = table1 JOIN sizes y ON y.t = table2"""
 ORDER_ROW = " || ".join(f"coalesce(length({canon(c, c in DOUBLES)}) || ':' || {canon(c, c in DOUBLES)}, '-')"
                         for c in COLUMNS["orders"])
 ORACLES["dataset_fingerprint"] = f"""SELECT 'orders' AS name, count(*) AS row_count, 6 AS column_count, '{'|'.join(COLUMNS['orders'])}' AS columns,
@@ -880,7 +886,7 @@ g AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), o AS
 every AS (SELECT 'no_missing' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(0 AS DOUBLE) AS value FROM lineitem HAVING count(*) > 1000
  AND count(*) * 4 = count(l_quantity) + count(l_discount) + count(l_tax) + count(l_returnflag)
 UNION ALL SELECT 'no_correlation', NULL, max(abs(r)) FROM m HAVING max(abs(r)) < 0.1 AND count(*) >= 3
-UNION ALL SELECT 'equal_means', 'l_returnflag', max(abs(m - mm)) FROM g, o WHERE (SELECT count(*) > 1000 AND stddev_pop(l_quantity) > 10 FROM lineitem) HAVING max(abs(m - mm)) < 1 AND max(k) >= 3)
+UNION ALL SELECT 'equal_means', 'l_returnflag, l_quantity', max(abs(m - mm)) FROM g, o WHERE (SELECT count(*) > 1000 AND stddev_pop(l_quantity) > 10 FROM lineitem) HAVING max(abs(m - mm)) < 1 AND max(k) >= 3)
 SELECT "check", "column", round(value, 5) AS value, (SELECT count(*) FROM every) >= 2 AS synthetic FROM every"""
 ORACLES["eda_findings"] = f"""WITH {series_cte(MONTH_SERIES)}, {TREND}, m AS (SELECT corr(quantity, tax) AS r FROM {MONTHLY} q),
 {stats_cte('z0', MONTHLY, 'quantity')}, {stats_cte('z1', MONTHLY, 'tax')},
@@ -905,7 +911,7 @@ sh AS ({union([f"SELECT {i} AS i, '{c}' AS c, skew, mean, lo, hi, sd FROM z{i}"
 an AS (SELECT count(*) FILTER (z > 2.5) AS k, count(*) AS n FROM (SELECT CASE WHEN {' + '.join(f'(({c} IS NOT NULL)::INT)' for c in UNTIDY_NUMBERS)} >= 2 THEN
  ({' + '.join(f'coalesce(abs(({c} - z{i}.mean) / z{i}.sd), 0)' for i, c in enumerate(UNTIDY_NUMBERS))}) / ({' + '.join(f'(({c} IS NOT NULL)::INT)' for c in UNTIDY_NUMBERS)}) END AS z FROM {UNTIDY} q, z0, z1, z2, z3)),
 dom AS ({union([f"SELECT '{c}' AS c, max(k) / sum(k) AS share FROM (SELECT count({c}) AS k FROM {UNTIDY} q GROUP BY {c})" for c in UNTIDY_COLUMNS[4:]])}),
-sim AS ({similar_sql(UNTIDY, UNTIDY_NUMBERS)}), seg AS ({segments_sql(UNTIDY, UNTIDY_COLUMNS[4:], UNTIDY_NUMBERS[:3])}),
+sim AS ({similar_sql(UNTIDY, UNTIDY_NUMBERS)}), seg AS ({segments_sql(UNTIDY, UNTIDY_COLUMNS[4:], UNTIDY_NUMBERS)}),
 deep AS (SELECT issue AS insight, 'quality' AS type, severity, CAST(95 AS DOUBLE) AS confidence, coalesce("column", '') AS columns FROM issues
 UNION ALL SELECT 'skewed', 'anomaly', 'info', 85, c FROM sh WHERE abs(skew) > 2
 UNION ALL SELECT 'concentrated', 'anomaly', 'info', 70, c FROM sh WHERE (mean - lo) / nullif(hi - lo, 0) < 0.2 OR (mean - lo) / nullif(hi - lo, 0) > 0.8

@@ -55,6 +55,14 @@ def monthly_lineitem(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_tax") * 100).alias("tax"))).stored()
 
 
+def seasonal_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly sums, one of them rising within every year."""
+    li = load(spark, sf, "lineitem")
+    return ly.Table(li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
+        F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_tax") * 100).alias("tax"),
+        F.sum(F.col("l_quantity") * F.month("l_shipdate")).alias("weighted"))).stored()
+
+
 def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.sum("value").alias("total"))
@@ -79,6 +87,10 @@ def spelled_priorities(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", "o_totalprice", label.alias("label"))
 
 
+def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").withColumn("size", F.when(F.col("n_chars") > 200, "long").otherwise("short"))
+
+
 def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
@@ -120,7 +132,7 @@ def read_auto(spark, sf):
 def write_report(spark, sf):
     path = scratch(spark)
     o = load(spark, sf, "orders")
-    ly.write_report({"issues": ly.quality_issues(o.select("o_orderkey", "o_orderstatus", "o_totalprice"))}, path, o)
+    ly.write_report({"issues": ly.quality_issues(o.select("o_orderkey", "o_orderstatus", "o_totalprice"))}, path, o, max_rows=1000)
     return spark.read.json(f"{path}/metadata").select("row_count", "column_count", "truncated")
 
 
@@ -426,8 +438,7 @@ def dominant_values(spark, sf):
 
 @query
 def segment_profile(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
-    return rounded(ly.segment_profile(d), 4)
+    return rounded(ly.segment_profile(sized_documents(spark, sf)), 4)
 
 
 @query
@@ -514,7 +525,7 @@ def acf_events(spark, sf):
 
 @query
 def seasonality(spark, sf):
-    return rounded(ly.seasonality(monthly_lineitem(spark, sf), None, ["month"]).withColumn("peaks", F.concat_ws(",", "peaks")))
+    return rounded(ly.seasonality(seasonal_lineitem(spark, sf), None, ["month"]).withColumn("peaks", F.concat_ws(",", "peaks")))
 
 
 @query
@@ -524,7 +535,7 @@ def local_peaks(spark, sf):
 
 @query
 def time_series_report(spark, sf):
-    return rounded(ly.time_series_report(monthly_lineitem(spark, sf), None, ["month"]), 4)
+    return rounded(ly.time_series_report(seasonal_lineitem(spark, sf), None, ["month"]), 4)
 
 
 @query
@@ -599,7 +610,7 @@ def hypotheses_correlation(spark, sf):
 
 @query
 def hypotheses_group_difference(spark, sf):
-    return hypothesis_numbers(ly.hypotheses_group_difference(load(spark, sf, "documents").select("n_chars", "lang", "source")))
+    return hypothesis_numbers(ly.hypotheses_group_difference(sized_documents(spark, sf)))
 
 
 @query
