@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.names import KEY_PATTERNS, looks_like_key, match_type_of_rank, name_tokens
-from lynceus.operators.values import SLOTS, grouping_key, native_counts, quoted, text_of
+from lynceus.operators.values import SLOTS, grouping_key, native_counts, quoted, slot_of, spell_out, text_of
 from lynceus.table import Table
 
 MIN_CONFIDENCE = 30
@@ -38,45 +39,61 @@ def _key_names(tables: dict[str, Table], patterns) -> dict[str, bool]:
     return {r["column"]: r["key"] for r in names.select("column", looks_like_key(F.col("column"), patterns).alias("key")).collect()}
 
 
-def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
-    """Columns whose name looks like a key or whose distinct share exceeds one half.
+def _cheap_value(t: Table, col: str) -> Column:
+    """As many distinct and missing values as the canonical text, without making text of numbers and dates."""
+    slot = slot_of(t.df.schema[col].dataType)
+    return t.text(col) if slot == "text" else t.number(col) if slot == "real" else quoted(col)
+
 
-    Rows (table, column, unique_count, total_count, named_key). Columns that are not named like a key are counted
-    exactly only if a sketch of the same values (missing ones left out) does not show them to be far below one half.
+def _worth_counting(tables: dict[str, Table], patterns) -> list[tuple[str, str, bool]]:
+    """Columns (table, column, named like a key) that may be keys, in table and column order.
+
+    Columns that are not named like a key are left out if a sketch of their values shows them to be far below one half
+    distinct; it errs by a few percent. Missing cells are left out of it, as they are of the exact counts.
     """
-    tables, sketched = _as_tables(tables), []
+    named, sketched = _key_names(tables, patterns), []
     for name, t in tables.items():
-        aggregates, records = [], []
-        for i, c in enumerate(t.columns):
-            text = t.text(c)
-            aggregates += [F.approx_count_distinct(text, 0.05).alias(f"u{i}"), F.count(text).alias(f"n{i}")]
-            records.append(F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"),
-                                    F.col(f"u{i}").alias("u"), F.col(f"n{i}").alias("n")))
-        sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*records))))
-    rough = {(r["table"], r["column"]): (r["u"], r["n"]) for r in reduce(DataFrame.unionByName, sketched).collect()}
-    named = _key_names(tables, key_patterns)
-    # the sketch errs by a few percent; far below one half it may only be used to skip work
-    kept = [(n, c) for (n, c), (u, total) in rough.items() if total and (named[c] or u > 0.25 * total)]
-    schema = "table string, column string, unique_count bigint, total_count bigint, named_key boolean"
-    if not kept:
-        return next(iter(tables.values())).spark.createDataFrame([], schema)
-    counts = native_counts([(tables[n].df, c) for n, c in kept])
+        rest = [c for c in t.columns if not named[c]]
+        if rest:
+            aggregates = [F.struct(
+                F.lit(name).alias("table"), F.lit(c).alias("column"), F.approx_count_distinct(v, 0.05).alias("u"),
+                F.count(v).alias("n")).alias(f"f{i}") for i, (c, v) in enumerate((c, _cheap_value(t, c)) for c in rest)]
+            sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*[f"f{i}" for i in range(len(rest))]))))
+    rough = reduce(DataFrame.unionByName, sketched).collect() if sketched else []
+    near = {(r["table"], r["column"]) for r in rough if r["n"] and r["u"] > 0.25 * r["n"]}
+    return [(n, c, named[c]) for n, t in tables.items() for c in t.columns if named[c] or (n, c) in near]
+
+
+def _key_facts(counts: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
+    """Rows (id, table, column, unique_count, total_count, named_key) of the candidate keys among counted columns."""
     # counted with a condition instead of filtered: a filter would move below the aggregation and run on every row
     filled = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS if s in counts.columns])
-
-    def at(values: list) -> Column:
-        return F.array(*[F.lit(v) for v in values])[F.col("id")]
-
+    facts = F.array(*[F.struct(F.lit(n).alias("table"), F.lit(c).alias("column"), F.lit(named).alias("named_key"))
+                      for n, c, named in columns])
     return (
         counts.groupBy("id").agg(
             F.count_if(filled).alias("unique_count"),
             F.coalesce(F.sum(F.when(filled, F.col("cnt"))), F.lit(0)).alias("total_count"))
-        .select(at([n for n, _ in kept]).alias("table"), at([c for _, c in kept]).alias("column"), "unique_count",
-                "total_count", at([named[c] for _, c in kept]).alias("named_key"))
-        .where(F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count")))
+        .select("id", facts[F.col("id")].alias("facts"), "unique_count", "total_count")
+        .select("id", "facts.table", "facts.column", "unique_count", "total_count", "facts.named_key")
+        .where((F.col("total_count") > 0)
+               & (F.col("named_key") | (F.col("unique_count") > KEY_SHARE * F.col("total_count"))))
     )
 
 
+def candidate_keys(tables, key_patterns=KEY_PATTERNS) -> DataFrame:
+    """Columns whose name looks like a key or whose distinct share exceeds one half.
+
+    Rows (table, column, unique_count, total_count, named_key).
+    """
+    tables = _as_tables(tables)
+    columns = _worth_counting(tables, key_patterns)
+    if not columns:
+        schema = "table string, column string, unique_count bigint, total_count bigint, named_key boolean"
+        return next(iter(tables.values())).spark.createDataFrame([], schema)
+    return _key_facts(native_counts([(tables[n].df, c) for n, c, _ in columns]), columns).drop("id")
+
+
 def relationship_type(source_unique: Column, source_total: Column, target_unique: Column, target_total: Column) -> Column:
     first = source_unique / source_total > PRIMARY_SHARE
     second = target_unique / target_total > PRIMARY_SHARE
@@ -103,6 +120,29 @@ def _named_pairs(keys: DataFrame, strip_prefix: str | None) -> DataFrame:
     )
 
 
+def _shared_values(distinct: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Rows (id, id2, matched): how many values the columns of each pair share.
+
+    Values held by the same set of columns are counted together first, so pairs are formed per set, not per value.
+    """
+    partners: dict[int, list[int]] = {}
+    for a, b in pairs:
+        partners.setdefault(a, []).append(b)
+    used = sorted({i for pair in pairs for i in pair})
+    values = distinct.select(text_of(distinct).alias("v"), F.when(F.col("id").isin(*used), F.col("id")).alias("id"))
+    # ids are columns, so a set is small whatever the value; missing values collect no id
+    holders = values.groupBy("v").agg(F.array_sort(F.collect_set(F.when(F.col("v").isNotNull(), F.col("id")))).alias("ids"))
+    sets = holders.groupBy("ids").agg(F.count(F.lit(1)).alias("matched")).where(F.size("ids") > 1)
+    # each set asks a lookup from column to later partners, then keeps the partners that are in it too
+    lookup = F.map_from_arrays(
+        F.array(*[F.lit(a) for a in partners]), F.array(*[F.array(*[F.lit(b) for b in bs]) for bs in partners.values()]))
+    return (
+        sets.select("ids", "matched", F.explode("ids").alias("id"))
+        .select("id", "matched", F.explode(F.array_intersect("ids", lookup[F.col("id")])).alias("id2"))
+        .groupBy("id", "id2").agg(F.sum("matched").alias("matched"))
+    )
+
+
 def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | None = None) -> DataFrame:
     """Column pairs of different tables with matching names, shared values and a confidence of 30 or more.
 
@@ -110,34 +150,23 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
     """
     named = _as_tables(tables)
     spark = next(iter(named.values())).spark
-    order = {(n, c): i for i, (n, c) in enumerate((n, c) for n, t in named.items() for c in t.columns)}
-    # metadata from here to ``pairs``: one row per candidate column
-    found = [(order[r["table"], r["column"]], *r) for r in candidate_keys(named, key_patterns).collect()]
-    if len(named) < 2 or not found:
+    columns = _worth_counting(named, key_patterns)
+    if len(named) < 2 or not columns:
         return spark.createDataFrame([], RELATIONSHIP_SCHEMA)
-    keys = spark.createDataFrame(found, "id int, table string, column string, unique_count bigint, total_count bigint, named_key boolean")
-    pairs = [(r["id"], r["id2"], r["rank"]) for r in _named_pairs(keys, strip_prefix).collect()]
-    if not pairs:
+    # the columns are counted once, for their own numbers and for what they share
+    distinct = native_counts([(named[n].df, c) for n, c, _ in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # metadata from here on: one row per candidate column, then per pair of columns with matching names
+        keys = spark.createDataFrame(
+            _key_facts(distinct, columns).collect(),
+            "id int, table string, column string, unique_count bigint, total_count bigint, named_key boolean")
+        pairs = [tuple(r) for r in _named_pairs(keys, strip_prefix).collect()]
+        shared = _shared_values(distinct, [(a, b) for a, b, _ in pairs]).collect() if pairs else []
+    finally:
+        distinct.unpersist()
+    if not shared:
         return spark.createDataFrame([], RELATIONSHIP_SCHEMA)
-    used = sorted({i for a, b, _ in pairs for i in (a, b)})
-    columns = {i: nc for nc, i in order.items()}
-    distinct = native_counts([(named[columns[i][0]].df, columns[i][1]) for i in used])
-    values = distinct.select(
-        text_of(distinct).alias("v"), F.array(*[F.lit(i) for i in used])[F.col("id")].alias("id"))
-    # ids are columns, so a set is small whatever the value; missing values collect no id
-    holders = values.groupBy("v").agg(F.collect_set(F.when(F.col("v").isNotNull(), F.col("id"))).alias("ids"))
-    # each value asks a lookup from column to later partners, then keeps the partners that hold it too
-    partners: dict[int, list[int]] = {}
-    for a, b, _ in pairs:
-        partners.setdefault(a, []).append(b)
-    lookup = F.map_from_arrays(
-        F.array(*[F.lit(a) for a in partners]), F.array(*[F.array(*[F.lit(b) for b in bs]) for bs in partners.values()]))
-    matched = (
-        holders.where(F.size("ids") > 1)
-        .select("ids", F.explode("ids").alias("id"))
-        .select("id", F.explode(F.array_intersect("ids", lookup[F.col("id")])).alias("id2"))
-        .groupBy("id", "id2").agg(F.count(F.lit(1)).alias("matched"))
-    )
+    matched = spark.createDataFrame(shared, "id int, id2 int, matched bigint")
     ranks = spark.createDataFrame(pairs, "id int, id2 int, rank int")
     first = keys.select("id", F.col("table").alias("source_table"), F.col("column").alias("source_column"),
                         F.col("unique_count").alias("source_unique"), F.col("total_count").alias("source_total"))
@@ -161,18 +190,16 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
     )
 
 
-def _sides(a, a_col: str, b, b_col: str, text: bool = False) -> DataFrame:
-    """One row per distinct value with the sides holding it. Copies of a value merge before the shuffle."""
+def _sides(a, a_col: str, b, b_col: str) -> DataFrame:
+    """One row per distinct value (long texts by digest) with the sides holding it. Copies of a value merge before the
+    shuffle."""
     a, b = Table.of(a), Table.of(b)
 
     def side(t: Table, c: str, left: bool) -> DataFrame:
-        value = t.text(c)
-        shown = [value.alias("text")] if text else []
-        return t.df.select(grouping_key(value).alias("v"), *shown, F.lit(left).alias("l"), F.lit(not left).alias("r"))
+        return t.df.select(grouping_key(t.text(c)).alias("v"), F.lit(left).alias("l"), F.lit(not left).alias("r"))
 
     both = side(a, a_col, True).unionByName(side(b, b_col, False)).where(F.col("v").isNotNull())
-    extra = [F.first("text").alias("text")] if text else []
-    return both.groupBy("v").agg(F.max("l").alias("l"), F.max("r").alias("r"), *extra)
+    return both.groupBy("v").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
 def value_overlap(a, a_col: str, b, b_col: str) -> DataFrame:
@@ -204,13 +231,16 @@ def orphan_reasons(share: Column) -> Column:
 
 
 def orphans(a, a_col: str, b, b_col: str, sample: int = 10) -> DataFrame:
-    """Values of ``a`` without a partner in ``b``: count, share, the first few values and likely reasons."""
-    sides = _sides(a, a_col, b, b_col, text=True)
+    """Values of ``a`` without a partner in ``b``: count, share, the first few values and likely reasons.
+
+    The first values are those with the smallest ``grouping_key``.
+    """
+    t, sides = Table.of(a), _sides(a, a_col, b, b_col)
     counted = sides.agg(F.count_if("l").alias("values"), F.count_if(F.col("l") & ~F.col("r")).alias("orphan_count"))
-    shown = (
-        sides.where(F.col("l") & ~F.col("r")).orderBy("text").limit(sample)
-        .agg(F.array_sort(F.collect_list("text")).alias("sample_orphans"))
-    )
+    first = sides.where(F.col("l") & ~F.col("r")).orderBy("v").limit(sample)
+    first = spell_out(t.df, first.select(F.lit(a_col).alias("column"), F.col("v").alias("value")),
+                      [a_col] if slot_of(t.df.schema[a_col].dataType) == "text" else [])
+    shown = first.agg(F.array_sort(F.collect_list("value")).alias("sample_orphans"))
     both = counted.unionByName(shown, allowMissingColumns=True)
     one = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
     share = F.coalesce(F.try_divide(100.0 * F.col("orphan_count"), F.col("values")), F.lit(0.0))
@@ -234,6 +264,14 @@ def orphan_report(tables, relationships: DataFrame | None = None) -> DataFrame:
     return side("source", "target").unionByName(side("target", "source"))
 
 
+def _join_key(t: Table, col: str, other: Table, other_col: str) -> Column:
+    """The column itself where both sides are whole numbers, dates or timestamps, so that filters on it reach the scan;
+    else the canonical text."""
+    dtype = t.df.schema[col].dataType
+    plain = dtype == other.df.schema[other_col].dataType and slot_of(dtype) in ("whole", "day", "moment")
+    return quoted(col) if plain else t.text(col)
+
+
 def join_related(a, b, a_col: str, b_col: str, kind: str = "one_to_many") -> DataFrame:
     """Join two tables along a relationship: LEFT for one_to_many, else INNER.
 
@@ -241,8 +279,8 @@ def join_related(a, b, a_col: str, b_col: str, kind: str = "one_to_many") -> Dat
     either side, which an outer join cannot do on its right side.
     """
     a, b = Table.of(a), Table.of(b)
-    left = a.df.withColumn("__key", a.text(a_col))
-    right = b.df.withColumn("__key", b.text(b_col))
+    left = a.df.withColumn("__key", _join_key(a, a_col, b, b_col))
+    right = b.df.withColumn("__key", _join_key(b, b_col, a, a_col))
     taken = set(a.columns)
     right = right.select("__key", *[quoted(c).alias(c if c not in taken else f"{c}_right") for c in b.columns])
     inner = left.join(right, "__key").drop("__key")

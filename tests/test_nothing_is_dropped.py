@@ -78,3 +78,30 @@ def test_equal_means_of_any_pair(spark):
     df = spark.createDataFrame(data, "first string, second string, narrow double, wide double")
     found = [r["column"] for r in rows(ly.synthetic_checks(df)) if r["check"] == "equal_means"]
     assert found == ["first, wide"]
+
+
+def test_keys_of_large_numbers_and_shared_sets(spark):
+    base = 1 << 60
+    a = spark.createDataFrame([(base + i, i % 3) for i in range(300)], "ref_id long, x int")
+    b = spark.createDataFrame([(base + i, "NA") for i in range(0, 600, 2)], "ref_id long, y string")
+    c = spark.createDataFrame([(base + i,) for i in range(1000)], "number long")
+    assert {(r["table"], r["column"]) for r in rows(ly.candidate_keys({"a": a, "b": b, "c": c}))} == {
+        ("a", "ref_id"), ("b", "ref_id"), ("c", "number")}
+    found = rows(ly.find_relationships({"a": a, "b": b}))
+    assert [(r["source_table"], r["matched"], r["source_orphans"], r["target_orphans"]) for r in found] == [("a", 150, 150, 150)]
+
+
+def test_orphans_show_long_texts(spark):
+    long = ["k" * 500, "m" * 300]
+    a = spark.createDataFrame([(long[0],), (long[1],), ("both",), (None,)], "t string")
+    b = spark.createDataFrame([("both",)], "t string")
+    found = ly.orphans(a, "t", b, "t").first()
+    assert (found["value_count"], found["orphan_count"], found["sample_orphans"]) == (3, 2, long)
+
+
+def test_join_of_equal_types_keeps_left_rows(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k int, v string")
+    for other in (b, b.withColumn("k", b["k"].cast("string"))):
+        got = {(r["k"], r["v"], r["v_right"]) for r in rows(ly.join_related(a, other, "k", "k"))}
+        assert got == {(1, "a", "x"), (1, "a", "y"), (2, "b", None), (None, "c", None)}
