@@ -509,10 +509,16 @@ UNION ALL SELECT 'unique', 'o_orderstatus', count(DISTINCT o_orderstatus), NULL,
 ORACLES["trend_insights"] = f"""WITH {series_cte(MONTH_SERIES)}, {TREND}
 SELECT c AS "column", dir AS direction, round(chg, 4) AS change_percent, abs(chg) > 20 AS strong,
 CASE WHEN abs(chg) > 20 THEN 'warning' ELSE 'info' END AS severity FROM u WHERE {KEPT}"""
+
+
+def trend_hypotheses() -> str:
+    return f"""SELECT 'trend' AS kind, c AS column1, CAST(NULL AS VARCHAR) AS column2,
+ CAST(least(85, 50 + CASE WHEN abs(chg) > 50 THEN 25 WHEN abs(chg) > 20 THEN 15 ELSE 0 END + CASE WHEN n > 100 THEN 10 ELSE 0 END) AS DOUBLE) AS confidence,
+ 'correlational' AS interpretation, chg AS statistic, CAST(NULL AS DOUBLE) AS p_value FROM u WHERE {KEPT} AND dir <> 'stable' AND abs(chg) >= 5"""
+
+
 ORACLES["hypotheses_trend"] = f"""WITH {series_cte(MONTH_SERIES)}, {TREND}
-SELECT 'trend' AS kind, c AS column1, CAST(NULL AS VARCHAR) AS column2,
-CAST(least(85, 50 + CASE WHEN abs(chg) > 50 THEN 25 WHEN abs(chg) > 20 THEN 15 ELSE 0 END + CASE WHEN n > 100 THEN 10 ELSE 0 END) AS DOUBLE) AS confidence,
-'correlational' AS interpretation, round(chg, 4) AS statistic, CAST(NULL AS DOUBLE) AS p_value FROM u WHERE {KEPT} AND dir <> 'stable' AND abs(chg) >= 5"""
+SELECT * EXCLUDE (statistic), round(statistic, 4) AS statistic FROM ({trend_hypotheses()})"""
 
 
 # --- outliers and tests ----------------------------------------------------------------------------------------
@@ -922,6 +928,14 @@ UNION ALL SELECT 'strong_correlation', 'correlation', 'success', 90, column1 ||
 UNION ALL SELECT 'surprisingly_weak_correlation', 'anomaly', 'info', 60, column1 || ',' || column2 FROM m WHERE abs(r) < 0.1 AND {related('column1', 'column2')}
 UNION ALL SELECT DISTINCT 'segment ' || "column" || ': ' || value, 'segment', 'info', 70, "column" FROM seg)"""
 ORACLES["deep_insights"] = f"WITH {DEEP} SELECT * FROM deep"
+ACTION = """CASE issue WHEN 'missing' THEN CASE WHEN percent > 50 THEN 'drop_column' ELSE 'impute_or_filter' END WHEN 'suspicious' THEN 'verify_rounding'
+ WHEN 'outlier' THEN 'review_values' WHEN 'many_values' THEN 'check_cardinality' WHEN 'near_duplicate' THEN 'unify_spelling' WHEN 'duplicate' THEN 'deduplicate_rows' END"""
+ORACLES["recommendations"] = f"""WITH {DEEP}
+SELECT CASE severity WHEN 'critical' THEN 'high' ELSE 'medium' END AS priority, issue AS reason, coalesce("column", '') AS columns, {ACTION} AS action
+FROM issues WHERE severity IN ('critical', 'warning')
+UNION ALL SELECT 'medium', insight, columns, CASE insight WHEN 'anomalous_rows' THEN 'inspect_rows' WHEN 'dominated' THEN 'drop_column' ELSE 'test_causality' END
+FROM deep WHERE (type IN ('anomaly', 'pattern') AND severity = 'warning') OR (type = 'correlation' AND severity = 'success')
+UNION ALL SELECT 'high', 'quality_score_' || score, '', 'clean_data' FROM score WHERE score < 70"""
 
 # --- full report: the same results as the single operators, on four columns of events ---------------------------
 
@@ -932,6 +946,16 @@ ORACLES["full_report_categorical"] = categorical_sql(PART, ["event_type"])
 ORACLES["full_report_correlations"] = matrix_sql(PART, PART_NUMBERS).replace("round(r, 6)", "round(r, 4)")
 ORACLES["full_report_outliers"] = iqr_sql(PART, PART_NUMBERS, ["event_id"]).replace(", 5)", ", 4)")
 ORACLES["full_report_trends"] = trend_sql([(PART, "1", c, "event_id") for c in PART_NUMBERS], "").replace(", 5)", ", 4)")
+PART_COLUMNS = ["event_id", "user_id", "event_type", "value"]
+PART_QUALITY = quality_ctes(PART, PART_COLUMNS, PART_NUMBERS)
+ORACLES["full_report_notes"] = notes_sql(PART, PART_COLUMNS, PART_NUMBERS)
+ORACLES["full_report_quality"] = f"WITH {PART_QUALITY} SELECT score, {BAND} AS band FROM score"
+ORACLES["full_report_issues"] = f"""WITH {PART_QUALITY} SELECT issue, "column", severity, affected_count, round(percent, 4) AS percent, {ACTION} AS suggestion FROM issues"""
+PART_SERIES = series_cte([(PART, "1", c, "event_id") for c in PART_NUMBERS])
+ORACLES["full_report_hypotheses"] = f"""WITH {correlation_hypotheses(PART, PART_NUMBERS, PART_COLUMNS)}, {group_hypotheses(PART, ['event_type'], PART_NUMBERS)},
+{anomaly_hypotheses(PART, PART_NUMBERS)}, {PART_SERIES}, {TREND}, htrend AS ({trend_hypotheses()}),
+every AS (SELECT * EXCLUDE (k) FROM hcorr UNION ALL SELECT * FROM hgroup UNION ALL SELECT * FROM hanom UNION ALL SELECT * FROM htrend)
+SELECT {SHOWN} FROM every"""
 ORACLES["full_report_overview"] = f"""SELECT count(*) AS rows, 4 AS columns, 3 AS numeric_columns, 1 AS categorical_columns,
 count(*) > 1000 AND count(*) * 4 = count(event_id) + count(user_id) + count(event_type) + count(value) AS suspiciously_clean FROM {PART} q"""
 ORACLES["full_report_kpis"] = f"""WITH {series_cte([(PART, "1", "value", "event_id")])}, {TREND}, w AS (SELECT * FROM u WHERE {KEPT})

@@ -822,13 +822,16 @@ def recommendations(spark, sf):
 def _report_part(part: str, spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     out = ly.full_report(e, order_by=["event_id"], id_cols=["event_id"])[part]
+    if part == "hypotheses":
+        return hypothesis_numbers(out)
     for f in out.schema.fields:
         if f.dataType.typeName() in ("array", "map"):
             out = out.withColumn(f.name, F.to_json(f.name))
     return rounded(out, 4)
 
 
-for _part in ("numeric", "categorical", "correlations", "outliers", "trends", "hypotheses", "kpis", "overview"):
+for _part in ("numeric", "categorical", "correlations", "outliers", "trends", "hypotheses", "kpis", "overview", "notes",
+              "quality", "issues"):
     REGISTRY[f"full_report_{_part}"] = partial(_report_part, _part)
 
 
