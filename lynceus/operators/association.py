@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lynceus.functions.scoring import clamp, correlation_strength
 from lynceus.operators.values import grouping_key
 from lynceus.table import Table
 
+SUMS_PER_SCAN = 40  # more would not fit the generated code of one aggregation
 CORRELATION_SCHEMA = "column1 string, column2 string, value double, strength string, n bigint"
 
 
@@ -25,24 +28,19 @@ def pearson(covariance: Column, variance_a: Column, variance_b: Column) -> Colum
 def correlation_matrix(source, cols: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns over the rows where both are numbers (3 rows or more).
 
-    Sums of products of centred values, a tile of column pairs per scan; no rows are shuffled and each scan reads
-    only the columns of its tile. Pairs of columns without missing numbers share their column moments.
+    Sums of products of centred values in one scan; no rows are shuffled. A few sums are plain aggregates, many are
+    matrix products per Arrow batch.
     """
     t = Table.of(source)
     names = list(cols or t.numeric)
     facts = t.moments(names) if len(names) > 1 else {}
-    full = {c for c, s in facts.items() if s["count"] == s["rows"]}
-    pairs = [(a, b) for a, b in combinations(names, 2) if facts[a]["count"] and facts[b]["count"]]
-    tiles: dict[tuple, list[tuple[str, str]]] = {}
-    place = {c: i for i, c in enumerate(names)}
-    for a, b in pairs:
-        edge = 6 if a in full and b in full else 3
-        tiles.setdefault((edge, place[a] // edge, place[b] // edge), []).append((a, b))
-    if not tiles:
+    names = [c for c in names if c in facts and facts[c]["count"]]
+    pairs = list(combinations(names, 2))
+    if not pairs:
         return t.spark.createDataFrame([], CORRELATION_SCHEMA)
-    if len(names) <= 8 and full.issuperset(names):  # few enough sums for one scan
-        tiles = {(): pairs}
-    found = reduce(DataFrame.unionByName, [_pair_moments(t, tile, facts, full) for tile in tiles.values()])
+    full = {c for c in names if facts[c]["count"] == facts[c]["rows"]}
+    sums = sum(1 if full.issuperset(p) else 6 for p in pairs)
+    found = _pair_moments(t, pairs, facts, full) if sums <= SUMS_PER_SCAN else _pair_products(t, names, facts)
     return (
         found.where((F.col("n") >= 3) & F.col("value").isNotNull())
         .select("column1", "column2", "value", correlation_strength(F.col("value")).alias("strength"), "n")
@@ -50,6 +48,37 @@ def correlation_matrix(source, cols: list[str] | None = None) -> DataFrame:
     )
 
 
+def _pair_products(t: Table, names: list[str], facts: dict[str, dict]) -> DataFrame:
+    """All pairs by matrix products of the values and of what is present; a task gives one row per pair."""
+    centred = t.df.select(*[(t.number(c) - F.lit(facts[c]["mean"])).alias(f"x{i}") for i, c in enumerate(names)])
+    width = len(names)
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, x1, x2, xy = np.zeros((4, width, width))
+        for frame in frames:
+            x = frame.to_numpy(dtype=float)
+            seen = ~np.isnan(x)
+            x, seen = np.where(seen, x, 0.0), seen.astype(float)
+            n += seen.T @ seen
+            x1 += x.T @ seen
+            x2 += (x * x).T @ seen
+            xy += x.T @ x
+        a, b = np.triu_indices(width, 1)
+        yield pd.DataFrame({"a": a, "b": b, "n": n[a, b], "sx": x1[a, b], "sy": x1[b, a], "sxx": x2[a, b],
+                            "syy": x2[b, a], "sxy": xy[a, b]})
+
+    sums = centred.mapInPandas(
+        products, "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    merged = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    mean_x, mean_y = F.try_divide("sx", "n"), F.try_divide("sy", "n")
+    r = pearson(F.try_divide("sxy", "n") - mean_x * mean_y, F.try_divide("sxx", "n") - mean_x * mean_x,
+                F.try_divide("syy", "n") - mean_y * mean_y)
+    shown = F.array(*[F.lit(c) for c in names])
+    return merged.select(
+        shown[F.col("a")].alias("column1"), shown[F.col("b")].alias("column2"), clamp(r, -1.0, 1.0).alias("value"),
+        F.col("n").cast("bigint").alias("n"))
+
+
 def _pair_moments(t: Table, pairs: list[tuple[str, str]], facts: dict[str, dict], full: set[str]) -> DataFrame:
     names = sorted({c for p in pairs for c in p})
     slot = {c: f"x{i}" for i, c in enumerate(names)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,11 +13,11 @@ from lynceus.operators.values import quoted
 
 
 def apply_in_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, chunk_rows: int = 10_000,
-                    by: list[str] | None = None, spread: int = 16) -> DataFrame:
+                    by: list[str] | None = None, task_rows: int = 1_000_000) -> DataFrame:
     """Run ``fn`` on chunks of at most ``chunk_rows`` rows, in parallel.
 
-    With ``by`` a chunk holds rows of one key only. A key is spread over ``spread`` tasks, so a key with a third of
-    all rows is neither one task nor one frame; ``fn`` sees it in several chunks.
+    With ``by`` a chunk holds rows of one key only. A key of more than ``task_rows`` rows is spread over as many tasks
+    as that takes, so a key with a third of all rows is neither one task nor one frame.
     """
     names = list(by or [])
 
@@ -46,7 +47,12 @@ def apply_in_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
     if names:
         keys = [quoted(c) for c in names]
         hashable = [quoted(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]  # Spark hashes no maps
-        salt = F.pmod(F.xxhash64(*hashable), F.lit(spread))
+        # at most one row per ``task_rows`` rows of the table, so the list of large keys is small beside the table
+        large = df.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__rows")).where(
+            F.col("__rows") > task_rows).withColumn("__spread", F.ceil(F.col("__rows") / task_rows)).drop("__rows")
+        same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+        salt = F.pmod(F.xxhash64(*hashable), F.coalesce("__spread", F.lit(1)))
         source = (
-            df.withColumn("__salt", salt).repartition(*keys, "__salt").sortWithinPartitions(*keys).drop("__salt"))
+            df.join(large, same, "left").withColumn("__salt", salt).repartition(*keys, "__salt")
+            .sortWithinPartitions(*keys).select(*[quoted(c) for c in df.columns]))
     return source.mapInPandas(chunks, schema)

@@ -1,6 +1,8 @@
 """Results that once depended on spelling, missing tokens, rank or length."""
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import lynceus as ly
@@ -105,3 +107,34 @@ def test_join_of_equal_types_keeps_left_rows(spark):
     for other in (b, b.withColumn("k", b["k"].cast("string"))):
         got = {(r["k"], r["v"], r["v_right"]) for r in rows(ly.join_related(a, other, "k", "k"))}
         assert got == {(1, "a", "x"), (1, "a", "y"), (2, "b", None), (None, "c", None)}
+
+
+def test_correlation_of_many_columns(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (400, 100)) + rng.normal(0, 1, (400, 1)) + 1000
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8], x[5, 9] = 3.0, np.nan, np.inf
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(100)])
+    got = {(r["column1"], r["column2"]): (r["value"], r["n"]) for r in rows(ly.correlation_matrix(spark.createDataFrame(frame)))}
+    want = frame.replace(np.inf, np.nan)
+    r, n = want.corr(min_periods=3), want.notna().astype(int)
+    n = n.T @ n
+    assert len(got) == 98 * 97 // 2
+    for (a, b), (value, count) in got.items():
+        assert abs(value - r[a][b]) < 1e-9 and count == n[a][b]
+
+
+def test_large_keys_are_split_by_size(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, F.lit("cold")).alias("k"), "id")
+    out = ly.apply_in_chunks(
+        df, lambda p: pd.DataFrame({"k": p["k"].iloc[:1], "n": [len(p)]}), "k string, n long",
+        chunk_rows=10_000, by=["k"], task_rows=2000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # small partitions would be merged again
+    try:
+        sizes = {}
+        for r in rows(out):
+            sizes.setdefault(r["k"], []).append(r["n"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: sum(v) for k, v in sizes.items()} == {"hot": 6000, "cold": 1500, None: 1500}
+    assert len(sizes["hot"]) >= 2 and len(sizes["cold"]) == len(sizes[None]) == 1
