@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -123,7 +124,11 @@ def streaming_profile(stream: DataFrame, state_path: str, checkpoint_path: str,
     again after a failure is counted once. Read the result with ``read_streaming_profile``."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        profile_state(batch, cols=cols).write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        kept = batch.select(*[quoted(c) for c in cols or batch.columns]).persist(StorageLevel.DISK_ONLY)  # read twice
+        try:
+            profile_state(kept, cols=cols).write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
 
     return (
         stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint_path)
