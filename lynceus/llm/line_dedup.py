@@ -76,14 +76,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, text_hash and the runs (first and last line, from 0) that stand at an earlier place too."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = stored(_all_windows(rows, min_words), "line-windows")
-    # Positions of a fingerprint: one that stands at a single place matches nothing.
+    # Positions of a fingerprint: one that stands at a single place matches nothing. What is joined is written first, so
+    # that both sides are shuffled for the join alone and Spark may split a hot fingerprint or window.
     place = F.struct("doc_id", "text_hash", "first")
-    shared = (found.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-              .where(~F.col("low").eqNullSafe(F.col("high"))).select("fingerprint"))
+    shared = stored(found.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+                    .where(~F.col("low").eqNullSafe(F.col("high"))).select("fingerprint"), "line-fingerprints")
     met = found.join(shared, "fingerprint")
     # The same window from line to line: its earliest place keeps it, all others are repeats.
-    earliest = (met.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-                .where(~F.col("low").eqNullSafe(F.col("high"))).select("hash", "low"))
+    earliest = stored(met.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+                      .where(~F.col("low").eqNullSafe(F.col("high"))).select("hash", "low"), "line-earliest")
     return (met.join(earliest, "hash").where(~place.eqNullSafe(F.col("low")))
             .groupBy("doc_id", "text_hash")
             .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))
