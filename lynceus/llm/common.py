@@ -41,5 +41,16 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on ``keys``, of which ``left`` may hold one very often and ``right``, aggregated by them, each once.
+
+    A hash of the keys is a join key as well, so the shuffle of the aggregation does not serve the join: both sides are
+    shuffled for it alone, and Spark may split the hot keys of ``left``.
+    """
+    key = F.xxhash64(*keys)
+    return (left.withColumn("__spread", key).join(right.withColumn("__spread", key), [*keys, "__spread"], how)
+            .drop("__spread"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

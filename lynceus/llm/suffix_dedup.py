@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import stored
+from lynceus.llm.common import spread_join, stored
 from lynceus.llm.hashing import BASE, BYTE, mix
 
 GRAM = 32
@@ -231,7 +231,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
     groups = stored(found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")), "suffix-groups")
     # Equal surroundings at two places: all of it repeats. Unequal ones with the same anchor: compare.
     several = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = groups.join(several, "anchor").select(*key, "n", "first.*")
+    wanted = spread_join(groups, several, ["anchor"]).select(*key, "n", "first.*")
     by_node = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "around", "at", "low", "high")).alias("wanted"))
     by_node = stored(by_node, "suffix-wanted")
     nodes = by_node.select("node")
@@ -248,7 +248,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
     number = lambda a, b: a.cast("long") * PLACES + b
     whole = F.array(number(F.col("low"), F.col("high")))
     shifted = F.transform("ranges", lambda r: number(r["a"] + F.col("at"), r["b"] + F.col("at")))
-    return (found.join(marks, key)
+    return (spread_join(found, marks, key)
             .select("node", F.when(F.col("full") & (F.col("high") - F.col("low") >= length), whole).otherwise(shifted)
                     .alias("ranges")).where(F.size("ranges") > 0)
             .groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             out.append((len(raw), len(raw) - len(kept), len(gone), kept))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    return (rows.join(marks, "node", "left").select("doc_id", cut("text", "ranges", "copied").alias("r"))
+    return (spread_join(rows, marks, ["node"], "left").select("doc_id", cut("text", "ranges", "copied").alias("r"))
             .select("doc_id", "r.*"))
 
 
