@@ -60,11 +60,12 @@ def _key(source: Column) -> list[Column]:
     return [source.isNull(), F.coalesce(source, F.lit(""))]
 
 
-def shuffled_stream(docs: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
+def shuffled_stream(docs: DataFrame, bucket_rows: int = 2_000) -> DataFrame:
     """Documents of a source one after the other in shuffled order: ``at`` is the first word's place in the source.
 
     The order is by md5 of the id, ties by id and size. Places are summed in buckets of the hash, about ``bucket_rows``
-    rows each, then over buckets, so that no source is one task however large it is.
+    rows each (2**20 buckets at most), then over buckets, so that no source is one task however large it is. The order
+    does not depend on the buckets.
     """
     rows = docs.count()
     bits = max(0, min(20, (max(1, rows // bucket_rows)).bit_length()))
