@@ -60,11 +60,6 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def reach(n: int, at: int, length: int) -> tuple[int, int]:
-    """The bytes that strings of ``length`` bytes with the anchor at ``at`` can reach in a text of ``n`` bytes."""
-    return max(0, at + GRAM - length), min(n, at + length)
-
-
 def repeated(rows: list[bytes], lefts: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For each surrounding, ranges (from its anchor on) of strings of ``length`` bytes that another one has too.
 
@@ -128,11 +123,12 @@ def _digest(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-ANCHORS = "node binary, anchor long, at int, low int, high int, around long"
+ANCHORS = "node binary, anchor long, place long, around long"
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """node, anchor hash, its place, its reach in the text and the digest of these bytes and of the place in them."""
+    """node, anchor hash, its place with the end of its reach as one number, and the digest of the bytes in reach and of
+    the place in them."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -143,11 +139,9 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 low, high = np.maximum(0, at + GRAM - length), np.minimum(len(raw), at + length)
                 out["node"] += [node] * len(at)
                 out["anchor"] += hashes.view(np.int64).tolist()
-                out["at"] += at.tolist()
-                out["low"] += low.tolist()
-                out["high"] += high.tolist()
+                out["place"] += (at * PLACES + high).tolist()
                 out["around"] += [_digest(b"%d:" % (p - a) + raw[a:b]) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist())]
-                if len(out["at"]) > 100_000:
+                if len(out["anchor"]) > 100_000:
                     yield pd.DataFrame(out)
                     out = {k: [] for k in out}
             yield pd.DataFrame(out)
@@ -155,7 +149,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInPandas(scan, ANCHORS)
 
 
-def _slices(rows: DataFrame) -> DataFrame:
+def _slices(rows: DataFrame, length: int) -> DataFrame:
     """The bytes around the wanted anchors of each text."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +157,10 @@ def _slices(rows: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for text, wanted in zip(frame["text"], frame["wanted"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(w["anchor"], w["around"], w["at"] - w["low"], raw[w["low"]:w["high"]]) for w in wanted]
+                for w in wanted:
+                    at, high = divmod(w["place"], PLACES)
+                    low = max(0, at + GRAM - length)
+                    out.append((w["anchor"], w["around"], at - low, raw[low:high]))
             yield pd.DataFrame(out, columns=["anchor", "around", "left", "bytes"])
 
     return rows.mapInPandas(cut, "anchor long, around long, left int, bytes binary")
@@ -227,17 +224,17 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
     """
     found = stored(_anchor_rows(rows, length), "suffix-anchors")
     key = ["anchor", "around"]
-    place = F.struct("node", "at", "low", "high")
+    place = F.struct("node", "place")
     groups = stored(found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")), "suffix-groups")
     # Equal surroundings at two places: all of it repeats. Unequal ones with the same anchor: compare.
     several = groups.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     wanted = spread_join(groups, several, ["anchor"]).select(*key, "n", "first.*")
-    by_node = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "around", "at", "low", "high")).alias("wanted"))
+    by_node = wanted.groupBy("node").agg(F.collect_list(F.struct("anchor", "around", "place")).alias("wanted"))
     by_node = stored(by_node, "suffix-wanted")
     nodes = by_node.select("node")
     texts = rows.join(F.broadcast(nodes), "node", "left_semi") if by_node.count() <= max_broadcast else rows
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    slices = stored(_slices(texts.join(by_node, "node").select("text", "wanted")), "suffix-slices")
+    slices = stored(_slices(texts.join(by_node, "node").select("text", "wanted"), length), "suffix-slices")
     crowded = F.broadcast(several.where(F.col("n") > hot).select("anchor").limit(1_000_000))
     matches = (_indexed(slices.join(crowded, "anchor", "left_anti"), length)
                .unionByName(_counted(slices.join(crowded, "anchor", "left_semi"), length)))
@@ -246,10 +243,12 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
         full.withColumn("ranges", F.array().cast("array<struct<a:int,b:int>>")))
         .groupBy(*key).agg(F.max("full").alias("full"), F.flatten(F.collect_list("ranges")).alias("ranges")))
     number = lambda a, b: a.cast("long") * PLACES + b
-    whole = F.array(number(F.col("low"), F.col("high")))
-    shifted = F.transform("ranges", lambda r: number(r["a"] + F.col("at"), r["b"] + F.col("at")))
+    at, high = F.expr(f"place div {PLACES}"), F.expr(f"place % {PLACES}")
+    low = F.greatest(F.lit(0), at + (GRAM - length))
+    whole = F.array(number(low, high))
+    shifted = F.transform("ranges", lambda r: number(r["a"] + at, r["b"] + at))
     return (spread_join(found, marks, key)
-            .select("node", F.when(F.col("full") & (F.col("high") - F.col("low") >= length), whole).otherwise(shifted)
+            .select("node", F.when(F.col("full") & (high - low >= length), whole).otherwise(shifted)
                     .alias("ranges")).where(F.size("ranges") > 0)
             .groupBy("node").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
 
