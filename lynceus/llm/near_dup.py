@@ -182,16 +182,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, n: int, th
     return pairs.join(second, "b").join(first, "a").mapInPandas(verify, "a binary, b binary")
 
 
+def _beginnings(texts: DataFrame, known: Frequencies, n: int, threshold: float) -> DataFrame:
+    """shingle, node, label, size, weight, left and heft: the shingles with which each text's order begins.
+
+    The order, one for all texts, is by frequency in the sketch, then by hash. A beginning ends where what follows is
+    less than ``threshold`` of the text, by number and by weight; two texts as similar as that share a shingle of their
+    beginnings. ``left`` and ``heft`` are the number and weight of the shingle and all that follow it, of ``size`` and
+    ``weight`` in the whole text.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+    least = threshold * (1 - 1e-9)
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for found, counts in shingles(_encoded(frame["text"]), n):
+                seen = np.minimum.reduce([shared.value.counts[c] for c in cells(found)])
+                order = np.lexsort((found, seen))
+                weights = (counts * shared.value.idf(found))[order]
+                heft = np.cumsum(weights[::-1])[::-1]  # of each shingle and those after it
+                left = np.arange(len(found), 0, -1)
+                k = max(np.count_nonzero(left >= least * len(found)), np.count_nonzero(heft >= least * heft[0]))
+                out.append((signed(found[order[:k]]).tolist(), left[:k].tolist(), heft[:k].tolist()))
+            yield pd.DataFrame({"node": frame["node"], "label": frame["label"], "shingle": [x[0] for x in out],
+                                "left": [x[1] for x in out], "heft": [x[2] for x in out]}, dtype=object)
+
+    schema = "node binary, label binary, shingle array<long>, left array<int>, heft array<double>"
+    return (texts.select("node", "label", "text").mapInPandas(begin, schema)
+            .select("node", "label", F.get("left", F.lit(0)).alias("size"), F.get("heft", F.lit(0)).alias("weight"),
+                    F.explode(F.arrays_zip("shingle", "left", "heft")).alias("at"))
+            .select("node", "label", "size", "weight", "at.*"))
+
+
+def _across(texts: DataFrame, known: Frequencies, n: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of texts (node, label, text) of different labels that can be as similar as ``threshold``.
+
+    Of two texts nothing is common before the first shingle that both beginnings hold, so what is left from there on
+    bounds what they share. A pair that these bounds leave open is met at that shingle.
+    """
+    begun = stored(_beginnings(texts, known, n, threshold), "near-beginnings")
+    mixed = begun.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    begun = begun.join(mixed, "shingle", "left_semi")
+    x, y = (begun.select("shingle", *[F.col(c).alias(c + side) for c in ("node", "label", "size", "weight", "left", "heft")])
+            for side in "xy")
+    least = threshold * (1 - 1e-9)
+    number, heft = F.least("leftx", "lefty"), F.least("heftx", "hefty")
+    open_ = ((F.col("labelx") < F.col("labely"))
+             & ((number >= least * (F.col("sizex") + F.col("sizey") - number))
+                | (heft >= least * (F.col("weightx") + F.col("weighty") - heft))))
+    x, y = x.withColumnRenamed("shingle", "sx"), y.withColumnRenamed("shingle", "sy")
+    return (x.join(y, (F.col("sx") == F.col("sy")) & open_)
+            .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 12, rows: int = 3,
-                    hot: int = 20_000, max_broadcast: int = 1_000_000) -> DataFrame:
+                    hot: int = 20_000, max_broadcast: int = 1_000_000, small: int = 8) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and class_id of every row: the least doc_id of its class.
 
     Texts with the same words (A-Z as a-z) are one node; a class is a connected component of the links between nodes of
     weighted Jaccard ``threshold`` or more. In a bucket of equal band keys each node is paired with the least one and,
-    where these links leave nodes apart, with two that each band draws anew and with the one next to it in the order of
-    the following bands, so similar signatures stand side by side; buckets of more than ``hot`` nodes are ordered in
-    parts by the next band's key. Pairs grow with the nodes, never with their square. At 0.8 a pair shares one of 12
-    bands of 3 samples with 99.97 %.
+    where these links leave nodes apart, with all others in buckets of up to ``small`` nodes. In larger ones it is paired
+    with two that each band draws anew and with the one next to it in the order of the following bands, so similar
+    signatures stand side by side; buckets of more than ``hot`` nodes are ordered in parts by the next band's key. Nodes
+    of larger buckets that are still of different classes then meet wherever their rarest shingles allow the threshold,
+    so every pair of equal band keys that reaches it shares a class. At 0.8 a pair shares one of 12 bands of 3 samples
+    with 99.97 %.
 
     Null, empty and wordless texts have no shingles: such a row is a class of its own per doc_id. Repeated rows share
     their class. A class without any doc_id has a null class_id. Only doc_id and text are read.
@@ -222,16 +277,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     labels = components(links)
     part = F.when(F.col("n") > hot, F.pmod(F.get("order", F.lit(0)), F.ceil(F.col("n") / hot))).otherwise(0)
     beside = Window.partitionBy(*key, "part").orderBy("order", "node")
-    near = (members.withColumn("part", part).withColumn("beside", F.lag("node").over(beside))
-            .select("node", F.explode(F.array("second", "third", "beside")).alias("other"))
-            .where("other <> node")
-            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small)
+    pairs = few.where("node <> leader").select(*key, F.col("node").alias("a"))
+    pairs = (pairs.join(pairs.withColumnRenamed("a", "b"), key).where("a < b").select("a", "b")
+             .unionByName(many.withColumn("part", part).withColumn("beside", F.lag("node").over(beside))
+                          .select("node", F.explode(F.array("second", "third", "beside")).alias("other"))
+                          .where("other <> node")
+                          .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct())
     label = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    near = (near.join(label, "a", "left").join(other, "b", "left")
+    near = (pairs.join(label, "a", "left").join(other, "b", "left")
             .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-    links = links.unionByName(_verified(near, texts, known, words, threshold))
-    labels = components(links).withColumnRenamed("label", "class")
+    links = stored(links.unionByName(_verified(near, texts, known, words, threshold)), "near-links")
+    labels = components(links)
+    apart = (many.select("node", *key).join(labels, "node", "left")
+             .withColumn("label", F.coalesce("label", "node")))
+    mixed = apart.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*key)
+    apart = stored(apart.join(mixed, key, "left_semi").select("node", "label").distinct(), "near-apart")
+    if not apart.isEmpty():
+        rest = _across(texts.join(apart, "node"), known, words, threshold)
+        links = links.unionByName(_verified(rest, texts, known, words, threshold))
+        labels = components(links)
+    labels = labels.withColumnRenamed("label", "class")
     placed = rows_of.drop("keys").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return (placed.join(least, "class", "left")

@@ -203,6 +203,20 @@ def test_near_duplicates_by_brute_force(shared):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values()))
 
 
+def test_near_duplicates_that_share_a_passage_with_many(shared):
+    r = random.Random(6)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, rows, n = some(304), [], 150
+    for i in range(n):
+        own = some(20)
+        rows += [(d, " ".join([*some(30), *passage, *own]), "en", "a", 1) for d in (i, n + i)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.op4(frame(shared, rows)).collect()}
+    grams = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, t, *_ in rows for w in [t.split()]}
+    reach = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    assert [(a, b) for a in grams for b in grams if a < b and reach(a, b)] == [(i, n + i) for i in range(n)]
+    assert got == {d: d % n for d in grams}
+
+
 def test_samples_agree_as_weighted_jaccard():
     r = np.random.default_rng(4)
     items = hashing.mix(np.arange(300, dtype=np.uint64) + np.uint64(7))
