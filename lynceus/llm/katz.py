@@ -1,17 +1,17 @@
-"""Language-model scores by Katz backoff over classes of words.
+"""Language-model scores by Katz backoff over words.
 
-The ``vocabulary`` most frequent training words are classes of their own, all others share one class. A token's
-probability is that of its class after the class before it, times that of the word in its class:
+A token's probability, given the word before it, is
 
-* bigram seen in training: the Good-Turing discounted count over the history's count plus one;
+* for a bigram seen in training: the Good-Turing discounted count over the history's count plus one;
 * else the history's backoff weight times the unigram; the weight is what the seen bigrams leave, over what their
   unigrams leave, so each history sums to one exactly;
 * unigrams are discounted the same way, and what they leave is the probability of all unseen words together.
 
-Documents are worked off in chunks of a few megabytes. A chunk sends its distinct (bigram, document) pairs and its rare
-words, packed, to the bucket of the bigram or word; there the counts of all chunks meet, so frequent words and pairs
-weigh no more than one row per chunk. What returns are sums per document. Word counts, bigram counts and backoff weights
-are tables, partitioned by the hash of the word or bigram.
+Documents are worked off in chunks of a few megabytes. Each task knows the ``vocabulary`` most frequent training words
+with their counts. A chunk sends its distinct (bigram, document) pairs, packed, to a bucket, where the counts of all
+chunks meet: pairs of frequent words to the bucket of the bigram, others to that of the rare word, so its own count is
+known there as well. What depends on a rare history goes on to the history's bucket, where its total and backoff weight
+are added up. What returns are sums per document. The size of the vocabulary changes where counts meet, not the scores.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lynceus.llm.common import crc_part, stored
 from lynceus.llm.hashing import mix, pieces, word_hashes
 
-#: Classes: all rare words, the start of a text (a history only), its end. Words follow.
+#: Codes: all rare words (in counts only), the start of a text (a history only), its end. Frequent words follow.
 RARE, START, END, FIRST = 0, 1, 2, 3
+#: A rare word's code is its hash with this bit set.
+HASHED = np.uint64(1 << 63)
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 HELD = np.uint32(1 << 31)
@@ -173,13 +175,13 @@ def _all_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(docs: DataFrame, known: Unigrams, buckets: int, chunk: int) -> DataFrame:
-    """Per chunk: its documents (kind 0), rare words (kind 1) and bigrams (kind 2) with their documents."""
+    """Per chunk: its documents (kind 0), bigrams with a rare word (kind 1) and others (kind 2) with their documents."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     names = ["kind", "bucket", "chunk", "blob", "ids", "held"]
 
     def parts(kind: int, number: int, bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order = np.argsort(bucket.astype(np.uint16) if 2 * buckets < 65536 else bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             at = order[edges[b]:edges[b + 1]]
             yield kind, int(b), number, _pack(*[a[at] for a in arrays]), None, None
@@ -192,40 +194,42 @@ def _send(docs: DataFrame, known: Unigrams, buckets: int, chunk: int) -> DataFra
             hashes, begins = _all_hashes(_texts(frame))
             held = frame["held_out"].to_numpy(bool)
             n = np.diff(begins)
-            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             at = np.minimum(np.searchsorted(one.vocabulary, hashes), max(0, len(one.vocabulary) - 1))
             in_vocabulary = one.vocabulary[at] == hashes if len(one.vocabulary) else np.zeros(len(hashes), bool)
-            ids = np.where(in_vocabulary, at + FIRST, RARE).astype(np.uint32)
-            # Each document's tokens with its end after them, and the class before each.
+            ids = np.where(in_vocabulary, (at + FIRST).astype(np.uint64), hashes | HASHED)
+            # Each document's tokens with its end after them, and the word before each.
             ends = begins[1:] + np.arange(len(n))
-            every = np.full(len(ids) + len(n), END, dtype=np.uint32)
+            every = np.full(len(ids) + len(n), END, dtype=np.uint64)
             is_word = np.ones(len(every), dtype=bool)
             is_word[ends] = False
             every[is_word] = ids
-            before = np.concatenate([[START], every[:-1]]).astype(np.uint32)
+            before = np.concatenate([np.array([START], dtype=np.uint64), every[:-1]])
             before[begins[:-1] + np.arange(len(n))] = START
             owner = np.repeat(np.arange(len(n), dtype=np.uint32), n + 1)
-            cells = (before.astype(np.uint64) << np.uint64(44)) | (every.astype(np.uint64) << np.uint64(24)) | owner
+            frequent = every < HASHED
+            both = frequent & (before < HASHED)
+            cells = (before[both] << np.uint64(44)) | (every[both] << np.uint64(24)) | owner[both]
             cells, times = np.unique(cells, return_counts=True)
             pair = cells >> np.uint64(24)
             owners = (cells & np.uint64(0xFFFFFF)).astype(np.uint32)
             owners |= np.where(held[owners], HELD, np.uint32(0)) if len(owners) else owners
             rows = list(parts(2, number, (mix(pair) % np.uint64(buckets)).astype(np.int64),
                               pair, owners, times.astype(np.uint32)))
-            rare = ~in_vocabulary
-            words, inverse = np.unique(hashes[rare], return_inverse=True)
-            cells, times = np.unique((inverse.astype(np.uint64) << np.uint64(24)) | doc[rare], return_counts=True)
-            word = words[(cells >> np.uint64(24)).astype(np.int64)] if len(cells) else words
-            owners = (cells & np.uint64(0xFFFFFF)).astype(np.uint32)
+            h, w, owners = before[~both], every[~both], owner[~both]
+            order = np.lexsort((owners, w, h))
+            h, w, owners = h[order], w[order], owners[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (owners[1:] != owners[:-1])])
+                                 [:len(h)])
+            times = np.diff(np.append(new, len(h)))
+            h, w, owners = h[new], w[new], owners[new]
             owners |= np.where(held[owners], HELD, np.uint32(0)) if len(owners) else owners
-            rows += parts(1, number, (mix(word) % np.uint64(buckets)).astype(np.int64), word, owners,
-                          times.astype(np.uint32))
+            meets = mix(np.where(w < HASHED, mix(h) + w, w)) % np.uint64(2 * buckets)  # these rows are wider
+            rows += parts(1, number, meets.astype(np.int64), h, w, owners, times.astype(np.uint32))
             # Known here already: the base scores of frequent words and ends.
             scale = one.tokens + 0.5 * (one.words + 1)
-            logs = np.log10((one.counts[every] + 0.5) / scale)
-            logs[every == RARE] = 0.0
-            base = np.bincount(owner, logs, len(n))
-            seen = np.bincount(owner, (every != RARE) & (one.counts[every] > 0), len(n)).astype(np.int64)
+            counts = one.counts[np.where(frequent, every, 0).astype(np.int64)]
+            base = np.bincount(owner, np.where(frequent, np.log10((counts + 0.5) / scale), 0.0), len(n))
+            seen = np.bincount(owner, frequent & (counts > 0), len(n)).astype(np.int64)
             rows.append((0, number % buckets, number, _pack((n + 1).astype(np.int64), seen, base),
                          frame["doc_id"].tolist(), held.tolist()))
             yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -233,66 +237,109 @@ def _send(docs: DataFrame, known: Unigrams, buckets: int, chunk: int) -> DataFra
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out").mapInPandas(send, SENT)
 
 
-BACK = "kind int, chunk long, blob binary, ids array<string>, held array<boolean>"
+BACK = "kind int, bucket int, chunk long, blob binary, ids array<string>, held array<boolean>"
+
+
+def _runs(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The arrays' parts of equal key."""
+    order = np.argsort(key, kind="stable")
+    at, starts = np.unique(key[order], return_index=True)
+    for k, a, b in zip(at, starts, np.append(starts[1:], len(order))):
+        yield int(k), [x[order[a:b]] for x in arrays]
 
 
-def _met(sent: DataFrame, known: Unigrams) -> DataFrame:
+def _met(sent: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
     """In each bucket the counts of all chunks meet; what returns per chunk are sums per document.
 
-    kind 0: tokens, known tokens and base score; 1: the same of rare words with their score; 2: the score of seen
+    kind 0: tokens, known tokens and base score; 1: known tokens and base score of rare words; 2: the score of seen
     bigrams before discounts and how many tokens have a bigram of count 1 to DISCOUNTED; 3: unseen bigrams as
-    (document, history, times) after the unigram's score; 4: of each history the seen bigrams by count, 5: bigrams by
-    count, 6: the bucket's bigrams and their counts. The last three have no chunk.
+    (document, history, times) after the unigram's score; 4: of each frequent history the seen bigrams by count, 5:
+    bigrams by count, 6 and 7: the bucket's bigrams and their counts, 8: as 4, of rare histories, 9: tokens after rare
+    histories. 4 to 9 have no chunk; 8 and 9 have the bucket of the history.
     """
     shared = sent.sparkSession.sparkContext.broadcast(known)
-    names = ["kind", "chunk", "blob", "ids", "held"]
+    names = ["kind", "bucket", "chunk", "blob", "ids", "held"]
 
     def meet(key, group: pd.DataFrame) -> pd.DataFrame:
         one, kind = shared.value, int(key[0])
-        out: list[tuple] = []
         if kind == 0:
             return group[names]
-        fields = [_unpack(b, "u8", "u4", "u4") for b in group["blob"]]
-        sizes = [len(f[0]) for f in fields]
-        items, owners, times = (np.concatenate([f[i] for f in fields]) for i in range(3))
-        times = times.astype(np.int64)
-        found, inverse = np.unique(items, return_inverse=True)
-        train = (owners & HELD) == 0
-        counts = np.bincount(inverse, times * train, len(found)).astype(np.int64)
-        c = counts[inverse]
-        docs = (owners & ~HELD).astype(np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        if kind == 1:
-            base = np.log10((c + 0.5) / (one.tokens + 0.5 * (one.words + 1))) * times
-            p = np.where(c > 0, factor(one.discount, c) * c / max(1, one.tokens), one.unseen)
-            score = np.log10(p / one.chances()[RARE]) * times
-            for chunk, a, b in zip(group["chunk"], edges[:-1], edges[1:]):
-                at, d = np.unique(docs[a:b], return_inverse=True)
-                out.append((1, chunk, _pack(at, np.bincount(d, (c[a:b] > 0) * times[a:b]).astype(np.int64),
-                                            np.bincount(d, base[a:b]), np.bincount(d, score[a:b]))))
-            return pd.DataFrame([(*x, None, None) for x in out], columns=names, dtype=object)
-        history, word = (found >> np.uint64(20)).astype(np.int64), (found & np.uint64(0xFFFFF)).astype(np.int64)
-        total = one.history() + 1.0
-        chance = one.chances()
-        seen = c > 0
-        score = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(total[history[inverse]]),
-                         np.log10(chance[word[inverse]])) * times
+        fields = [_unpack(b, *["u8"] * (3 - kind), "u4", "u4") for b in group["blob"]]
+        edges = np.concatenate([[0], np.cumsum([len(f[0]) for f in fields])])
+        *codes, owners, times = (np.concatenate([f[i] for f in fields]) for i in range(5 - kind))
+        del fields
+        if kind == 2:
+            found, inverse = np.unique(codes[0], return_inverse=True)
+            inverse = inverse.astype(np.int32)
+            history, word = found >> np.uint64(20), found & np.uint64(0xFFFFF)
+        else:
+            order = np.lexsort(codes[::-1])
+            h, w = (x[order] for x in codes)
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+            history, word = h[new], w[new]
+            inverse = np.empty(len(h), dtype=np.int32)
+            inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+            del h, w, order, new
+        del codes
+        counts = np.bincount(inverse, times * ((owners & HELD) == 0), len(history)).astype(np.int64)
+        docs = owners & ~HELD
+        del owners
+        rare_word, rare_history = word >= HASHED, history >= HASHED
+        chance = one.chances()[np.where(rare_word, 0, word).astype(np.int64)]
+        if rare_word.any():  # all tokens of the word are here
+            _, of_word = np.unique(word[rare_word], return_inverse=True)
+            n = np.bincount(of_word, counts[rare_word]).astype(np.int64)[of_word]
+            chance[rare_word] = np.where(n > 0, factor(one.discount, n) * n / max(1, one.tokens), one.unseen)
+            count_of_word = np.zeros(len(word), dtype=np.int64)
+            count_of_word[rare_word] = n
+        frequent_history = np.where(rare_history, 0, history).astype(np.int64)
+        total = np.where(rare_history, 1.0, (one.history() + 1.0)[frequent_history])
+        per_token = np.where(counts > 0, np.log10(np.maximum(counts, 1)) - np.log10(total), np.log10(chance))
+        out: list[tuple] = []
+        after = []
         for chunk, a, b in zip(group["chunk"], edges[:-1], edges[1:]):
-            at, d = np.unique(docs[a:b], return_inverse=True)
-            low = [np.bincount(d, (c[a:b] == r) * times[a:b]).astype(np.int64) for r in range(1, DISCOUNTED + 1)]
-            out.append((2, chunk, _pack(at, np.bincount(d, score[a:b]), *low)))
-            if not seen[a:b].all():
-                new = ~seen[a:b]
-                out.append((3, chunk, _pack(docs[a:b][new].astype(np.uint32), history[inverse[a:b][new]].astype(np.uint32),
-                                            times[a:b][new].astype(np.uint32))))
+            pair, doc, t = inverse[a:b], docs[a:b].astype(np.int64), times[a:b].astype(np.int64)
+            c = counts[pair]
+            at, d = np.unique(doc, return_inverse=True)
+            low = [np.bincount(d, (c == r) * t).astype(np.int64) for r in range(1, DISCOUNTED + 1)]
+            out.append((2, 0, chunk, _pack(at, np.bincount(d, per_token[pair] * t), *low)))
+            new = (c == 0) & ~rare_history[pair]
+            if new.any():
+                out.append((3, 0, chunk, _pack(doc[new].astype(np.uint32), t[new].astype(np.uint32),
+                                               frequent_history[pair[new]].astype(np.uint32))))
+            rare = rare_word[pair]
+            if rare.any():
+                at, d = np.unique(doc[rare], return_inverse=True)
+                n = count_of_word[pair[rare]]
+                base = np.log10((n + 0.5) / (one.tokens + 0.5 * (one.words + 1))) * t[rare]
+                out.append((1, 0, chunk, _pack(at, np.bincount(d, (n > 0) * t[rare]).astype(np.int64), np.bincount(d, base))))
+            rare = rare_history[pair]
+            if rare.any():
+                after.append((history[pair[rare]], np.full(np.count_nonzero(rare), chunk, dtype=np.int64),
+                              doc[rare].astype(np.uint32), np.where(c > 0, t, -t)[rare].astype(np.int32)))
+        del inverse, docs, times
         own = counts > 0
-        h, r = history[own], np.minimum(counts[own], DISCOUNTED + 1)
-        at, d = np.unique(h, return_inverse=True)
-        by = [np.bincount(d, counts[own] * (r == k), len(at)) for k in range(1, DISCOUNTED + 2)]
-        out.append((4, -1, _pack(at.astype(np.int64), np.bincount(d, chance[word[own]], len(at)), *by)))
-        out.append((5, -1, _pack(np.bincount(np.minimum(counts[own], DISCOUNTED + 2),
-                                             minlength=DISCOUNTED + 3).astype(np.int64))))
-        out.append((6, -1, _pack(found[own], counts[own])))
+        r = np.minimum(counts, DISCOUNTED + 1)
+
+        def sums(rows: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+            items, d = np.unique(at[rows], return_inverse=True)
+            by = [np.bincount(d, counts[rows] * (r[rows] == k), len(items)) for k in range(1, DISCOUNTED + 2)]
+            return [items, np.bincount(d, chance[rows], len(items)), *by]
+
+        items, *rest = sums(own & ~rare_history, frequent_history)
+        out.append((4, 0, -1, _pack(items.astype(np.int64), *rest)))
+        out.append((5, 0, -1, _pack(np.bincount(np.minimum(counts[own], DISCOUNTED + 2),
+                                                minlength=DISCOUNTED + 3).astype(np.int64))))
+        if kind == 2:
+            out.append((6, 0, -1, _pack(found[own], counts[own])))
+        else:
+            out.append((7, 0, -1, _pack(history[own], word[own], counts[own])))
+            bucket = lambda x: (mix(x) % np.uint64(buckets)).astype(np.int64)
+            items, *rest = sums(own & rare_history, history)
+            out += [(8, k, -1, _pack(*x)) for k, x in _runs(bucket(items), items, *rest)]
+            if after:
+                fields = [np.concatenate(x) for x in zip(*after)]
+                out += [(9, k, -1, _pack(*x)) for k, x in _runs(bucket(fields[0]), *fields)]
         return pd.DataFrame([(*x, None, None) for x in out], columns=names, dtype=object)
 
     return sent.groupBy("kind", "bucket").applyInPandas(meet, BACK)
@@ -332,6 +379,34 @@ def backoff(back: DataFrame, known: Unigrams) -> tuple[np.ndarray, np.ndarray]:
     return d, np.log10((1 - kept / total) / np.maximum(1e-300, 1 - common))
 
 
+def _settled(back: DataFrame, d: np.ndarray) -> DataFrame:
+    """kind 10: per chunk and document, the score that tokens have by their rare history's total or backoff weight."""
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        kinds = group["kind"].to_numpy()
+        own = [_unpack(b, "u8", *["f8"] * (DISCOUNTED + 2)) for b in group["blob"][kinds == 8]]
+        after = [_unpack(b, "u8", "i8", "u4", "i4") for b in group["blob"][kinds == 9]]
+        names, out = ["kind", "bucket", "chunk", "blob", "ids", "held"], []
+        if after:
+            h, chunks, docs, signs = (np.concatenate([x[i] for x in after]) for i in range(4))
+            items, inverse = np.unique(h, return_inverse=True)
+            sums = np.zeros((DISCOUNTED + 2, len(items)))  # histories without any are unseen
+            for x in own:
+                at = np.searchsorted(items, x[0])  # each is there: tokens after it are
+                for k in range(DISCOUNTED + 2):
+                    sums[k, at] += x[k + 1]
+            total = sums[1:].sum(axis=0) + 1.0
+            kept = sum(d[k] * sums[k] for k in range(1, DISCOUNTED + 2))
+            weight = np.log10((1 - kept / total) / np.maximum(1e-300, 1 - sums[0]))
+            score = np.where(signs > 0, -np.log10(total)[inverse], weight[inverse]) * np.abs(signs.astype(np.int64))
+            for chunk, (x, y) in _runs(chunks, docs, score):
+                at, which = np.unique(x, return_inverse=True)
+                out.append((10, 0, chunk, _pack(at.astype(np.int64), np.bincount(which, y)), None, None))
+        return pd.DataFrame(out, columns=names, dtype=object)
+
+    return back.where("kind in (8, 9)").groupBy("bucket").applyInPandas(settle, BACK)
+
+
 def _gathered(back: DataFrame, d: np.ndarray, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score of every document, chunk by chunk."""
     shared = back.sparkSession.sparkContext.broadcast((d, weights))
@@ -343,20 +418,22 @@ def _gathered(back: DataFrame, d: np.ndarray, weights: np.ndarray) -> DataFrame:
         score = np.zeros(len(tokens))
         for kind, blob in zip(group["kind"], group["blob"]):
             if kind == 1:
-                at, k, b, s = _unpack(blob, "i8", "i8", "f8", "f8")
+                at, k, b = _unpack(blob, "i8", "i8", "f8")
                 seen[at] += k
                 base[at] += b
-                score[at] += s
             elif kind == 2:
                 at, s, *low = _unpack(blob, "i8", "f8", *["i8"] * DISCOUNTED)
                 score[at] += s + sum(n * np.log10(factors[r]) for r, n in enumerate(low, 1))
             elif kind == 3:
-                at, h, n = _unpack(blob, "u4", "u4", "u4")
+                at, n, h = _unpack(blob, "u4", "u4", "u4")
                 np.add.at(score, at, alpha[h] * n)
+            elif kind == 10:
+                at, s = _unpack(blob, "i8", "f8")
+                score[at] += s
         return pd.DataFrame({"doc_id": list(first["ids"]), "held_out": list(first["held"]), "n_tokens": tokens,
                              "n_known": seen, "base_score": base, "score": score})
 
-    return back.where("chunk >= 0").groupBy("chunk").applyInPandas(
+    return back.where("chunk >= 0").unionByName(_settled(back, d)).groupBy("chunk").applyInPandas(
         gather, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -365,7 +442,7 @@ def katz_scores(docs: DataFrame, vocabulary: int = 65_536, chunk: int = 8_000_00
 
     ``docs`` has doc_id, text and held_out; held-out rows teach nothing. A null or empty text is its end alone, a null
     doc_id stays null, repeated rows are rows of their own; without training rows every token is unseen. ``vocabulary``
-    (at most 1,000,000) bounds what each task holds; counts cover all words and bigrams of classes. ``docs`` is read
+    (at most 1,000,000) bounds what each task holds, not which words and bigrams are counted. ``docs`` is read
     twice and must hold the same rows both times, as a table does.
     """
     if vocabulary > 1_000_000:
@@ -373,7 +450,7 @@ def katz_scores(docs: DataFrame, vocabulary: int = 65_536, chunk: int = 8_000_00
     docs = docs.select("doc_id", "text", "held_out")
     known = unigrams(docs, vocabulary, chunk)
     buckets = max(16, -(-known.tokens * 5 // (4 * bucket_tokens)))
-    back = stored(_met(_send(docs, known, buckets, chunk), known), "katz-sums", ["kind"])
+    back = stored(_met(_send(docs, known, buckets, chunk), known, buckets), "katz-sums", ["kind"])
     return (_gathered(back, *backoff(back, known)).withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
             .withColumn("train_tokens", F.lit(known.tokens).cast("long")))
 

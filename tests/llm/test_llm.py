@@ -131,6 +131,39 @@ def test_katz_by_hand(shared):
         assert math.isclose(out[d]["score"], sum(math.log10(chance(*q)) for q in zip(["<s>", *t], t)), rel_tol=1e-9)
 
 
+def test_katz_counts_bigrams_beyond_the_vocabulary(shared):
+    rows = [(d, f"{t} only{d} u{d % 7} u{d % 3} u{d % 7}", *x) for d, t, *x in corpus(40)]
+    docs = frame(shared, rows).select("doc_id", "text", (F.col("doc_id") % 5 == 1).alias("held_out"))
+    out = {r["doc_id"]: r for r in katz.katz_scores(docs, vocabulary=4, chunk=2000, bucket_tokens=200).collect()}
+    texts = {d: [w.lower() for w in words_of(t)] + ["</s>"] for d, t, *_ in rows}
+    c, b = Counter(), Counter()
+    for d, t in texts.items():
+        if d % 5 != 1:
+            c.update(t)
+            b.update(zip(["<s>", *t], t))
+    n, v = sum(c.values()), len(c)
+    by = lambda x: np.array([0] + [sum(k == r for k in x.values()) for r in range(1, 7)])
+    du, db = katz.discounts(by(c)), katz.discounts(by(b))
+    p = {w: katz.factor(du, np.array(k)) * k / n for w, k in c.items()}
+    unseen = 1 - sum(p.values())
+    total, kept, common = Counter(), defaultdict(float), defaultdict(float)
+    for (x, y), k in b.items():
+        total[x] += k
+        kept[x] += katz.factor(db, np.array(k)) * k
+        common[x] += p[y]
+
+    def chance(x, y):
+        if (x, y) in b:
+            return katz.factor(db, np.array(b[x, y])) * b[x, y] / (total[x] + 1)
+        return (1 - kept[x] / (total[x] + 1)) / (1 - common[x]) * p.get(y, unseen)
+
+    assert any(w not in c for t in texts.values() for w in t) and v > 30
+    for d, t in texts.items():
+        assert (out[d]["n_tokens"], out[d]["n_known"]) == (len(t), sum(w in c for w in t))
+        assert math.isclose(out[d]["base_score"], sum(math.log10((c[w] + .5) / (n + .5 * (v + 1))) for w in t), rel_tol=1e-9)
+        assert math.isclose(out[d]["score"], sum(math.log10(chance(*q)) for q in zip(["<s>", *t], t)), rel_tol=1e-9)
+
+
 def test_katz_rare_class_sums_to_one():
     one = katz.Unigrams(100, 40, 5, np.array([3, 9], dtype=np.uint64), np.array([60, 0, 5, 20, 15]),
                         katz.discounts(np.array([0, 20, 6, 3, 2, 1, 1])), 0.01)
