@@ -195,6 +195,11 @@ def test_secrets_patterns_and_field(shared):
     assert secrets.learn(["nothing 12345678 here"]) is None
 
 
+def test_secrets_hints_count_beside_letters_that_grow_in_lower_case():
+    text = "the password: abcdefghij here"
+    assert secrets.stretches(text + " \u0130") == secrets.stretches(text) != []
+
+
 def test_line_dedup_by_brute_force(shared):
     rows = corpus() + [(100, "a\n" * 3 + "b c", "en", "s0", 9)]
     out = {r["doc_id"]: r for r in line_dedup.op3(frame(shared, rows)).collect()}
