@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lynceus.llm import decontaminate, html_text, katz, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity
+from lynceus.llm import (
+    alignment, decontaminate, html_text, katz, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity)
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
@@ -53,7 +54,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op13(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_katz_scores, op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination,
-        op9_suffix_dedup, op10_toxicity)}
+        op9_suffix_dedup, op10_toxicity, op13_token_alignment)}
