@@ -32,4 +32,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8}
+OP12 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+m AS (SELECT data, max(page_id) AS last FROM p WHERE octet_length(data) >= 1000 GROUP BY data)
+SELECT page_id, CAST(octet_length(p.data) AS BIGINT) AS payload_bytes, sha1(p.data) AS payload_digest,
+  CASE WHEN coalesce(page_id = last, TRUE) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (data)
+"""
+
+ORACLES: dict[str, str] = {"op8_decontamination": OP8, "op12_warc": OP12}
