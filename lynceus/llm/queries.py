@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lynceus.llm import (
-    alignment, decontaminate, html_text, katz, line_dedup, mixing, near_dup, repetition, secrets, suffix_dedup, toxicity, warc)
+    alignment, decontaminate, html_text, katz, line_dedup, mixing, near_dup, prefix_trie, repetition, secrets, suffix_dedup,
+    toxicity, warc)
 from lynceus.llm.common import table
 from lynceus.llm.oracles import ORACLES
 
@@ -54,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op11(table(spark, sf_dir, "conversations"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op12(table(spark, sf_dir, "pages"))
 
@@ -65,4 +70,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_katz_scores, op2_secret_scan, op3_line_dedup, op4_near_duplicates, op5_html_extraction, op6_source_mix, op7_repetition_rules, op8_decontamination,
-        op9_suffix_dedup, op10_toxicity, op12_warc, op13_token_alignment)}
+        op9_suffix_dedup, op10_toxicity, op11_prefix_trie, op12_warc, op13_token_alignment)}
