@@ -23,7 +23,6 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +36,12 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: What byte-level tokenizers split a text by before merging (fixed value).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of texts that are aligned at once; a longer text is a chunk of its own.
+CHUNK = 1 << 19
 #: Groups with more pairs than this are expanded over their distinct ids.
 EXPAND = 4096
 
-Encode = Callable[[list[str]], list[list[int]]]
+Encode = Callable[[list[str]], list[np.ndarray]]
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -70,12 +71,16 @@ def byte_level(path: str) -> tuple[Encode, list[bytes]]:
 
         # merges in the order of their ids are a rank file, for which this encoder is the quicker
         encoding = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(x) for x in texts], table
+        return lambda texts: [_ids(encoding.encode_to_numpy(x, disallowed_special=())) for x in texts], table
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)], table
+    return lambda texts: [_ids(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)], table
+
+
+def _ids(ids) -> np.ndarray:
+    return np.asarray(ids, dtype=np.int32)
 
 
 def _plain_byte_level(file: dict) -> bool:
@@ -92,7 +97,7 @@ def piece_level(path: str) -> tuple[Encode, list[bytes]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     table = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
              else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-    return lambda texts: model.encode(texts, num_threads=1), table
+    return lambda texts: [_ids(model.encode(x)) for x in texts], table
 
 
 def coalesce(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,74 +109,85 @@ def coalesce(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.n
     return order, np.cumsum(first) - 1
 
 
-def _spans(ids: list[list[int]], lengths: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+def _spans(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """All ids, the place of each id's text among the texts, and its first and last byte (exclusive)."""
-    flat = np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    text = np.repeat(np.arange(len(ids)), counts)
-    upto = np.concatenate([[0], np.cumsum(lengths[flat])])
-    begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    shift = (base - upto[begin])[text]
-    return flat, text, upto[:-1] + shift, upto[1:] + shift
+    flat = np.concatenate(ids)
+    text = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+    end = np.cumsum(lengths[flat], dtype=np.int64)
+    return flat, text, end - lengths[flat], end
 
 
-def align(a_ids: list[list[int]], b_ids: list[list[int]], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple]:
-    """Of each text: n_a, n_b, n_groups, n_links, groups written out, its distinct pairs and their occurrences.
+def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple]:
+    """Of each text: n_a, n_b, n_groups, n_links, SHA-256 of the groups, its distinct pairs and their occurrences.
 
     Both ids of a text must stand for the same bytes.
     """
     n = len(a_ids)
-    a_size, b_size = np.array([len(x) for x in a_bytes]), np.array([len(x) for x in b_bytes])
-    sizes = [sum(map(len, map(a_bytes.__getitem__, x))) for x in a_ids]
-    base = np.array([0, *accumulate(sizes)][:-1], dtype=np.int64)
-    a, a_text, a_start, a_end = _spans(a_ids, a_size, base)
-    b, b_text, b_start, b_end = _spans(b_ids, b_size, base)
-    side = np.repeat([0, 1], [len(a), len(b)])
-    ids, text = np.concatenate([a, b]), np.concatenate([a_text, b_text])
+    a, a_text, a_start, a_end = _spans(a_ids, _sizes(tuple(a_bytes)))
+    b, b_text, b_start, b_end = _spans(b_ids, _sizes(tuple(b_bytes)))
+    side = np.repeat(np.array([0, 1], dtype=np.int8), [len(a), len(b)])
     order, group = coalesce(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), side)
+    del a_start, a_end, b_start, b_end
     n_all = int(group[-1]) + 1 if len(group) else 0
-    side_in_order = side[order]
-    group_a, group_b = group[side_in_order == 0], group[side_in_order == 1]
+    side = side[order]
+    group_a, group_b = group[side == 0], group[side == 1]
     in_a, in_b = np.bincount(group_a, minlength=n_all), np.bincount(group_b, minlength=n_all)
     text_of_group = np.empty(n_all, dtype=np.int64)
-    text_of_group[group] = text[order]
+    text_of_group[group_a] = a_text
     n_links = _sums(text_of_group, in_a * in_b, n)
-
-    # the groups as text: A's ids, then B's, each with what follows it
-    shown = np.argsort(2 * group + side_in_order, kind="stable")
-    at, g, s = order[shown], group[shown], side_in_order[shown]
-    last = np.ones(len(at), dtype=bool)
-    last[:-1] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-    follows = np.where(last, 1 + s, 0)
-    words = _written(max(len(a_bytes), len(b_bytes)))
-    codes = (follows * (len(words) // 3) + ids[at]).tolist()
-    ends = np.searchsorted(text_of_group[g], np.arange(n), side="right").tolist()
-
-    codes_of_pairs, times = _pairs(a, b, group_a, in_a, in_b, text_of_group, len(a_bytes) * len(b_bytes), len(b_bytes))
-    bounds = np.searchsorted(codes_of_pairs, np.arange(n + 1) * (len(a_bytes) * len(b_bytes))).tolist()
-    pairs = codes_of_pairs % (len(a_bytes) * len(b_bytes))
     n_groups = np.bincount(text_of_group, minlength=n)
+    all_pairs = len(a_bytes) * len(b_bytes)
+    codes, times = _pairs(a, b, group_a, in_a, in_b, text_of_group, all_pairs, len(b_bytes))
+    bounds = np.searchsorted(codes, np.arange(n + 1) * all_pairs).tolist()
+    codes %= all_pairs
+    written = _written_groups(np.concatenate([a, b])[order], group, side, max(len(a_bytes), len(b_bytes)))
     out, begin = [], 0
     for i in range(n):
-        written = b"".join(map(words.__getitem__, codes[begin:ends[i]]))[:-1]
-        begin = ends[i]
-        lo, hi = bounds[i], bounds[i + 1]
-        out.append((len(a_ids[i]), len(b_ids[i]), int(n_groups[i]), int(n_links[i]), written, pairs[lo:hi], times[lo:hi]))
+        n_a, n_b, (lo, hi) = len(a_ids[i]), len(b_ids[i]), bounds[i:i + 2]
+        end = begin + n_a + n_b
+        out.append((n_a, n_b, int(n_groups[i]), int(n_links[i]), _digest(written, begin, end, max(len(a_bytes), len(b_bytes))),
+                    codes[lo:hi], times[lo:hi]))
+        begin = end
     return out
 
 
-def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    np.add.at(out, keys, values)
-    return out
+@lru_cache(maxsize=4)
+def _sizes(table: tuple[bytes, ...]) -> np.ndarray:
+    return np.array([len(x) for x in table], dtype=np.int32)
+
+
+def _written_groups(ids: np.ndarray, group: np.ndarray, side: np.ndarray, size: int) -> np.ndarray:
+    """The ids by group and side, each as its place in ``_with_ends``."""
+    shown = np.argsort(2 * group + side, kind="stable")
+    kind = (2 * group + side)[shown]
+    last = np.ones(len(kind), dtype=bool)
+    last[:-1] = kind[1:] != kind[:-1]
+    return (ids[shown] + size * np.where(last, 1 + (kind & 1), 0)).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
-def _written(size: int) -> list[bytes]:
+def _with_ends(size: int) -> list[bytes]:
     """Each id followed by a comma, then each by a bar, then each by a semicolon."""
     return [b"%d%s" % (i, end) for end in (b",", b"|", b";") for i in range(size)]
 
 
+def _digest(written: np.ndarray, begin: int, end: int, size: int) -> str:
+    """SHA-256 of the groups written out, without the last semicolon; empty without any."""
+    if begin == end:
+        return ""
+    sha, words = hashlib.sha256(), _with_ends(size)
+    for at in range(begin, end, 1 << 16):
+        some = b"".join(map(words.__getitem__, written[at:min(at + (1 << 16), end)].tolist()))
+        sha.update(some if at + (1 << 16) < end else some[:-1])
+    return sha.hexdigest()
+
+
+def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, keys, values)
+    return out
+
+
 def _pairs(a, b, group_a, in_a, in_b, text_of_group, all_pairs: int, b_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ``text * all_pairs + a * b_ids + b`` of all links without repeats, and how often each occurs."""
     first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
@@ -181,7 +197,7 @@ def _pairs(a, b, group_a, in_a, in_b, text_of_group, all_pairs: int, b_ids: int)
     of_a = np.repeat(np.arange(len(a)), times_of_a)
     within = np.arange(total) - np.repeat(np.cumsum(times_of_a) - times_of_a, times_of_a)
     of_b = np.repeat(first_b[group_a], times_of_a) + within
-    codes = np.sort(text_of_group[group_a][of_a] * all_pairs + a[of_a] * b_ids + b[of_b])
+    codes = np.sort(text_of_group[group_a[of_a]] * all_pairs + a[of_a].astype(np.int64) * b_ids + b[of_b])
     first = np.ones(len(codes), dtype=bool)
     first[1:] = codes[1:] != codes[:-1]
     at = np.flatnonzero(first)
@@ -189,12 +205,16 @@ def _pairs(a, b, group_a, in_a, in_b, text_of_group, all_pairs: int, b_ids: int)
     for g in np.flatnonzero(~small).tolist():
         x, n_x = np.unique(a[first_a[g]:first_a[g] + in_a[g]], return_counts=True)
         y, n_y = np.unique(b[first_b[g]:first_b[g] + in_b[g]], return_counts=True)
-        more = (text_of_group[g] * all_pairs + x[:, None] * b_ids + y).ravel()
+        more = (text_of_group[g] * all_pairs + x[:, None].astype(np.int64) * b_ids + y).ravel()
         codes, inverse = np.unique(np.concatenate([codes, more]), return_inverse=True)
         times = _sums(inverse, np.concatenate([times, np.outer(n_x, n_y).ravel()]), len(codes))
     return codes, times
 
 
+def _joined(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 ENCODED = ("row long, doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "pairs array<long>, times array<long>")
 
@@ -209,21 +229,18 @@ def encoded(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) ->
         (a_encode, a_bytes), (b_encode, b_bytes) = byte_level(a_path), piece_level(b_path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in pieces([x.encode("utf-8", "surrogatepass") for x in texts]):
+            for lo, hi in pieces(texts, CHUNK):
                 some = texts[lo:hi]
                 a_ids, b_ids = a_encode([" " + x for x in some]), b_encode(some)
                 for i, x in enumerate(some):
                     wanted = (" " + x).encode("utf-8", "surrogatepass")
-                    if (not x or b"".join(map(a_bytes.__getitem__, a_ids[i])) != wanted
-                            or b"".join(map(b_bytes.__getitem__, b_ids[i])) != wanted):
-                        a_ids[i], b_ids[i] = [], []
-                rows = align(a_ids, b_ids, a_bytes, b_bytes)
-                columns = list(zip(*rows))
+                    if not x or _joined(a_ids[i], a_bytes) != wanted or _joined(b_ids[i], b_bytes) != wanted:
+                        a_ids[i] = b_ids[i] = _ids([])
+                columns = list(zip(*align(a_ids, b_ids, a_bytes, b_bytes)))
                 offsets = pa.array(np.cumsum([0, *map(len, columns[5])]), pa.int32())
-                sha = [hashlib.sha256(x).hexdigest() if k else "" for k, x in zip(columns[0], columns[4])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi],
-                     *(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(sha, pa.string()),
+                     *(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.string()),
                      *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in columns[5:])],
                     names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
