@@ -115,8 +115,8 @@ def parse_record(get: Callable[[int, int], bytes], pos: int) -> tuple[dict[str,
         name = name.strip().lower()
         fields[name] = value.strip()
     length = fields.get("content-length", "")
-    if not re.fullmatch(r"[0-9]{1,18}", length) or not fields.get("warc-type"):
-        raise Damaged("no type or length")
+    if not re.fullmatch(r"[0-9]{1,18}", length) or not fields.get("warc-type") or not fields.get("warc-record-id"):
+        raise Damaged("no type, id or length")
     begin = pos + at + len(END)
     end = begin + int(length)
     if get(end, len(END)) != END:
