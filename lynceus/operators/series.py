@@ -1,87 +1,205 @@
 """Analyses that read a numeric column in row order.
 
 ``order_by`` must order the rows completely (end it with a unique column). A series is a column, optionally within
-``series`` keys; one series may hold most of the table. Rows are range-partitioned by (series, order), sorted and
-checkpointed; after that partition numbers and row positions are fixed, and everything that crosses partitions
-travels as one small row per series and partition. No window ever spans a whole series.
+``series`` keys; one series may hold most of the table. The rows are range-partitioned by (series, order) and sorted
+once, as wide as they are: all measures of a row travel together. Where they are sorted, segmented scans give each
+measure its place, its neighbours or its running sums within the series and partition, and the result is written column
+by column, so an analysis reads what it needs. What crosses partitions is one small record per series and partition.
+Measures become rows of their own only behind that, on the way into a filter or an aggregation; no window spans a series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property, reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.functions.scoring import clamp, correlation_t, p_value, p_value_ref
 from lynceus.operators.values import quoted
-from lynceus.session import checkpointed
+from lynceus.session import checkpointed, stored
 from lynceus.table import Table
 
 PERIOD_LABELS = {7: "weekly", 12: "monthly", 4: "quarterly", 24: "hourly"}  # fixed values
 BLOCK = 1 << 20      # positions per block when thinning change points
-LAG_BLOCK = 1 << 16  # positions per block when the lags are bounded
+LAG_BLOCK = 1 << 16  # positions per block when the lags are bounded; series up to this length are correlated whole
+
+#: Columns that each scan adds per measure.
+SCANS = {"neighbours": {"p": "double", "q": "double"}, "sums": {"m": "double", "s": "double", "t": "double"}}
+
+
+def _segments(columns: list[pa.ChunkedArray], rows: int) -> np.ndarray:
+    """Number of the run of equal keys (nulls are equal) that each row is in."""
+    new = np.zeros(rows, dtype=bool)
+    for column in columns:
+        codes = column.combine_chunks().dictionary_encode()
+        codes = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(new)
+
+
+def _scan_measure(values: np.ndarray, segment: np.ndarray, scans: tuple[str, ...]) -> dict[str, pa.Array]:
+    """Place of each number among those of its segment, and what the scans ask for; null where there is no number."""
+    rows = len(values)
+    at = np.flatnonzero(~np.isnan(values))
+    x, of = values[at], segment[at]
+    held = np.bincount(of, minlength=int(segment[-1]) + 1)
+    first = (np.cumsum(held) - held)[of]
+
+    def column(numbers: np.ndarray) -> pa.Array:
+        out = np.full(rows, np.nan)
+        out[at] = numbers
+        return pa.array(out, from_pandas=True)
+
+    place = np.zeros(rows, dtype=np.int64)
+    place[at] = np.arange(len(at)) - first
+    out = {"r": pa.array(place, mask=np.isnan(values))}
+    if "neighbours" in scans:
+        same = of[1:] == of[:-1]
+        before, after = np.full(len(at), np.nan), np.full(len(at), np.nan)
+        before[1:][same], after[:-1][same] = x[:-1][same], x[1:][same]
+        out |= {"p": column(before), "q": column(after)}
+    if "sums" in scans:
+        some = np.maximum(held, 1)
+        mean = (np.bincount(of, x, len(held)) / some)[of]
+        spread = np.sqrt(np.bincount(of, (x - mean) ** 2, len(held)) / some)[of]
+        spread[spread == 0] = 1.0
+        z = (x - mean) / spread  # segments of any scale add up side by side
+        s, t = np.cumsum(z) - z, np.cumsum(z * z) - z * z
+        out |= {"m": column(mean), "s": column((s - s[first]) * spread), "t": column((t - t[first]) * spread ** 2)}
+    return out
+
+
+def _scan(keys: int, measures: int, scans: tuple[str, ...]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        segment = _segments(table.columns[:keys], len(table))
+        columns = dict(zip(table.column_names[:keys], table.columns[:keys]))
+        columns["__part"] = pa.array(np.full(len(table), TaskContext.get().partitionId(), dtype=np.int32))
+        columns["__segment"] = pa.array(segment.astype(np.int32))
+        for i in range(measures):
+            values = table.column(keys + i)
+            columns[f"__v{i}"] = values
+            for name, column in _scan_measure(values.to_numpy().astype(float), segment, scans).items():
+                columns[f"__{name}{i}"] = column
+        yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
+
+    return scan
 
 
 class Series:
     """Positions and per-series facts of one or several numeric columns in row order.
 
-    ``rows``: series keys, column, idx, n, mean, var, value, part, pos.
+    ``rows``: series keys, __part, __segment and per measure i its number __v{i}, its place __r{i} within the segment and
+    the columns of the scans. ``keys``: the series keys and "column".
     """
 
-    def __init__(self, source, cols: list[str] | None, order_by: list[str] | None, series: list[str] | None = None):
+    def __init__(self, source, cols: list[str] | None, order_by: list[str] | None, series: list[str] | None = None,
+                 scans: tuple[str, ...] = ()):
         t = Table.of(source)
         order = list(order_by or t.order_by)
         if not order:
             raise ValueError("order_by is needed: rows of a DataFrame have no order of their own")
-        self.table, self.keys = t, [*(series or []), "column"]
-        names = list(cols or t.numeric)
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), t.number(c).alias("value")) for c in names])
+        self.table, self.series, self.scans = t, list(series or []), scans
+        self.keys = [*self.series, "column"]
+        self.names = list(cols if cols is not None else t.numeric)
         ordered = [f"__order{i}" for i in range(len(order))]
-        long = (
-            t.df.select(*[quoted(s) for s in series or []],
-                        *[quoted(o).alias(a) for o, a in zip(order, ordered)], F.inline(cells))
-            .where(F.col("value").isNotNull())
-            .repartitionByRange(*self.keys, *ordered)
-            .sortWithinPartitions(*self.keys, *ordered)
-            .withColumn("at", F.monotonically_increasing_id())
-        )
-        self.base = checkpointed(long.select(
-            *self.keys, "value", F.shiftright("at", 33).cast("int").alias("part"),
-            F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")))
-
-    def parts(self) -> DataFrame:
-        """One row per series and partition with everything known before and after it."""
-        per_part = self.base.groupBy(*self.keys, "part").agg(
-            F.count(F.lit(1)).alias("m"), F.avg("value").alias("avg"), F.var_pop("value").alias("var"),
-            F.min("pos").alias("first_pos"), F.min_by("value", "pos").alias("first_value"),
-            F.max_by("value", "pos").alias("last_value"))
-        whole = Window.partitionBy(*self.keys)
-        before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        neighbours = whole.orderBy("part")
+        by = [*map(quoted, self.series), *ordered]
+        wide = t.df.select(
+            *map(quoted, self.series), *[t.number(c).alias(f"__v{i}") for i, c in enumerate(self.names)],
+            *[quoted(o).alias(a) for o, a in zip(order, ordered)])
+        dealt = wide.repartitionByRange(*by).sortWithinPartitions(*by).drop(*ordered)
+        schema = "".join(f"{quoted_name(k)} {t.df.schema[k].dataType.simpleString()}, " for k in self.series)
+        added = {"v": "double", "r": "bigint"} | {k: v for scan in scans for k, v in SCANS[scan].items()}
+        schema += "__part int, __segment int" + "".join(
+            f", __{k}{i} {v}" for i in range(len(self.names)) for k, v in added.items())
+        self.rows = stored(dealt.mapInArrow(_scan(len(self.series), len(self.names), scans), schema), "series")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """One row per measure, series and partition with everything known before and after it."""
+        measures = range(len(self.names))
+        aggregates = [a for i in measures for a in (
+            F.count(f"__v{i}").alias(f"n{i}"), F.avg(f"__v{i}").alias(f"avg{i}"), F.var_pop(f"__v{i}").alias(f"var{i}"),
+            F.max(F.when(F.col(f"__r{i}") == 0, F.col(f"__v{i}"))).alias(f"first{i}"),
+            F.max_by(f"__v{i}", f"__r{i}").alias(f"last{i}"))] or [F.count(F.lit(1)).alias("rows")]
+        per_part = self.rows.groupBy(*map(quoted, self.series), "__part", "__segment").agg(*aggregates)
+        each = [F.struct(F.lit(i).alias("__measure"), F.lit(c).alias("column"), F.col(f"n{i}").alias("m"),
+                         F.col(f"avg{i}").alias("avg"), F.col(f"var{i}").alias("var"), F.col(f"first{i}").alias("first_value"),
+                         F.col(f"last{i}").alias("last_value")) for i, c in enumerate(self.names)]
+        empty = F.array().cast("array<struct<__measure:int,column:string,m:bigint,avg:double,var:double,first_value:double,last_value:double>>")
+        long = per_part.select(*map(quoted, self.series), "__part", "__segment",
+                               F.inline(F.array(*each) if each else empty)).where(F.col("m") > 0)
+        whole = Window.partitionBy(*map(quoted, self.keys))
+        before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        neighbours = whole.orderBy("__part")
         with_mean = (
-            per_part.withColumn("n", F.sum("m").over(whole))
+            long.withColumn("n", F.sum("m").over(whole))
             .withColumn("mean", F.sum(F.col("m") * F.col("avg")).over(whole) / F.col("n"))
             .withColumn("s1", F.col("m") * (F.col("avg") - F.col("mean")))
             .withColumn("s2", F.col("m") * (F.col("var") + F.pow(F.col("avg") - F.col("mean"), 2)))
         )
-        return with_mean.select(
-            *self.keys, "part", "first_pos", "n", "mean",
+        return stored(with_mean.select(
+            *map(quoted, self.keys), "__part", "__segment", "__measure", "n", "mean",
             (F.sum("s2").over(whole) / F.col("n")).alias("var"), F.sum("s2").over(whole).alias("s2_all"),
             F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m_before"),
             F.coalesce(F.sum("s1").over(before), F.lit(0.0)).alias("s1_before"),
             F.coalesce(F.sum("s2").over(before), F.lit(0.0)).alias("s2_before"),
             F.lag("last_value").over(neighbours).alias("value_before"),
             F.lead("first_value").over(neighbours).alias("value_after"),
-        )
+        ), "series-facts")
 
-    def placed(self) -> DataFrame:
-        """The rows with their position ``idx`` in the series and the facts of ``parts``."""
-        return self.base.join(self.parts(), [*self.keys, "part"]).withColumn(
-            "idx", F.col("m_before") + F.col("pos") - F.col("first_pos"))
+    def whole(self) -> DataFrame:
+        """One row per series: keys, n, mean and population variance."""
+        return self.facts.groupBy(*map(quoted, self.keys)).agg(
+            F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("var").alias("var"))
 
-    def within_part(self) -> Window:
-        return Window.partitionBy(*self.keys, "part").orderBy("pos")
+    def placed(self) -> DataFrame:
+        """A row per number with its position ``idx`` in the series, the facts and what the scans found.
+
+        The records of a series and partition meet its rows once, for all measures.
+        """
+        given = ["n", "mean", "var", "s2_all", "m_before", "s1_before", "s2_before", "value_before", "value_after"]
+        if not self.names:
+            return self.facts.select(*map(quoted, self.keys), *given, F.lit(0).cast("bigint").alias("idx"),
+                                     F.lit(None).cast("double").alias("value"))
+        records = self.facts.groupBy("__part", "__segment").agg(*[
+            F.max(F.when(F.col("__measure") == i, F.struct(*given))).alias(f"__f{i}") for i in range(len(self.names))])
+        cells = []
+        for i, c in enumerate(self.names):
+            value, place, facts = F.col(f"__v{i}"), F.col(f"__r{i}"), F.col(f"__f{i}")
+            fields = [F.lit(c).alias("column"), value.alias("value"), (facts["m_before"] + place).alias("idx"),
+                      *[facts[g].alias(g) for g in given]]
+            if "neighbours" in self.scans:
+                fields += [F.coalesce(f"__p{i}", facts["value_before"]).alias("previous"),
+                           F.coalesce(f"__q{i}", facts["value_after"]).alias("next")]
+            if "sums" in self.scans:
+                off = F.col(f"__m{i}") - facts["mean"]
+                fields += [(facts["s1_before"] + F.col(f"__s{i}") + place * off).alias("s1"),
+                           (facts["s2_before"] + F.col(f"__t{i}") + 2 * off * F.col(f"__s{i}") + place * off * off).alias("s2")]
+            cells.append(F.struct(*fields))
+        return (self.rows.join(records, ["__part", "__segment"])
+                .select(*map(quoted, self.series), F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null equals null."""
+    renamed = right.select(*[quoted(k).alias(f"__right{i}") for i, k in enumerate(keys)],
+                           *[quoted(c) for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[quoted_name(k)].eqNullSafe(renamed[f"__right{i}"]) for i, k in enumerate(keys)])
+    return left.join(renamed, same, how).drop(*[f"__right{i}" for i in range(len(keys))])
 
 
 def _shown(df: DataFrame, keys: list[str], *columns) -> DataFrame:
@@ -167,40 +285,24 @@ def trend_test(source, cols: list[str] | None = None, order_by: list[str] | None
         F.round(F.abs("r") * 100).cast("int").alias("confidence"))
 
 
-def _neighbours(s: Series) -> DataFrame:
-    """Placed rows with the previous and next value of the series, across partition borders."""
-    inner = s.within_part()
-    return (
-        s.placed()
-        .withColumn("previous", F.coalesce(F.lag("value").over(inner), F.col("value_before")))
-        .withColumn("next", F.coalesce(F.lead("value").over(inner), F.col("value_after")))
-    )
-
-
 def _peaks(s: Series) -> DataFrame:
-    return _neighbours(s).where((F.col("value") > F.col("previous")) & (F.col("value") > F.col("next")))
+    """Numbers above the one before and the one after, across partition borders."""
+    return s.placed().where((F.col("value") > F.col("previous")) & (F.col("value") > F.col("next")))
 
 
 def local_peaks(source, cols: list[str] | None = None, order_by: list[str] | None = None,
                 series: list[str] | None = None) -> DataFrame:
     """Positions whose value exceeds both neighbours."""
-    s = Series(source, cols, order_by, series)
+    s = Series(source, cols, order_by, series, ("neighbours",))
     return _shown(_peaks(s), s.keys, "idx", "value")
 
 
 # --- change points ---------------------------------------------------------------------------------------------
 
-def change_point_candidates(s: Series, min_segment: int = 5, threshold: float = 2.0) -> DataFrame:
+def change_point_candidates(s: Series, min_segment: int = 5, threshold: float = 2.0, min_n: int = 0) -> DataFrame:
     """Every split whose mean shift exceeds ``threshold`` standard errors, from running sums of centred values."""
-    running = s.within_part().rowsBetween(Window.unboundedPreceding, -1)
-    x = F.col("value") - F.col("mean")
-    sums = (
-        s.placed().withColumn("x", x)
-        .withColumn("s1", F.col("s1_before") + F.coalesce(F.sum("x").over(running), F.lit(0.0)))
-        .withColumn("s2", F.col("s2_before") + F.coalesce(F.sum(F.col("x") * F.col("x")).over(running), F.lit(0.0)))
-    )
-    inside = sums.where(
-        (F.col("n") >= 2 * min_segment) & (F.col("var") > 0)
+    inside = s.placed().where(
+        (F.col("n") >= max(2 * min_segment, min_n)) & (F.col("var") > 0)
         & (F.col("idx") >= min_segment) & (F.col("idx") < F.col("n") - min_segment))
     nb, na = F.col("idx").cast("double"), (F.col("n") - F.col("idx")).cast("double")
     mean_b, mean_a = F.col("s1") / nb, -F.col("s1") / na
@@ -269,7 +371,7 @@ def change_points(source, cols: list[str] | None = None, order_by: list[str] | N
                   series: list[str] | None = None, min_segment: int = 5, threshold: float = 2.0,
                   block: int = BLOCK) -> DataFrame:
     """Positions where the mean level shifts, thinned so that none is within ``min_segment`` of a stronger one."""
-    s = Series(source, cols, order_by, series)
+    s = Series(source, cols, order_by, series, ("sums",))
     return thin_candidates(change_point_candidates(s, min_segment, threshold), s.keys, min_segment, block)
 
 
@@ -377,16 +479,37 @@ def autocovariance_sums(placed: DataFrame, keys: list[str], max_lag: Column) ->
     return power.groupBy(*names, "g").applyInPandas(_last_step(keys), sums_schema)
 
 
+def _short_sums(keys: list[str], bound: int | None):
+    """All products of a whole series with itself, by one transform in memory."""
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("idx")["x"].to_numpy()
+        n = len(x)
+        lags = n // 2 if bound is None else min(bound, n - 1)
+        size = 1 << (2 * n).bit_length()
+        products = np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: lags + 1]
+        out = {k: [pdf[k].iloc[0]] * (lags + 1) for k in keys}
+        return pd.DataFrame({**out, "lag": np.arange(lags + 1), "total": products})
+
+    return sums
+
+
 def _correlogram(s: Series, max_lag: int | None, min_n: int) -> DataFrame:
+    names = [quoted(k) for k in s.keys]
+    whole = s.whole().where((F.col("n") >= min_n) & (F.col("var") > 0))
+    longest = whole.agg(F.max("n")).first()[0] or 0
     placed = s.placed().where((F.col("n") >= min_n) & (F.col("var") > 0))
     if max_lag is not None and max_lag <= LAG_BLOCK:
         sums = bounded_autocovariance_sums(placed, s.keys, max_lag)
     else:
-        lags = F.floor(F.col("n") / 2) if max_lag is None else F.least(F.lit(max_lag), F.col("n") - 1)
-        sums = autocovariance_sums(placed, s.keys, lags)
-    facts = s.parts().select(*s.keys, "n", "var").distinct()
-    return sums.join(facts, s.keys).select(
-        *[quoted(k) for k in s.keys], "lag", (F.col("total") / ((F.col("n") - F.col("lag")) * F.col("var"))).alias("acf"))
+        x = placed.where(F.col("n") <= LAG_BLOCK).select(*names, "idx", (F.col("value") - F.col("mean")).alias("x"))
+        key_schema = "".join(f"`{k}` {placed.schema[k].dataType.simpleString()}, " for k in s.keys)
+        sums = x.groupBy(*names).applyInPandas(_short_sums(s.keys, max_lag), key_schema + "lag bigint, total double")
+        if longest > LAG_BLOCK:
+            lags = F.floor(F.col("n") / 2) if max_lag is None else F.least(F.lit(max_lag), F.col("n") - 1)
+            sums = sums.unionByName(autocovariance_sums(placed.where(F.col("n") > LAG_BLOCK), s.keys, lags))
+    return same_keys(sums, whole.select(*names, "n", "var"), s.keys).select(
+        *names, "lag", (F.col("total") / ((F.col("n") - F.col("lag")) * F.col("var"))).alias("acf"))
 
 
 def acf(source, cols: list[str] | None = None, order_by: list[str] | None = None, series: list[str] | None = None,
@@ -404,7 +527,9 @@ def seasonality_of(s: Series, max_period: int | None = None, min_n: int = 8) ->
                                F.col("acf").alias("beside"))
     higher = (
         sides.groupBy(*s.keys, "lag").agg(F.count(F.lit(1)).alias("sides"), F.max("beside").alias("beside"))
-        .join(correlogram, [*s.keys, "lag"])
+    )
+    higher = (
+        same_keys(higher, correlogram, [*s.keys, "lag"])
         .where((F.col("sides") == 2) & (F.col("acf") > F.col("beside")) & (F.col("acf") > 0.3))
     )
     best = higher.groupBy(*s.keys).agg(
@@ -416,7 +541,7 @@ def seasonality_of(s: Series, max_period: int | None = None, min_n: int = 8) ->
 def seasonality(source, cols: list[str] | None = None, order_by: list[str] | None = None,
                 series: list[str] | None = None, max_period: int | None = None) -> DataFrame:
     """Detected seasonality per series: period, strength, label and the first ten peaks of the data."""
-    s = Series(source, cols, order_by, series)
+    s = Series(source, cols, order_by, series, ("neighbours",))
     found = seasonality_of(s, max_period)
     order = Window.partitionBy(*s.keys).orderBy("idx")
     peaks = (
@@ -426,7 +551,7 @@ def seasonality(source, cols: list[str] | None = None, order_by: list[str] | Non
     label = F.lit(None).cast("string")
     for period, text in PERIOD_LABELS.items():
         label = F.when(F.col("period") == period, text).otherwise(label)
-    return found.join(peaks, s.keys, "left").select(
+    return same_keys(found, peaks, s.keys, "left").select(
         *[quoted(k) for k in s.keys], "period", "strength", label.alias("label"),
         F.coalesce("peaks", F.array().cast("array<bigint>")).alias("peaks"))
 
@@ -434,10 +559,9 @@ def seasonality(source, cols: list[str] | None = None, order_by: list[str] | Non
 def time_series_report(source, cols: list[str] | None = None, order_by: list[str] | None = None,
                        series: list[str] | None = None, min_values: int = 20) -> DataFrame:
     """Change points and seasonality of every numeric column with 20 values or more, one row per finding."""
-    s = Series(source, cols, order_by, series)
-    long_enough = s.parts().where(F.col("n") >= min_values).select(*s.keys).distinct()
+    s = Series(source, cols, order_by, series, ("sums",))
     names = [quoted(k) for k in s.keys]
-    points = thin_candidates(change_point_candidates(s).join(long_enough, s.keys, "left_semi"), s.keys, 5).select(
+    points = thin_candidates(change_point_candidates(s, min_n=min_values), s.keys, 5).select(
         *names, F.lit("change_point").alias("finding"), F.col("idx").alias("position"),
         F.col("significance").alias("strength"), "before_mean", "after_mean", "direction")
     periods = seasonality_of(s, min_n=min_values).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet beside the checkpoints and read back: cuts the lineage, keeps its columns apart and tells
+    the planner its size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and pins partition numbers and row positions."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,7 +6,6 @@ number of columns. They are computed once, on first use.
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 from functools import cached_property
 
@@ -19,7 +18,7 @@ from lynceus.functions import cells, patterns
 from lynceus.functions.patterns import has_mark
 from lynceus.operators import ranks
 from lynceus.operators.values import LONG_TEXT, described, distinct_counts, quoted, raw_counts, top_values
-from lynceus.session import ensure_checkpoint_dir
+from lynceus.session import stored
 
 COLUMNS_PER_SCAN = 8
 COLUMNS_PER_JOB = 50
@@ -44,9 +43,7 @@ class Table:
 
         Worth it for the result of joins or aggregations: the analyses read a table many times, a few columns each.
         """
-        path = f"{ensure_checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
-        self.df.write.parquet(path)
-        return Table(self.spark.read.parquet(path), self.name, self.order_by, self.id_cols, self._types)
+        return Table(stored(self.df), self.name, self.order_by, self.id_cols, self._types)
 
     @property
     def spark(self):

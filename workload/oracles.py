@@ -440,10 +440,16 @@ round(a, 5) AS first_mean, round(b, 5) AS last_mean FROM u WHERE {KEPT}"""
 
 ORACLES["trend"] = trend_sql(MONTH_SERIES, "")
 ORACLES["trend_events"] = trend_sql(EVENT_SERIES, "k AS event_type, ")
+LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+ORACLES["trend_lineitem"] = trend_sql([("lineitem", "l_returnflag", c, LINE_ORDER) for c in LINE_NUMBERS], "k AS l_returnflag, ").replace(", 5)", ", 4)")
 ORACLES["trend_test"] = f"""WITH {series_cte(EVENT_SERIES)}, {TREND}, w AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS z FROM u WHERE n >= 10)
 SELECT k AS event_type, c AS "column", n, round(r, 5) AS r, round(z, 5) AS t_statistic, round({p_of('z')}, 5) AS p_value, round({p_ref('z')}, 5) AS p_value_ref,
 abs(r) >= 0.2 AND {p_of('z')} < 0.05 AS supported, abs(r) >= 0.2 AND {p_ref('z')} < 0.05 AS supported_ref, CAST(round(abs(r) * 100) AS INTEGER) AS confidence FROM w"""
 
+ORACLES["trend_test_lineitem"] = ORACLES["trend_test"].replace(
+    series_cte(EVENT_SERIES), series_cte([("lineitem", "1", c, LINE_ORDER) for c in LINE_NUMBERS])).replace("k AS event_type, ", "").replace(", 5)", ", 4)")
+
 
 def change_cte(min_n: int = 10) -> str:
     return f"""s AS (SELECT *, sum(v - m) OVER w AS s1, sum((v - m) * (v - m)) OVER w AS s2 FROM p
@@ -492,6 +498,8 @@ SELECT best.c AS "column", lag AS period, round(acf, 6) AS strength,
 CASE lag WHEN 7 THEN 'weekly' WHEN 12 THEN 'monthly' WHEN 4 THEN 'quarterly' WHEN 24 THEN 'hourly' END AS label, coalesce(peaks, '') AS peaks
 FROM best LEFT JOIN ten ON best.k = ten.k AND best.c = ten.c WHERE rk = 1"""
 ORACLES["local_peaks"] = f"""WITH {series_cte(EVENT_SERIES)}, {PEAKS} SELECT k AS event_type, c AS "column", idx, v AS value FROM peaks"""
+ORACLES["local_peaks_lineitem"] = f"""WITH {series_cte([("lineitem", "l_linestatus", c, LINE_ORDER) for c in ("l_quantity", "l_extendedprice", "l_discount")])}, {PEAKS}
+SELECT k AS l_linestatus, c AS "column", idx, v AS value FROM peaks"""
 ORACLES["time_series_report"] = f"""WITH RECURSIVE {series_cte(SEASONAL_SERIES)}, {change_cte(20)}, {acf_cte('floor(x.n / 2)', 20)}, {SEASON}
 SELECT r.c AS "column", 'change_point' AS finding, r.idx AS position, round(sig, 4) AS strength, round(bm, 4) AS before_mean,
 round(am, 4) AS after_mean, CASE WHEN am > bm THEN 'increase' ELSE 'decrease' END AS direction

@@ -498,6 +498,25 @@ def trend_events(spark, sf):
     return rounded(ly.trend(load(spark, sf, "events"), ["value"], ["ts", "event_id"], ["event_type"]), 5)
 
 
+LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query
+def trend_lineitem(spark, sf):
+    """All eight measures of a table in one sort."""
+    return rounded(ly.trend(load(spark, sf, "lineitem"), None, LINEITEM_ORDER, ["l_returnflag"]), 4)
+
+
+@query
+def trend_test_lineitem(spark, sf):
+    return rounded(ly.trend_test(load(spark, sf, "lineitem"), None, LINEITEM_ORDER), 4)
+
+
+@query
+def local_peaks_lineitem(spark, sf):
+    return ly.local_peaks(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], LINEITEM_ORDER, ["l_linestatus"])
+
+
 @query
 def trend_test(spark, sf):
     return rounded(ly.trend_test(load(spark, sf, "events"), ["value"], ["ts", "event_id"], ["event_type"]), 5)
