@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.names import causal_direction
 from lynceus.operators.association import confounder_table, correlation_matrix
+from lynceus.operators.groups import extremes, small_groups
 from lynceus.operators.outliers import outlier_counts
 from lynceus.operators.series import trend
-from lynceus.operators.testing import group_extremes, with_welch
+from lynceus.operators.testing import MIN_GROUP, with_welch
 from lynceus.table import Table
 
 SCHEMA = (
@@ -59,10 +60,12 @@ def hypotheses_group_difference(source, max_columns: int | None = None) -> DataF
     """Categorical columns of at most ten values against measures, where the means of the highest and lowest group
     (five values or more) differ by 10 % of their middle. ``max_columns`` takes the first columns of either kind only."""
     t = Table.of(source)
-    cats, nums = t.few_valued(2, 10)[:max_columns], t.numeric[:max_columns]
-    if not cats or not nums:
-        return t.spark.createDataFrame([], SCHEMA)
-    pairs = reduce(DataFrame.unionByName, [group_extremes(t, c, nums) for c in cats])
+    groups = small_groups(t)
+    if max_columns:
+        first = F.array(*map(F.lit, t.numeric[:max_columns]))
+        places = groups.select("place").distinct().orderBy("place").limit(max_columns)  # a row per small category
+        groups = groups.where(F.array_contains(first, F.col("measure"))).join(F.broadcast(places), "place", "left_semi")
+    pairs = extremes(groups, MIN_GROUP)
     middle = F.abs(F.col("top.mean") + F.col("bottom.mean")) / 2
     difference = F.coalesce(F.try_divide(F.abs(F.col("top.mean") - F.col("bottom.mean")), middle) * 100, F.lit(0.0))
     found = with_welch(pairs).withColumn("difference", difference).where(F.col("difference") >= 10)

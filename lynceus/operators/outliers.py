@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.scoring import zscore
 from lynceus.operators.values import quoted
-from lynceus.table import Table
+from lynceus.table import COLUMNS_PER_JOB, Table
 
 FENCE = 1.5
+#: Rows whose mean |z| exceeds this stand out.
+ODD_ROW = 2.5
 OUTLIER_FIELDS = ("value", "expected_min", "expected_max", "zscore")
 
 
@@ -66,22 +68,46 @@ def outliers_iqr(source, cols: list[str] | None = None, id_cols: list[str] | Non
     return reduce(DataFrame.unionByName, parts).orderBy(F.abs("zscore").desc(), "column", *[quoted(i) for i in ids])
 
 
+def tail_facts(t: Table) -> dict:
+    """One scan behind moments and quartiles: per numeric column the outliers, their largest |z|, the fences and the share of
+    round numbers under "columns", and the number of rows whose mean |z| exceeds 2.5 under "odd_rows" (null without a score)."""
+    facts, score = t.summary(), anomaly_score(t)
+    names = list(facts)
+    found = {"columns": {}, "odd_rows": None}
+    for start in range(0, len(names), COLUMNS_PER_JOB):
+        batch = names[start:start + COLUMNS_PER_JOB]
+        aggregates: list[Column] = []
+        if not start and score is not None:
+            aggregates.append(F.count_if(F.col("score") > ODD_ROW).alias("odd"))
+        for i, c in enumerate(batch):
+            v, bounds = F.col(f"x{i}"), fences(facts[c])
+            aggregates.append(F.avg(F.when(v % 5 == 0, 1.0).when(v.isNotNull(), 0.0)).alias(f"r{i}"))
+            if bounds:
+                out = (v < bounds[0]) | (v > bounds[1])
+                z = zscore(v, F.lit(facts[c]["mean"]), F.lit(facts[c]["std"]))
+                aggregates += [F.count_if(out).alias(f"n{i}"), F.max(F.when(out, F.abs(z))).alias(f"z{i}")]
+        views = [t.number(c).alias(f"x{i}") for i, c in enumerate(batch)]
+        if not start and score is not None:
+            views.append(score.alias("score"))
+        row = t.df.select(*views).agg(*aggregates).first().asDict()
+        if not start and score is not None:
+            found["odd_rows"] = row["odd"]
+        for i, c in enumerate(batch):
+            low, high = fences(facts[c]) or (None, None)
+            found["columns"][c] = {
+                "outliers": row.get(f"n{i}", 0), "max_zscore": row.get(f"z{i}") or 0.0, "expected_min": low, "expected_max": high,
+                "round_ratio": row[f"r{i}"] or 0.0}
+    return found
+
+
 def outlier_counts(source, cols: list[str] | None = None) -> dict[str, dict]:
-    """Per column: number of outliers and largest |z|, in one scan without a shuffle."""
+    """Per column with numbers: number of outliers, largest |z| and fences. One scan for all columns, kept with the table."""
     t = Table.of(source)
-    facts = {c: s for c, s in t.summary(cols).items() if fences(s)}
-    if not facts:
-        return {}
-    aggregates: list[Column] = []
-    for i, (c, s) in enumerate(facts.items()):
-        low, high = fences(s)
-        v = F.col(f"x{i}")
-        out = (v < low) | (v > high)
-        aggregates += [F.count_if(out).alias(f"n{i}"),
-                       F.max(F.when(out, F.abs(zscore(v, F.lit(s["mean"]), F.lit(s["std"]))))).alias(f"z{i}")]
-    row = t.df.select(*[t.number(c).alias(f"x{i}") for i, c in enumerate(facts)]).agg(*aggregates).first()
-    return {c: {"outliers": row[f"n{i}"], "max_zscore": row[f"z{i}"] or 0.0, "expected_min": fences(s)[0],
-                "expected_max": fences(s)[1]} for i, (c, s) in enumerate(facts.items())}
+    if cols is not None and "tails" not in t.__dict__:
+        narrow = Table(t.df.select(*map(quoted, cols)), t.name, types={c: "number" for c in cols})
+        narrow._summary = {c: dict(s) for c, s in t.summary(cols).items()}
+        return narrow.tails["columns"]
+    return {c: f for c, f in t.tails["columns"].items() if f["expected_min"] is not None and (cols is None or c in cols)}
 
 
 def outliers_zscore(source, col: str, threshold: float = 3.0, id_cols: list[str] | None = None) -> DataFrame:
@@ -109,7 +135,7 @@ def anomaly_score(t: Table, cols: list[str] | None = None) -> Column | None:
 
 
 def row_anomalies(source, id_cols: list[str] | None = None, cols: list[str] | None = None,
-                  threshold: float = 2.5) -> DataFrame:
+                  threshold: float = ODD_ROW) -> DataFrame:
     """Rows whose mean |z| exceeds the threshold."""
     t = Table.of(source)
     ids = _ids(t, id_cols)
@@ -124,7 +150,7 @@ def outlier_test(source, col: str) -> DataFrame:
     """Are there values outside the quartile fences? Count, share and confidence."""
     t = Table.of(source)
     n = t.summary([col])[col]["count"]
-    found = outlier_counts(t, [col]).get(col, {"outliers": 0})["outliers"]
+    found = outlier_counts(t, [col])[col]["outliers"] if n else 0
     share = 100.0 * found / n if n else 0.0
     confidence = min(90.0, 50 + 5 * share) if found else 30.0
     return t.spark.createDataFrame(

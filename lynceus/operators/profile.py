@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions import cells
 from lynceus.operators.values import distinct_counts, grouping_key, quoted, spell_out, top_values
+from lynceus.operators.groups import small_groups
 from lynceus.table import Table
 
 STATS_SCHEMA = (
@@ -270,33 +271,21 @@ def segment_profile(source, max_segments: int | None = None, max_measures: int |
     order; by default nothing is left out.
     """
     t = Table.of(source)
-    measures = t.numeric[:max_measures]
-    overall = {m: s["mean"] for m, s in t.moments(measures).items() if s["mean"]}
+    overall = {m: s["mean"] for m, s in t.moments(t.numeric[:max_measures]).items() if s["mean"]}
     schema = ("segment_order bigint, column string, value string, size bigint, share double, measure string, "
               "segment_mean double, difference_percent double")
-    cats = t.few_valued(2, 10)
-    if not cats or not overall:
+    if not overall:
         return t.spark.createDataFrame([], schema)
-    parts = None
-    slots = {m: f"x{i}" for i, m in enumerate(overall)}
-    for place, cat in enumerate(cats):
-        groups = (
-            t.df.select(t.text(cat).alias("value"), *[t.number(m).alias(x) for m, x in slots.items()])
-            .where(F.col("value").isNotNull())
-            .groupBy("value").agg(F.count(F.lit(1)).alias("size"), *[F.avg(x).alias(x) for x in slots.values()])
-        )
-        if max_values:
-            groups = groups.orderBy(F.col("size").desc(), "value").limit(max_values)
-        top = groups.where(F.col("size") >= 10)
-        rows = top.select(
-            F.lit(place).alias("place"), F.lit(cat).alias("column"), "value", "size",
-            F.inline(F.array(*[
-                F.struct(F.lit(m).alias("measure"), F.col(slots[m]).alias("segment_mean"),
-                         (100 * (F.col(slots[m]) - F.lit(v)) / F.lit(v)).alias("difference_percent"))
-                for m, v in overall.items()])),
-        )
-        parts = rows if parts is None else parts.unionByName(rows)
-    distinct = parts.where(F.abs("difference_percent") > 10).withColumn("share", F.col("size") / F.lit(t.rows))
+    groups = small_groups(t)
+    if max_values:
+        by_size = Window.partitionBy("place").orderBy(F.col("size").desc(), "value")  # ten values of a column at most
+        groups = groups.withColumn("rank", F.dense_rank().over(by_size)).where(F.col("rank") <= max_values)
+    middle = F.element_at(F.create_map(*[x for m, v in overall.items() for x in (F.lit(m), F.lit(v))]), F.col("measure"))
+    distinct = (
+        groups.where(F.col("size") >= 10).withColumn("middle", middle).where(F.col("middle").isNotNull())
+        .withColumn("segment_mean", F.col("mean"))
+        .withColumn("difference_percent", 100 * (F.col("mean") - F.col("middle")) / F.col("middle"))
+        .where(F.abs("difference_percent") > 10).withColumn("share", F.col("size") / F.lit(t.rows)))
     # at most 10 segments per column, so the ranking window is small by construction
     order = Window.orderBy("place", F.col("size").desc(), "value")
     ranked = distinct.withColumn("segment_order", F.dense_rank().over(order).cast("bigint"))

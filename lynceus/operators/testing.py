@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.scoring import correlation_t, p_value, p_value_ref
 from lynceus.operators.association import _pair_moments
+from lynceus.operators.groups import extremes, group_facts
 from lynceus.operators.outliers import outlier_test
 from lynceus.operators.series import trend_test
 from lynceus.table import Table
@@ -15,31 +16,6 @@ ALPHA = 0.05
 MIN_GROUP = 5
 
 
-def group_extremes(t: Table, cat: str, nums: list[str]) -> DataFrame:
-    """Per measure the groups (5 values or more) with the highest and the lowest mean. Rows (measure, groups, top,
-    bottom); ``top`` and ``bottom`` are structs (group, n, mean, var). Only group statistics are shuffled."""
-    aggregates = []
-    for i, c in enumerate(nums):
-        v = F.col(f"x{i}")
-        aggregates += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")]
-    groups = (
-        t.df.select(t.text(cat).alias("g"), *[t.number(c).alias(f"x{i}") for i, c in enumerate(nums)])
-        .where(F.col("g").isNotNull() & (F.col("g") != "")).groupBy("g").agg(*aggregates)
-    )
-    long = groups.select("g", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("measure"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
-                 F.col(f"v{i}").alias("var")) for i, c in enumerate(nums)]))).where(F.col("n") >= MIN_GROUP)
-    side = F.struct(F.col("g").alias("group"), "n", "mean", "var")
-    return (
-        long.groupBy("measure").agg(
-            F.count(F.lit(1)).alias("groups"),
-            F.min_by(side, F.struct(-F.col("mean"), F.col("g"))).alias("top"),
-            F.min_by(side, F.struct(F.col("mean"), F.col("g"))).alias("bottom"))
-        .where(F.col("groups") >= 2)
-        .select(F.lit(cat).alias("category"), "measure", "groups", "top", "bottom")
-    )
-
-
 def with_welch(extremes: DataFrame) -> DataFrame:
     """Add t (population variances) and its p-values; a zero standard error means no evidence (t = 0, p = 1)."""
     se = F.sqrt(F.col("top.var") / F.col("top.n") + F.col("bottom.var") / F.col("bottom.n"))
@@ -56,7 +32,8 @@ def with_welch(extremes: DataFrame) -> DataFrame:
 
 def welch_t_test(source, num: str, cat: str) -> DataFrame:
     """Do the groups with the highest and the lowest mean differ? No row with fewer than two groups of five."""
-    tested = with_welch(group_extremes(Table.of(source), cat, [num]))
+    t = Table.of(source)
+    tested = with_welch(extremes(group_facts(t, [cat], [num]), MIN_GROUP))
     return tested.select(
         "category", "measure", "groups",
         F.col("top.group").alias("top_group"), F.col("top.n").alias("top_n"), F.col("top.mean").alias("top_mean"),

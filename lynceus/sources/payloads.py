@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.values import quoted
@@ -11,36 +11,45 @@ from lynceus.operators.values import quoted
 WRAPPER_KEYS = ("results", "data", "items", "rows", "records")
 
 
-def flatten_json_column(df: DataFrame, col: str, fields: dict[str, str] | None = None) -> DataFrame:
+def _records(payload: Column, array_path: str | None = None) -> Column:
+    """The records of a JSON payload as variants: the array at ``array_path``, a root array, an object's first wrapped array
+    or the object itself; null for text that is not JSON."""
+    parsed = F.try_parse_json(payload)
+    paths = [f"$.{array_path}"] if array_path else ["$", *[f"$.{key}" for key in WRAPPER_KEYS]]
+    arrays = [F.try_variant_get(parsed, path, "array<variant>") for path in paths]
+    return F.coalesce(*arrays, F.when(parsed.isNotNull() & F.lit(array_path is None), F.array(parsed)))
+
+
+def _fields(record: str, fields: dict[str, str]) -> list[Column]:
+    return [F.try_variant_get(record, f"$.{k}", kind).alias(k) for k, kind in fields.items()]
+
+
+def flatten_json_column(df: DataFrame, col: str, fields: dict[str, str] | None = None,
+                        array_path: str | None = None) -> DataFrame:
     """One row per record in a JSON payload column.
 
-    A root array gives its elements, an object its first wrapped array or else itself, text that is not JSON one row
-    with ``value``. ``fields`` maps record keys to Spark types and adds them as columns; otherwise the record stays
-    in ``record`` as JSON text.
+    A root array gives its elements, an object its first wrapped array or else itself (or the array at the dotted
+    ``array_path``), text that is not JSON one row with ``value``. ``fields`` maps record keys to Spark types and adds
+    them as columns; otherwise the record stays in ``record`` as JSON text.
     """
-    parsed = df.withColumn("__json", F.try_parse_json(quoted(col)))
-    records = [F.try_variant_get("__json", "$", "array<variant>")]
-    records += [F.try_variant_get("__json", f"$.{key}", "array<variant>") for key in WRAPPER_KEYS]
     kept = [quoted(c) for c in df.columns if c != col]
-    rows = parsed.select(
-        *kept, quoted(col).alias("__text"), F.posexplode_outer(F.coalesce(*records, F.array("__json"))).alias("position", "__record"))
-    is_json = F.col("__record").isNotNull()
-    whole = F.when(~is_json, F.col("__text")).alias("value")
+    records = F.coalesce(_records(quoted(col), array_path), F.array(F.lit(None).cast("variant")))
+    rows = df.select(*kept, quoted(col).alias("__text"), F.posexplode_outer(records).alias("position", "__record"))
+    whole = F.when(F.col("__record").isNull(), F.col("__text")).alias("value")
     if fields is None:
         return rows.select(*kept, "position", F.to_json("__record").alias("record"), whole)
-    return rows.select(
-        *kept, "position", *[F.try_variant_get("__record", f"$.{k}", kind).alias(k) for k, kind in fields.items()], whole)
+    return rows.select(*kept, "position", *_fields("__record", fields), whole)
 
 
 def merge_pages(df: DataFrame, page_col: str, payload_col: str, limit: int = 100, max_pages: int | None = None,
-                fields: dict[str, str] | None = None) -> DataFrame:
+                fields: dict[str, str] | None = None, array_path: str | None = None) -> DataFrame:
     """Records of paged responses in page order, up to and including the first page with fewer than ``limit``
-    records. ``max_pages`` reads the first pages only, ``fields`` as in ``flatten_json_column``."""
+    records, counted after unwrapping (a page that is not JSON has none). ``max_pages`` reads the first pages only;
+    ``fields`` and ``array_path`` as in ``flatten_json_column``."""
     pages = df.select(quoted(page_col), quoted(payload_col))
     if max_pages:
         pages = pages.orderBy(quoted(page_col)).limit(max_pages)
-    sized = pages.withColumn("__n", F.coalesce(F.json_array_length(quoted(payload_col)), F.lit(0)))
-    last = sized.where(F.col("__n") < limit).agg(F.min(quoted(page_col)).alias("last"))
-    kept = sized.where(quoted(page_col) <= F.coalesce(last.scalar(), quoted(page_col)))
-    kept = kept.where(F.col("__n") > 0).drop("__n")
-    return flatten_json_column(kept, payload_col, fields)
+    held = F.coalesce(F.size(_records(quoted(payload_col), array_path)), F.lit(0))
+    last = pages.where(held < limit).agg(F.min(quoted(page_col)).alias("last"))
+    kept = pages.where(quoted(page_col) <= F.coalesce(last.scalar(), quoted(page_col))).where(held > 0)
+    return flatten_json_column(kept, payload_col, fields, array_path)

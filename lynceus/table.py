@@ -33,6 +33,8 @@ class Table:
         self._types = types
         self._summary: dict[str, dict] = {}
         self._vc: DataFrame | None = None
+        #: Statistics of measures within small categories, see ``operators.groups``.
+        self.small_groups: DataFrame | None = None
 
     @classmethod
     def of(cls, source: "Table | DataFrame", **facts) -> "Table":
@@ -137,6 +139,13 @@ class Table:
         small = {r["column"] for r in counts.where(F.col("unique_count").between(least, most)).collect()}
         return [c for c in cats if c in small]
 
+    @cached_property
+    def tails(self) -> dict:
+        """What lies outside the quartile fences, and round numbers, per column; see ``operators.outliers``."""
+        from lynceus.operators.outliers import tail_facts
+
+        return tail_facts(self)
+
     @cached_property
     def duplicates(self) -> int:
         """Rows that repeat an earlier row."""

@@ -278,6 +278,9 @@ ORACLES["flatten_json_column"] = "SELECT event_id, CAST(json_extract(props, '$.k
 ORACLES["merge_pages"] = """WITH p AS (SELECT doc_id // 50 AS page, doc_id, quality,
 row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, quality) - 1 AS position, count(*) OVER (PARTITION BY doc_id // 50) AS n FROM labels)
 SELECT page, position, doc_id, quality FROM p WHERE page <= coalesce((SELECT min(page) FROM p WHERE n < 15), page)"""
+ORACLES["merge_pages_wrapped"] = """WITH p AS (SELECT doc_id // 50 AS page, doc_id, quality, toxic,
+row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, quality, toxic) - 1 AS position, count(*) OVER (PARTITION BY doc_id // 50) AS n FROM labels)
+SELECT page, position, doc_id, quality, toxic FROM p WHERE page <= coalesce((SELECT min(page) FROM p WHERE n < 19), page)"""
 ORACLES["systematic_sample"] = """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey FROM o WHERE n <= 1000 OR (i % CAST(ceil(n / 1000) AS BIGINT) = 0 AND i / CAST(ceil(n / 1000) AS BIGINT) < 1000)"""
 SAMPLE_SIZE = "CASE WHEN n <= 10000 THEN n WHEN n <= 100000 THEN 10000 ELSE 5000 END"

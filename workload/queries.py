@@ -166,6 +166,18 @@ def merge_pages(spark, sf):
         "page", "position", "doc_id", "quality")
 
 
+@query
+def merge_pages_wrapped(spark, sf):
+    """Pages that wrap their records; reading stops at the first short page."""
+    page = F.floor(F.col("doc_id") / 50)
+    paged = load(spark, sf, "labels").groupBy(page.alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("records"))
+    wrapped = paged.select("page", F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.col("records").alias("results"))))
+                           .otherwise(F.to_json(F.struct(F.lit(1).alias("count"), F.col("records").alias("items")))).alias("payload"))
+    return ly.merge_pages(wrapped, "page", "payload", limit=19, fields={"doc_id": "bigint", "quality": "int", "toxic": "int"}).select(
+        "page", "position", "doc_id", "quality", "toxic")
+
+
 @query
 def systematic_sample(spark, sf):
     return ly.systematic_sample(load(spark, sf, "orders"), 1000, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
