@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +12,17 @@ from lynceus.table import Table
 def group_facts(t: Table, cats: list[str], nums: list[str]) -> DataFrame:
     """Rows (place, column, value, size, measure, n, mean, var): every value of each category with every measure.
 
-    The categories are grouping sets of one aggregation: rows are merged per value before anything is shuffled. Missing
-    categories form no group.
+    Each row is offered to its group of every category and measure before anything is merged, and merged before anything is
+    shuffled: one scan, one shuffle of group records. Missing categories form no group.
     """
-    named = t.df.select(*[t.text(c).alias(f"g{i}") for i, c in enumerate(cats)], *[t.number(c).alias(f"x{i}") for i, c in enumerate(nums)])
-    aggregates = [F.count(F.lit(1)).alias("size"), F.grouping_id().alias("set")]
-    for i in range(len(nums)):
-        aggregates += [F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.var_pop(f"x{i}").alias(f"v{i}")]
-    columns = [F.col(f"g{i}") for i in range(len(cats))]
-    found = named.groupingSets([[c] for c in columns], *columns).agg(*aggregates)
-    bit = lambda i: ((1 << len(cats)) - 1) ^ (1 << (len(cats) - 1 - i))  # noqa: E731 - set without all columns but one
-    place = reduce(lambda a, i: F.when(F.col("set") == bit(i), F.lit(i)).otherwise(a), range(len(cats)), F.lit(None).cast("int"))
-    value = F.coalesce(*columns)
-    measures = F.array(*[
-        F.struct(F.lit(c).alias("measure"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"))
-        for i, c in enumerate(nums)])
-    return found.select(place.alias("place"), F.array(*map(F.lit, cats))[place].alias("column"), value.alias("value"), "size",
-                        F.inline(measures)).where(F.col("value").isNotNull())
+    views = [t.text(c).alias(f"g{i}") for i, c in enumerate(cats)] + [t.number(c).alias(f"x{i}") for i, c in enumerate(nums)]
+    groups = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"g{i}").alias("value")) for i in range(len(cats))])
+    measures = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"x{i}").alias("x")) for i in range(len(nums))])
+    each = t.df.select(*views).select(F.inline(groups), *[f"x{i}" for i in range(len(nums))]).where(F.col("value").isNotNull())
+    found = each.select("place", "value", F.inline(measures)).groupBy("place", "value", "slot").agg(
+        F.count(F.lit(1)).alias("size"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    named = [F.array(*map(F.lit, names))[F.col(c)].alias(k) for names, c, k in ((cats, "place", "column"), (nums, "slot", "measure"))]
+    return found.select("place", named[0], "value", "size", named[1], "n", "mean", "var")
 
 
 def small_groups(t: Table) -> DataFrame:
@@ -56,6 +48,3 @@ def extremes(groups: DataFrame, min_group: int) -> DataFrame:
             F.min_by(side, F.struct(F.col("mean"), F.col("value"))).alias("bottom"))
         .where(F.col("groups") >= 2)
     )
-
-
-

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.names import causal_direction
-from lynceus.operators.association import confounder_table, correlation_matrix
+from lynceus.operators.association import confounder_table
 from lynceus.operators.groups import extremes, small_groups
 from lynceus.operators.outliers import outlier_counts
 from lynceus.operators.series import trend
@@ -36,7 +36,7 @@ def _no_names() -> Column:
 def hypotheses_correlation(source, matrix: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Pairs with |r| >= .4; ``limit`` keeps the strongest ones."""
     t = Table.of(source)
-    m = matrix if matrix is not None else correlation_matrix(t)
+    m = matrix if matrix is not None else t.matrix
     top = m.where(F.abs("value") >= 0.4)
     if limit:
         top = top.orderBy(F.abs("value").desc(), "column1", "column2").limit(limit)

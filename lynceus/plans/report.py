@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from lynceus.operators import association, hypotheses, insights, outliers, profile, quality, schema, series
+from lynceus.operators import hypotheses, insights, outliers, profile, quality, schema, series
 from lynceus.table import Table
 
 
@@ -43,9 +43,9 @@ class Report(Mapping):
                 self._parts["time_series"] = lambda: series.time_series_report(t, None, order)
         self._done: dict[str, DataFrame] = {}
 
-    @cached_property
+    @property
     def matrix(self) -> DataFrame:
-        return association.correlation_matrix(self.table).cache()
+        return self.table.matrix
 
     @cached_property
     def trends(self) -> DataFrame | None:
@@ -66,9 +66,8 @@ class Report(Mapping):
 
     def release(self) -> None:
         """Drop what is kept in memory."""
-        for name in ("matrix", "trends"):
-            if self.__dict__.get(name) is not None:
-                self.__dict__.pop(name).unpersist()
+        if self.__dict__.get("trends") is not None:
+            self.__dict__.pop("trends").unpersist()
         self._done.clear()
         self.table.release()
 

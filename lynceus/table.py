@@ -127,6 +127,8 @@ class Table:
         cats = self.categorical
         if not cats:
             return []
+        if "categories" in self.__dict__:
+            return [c for c in cats if least <= self.categories[c]["unique_count"] <= most]
         if self._vc is None:
             rough = self.df.agg(*[
                 F.approx_count_distinct(self.text(c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
@@ -139,6 +141,14 @@ class Table:
         small = {r["column"] for r in counts.where(F.col("unique_count").between(least, most)).collect()}
         return [c for c in cats if c in small]
 
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """The correlation matrix, computed once: a row per pair of columns."""
+        from lynceus.operators.association import correlation_matrix
+
+        found = correlation_matrix(self)
+        return self.spark.createDataFrame(found.collect(), found.schema)
+
     @cached_property
     def tails(self) -> dict:
         """What lies outside the quartile fences, and round numbers, per column; see ``operators.outliers``."""
@@ -155,9 +165,10 @@ class Table:
 
     @cached_property
     def categories(self) -> dict[str, dict]:
-        """Per categorical column: missing cells, distinct values and the ten most frequent values.
+        """Per categorical column: missing cells, distinct values, the ten most frequent values, and the pairs of values that
+        are equal without case and outer blanks (for all but dates).
 
-        Ten short values (digests for long texts) per column are what reaches the driver. Both results come from one
+        Ten short values (digests for long texts) per column are what reaches the driver. All results come from one
         query over the same shuffled counts.
         """
         cats = self.categorical
@@ -168,11 +179,19 @@ class Table:
         top = described(top_values(vc, 10)).select(
             "column", "rank", "value", "cnt", "chars", has_mark(F.col("marks"), "alphanumeric").alias("alphanumeric"),
             "folded", "digest")
-        out: dict[str, dict] = {c: {"rows": 0, "null_count": 0, "unique_count": 0, "top": []} for c in cats}
-        found = counts.unionByName(top, allowMissingColumns=True).collect()
-        for r in sorted(found, key=lambda r: (r["column"], r["rank"])):
+        out: dict[str, dict] = {c: {"rows": 0, "null_count": 0, "unique_count": 0, "top": [], "pairs": 0} for c in cats}
+        labels = [c for c in cats if not cells.is_moment_type(self.df.schema[c].dataType)]
+        found = counts.unionByName(top, allowMissingColumns=True)
+        if labels:
+            folded = described(vc).groupBy("column", "folded").agg(F.count("value").alias("n"))
+            pairs = folded.groupBy("column").agg(
+                F.lit(-1).alias("rank"), F.sum(F.when(F.col("n") > 1, F.expr("n * (n - 1) div 2"))).alias("cnt"))
+            found = found.unionByName(pairs, allowMissingColumns=True)
+        for r in sorted(found.collect(), key=lambda r: (r["column"], r["rank"])):
             facts = out[r["column"]]
-            if r["rank"]:
+            if r["rank"] == -1:
+                facts["pairs"] = (r["cnt"] or 0) if r["column"] in labels else 0
+            elif r["rank"]:
                 facts["top"].append(r.asDict())
             else:
                 facts.update(rows=r["rows"], null_count=r["null_count"], unique_count=r["unique_count"])
@@ -181,13 +200,7 @@ class Table:
     @cached_property
     def near_duplicates(self) -> dict[str, int]:
         """Per column the pairs of values that are equal without case and outer blanks, over all its values."""
-        cats = [c for c in self.categorical if not cells.is_moment_type(self.df.schema[c].dataType)]
-        if not cats:
-            return {}
-        folded = described(self.counts(cats, facts=True)).groupBy("column", "folded").agg(F.count("value").alias("n"))
-        pairs = folded.where(F.col("n") > 1).groupBy("column").agg(
-            F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
-        return {r["column"]: r["pairs"] for r in pairs.collect()}
+        return {c: facts["pairs"] for c, facts in self.categories.items() if facts["pairs"]}
 
     def counts(self, names: list[str], facts: bool = False) -> DataFrame:
         """Raw value counts of some columns, from the kept counts if there are any."""
