@@ -23,6 +23,9 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 BLANKS = r" \t\n\r\u000b\u000c\u00a0\ufeff"
 _BLANK_LIST = r"' ', '\t', '\n', '\r', '\u000b', '\u000c', '\u00a0', '\ufeff'"
 
+#: What the text of a number may begin with, as a SQL list.
+NUMBER_STARTS = ", ".join(f"'{c}'" for c in "+-.0123456789") + f", {_BLANK_LIST}"
+
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
 _MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -74,8 +77,7 @@ def null_if_token_sql(x: str) -> str:
 
 
 def parse_number_sql(x: str) -> str:
-    starts = ", ".join(f"'{c}'" for c in "+-.0123456789")
-    return (f"CASE WHEN substring({x}, 1, 1) IN ({starts}, {_BLANK_LIST}) AND {strip_sql(x)} RLIKE r'{NUMBER_PATTERN}' "
+    return (f"CASE WHEN substring({x}, 1, 1) IN ({NUMBER_STARTS}) AND {strip_sql(x)} RLIKE r'{NUMBER_PATTERN}' "
             f"THEN try_cast({strip_sql(x)} AS DOUBLE) END")
 
 
@@ -151,10 +153,37 @@ def text_view(df: DataFrame, name: str) -> Column:
     if is_nested_type(dtype):
         return F.to_json(F.col(x))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(canon(parse_number(x)), null_if_token(x))
+        # only cells that begin like a number are read as one
+        return (F.when(F.expr(f"substring({x}, 1, 1) IN ({NUMBER_STARTS})"), F.coalesce(canon(parse_number(x)), null_if_token(x)))
+                .otherwise(null_if_token(x)))
     return F.col(x).cast("string")
 
 
+def key_view(df: DataFrame, name: str) -> Column:
+    """A value that is equal where the canonical text is, and missing where it is, by plain generated code: the cell as it
+    is stored, of text the number it holds or else itself. ``key_text`` makes the canonical text of it."""
+    dtype, x = df.schema[name].dataType, sql_name(name)
+    if isinstance(dtype, T.StringType):
+        return F.expr(f"coalesce(CAST({parse_number_sql(x)} AS STRING), {null_if_token_sql(x)})")
+    if isinstance(dtype, _FLOATS):
+        return F.expr(f"CASE WHEN {finite(x)} THEN {x} + 0 END")  # 0 and -0 are one value
+    if is_nested_type(dtype) or isinstance(dtype, T.DecimalType):
+        return text_view(df, name)
+    return F.col(x)
+
+
+def key_text(df: DataFrame, name: str, key: str) -> Column:
+    """The canonical text of a column ``key`` that holds values of ``key_view`` as text."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(canon(parse_number(sql_name(key))), F.col(key))
+    if isinstance(dtype, T.BooleanType):
+        return F.when(F.col(key) == "true", "1").otherwise("0")
+    if isinstance(dtype, _FLOATS):
+        return canon(F.col(key).cast("double"))
+    return F.col(key)
+
+
 def text_column(df: DataFrame, name: str) -> DataFrame:
     """One column ``text``: the canonical text of the cells, with the number test run once per cell."""
     if not isinstance(df.schema[name].dataType, T.StringType):

@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.functions.cells import key_view
 from lynceus.functions.names import KEY_PATTERNS, looks_like_key, match_type_of_rank, name_tokens
 from lynceus.operators.values import SLOTS, grouping_key, native_counts, quoted, slot_of, spell_out, text_of
 from lynceus.table import Table
@@ -39,12 +40,6 @@ def _key_names(tables: dict[str, Table], patterns) -> dict[str, bool]:
     return {r["column"]: r["key"] for r in names.select("column", looks_like_key(F.col("column"), patterns).alias("key")).collect()}
 
 
-def _cheap_value(t: Table, col: str) -> Column:
-    """As many distinct and missing values as the canonical text, without making text of numbers and dates."""
-    slot = slot_of(t.df.schema[col].dataType)
-    return t.text(col) if slot == "text" else t.number(col) if slot == "real" else quoted(col)
-
-
 def _worth_counting(tables: dict[str, Table], patterns) -> list[tuple[str, str, bool]]:
     """Columns (table, column, named like a key) that may be keys, in table and column order.
 
@@ -57,7 +52,7 @@ def _worth_counting(tables: dict[str, Table], patterns) -> list[tuple[str, str,
         if rest:
             aggregates = [F.struct(
                 F.lit(name).alias("table"), F.lit(c).alias("column"), F.approx_count_distinct(v, 0.05).alias("u"),
-                F.count(v).alias("n")).alias(f"f{i}") for i, (c, v) in enumerate((c, _cheap_value(t, c)) for c in rest)]
+                F.count(v).alias("n")).alias(f"f{i}") for i, (c, v) in enumerate((c, key_view(t.df, c)) for c in rest)]
             sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*[f"f{i}" for i in range(len(rest))]))))
     rough = reduce(DataFrame.unionByName, sketched).collect() if sketched else []
     near = {(r["table"], r["column"]) for r in rough if r["n"] and r["u"] > 0.25 * r["n"]}

@@ -131,7 +131,7 @@ class Table:
             return [c for c in cats if least <= self.categories[c]["unique_count"] <= most]
         if self._vc is None:
             rough = self.df.agg(*[
-                F.approx_count_distinct(self.text(c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
+                F.approx_count_distinct(cells.key_view(self.df, c)).alias(f"u{i}") for i, c in enumerate(cats)]).first()
             cats = [c for i, c in enumerate(cats) if rough[f"u{i}"] <= 2 * most + 10]
             if not cats:
                 return []
