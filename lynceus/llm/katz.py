@@ -98,8 +98,9 @@ def _chunks(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]
         for i, n in enumerate(sizes):
             size += int(n)
             if size >= most:
-                yield pd.concat([*held, frame.iloc[start:i + 1]], ignore_index=True)
+                ready = [pd.concat([*held, frame.iloc[start:i + 1]], ignore_index=True)]
                 held, size, start = [], 0, i + 1
+                yield ready.pop()  # the texts are the caller's alone
         if start < len(frame):
             held.append(frame.iloc[start:])
     if held:
@@ -197,42 +198,56 @@ def _send(docs: DataFrame, known: Unigrams, buckets: int, chunk: int) -> DataFra
             at = np.minimum(np.searchsorted(one.vocabulary, hashes), max(0, len(one.vocabulary) - 1))
             in_vocabulary = one.vocabulary[at] == hashes if len(one.vocabulary) else np.zeros(len(hashes), bool)
             ids = np.where(in_vocabulary, (at + FIRST).astype(np.uint64), hashes | HASHED)
+            del hashes, at, in_vocabulary
+            names_of = frame["doc_id"].tolist()
+            del frame  # the texts; what follows is numbers
             # Each document's tokens with its end after them, and the word before each.
             ends = begins[1:] + np.arange(len(n))
             every = np.full(len(ids) + len(n), END, dtype=np.uint64)
             is_word = np.ones(len(every), dtype=bool)
             is_word[ends] = False
             every[is_word] = ids
+            del ids, is_word
             before = np.concatenate([np.array([START], dtype=np.uint64), every[:-1]])
             before[begins[:-1] + np.arange(len(n))] = START
             owner = np.repeat(np.arange(len(n), dtype=np.uint32), n + 1)
             frequent = every < HASHED
             both = frequent & (before < HASHED)
             cells = (before[both] << np.uint64(44)) | (every[both] << np.uint64(24)) | owner[both]
-            cells, times = np.unique(cells, return_counts=True)
+            cells.sort()
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[:len(cells)])
+            times = np.diff(np.append(first, len(cells))).astype(np.uint32)
+            cells = cells[first]
             pair = cells >> np.uint64(24)
             owners = (cells & np.uint64(0xFFFFFF)).astype(np.uint32)
+            del cells, first
             owners |= np.where(held[owners], HELD, np.uint32(0)) if len(owners) else owners
             rows = list(parts(2, number, (mix(pair) % np.uint64(buckets)).astype(np.int64),
-                              pair, owners, times.astype(np.uint32)))
+                              pair, owners, times))
+            del pair, owners, times
             h, w, owners = before[~both], every[~both], owner[~both]
+            del before, both
             order = np.lexsort((owners, w, h))
             h, w, owners = h[order], w[order], owners[order]
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (owners[1:] != owners[:-1])])
                                  [:len(h)])
             times = np.diff(np.append(new, len(h)))
             h, w, owners = h[new], w[new], owners[new]
+            del order, new
             owners |= np.where(held[owners], HELD, np.uint32(0)) if len(owners) else owners
             meets = mix(np.where(w < HASHED, mix(h) + w, w)) % np.uint64(2 * buckets)  # these rows are wider
             rows += parts(1, number, meets.astype(np.int64), h, w, owners, times.astype(np.uint32))
+            del h, w, owners, times, meets
             # Known here already: the base scores of frequent words and ends.
             scale = one.tokens + 0.5 * (one.words + 1)
             counts = one.counts[np.where(frequent, every, 0).astype(np.int64)]
             base = np.bincount(owner, np.where(frequent, np.log10((counts + 0.5) / scale), 0.0), len(n))
             seen = np.bincount(owner, frequent & (counts > 0), len(n)).astype(np.int64)
             rows.append((0, number % buckets, number, _pack((n + 1).astype(np.int64), seen, base),
-                         frame["doc_id"].tolist(), held.tolist()))
+                         names_of, held.tolist()))
+            del every, owner, frequent, counts, base, seen
             yield pd.DataFrame(rows, columns=names, dtype=object)
+            del rows
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out").mapInPandas(send, SENT)
 
