@@ -39,8 +39,8 @@ def read_json_records(spark: SparkSession, path: str, array_path: str | None = N
                       lines: bool = False) -> DataFrame:
     """Records of a JSON array: the root, the one at a dotted path, or the first array of the root object.
 
-    Columns are the keys of the first record; ``all_keys`` takes the union. ``lines`` reads one record per line,
-    which Spark can split.
+    Columns are the keys of the first record of each file; ``all_keys`` takes those of all records. ``lines`` reads one
+    record, or one array of records, per line, which Spark can split; else a file is read whole.
     """
     read = spark.read.option("multiLine", not lines)
     raw = read.json(path)
@@ -55,13 +55,13 @@ def read_json_records(spark: SparkSession, path: str, array_path: str | None = N
             raise ValueError(f"{array_path} is not an array")
         raw, at = picked.select(F.explode("items").alias("r")).select("r.*"), f"$.{array_path}[0]"
     elif not lines:
-        kind = variant.select(F.schema_of_variant("v").alias("s")).first()["s"]
-        if not kind.startswith("ARRAY"):
+        if variant.agg(F.max(F.try_variant_get("v", "$", "array<variant>").isNotNull())).first()[0] is False:
             name = _array_field(raw.schema)
             raw, at = raw.select(F.explode(quoted(name)).alias("r")).select("r.*"), f"$.{name}[0]"
     if all_keys:
         return raw
-    keys = variant.select(F.json_object_keys(F.to_json(F.try_variant_get("v", at, "variant"))).alias("k")).first()["k"]
+    first = F.coalesce(F.try_variant_get("v", at, "variant"), F.col("v"))
+    keys = variant.select(F.explode(F.json_object_keys(F.to_json(first))).alias("key")).agg(F.collect_set("key")).first()[0]
     return raw.select(*[quoted(c) for c in raw.columns if c in set(keys or raw.columns)])
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators.series import global_index
+from lynceus.operators.values import quoted
 
 # Size tiers with their sample and chunk sizes (None: everything).
 TIERS = (
@@ -17,6 +19,17 @@ TIERS = (
     ("massive", None, 5_000, 10_000),
 )
 
+PLACE = ["__file", "__row"]
+
+
+def _located(df: DataFrame) -> DataFrame | None:
+    """The rows with their file and their place in it; null where the rows are not those of files that know it."""
+    try:
+        located = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        return located if located.schema["__row"].dataType.typeName() == "long" else None
+    except AnalysisException:
+        return None
+
 
 def systematic_sample(df: DataFrame, max_rows: int, order_by: list[str], rows: int | None = None) -> DataFrame:
     """Every k-th row in the given order, at most ``max_rows``; the whole table if it is no larger."""
@@ -24,8 +37,14 @@ def systematic_sample(df: DataFrame, max_rows: int, order_by: list[str], rows: i
     if total <= max_rows:
         return df
     step = math.ceil(total / max_rows)
-    placed = global_index(df, order_by)
-    return placed.where((F.col("idx") % step == 0) & (F.col("idx") < step * max_rows)).drop("idx")
+    wanted = (F.col("idx") % step == 0) & (F.col("idx") < step * max_rows)
+    located = _located(df)
+    if located is None:
+        return global_index(df, order_by).where(wanted).drop("idx")
+    # the order keys alone are sorted; the rows are picked by their place in the files, max_rows of them at most
+    keys = located.select(*PLACE, *[quoted(o).alias(f"__order{i}") for i, o in enumerate(order_by)])
+    picked = global_index(keys, [f"__order{i}" for i in range(len(order_by))]).where(wanted).select(*PLACE)
+    return located.join(F.broadcast(picked), PLACE, "left_semi").select(*[quoted(c) for c in df.columns])
 
 
 def size_tier(rows: int) -> tuple[str, int | None, int | None]:

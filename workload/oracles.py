@@ -975,3 +975,11 @@ UNION ALL SELECT 'total', 'value', round(sum(value), 4), round((SELECT chg FROM
   (SELECT CASE dir WHEN 'up' THEN 'increase' WHEN 'down' THEN 'decrease' ELSE 'neutral' END FROM w) FROM events
 UNION ALL SELECT 'average', 'value', round(avg(value), 4), NULL, NULL FROM events
 UNION ALL SELECT 'unique', 'event_type', count(DISTINCT event_type), NULL, NULL FROM events"""
+
+
+ORDER_TOTALS = """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,
+max(o_custkey) AS last_customer, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 1"""
+for _name in ("read_json_root_array", "read_json_at_path", "read_json_first_array"):
+    ORACLES[_name] = ORDER_TOTALS
+ORACLES["export_data"] = "SELECT *, 'csv' AS kind FROM customer UNION ALL SELECT *, 'json' FROM customer"
+ORACLES["streaming_profile_batches"] = ORACLES["streaming_profile"]

@@ -120,6 +120,51 @@ def read_json_records(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.min("o_orderdate").alias("first_date")), 2)
 
 
+def _json_files(spark, sf, wrap) -> str:
+    """Orders as one JSON file a month; ``wrap`` makes the text of a file of its array of records."""
+    path = scratch(spark)
+    o = load(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    files = o.groupBy(F.substring("o_orderdate", 1, 7).alias("month")).agg(F.sort_array(F.collect_list(F.struct(*o.columns))).alias("records"))
+    files.select("month", wrap(F.col("records")).alias("text")).repartition("month").write.partitionBy("month").text(path)
+    return path
+
+
+def _order_totals(back: DataFrame) -> DataFrame:
+    return rounded(back.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.min("o_orderdate").alias("first_date"),
+        F.max("o_custkey").alias("last_customer"), F.count_distinct("o_orderpriority").alias("priorities")), 2)
+
+
+@query
+def read_json_root_array(spark, sf):
+    return _order_totals(ly.read_json_records(spark, _json_files(spark, sf, F.to_json)))
+
+
+@query
+def read_json_at_path(spark, sf):
+    path = _json_files(spark, sf, lambda r: F.to_json(F.struct(F.array(F.lit(0)).alias("decoy"), F.struct(r.alias("items")).alias("payload"))))
+    return _order_totals(ly.read_json_records(spark, path, array_path="payload.items"))
+
+
+@query
+def read_json_first_array(spark, sf):
+    path = _json_files(spark, sf, lambda r: F.to_json(F.struct(F.size(r).alias("count"), r.alias("entries"))))
+    return _order_totals(ly.read_json_records(spark, path))
+
+
+@query
+def export_data(spark, sf):
+    """A table as CSV and as JSON, read back."""
+    path, c = scratch(spark), load(spark, sf, "customer")
+    ly.export_data(c, path + "/csv", "csv")
+    ly.export_data(c, path + "/json", "json")
+    kinds = ["c_custkey bigint", "c_name string", "c_nationkey int", "c_acctbal double", "c_mktsegment string"]
+    text = ly.read_delimited(spark, path + "/csv")
+    csv = text.select(*[F.col(k.split()[0]).cast(k.split()[1]).alias(k.split()[0]) for k in kinds])
+    json = spark.read.schema(", ".join(kinds)).json(path + "/json/data")
+    return csv.withColumn("kind", F.lit("csv")).unionByName(json.withColumn("kind", F.lit("json")))
+
+
 @query
 def read_auto(spark, sf):
     path = scratch(spark) + ".csv"
@@ -482,6 +527,17 @@ def streaming_profile(spark, sf):
     return rounded(out.select("column", "rows", "count", "null_count", "sum", "mean", "std", "min", "max"), 4, sum=1)
 
 
+@query
+def streaming_profile_batches(spark, sf):
+    """A stream of ten files in as many batches, whose states are combined by threes."""
+    base, e = scratch(spark), load(spark, sf, "events")
+    e.withColumn("part", F.col("event_id") % 10).repartition("part").write.partitionBy("part").parquet(base + "/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    ly.streaming_profile(stream, base + "/state", base + "/progress", cols=e.columns, fan=3).awaitTermination()
+    out = ly.read_streaming_profile(spark, base + "/state")
+    return rounded(out.select("column", "rows", "count", "null_count", "sum", "mean", "std", "min", "max"), 4, sum=1)
+
+
 @query
 def apply_in_chunks(spark, sf):
     def totals(chunk):
