@@ -948,16 +948,16 @@ UNION ALL SELECT 'medium', insight, columns, CASE insight WHEN 'anomalous_rows'
 FROM deep WHERE (type IN ('anomaly', 'pattern') AND severity = 'warning') OR (type = 'correlation' AND severity = 'success')
 UNION ALL SELECT 'high', 'quality_score_' || score, '', 'clean_data' FROM score WHERE score < 70"""
 
-# --- full report: the same results as the single operators, on four columns of events ---------------------------
+# --- full report: the same results as the single operators, on events ---------------------------------------------
 
-PART = "(SELECT event_id, user_id, event_type, value FROM events)"
+PART = "events"
 PART_NUMBERS = ["event_id", "user_id", "value"]
 ORACLES["full_report_numeric"] = numeric_stats_sql(PART, PART_NUMBERS).replace("round(s, 1)", "round(s, 4)").replace("round(skew, 5)", "round(skew, 4)")
-ORACLES["full_report_categorical"] = categorical_sql(PART, ["event_type"])
+ORACLES["full_report_categorical"] = categorical_sql(PART, ["ts", "event_type", "props"])
 ORACLES["full_report_correlations"] = matrix_sql(PART, PART_NUMBERS).replace("round(r, 6)", "round(r, 4)")
 ORACLES["full_report_outliers"] = iqr_sql(PART, PART_NUMBERS, ["event_id"]).replace(", 5)", ", 4)")
 ORACLES["full_report_trends"] = trend_sql([(PART, "1", c, "event_id") for c in PART_NUMBERS], "").replace(", 5)", ", 4)")
-PART_COLUMNS = ["event_id", "user_id", "event_type", "value"]
+PART_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 PART_QUALITY = quality_ctes(PART, PART_COLUMNS, PART_NUMBERS)
 ORACLES["full_report_notes"] = notes_sql(PART, PART_COLUMNS, PART_NUMBERS)
 ORACLES["full_report_quality"] = f"WITH {PART_QUALITY} SELECT score, {BAND} AS band FROM score"
@@ -967,14 +967,14 @@ ORACLES["full_report_hypotheses"] = f"""WITH {correlation_hypotheses(PART, PART_
 {anomaly_hypotheses(PART, PART_NUMBERS)}, {PART_SERIES}, {TREND}, htrend AS ({trend_hypotheses()}),
 every AS (SELECT * EXCLUDE (k) FROM hcorr UNION ALL SELECT * FROM hgroup UNION ALL SELECT * FROM hanom UNION ALL SELECT * FROM htrend)
 SELECT {SHOWN} FROM every"""
-ORACLES["full_report_overview"] = f"""SELECT count(*) AS rows, 4 AS columns, 3 AS numeric_columns, 1 AS categorical_columns,
-count(*) > 1000 AND count(*) * 4 = count(event_id) + count(user_id) + count(event_type) + count(value) AS suspiciously_clean FROM {PART} q"""
+ORACLES["full_report_overview"] = f"""SELECT count(*) AS rows, 6 AS columns, 3 AS numeric_columns, 2 AS categorical_columns,
+count(*) > 1000 AND count(*) * 6 = count(event_id) + count(ts) + count(user_id) + count(event_type) + count(value) + count(props) AS suspiciously_clean FROM {PART} q"""
 ORACLES["full_report_kpis"] = f"""WITH {series_cte([(PART, "1", "value", "event_id")])}, {TREND}, w AS (SELECT * FROM u WHERE {KEPT})
 SELECT 'total_records' AS kpi, NULL AS "column", CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS change, NULL AS change_type FROM events
 UNION ALL SELECT 'total', 'value', round(sum(value), 4), round((SELECT chg FROM w) / 100, 4),
   (SELECT CASE dir WHEN 'up' THEN 'increase' WHEN 'down' THEN 'decrease' ELSE 'neutral' END FROM w) FROM events
 UNION ALL SELECT 'average', 'value', round(avg(value), 4), NULL, NULL FROM events
-UNION ALL SELECT 'unique', 'event_type', count(DISTINCT event_type), NULL, NULL FROM events"""
+UNION ALL SELECT 'unique', 'ts', count(DISTINCT ts), NULL, NULL FROM events"""
 
 
 ORDER_TOTALS = """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -907,7 +907,7 @@ def recommendations(spark, sf):
 
 
 def _report_part(part: str, spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    e = load(spark, sf, "events")
     out = ly.full_report(e, order_by=["event_id"], id_cols=["event_id"])[part]
     if part == "hypotheses":
         return hypothesis_numbers(out)
@@ -917,8 +917,16 @@ def _report_part(part: str, spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 4)
 
 
-for _part in ("numeric", "categorical", "correlations", "outliers", "trends", "hypotheses", "kpis", "overview", "notes",
-              "quality", "issues"):
+for _part in ("schema", "summary", "numeric", "categorical", "correlations", "outliers", "overview", "notes", "checks", "findings",
+              "quality", "issues", "insights", "recommendations", "quick", "kpis", "trends", "hypotheses", "time_series"):
     REGISTRY[f"full_report_{_part}"] = partial(_report_part, _part)
 
 
+@query
+def full_report_fast(spark, sf):
+    """The parts of the short report by name, with the rows of each."""
+    report = ly.full_report(load(spark, sf, "events"), order_by=["event_id"], id_cols=["event_id"], fast=True)
+    sizes = [report[p].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(p).alias("part"), "rows") for p in report]
+    return reduce(DataFrame.unionByName, sizes)
+
+
