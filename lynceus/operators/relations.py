@@ -40,23 +40,28 @@ def _key_names(tables: dict[str, Table], patterns) -> dict[str, bool]:
     return {r["column"]: r["key"] for r in names.select("column", looks_like_key(F.col("column"), patterns).alias("key")).collect()}
 
 
-def _worth_counting(tables: dict[str, Table], patterns) -> list[tuple[str, str, bool]]:
-    """Columns (table, column, named like a key) that may be keys, in table and column order.
+def _worth_counting(tables: dict[str, Table], patterns, among: set[tuple[str, str]] | None = None) -> list[tuple[str, str, bool]]:
+    """Columns (table, column, named like a key) that may be keys, in table and column order; only those ``among``, if given.
 
     Columns that are not named like a key are left out if a sketch of their values shows them to be far below one half
-    distinct; it errs by a few percent. Missing cells are left out of it, as they are of the exact counts.
+    distinct; it errs by a few percent. Missing cells are left out of it, as they are of the exact counts. Texts are not
+    sketched when only a few columns are looked at: they are read once, to be counted.
     """
     named, sketched = _key_names(tables, patterns), []
+    looked_at = {(n, c) for n, t in tables.items() for c in t.columns if among is None or (n, c) in among}
+    texts = set() if among is None else {
+        (n, c) for n, c in looked_at if slot_of(tables[n].df.schema[c].dataType) == "text"}
     for name, t in tables.items():
-        rest = [c for c in t.columns if not named[c]]
+        rest = [c for c in t.columns if not named[c] and (name, c) in looked_at - texts]
         if rest:
             aggregates = [F.struct(
                 F.lit(name).alias("table"), F.lit(c).alias("column"), F.approx_count_distinct(v, 0.05).alias("u"),
                 F.count(v).alias("n")).alias(f"f{i}") for i, (c, v) in enumerate((c, key_view(t.df, c)) for c in rest)]
             sketched.append(t.df.agg(*aggregates).select(F.inline(F.array(*[f"f{i}" for i in range(len(rest))]))))
     rough = reduce(DataFrame.unionByName, sketched).collect() if sketched else []
-    near = {(r["table"], r["column"]) for r in rough if r["n"] and r["u"] > 0.25 * r["n"]}
-    return [(n, c, named[c]) for n, t in tables.items() for c in t.columns if named[c] or (n, c) in near]
+    near = texts | {(r["table"], r["column"]) for r in rough if r["n"] and r["u"] > 0.25 * r["n"]}
+    return [(n, c, named[c]) for n, t in tables.items() for c in t.columns
+            if (n, c) in looked_at and (named[c] or (n, c) in near)]
 
 
 def _key_facts(counts: DataFrame, columns: list[tuple[str, str, bool]]) -> DataFrame:
@@ -145,8 +150,12 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
     """
     named = _as_tables(tables)
     spark = next(iter(named.values())).spark
-    columns = _worth_counting(named, key_patterns)
-    if len(named) < 2 or not columns:
+    # names first: they are metadata, and a column without a partner by name is not read at all
+    every = [(i, n, c) for i, (n, c) in enumerate((n, c) for n, t in named.items() for c in t.columns)]
+    partners = _named_pairs(spark.createDataFrame(every, "id int, table string, column string"), strip_prefix).collect()
+    paired = {every[i][1:] for r in partners for i in (r["id"], r["id2"])}
+    columns = _worth_counting(named, key_patterns, paired) if paired else []
+    if not columns:
         return spark.createDataFrame([], RELATIONSHIP_SCHEMA)
     # the columns are counted once, for their own numbers and for what they share
     distinct = native_counts([(named[n].df, c) for n, c, _ in columns]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -155,7 +164,10 @@ def find_relationships(tables, key_patterns=KEY_PATTERNS, strip_prefix: str | No
         keys = spark.createDataFrame(
             _key_facts(distinct, columns).collect(),
             "id int, table string, column string, unique_count bigint, total_count bigint, named_key boolean")
-        pairs = [tuple(r) for r in _named_pairs(keys, strip_prefix).collect()]
+        at = {(n, c): i for i, (n, c, _) in enumerate(columns)}
+        found = {r["id"] for r in keys.collect()}
+        pairs = [(at.get(every[a][1:]), at.get(every[b][1:]), rank) for a, b, rank in partners]
+        pairs = [p for p in pairs if p[0] in found and p[1] in found]
         shared = _shared_values(distinct, [(a, b) for a, b, _ in pairs]).collect() if pairs else []
     finally:
         distinct.unpersist()
