@@ -13,12 +13,16 @@ from lynceus.operators.values import quoted
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
-                   multi_line: bool = True) -> DataFrame:
+                   multi_line: bool | None = None) -> DataFrame:
     """Delimited text as text columns: doubled quotes, line breaks in quotes, trimmed cells, blank rows dropped.
 
-    Without a header the columns are ``Column 1`` to ``Column n``. ``multi_line=False`` lets Spark split large files
-    when no quoted cell holds a line break.
+    Without a header the columns are ``Column 1`` to ``Column n``. Files are split between tasks unless a quoted cell
+    holds a line break. Whether one does is looked up by a scan of the lines (``multi_line`` says it without): where none
+    does, every line has an even number of quotes.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     raw = spark.read.csv(
         path, sep=sep, header=header, quote='"', escape='"', multiLine=multi_line,
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)

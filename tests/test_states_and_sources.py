@@ -202,3 +202,24 @@ def test_tails_of_a_table_in_one_scan(spark):
     assert t.tails["odd_rows"] == 1
     facts = spark.createDataFrame([(None,)], "x double")
     assert ly.Table(facts, types={"x": "number"}).tails["columns"]["x"]["outliers"] == 0
+
+
+def test_delimited_files_are_split_unless_cells_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n"x ""y""",1\n\n" z ","2,3"\n')
+    (tmp_path / "broken.csv").write_text('a,b\n"two\nlines",1\nlast,"2"\n')
+    plain, broken = (ly.read_delimited(spark, str(tmp_path / f)) for f in ("plain.csv", "broken.csv"))
+    assert [tuple(r) for r in plain.collect()] == [('x "y"', "1"), ("z", "2,3")]
+    assert [tuple(r) for r in broken.collect()] == [("two\nlines", "1"), ("last", "2")]
+
+
+def test_relationships_read_only_columns_with_a_partner_by_name(spark, monkeypatch):
+    from lynceus.operators import relations
+
+    a = spark.createDataFrame([(i, f"c{i}", f"text {i}") for i in range(200)], "customer_id int, name string, notes string")
+    b = spark.createDataFrame([(i, i % 150, i * 1.5) for i in range(400)], "order_id int, customer_id int, total double")
+    seen = []
+    counted = relations.native_counts
+    monkeypatch.setattr(relations, "native_counts", lambda sources, *rest: seen.extend(c for _, c in sources) or counted(sources, *rest))
+    got = ly.find_relationships({"a": a, "b": b}).collect()
+    assert ("a", "customer_id", "b", "customer_id") in {tuple(r)[:4] for r in got}
+    assert "notes" not in seen and "total" not in seen

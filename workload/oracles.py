@@ -154,7 +154,8 @@ def duplicates_sql(source: str) -> str:
 
 
 ORACLES["duplicate_rows"] = duplicates_sql("(SELECT text, lang FROM documents)")
-ORACLES["duplicate_rows_lineitem"] = duplicates_sql("(SELECT l_suppkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem)")
+ORACLES["duplicate_rows_lineitem"] = duplicates_sql("lineitem")
+ORACLES["duplicate_rows_documents"] = duplicates_sql("documents")
 
 STRENGTH = ("CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' WHEN abs(r) >= 0.2 THEN 'weak' ELSE 'none' END")
 
@@ -281,13 +282,14 @@ SELECT page, position, doc_id, quality FROM p WHERE page <= coalesce((SELECT min
 ORACLES["merge_pages_wrapped"] = """WITH p AS (SELECT doc_id // 50 AS page, doc_id, quality, toxic,
 row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, quality, toxic) - 1 AS position, count(*) OVER (PARTITION BY doc_id // 50) AS n FROM labels)
 SELECT page, position, doc_id, quality, toxic FROM p WHERE page <= coalesce((SELECT min(page) FROM p WHERE n < 19), page)"""
-ORACLES["systematic_sample"] = """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
-SELECT o_orderkey FROM o WHERE n <= 1000 OR (i % CAST(ceil(n / 1000) AS BIGINT) = 0 AND i / CAST(ceil(n / 1000) AS BIGINT) < 1000)"""
+ORACLES["systematic_sample"] = """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT * EXCLUDE (i, n, o_totalprice), round(o_totalprice, 4) AS o_totalprice FROM o WHERE n <= 1000 OR (i % CAST(ceil(n / 1000) AS BIGINT) = 0 AND i / CAST(ceil(n / 1000) AS BIGINT) < 1000)"""
 SAMPLE_SIZE = "CASE WHEN n <= 10000 THEN n WHEN n <= 100000 THEN 10000 ELSE 5000 END"
-ORACLES["tiered_sample"] = f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,
-row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem),
+ORACLES["tiered_sample"] = f"""WITH o AS (SELECT *,
+row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem),
 s AS (SELECT *, {SAMPLE_SIZE} AS k, CAST(ceil(n / ({SAMPLE_SIZE})) AS BIGINT) AS step FROM o)
-SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM s WHERE i % step = 0 AND i < step * k"""
+SELECT * EXCLUDE (i, n, k, step) REPLACE (round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax)
+FROM s WHERE i % step = 0 AND i < step * k"""
 ORACLES["sampling_plan"] = """SELECT count(*) AS rows, CASE WHEN count(*) <= 10000 THEN 'small' WHEN count(*) <= 100000 THEN 'medium'
 WHEN count(*) <= 500000 THEN 'large' ELSE 'massive' END AS tier,
 CASE WHEN count(*) <= 10000 THEN NULL WHEN count(*) <= 100000 THEN 10000 ELSE 5000 END AS sample_size,
@@ -547,10 +549,9 @@ ORACLES["outliers_iqr"] = iqr_sql("events", ["value"], ["event_id"])
 ORACLES["outliers_iqr_documents"] = iqr_sql("documents", ["doc_id", "n_chars"], ["doc_id"])
 ORACLES["outliers_zscore"] = """SELECT event_id, 'value' AS "column", round(value, 5) AS value, round((value - m) / s, 5) AS zscore
 FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE abs((value - m) / s) > 3"""
-FOUR = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-ORACLES["row_anomalies"] = f"""WITH f AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FOUR)} FROM lineitem),
-z AS (SELECT l_orderkey, l_linenumber, ({' + '.join(f'abs(({c} - m_{c}) / s_{c})' for c in FOUR)}) / 4 AS z FROM lineitem, f)
-SELECT l_orderkey, l_linenumber, round(z, 5) AS mean_abs_zscore FROM z WHERE z > 1.55"""
+ORACLES["row_anomalies"] = f"""WITH f AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in LINEITEM_NUMBERS)} FROM lineitem),
+z AS (SELECT l_orderkey, l_linenumber, ({' + '.join(f'abs(({c} - m_{c}) / s_{c})' for c in LINEITEM_NUMBERS)}) / {len(LINEITEM_NUMBERS)} AS z FROM lineitem, f)
+SELECT l_orderkey, l_linenumber, round(z, 5) AS mean_abs_zscore FROM z WHERE z > 1.3"""
 ORACLES["outlier_bounds"] = "WITH " + ",\n".join(stats_cte(f"s{i}", "lineitem", c) for i, c in enumerate(LINEITEM_NUMBERS)) + "\n" + union([
     f"""SELECT '{c}' AS "column", round(p25 - 1.5 * (p75 - p25), 4) AS expected_min, round(p75 + 1.5 * (p75 - p25), 4) AS expected_max FROM s{i}"""
     for i, c in enumerate(LINEITEM_NUMBERS)])
@@ -647,7 +648,7 @@ SHOWN = "kind, column1, column2, round(confidence, 4) AS confidence, interpretat
 ORACLES["hypotheses_correlation"] = f"""WITH {correlation_hypotheses(MEASURES, MEASURE_COLUMNS, ALL_MEASURES)}
 SELECT {SHOWN}, CAST(k AS INTEGER) AS n_confounders FROM hcorr"""
 ORACLES["hypotheses_group_difference"] = f"""WITH {group_hypotheses(SIZED, ['lang', 'source', 'size'], ['doc_id', 'n_chars'])} SELECT {SHOWN} FROM hgroup"""
-ORACLES["hypotheses_anomaly"] = f"""WITH {anomaly_hypotheses('events', ['value', 'user_id'])} SELECT {SHOWN} FROM hanom"""
+ORACLES["hypotheses_anomaly"] = f"""WITH {anomaly_hypotheses('events', ['event_id', 'user_id', 'value'])} SELECT {SHOWN} FROM hanom"""
 ORACLES["hypotheses"] = f"""WITH {correlation_hypotheses(MEASURES, MEASURE_COLUMNS, ALL_MEASURES)},
 {group_hypotheses(MEASURES, ['l_returnflag', 'l_linestatus'], MEASURE_COLUMNS)}, {anomaly_hypotheses(MEASURES, MEASURE_COLUMNS)},
 every AS (SELECT 1 AS o, * EXCLUDE (k) FROM hcorr UNION ALL SELECT 2, * FROM hgroup UNION ALL SELECT 4, * FROM hanom)
@@ -897,14 +898,16 @@ def notes_sql(source: str, cols: list[str], nums: list[str]) -> str:
 ORACLES["variable_notes"] = notes_sql("customer", COLUMNS["customer"], ["c_custkey", "c_nationkey", "c_acctbal"])
 ORACLES["eda_overview"] = """SELECT count(*) AS rows, 6 AS columns, 3 AS numeric_columns, 2 AS categorical_columns,
 count(*) > 1000 AND count(*) * 6 = count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS suspiciously_clean FROM orders"""
-CHECKED = "(SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)"
-ORACLES["synthetic_checks"] = f"""WITH m AS ({pairs_sql(CHECKED, ['l_quantity', 'l_discount', 'l_tax'])}),
-g AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), o AS (SELECT avg(m) AS mm, count(*) AS k FROM g),
+EQUAL_MEANS = "\n".join(
+    f"""UNION ALL SELECT 'equal_means', '{c}, {m}', greatest(max(x) - avg(x), avg(x) - min(x)) FROM (SELECT avg({m}) AS x FROM lineitem GROUP BY {c})
+ WHERE (SELECT count(*) > 1000 AND stddev_pop({m}) > 10 FROM lineitem) HAVING greatest(max(x) - avg(x), avg(x) - min(x)) < 1 AND count(x) >= 3"""
+    for c in ("l_returnflag", "l_linestatus", "l_shipdate") for m in LINEITEM_NUMBERS)
+ORACLES["synthetic_checks"] = f"""WITH m AS ({pairs_sql('lineitem', list(LINEITEM_NUMBERS))}),
 every AS (SELECT 'no_missing' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(0 AS DOUBLE) AS value FROM lineitem HAVING count(*) > 1000
- AND count(*) * 4 = count(l_quantity) + count(l_discount) + count(l_tax) + count(l_returnflag)
+ AND count(*) * 11 = {" + ".join(f"count({c})" for c in COLUMNS["lineitem"])}
 UNION ALL SELECT 'no_correlation', NULL, max(abs(r)) FROM m HAVING max(abs(r)) < 0.1 AND count(*) >= 3
-UNION ALL SELECT 'equal_means', 'l_returnflag, l_quantity', max(abs(m - mm)) FROM g, o WHERE (SELECT count(*) > 1000 AND stddev_pop(l_quantity) > 10 FROM lineitem) HAVING max(abs(m - mm)) < 1 AND max(k) >= 3)
-SELECT "check", "column", round(value, 5) AS value, (SELECT count(*) FROM every) >= 2 AS synthetic FROM every"""
+{EQUAL_MEANS})
+SELECT "check", "column", round(value, 4) AS value, (SELECT count(*) FROM every) >= 2 AS synthetic FROM every"""
 ORACLES["eda_findings"] = f"""WITH {series_cte(MONTH_SERIES)}, {TREND}, m AS (SELECT corr(quantity, tax) AS r FROM {MONTHLY} q),
 {stats_cte('z0', MONTHLY, 'quantity')}, {stats_cte('z1', MONTHLY, 'tax')},
 o AS (SELECT count(*) FILTER (quantity < z0.p25 - 1.5 * (z0.p75 - z0.p25) OR quantity > z0.p75 + 1.5 * (z0.p75 - z0.p25))
@@ -983,3 +986,7 @@ for _name in ("read_json_root_array", "read_json_at_path", "read_json_first_arra
     ORACLES[_name] = ORDER_TOTALS
 ORACLES["export_data"] = "SELECT *, 'csv' AS kind FROM customer UNION ALL SELECT *, 'json' FROM customer"
 ORACLES["streaming_profile_batches"] = ORACLES["streaming_profile"]
+ORACLES["dataset_summary_columns"] = ORACLES["column_nulls_uniques"]
+ORACLES["write_report_results"] = f"""WITH {quality_ctes("orders", COLUMNS["orders"], ["o_orderkey", "o_custkey", "o_totalprice"])}
+SELECT issue, "column", severity, affected_count, round(percent, 4) AS percent FROM issues
+UNION ALL SELECT 'data', NULL, NULL, count(DISTINCT o_orderkey), NULL FROM orders"""

@@ -18,6 +18,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
+#: Columns that order the rows of lineitem completely.
+LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -177,10 +179,20 @@ def read_auto(spark, sf):
 def write_report(spark, sf):
     path = scratch(spark)
     o = load(spark, sf, "orders")
-    ly.write_report({"issues": ly.quality_issues(o.select("o_orderkey", "o_orderstatus", "o_totalprice"))}, path, o, max_rows=1000)
+    ly.write_report({"issues": ly.quality_issues(o)}, path, o, max_rows=1000)
     return spark.read.json(f"{path}/metadata").select("row_count", "column_count", "truncated")
 
 
+@query
+def write_report_results(spark, sf):
+    """The results of a report as they stand in its files, and the number of its data rows."""
+    path, o = scratch(spark), load(spark, sf, "orders")
+    ly.write_report({"issues": ly.quality_issues(o)}, path, o)
+    issues = spark.read.schema("issue string, `column` string, severity string, affected_count bigint, percent double").json(f"{path}/issues")
+    data = spark.read.json(f"{path}/data").agg(F.count_distinct("o_orderkey").alias("affected_count"))
+    return rounded(issues.unionByName(data.withColumn("issue", F.lit("data")), allowMissingColumns=True), 4)
+
+
 @query
 def normalize_cells(spark, sf):
     o = as_text(load(spark, sf, "orders"))
@@ -225,13 +237,12 @@ def merge_pages_wrapped(spark, sf):
 
 @query
 def systematic_sample(spark, sf):
-    return ly.systematic_sample(load(spark, sf, "orders"), 1000, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
+    return rounded(ly.systematic_sample(load(spark, sf, "orders"), 1000, ["o_orderdate", "o_orderkey"]), 4)
 
 
 @query
 def tiered_sample(spark, sf):
-    return ly.tiered_sample(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
-                            ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    return rounded(ly.tiered_sample(load(spark, sf, "lineitem"), LINEITEM_ORDER), 4)
 
 
 @query
@@ -406,6 +417,14 @@ def column_nulls_uniques(spark, sf):
     return ly.column_nulls_uniques(events_with_gaps(spark, sf))
 
 
+@query
+def dataset_summary_columns(spark, sf):
+    """The maps of the summary, a row per column."""
+    one = ly.dataset_summary(events_with_gaps(spark, sf))
+    return one.select(F.explode("null_counts").alias("column", "null_count"), "unique_counts").select(
+        "column", "null_count", F.element_at("unique_counts", F.col("column")).alias("unique_count"))
+
+
 @query
 def dataset_summary(spark, sf):
     return rounded(ly.dataset_summary(events_with_gaps(spark, sf)).drop("null_counts", "unique_counts"))
@@ -418,7 +437,12 @@ def duplicate_rows(spark, sf):
 
 @query
 def duplicate_rows_lineitem(spark, sf):
-    return ly.duplicate_rows(load(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    return ly.duplicate_rows(load(spark, sf, "lineitem"))
+
+
+@query
+def duplicate_rows_documents(spark, sf):
+    return ly.duplicate_rows(load(spark, sf, "documents"))
 
 
 @query
@@ -566,9 +590,6 @@ def trend_events(spark, sf):
     return rounded(ly.trend(load(spark, sf, "events"), ["value"], ["ts", "event_id"], ["event_type"]), 5)
 
 
-LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-
-
 @query
 def trend_lineitem(spark, sf):
     """All eight measures of a table in one sort."""
@@ -649,8 +670,7 @@ def outliers_zscore(spark, sf):
 
 @query
 def row_anomalies(spark, sf):
-    d = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return rounded(ly.row_anomalies(d, ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], 1.55), 5)
+    return rounded(ly.row_anomalies(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], None, 1.3), 5)
 
 
 @query
@@ -707,7 +727,7 @@ def hypotheses_trend(spark, sf):
 
 @query
 def hypotheses_anomaly(spark, sf):
-    return hypothesis_numbers(ly.hypotheses_anomaly(load(spark, sf, "events").select("value", "user_id")))
+    return hypothesis_numbers(ly.hypotheses_anomaly(load(spark, sf, "events")))
 
 
 @query
@@ -857,7 +877,7 @@ def variable_notes(spark, sf):
 
 @query
 def synthetic_checks(spark, sf):
-    return rounded(ly.synthetic_checks(load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag")), 5)
+    return rounded(ly.synthetic_checks(load(spark, sf, "lineitem")), 4)
 
 
 @query
