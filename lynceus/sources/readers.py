@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lynceus.functions.cells import strip
+from lynceus.functions.cells import sql_name, strip, strip_sql
 from lynceus.operators.values import quoted
 
 
@@ -28,7 +28,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
     names = [c.strip() for c in raw.columns] if header else [f"Column {i + 1}" for i in range(len(raw.columns))]
     named = raw.toDF(*names)
-    filled = reduce(lambda a, b: a | b, [F.coalesce(strip(quoted(c)), F.lit("")) != "" for c in names])
+    named = named.select(*[F.expr(strip_sql(sql_name(c))).alias(c) for c in names])  # quoted cells too
+    filled = reduce(lambda a, b: a | b, [F.coalesce(quoted(c), F.lit("")) != "" for c in names])
     return named.where(filled)
 
 
