@@ -452,7 +452,7 @@ def _gathered(back: DataFrame, d: np.ndarray, weights: np.ndarray) -> DataFrame:
         gather, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def katz_scores(docs: DataFrame, vocabulary: int = 65_536, chunk: int = 8_000_000, bucket_tokens: int = 2_500_000) -> DataFrame:
+def katz_scores(docs: DataFrame, vocabulary: int = 65_536, chunk: int = 8_000_000, bucket_tokens: int = 3_300_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``docs`` has doc_id, text and held_out; held-out rows teach nothing. A null or empty text is its end alone, a null
