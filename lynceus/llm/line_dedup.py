@@ -2,8 +2,9 @@
 
 A window is a shortest run of lines with at least ``min_words`` words: the one that begins at a line and the one that
 ends at it. The smallest line hash of a window is its fingerprint, so two equal runs of that many words always share
-one. Fingerprints are joined on their positions; where one stands at several, its windows extend the match to either
-side, and the lines of a window that stands at an earlier place too are deleted.
+one. Windows whose fingerprint stands once fall out; of the others the hash of all their lines is grouped, and the lines
+of a window that stands at an earlier place too are deleted. As every line begins and ends a window, the windows of a
+longer match overlap and cover it: nothing is extended from the places of fingerprints.
 
 The result is exact: a line goes if it is part of a run of lines, ``min_words`` words or more, that equals a run which
 begins at an earlier place. Places are ordered by document id (null first), then text, then line; rows that repeat both

@@ -1,11 +1,15 @@
-"""Removal of long repeated byte strings with a run-compressed Burrows-Wheeler transform.
+"""Removal of long repeated byte strings, by sorted surroundings of shared anchors.
 
 Two equal strings of ``length`` bytes hold the same anchors: places where the hash of a short string is the least of a
 window that fits into ``length`` bytes. Anchors that occur once match nothing. For those that occur more often, the
-distinct surroundings (all bytes that a string of ``length`` bytes around the anchor can reach) are sorted into the
-Burrows-Wheeler order of their suffixes, column by column from the right. Within a run of equal preceding bytes a match
-only grows to the left, so matches are taken at run ends alone: the two suffixes there are compared, and what they share
-marks both. Marks of ``length`` bytes or more are exactly the repeated strings.
+distinct surroundings (all bytes that a string of ``length`` bytes around the anchor can reach) are sorted column by
+column from the right, which is the order of their suffixes, and neighbours are compared by hashes of ``length`` bytes;
+only ends of runs of equal preceding bytes need that. Anchors with very many surroundings are counted by hashes of all
+strings around them instead. The result is exactly the repeated strings.
+
+This is not the whole of the method it is named for: there is no run-length index of a transform of the corpus, whose one
+global order a partitioned job would have to sort for the sake of matches that anchors already bring together, there are
+no sampled run ends and no streamed matching statistics.
 """
 
 from __future__ import annotations
@@ -222,7 +226,10 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
 
     ``rows`` has node (128 bits of the text) and text; equal texts count as one here.
     """
-    found = stored(_anchor_rows(rows, length), "suffix-anchors")
+    # An anchor that stands once in all texts matches nothing, so its row is not kept; the texts are scanned twice for it.
+    every = _anchor_rows(rows, length)
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = stored(spread_join(every, shared, ["anchor"]), "suffix-anchors")
     key = ["anchor", "around"]
     place = F.struct("node", "place")
     groups = stored(found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")), "suffix-groups")
@@ -235,7 +242,7 @@ def repeated_ranges(rows: DataFrame, length: int = 400, hot: int = 64_000, max_b
     texts = rows.join(F.broadcast(nodes), "node", "left_semi") if by_node.count() <= max_broadcast else rows
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     slices = stored(_slices(texts.join(by_node, "node").select("text", "wanted"), length), "suffix-slices")
-    crowded = F.broadcast(several.where(F.col("n") > hot).select("anchor").limit(1_000_000))
+    crowded = F.broadcast(several.where(F.col("n") > hot).select("anchor"))  # one in ``hot`` rows at most
     matches = (_indexed(slices.join(crowded, "anchor", "left_anti"), length)
                .unionByName(_counted(slices.join(crowded, "anchor", "left_semi"), length)))
     full = groups.where(F.col("first") != F.col("last")).select(*key, F.lit(True).alias("full"))
@@ -293,5 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """The contract's columns, one row per row of ``docs``."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, one row per row of ``docs``, and the remaining text (characters cut in two are replaced)."""
+    kept = F.col("kept")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"),
+                                       F.make_valid_utf8(kept.cast("string")).alias("text"))
