@@ -20,7 +20,7 @@ HEADLINE = (
     "duplicate_rows_lineitem", "correlation_matrix", "cramers_v", "point_biserial", "outliers_iqr", "row_anomalies",
     "welch_t_test", "trend_events", "change_points", "seasonality", "infer_schema", "candidate_keys",
     "find_relationships", "value_overlap", "join_related_inner", "quality_issues", "eda_findings", "deep_insights",
-    "hypotheses", "mergeable_profile", "dataset_fingerprint", "flatten_json_column",
+    "hypotheses", "mergeable_profile", "dataset_fingerprint", "flatten_json_column", "trend_lineitem", "full_profile_lineitem",
 )
 
 

@@ -990,3 +990,10 @@ ORACLES["dataset_summary_columns"] = ORACLES["column_nulls_uniques"]
 ORACLES["write_report_results"] = f"""WITH {quality_ctes("orders", COLUMNS["orders"], ["o_orderkey", "o_custkey", "o_totalprice"])}
 SELECT issue, "column", severity, affected_count, round(percent, 4) AS percent FROM issues
 UNION ALL SELECT 'data', NULL, NULL, count(DISTINCT o_orderkey), NULL FROM orders"""
+ORACLES["full_profile_lineitem"] = "WITH " + ",\n".join(stats_cte(f"z{i}", "lineitem", c) for i, c in enumerate(LINEITEM_NUMBERS)) + "\n" + union([
+    *[f"SELECT '{c}' AS name, 'median' AS fact, round(median({c}), 4) AS value FROM lineitem" for c in LINEITEM_NUMBERS],
+    *[f"SELECT '{c}', 'distinct', CAST(count(DISTINCT {c}) AS DOUBLE) FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_shipdate")],
+    f"SELECT column1 || ',' || column2, 'correlation', round(r, 4) FROM ({pairs_sql('lineitem', LINEITEM_NUMBERS)}) WHERE r IS NOT NULL",
+    *[f"""SELECT '{c}', 'outliers', CAST(count(*) FILTER ({c} < p25 - 1.5 * (p75 - p25) OR {c} > p75 + 1.5 * (p75 - p25)) AS DOUBLE) FROM lineitem, z{i}"""
+      for i, c in enumerate(LINEITEM_NUMBERS)],
+    "SELECT 'rows', 'duplicates', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS DOUBLE) FROM lineitem"])

@@ -942,6 +942,18 @@ for _part in ("schema", "summary", "numeric", "categorical", "correlations", "ou
     REGISTRY[f"full_report_{_part}"] = partial(_report_part, _part)
 
 
+@query
+def full_profile_lineitem(spark, sf):
+    """Numeric, categorical, duplicate, correlation and outlier facts of a whole table, in one frame."""
+    t = ly.Table(load(spark, sf, "lineitem"), name="lineitem", order_by=LINEITEM_ORDER)
+    numbers = ly.numeric_stats(t).select(F.col("column").alias("name"), F.lit("median").alias("fact"), F.col("median").alias("value"))
+    texts = ly.categorical_stats(t, k=1).select(F.col("column").alias("name"), F.lit("distinct").alias("fact"), F.col("unique_count").cast("double").alias("value"))
+    pairs = ly.correlation_matrix(t).select(F.concat_ws(",", "column1", "column2").alias("name"), F.lit("correlation").alias("fact"), "value")
+    outside = [(c, "outliers", float(f["outliers"])) for c, f in t.tails["columns"].items()] + [("rows", "duplicates", float(t.duplicates))]
+    facts = spark.createDataFrame(outside, "name string, fact string, value double")
+    return rounded(reduce(DataFrame.unionByName, [numbers, texts, pairs, facts]), 4)
+
+
 @query
 def full_report_fast(spark, sf):
     """The parts of the short report by name, with the rows of each."""
