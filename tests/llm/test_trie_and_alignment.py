@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -119,12 +120,18 @@ def test_trie_query_against_sql(shared):
 
 # ---- token alignment ----
 
-def tokens(text):
-    """Ids of both vocabularies, by the vocabularies' own libraries, or nothing if the bytes differ."""
+@lru_cache
+def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    a_tokenizer = Tokenizer.from_file(alignment.BYTE_BPE)
-    a_tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(alignment.BYTE_BPE)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def tokens(text):
+    """Ids of both vocabularies, by the vocabularies' own libraries, or nothing if the bytes differ."""
+    a_tokenizer = reference_tokenizer()
     a_bytes, (b_encode, b_bytes) = alignment.byte_level(alignment.BYTE_BPE)[1], alignment.piece_level(alignment.PIECE_BPE)
     a, b = a_tokenizer.encode(" " + text, add_special_tokens=False).ids, b_encode([text])[0].tolist()
     whole = (" " + text).encode()
