@@ -144,7 +144,7 @@ def groups_of(a, b):
     def ends(ids):
         return np.cumsum([n for _, n in ids]).tolist()
 
-    cuts = sorted(set(ends(a)) & set(ends(b)))
+    cuts = np.array(sorted(set(ends(a)) & set(ends(b))))
     out = [([], []) for _ in cuts]
     for side, ids in enumerate((a, b)):
         for (i, _), end in zip(ids, ends(ids)):
