@@ -96,12 +96,13 @@ def learn(texts: list[str], labels: list[int], min_docs: int = 3, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
-        max_docs: int = 6000, max_chars: int = 50_000) -> ToxicityModel:
+        max_docs: int = 8000, max_chars: int = 50_000) -> ToxicityModel:
     """The model of a bounded sample of labelled documents.
 
-    The ``max_docs`` labels of the smallest key hash are learned from in one task, but for texts that are null or have
-    more than ``max_chars`` characters. Null labels are skipped; of several labels of a key the largest holds. Only
-    weights reach the driver.
+    The ``max_docs`` labels of the smallest key hash are learned from in one task. Of a text of more than ``max_chars``
+    characters it learns from sentences drawn by the hash of their place, some ``max_chars`` characters in all. Null
+    texts and null labels are skipped; of several labels of a key the largest holds. Other columns are not read,
+    whatever their names. Tables without documents of both classes give an empty model. Only weights reach the driver.
     """
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,10 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         yield pd.DataFrame({"feature": [None, *model.weights], "weight": [model.bias, *model.weights.values()]},
                            ).astype({"weight": float})
 
+    share = F.floor(F.lit(1_000_000) * max_chars / F.length("text"))
+    drawn = F.filter(F.split("text", END.pattern), lambda s, i: F.pmod(F.xxhash64(i), F.lit(1_000_000)) < share)
+    bounded = F.when(F.length("text") <= max_chars, F.col("text")).otherwise(F.array_join(drawn, "\n"))
     wanted = (labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
               .withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(max_docs))
-    rows = (docs.join(F.broadcast(wanted), key).where(F.length(text) <= max_chars)  # max_docs rows of two numbers
-            .select(F.col(text).alias("text"), F.col("__label").alias("label"), "__h", key)
+    rows = (docs.select(key, F.col(text).alias("text")).where("text is not null")
+            .join(F.broadcast(wanted), key)  # max_docs rows of two numbers
+            .select(bounded.alias("text"), F.col("__label").alias("label"), "__h", key)
             .orderBy("__h", key, "text").limit(max_docs).select("text", "label"))
     found = {r[0]: r[1] for r in rows.mapInPandas(train, "feature string, weight double").collect()}
     bias = found.pop(None, None)
