@@ -41,6 +41,18 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column of ``df`` is called so in either case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Joins on ``keys``, of which ``left`` may hold one very often and ``right``, aggregated by them, each once.
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import lower_ascii, word_list
+from lynceus.llm.common import free_names, lower_ascii, word_list
+from lynceus.operators.values import quoted
 
 #: What stands between two words; a word is made of digits, letters and all of Unicode beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,22 +104,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, spans: bool = False) -> Dat
     """``docs`` without its contaminated documents; with ``spans``, documents stay and lose the hit words instead.
 
     What stood between removed words goes with them, up to one separator. All columns are kept as they are, but for the
-    text where spans go.
+    text where spans go, whatever their names. Rows that repeat a document share its fate; null texts have no words and
+    stay; an empty table gives an empty one.
     """
+    id_, hash_, spans_, words_, gaps_ = free_names(docs, "__id", "__hash", "__spans", "__words", "__gaps")
     found = (find_hits(docs, bench).where(F.size("spans") > 0)
              .where(F.lit(True) if spans else contaminated(covered(F.col("spans")), F.col("n_words")))
-             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")))
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text"))
+             .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_)))
+    same = F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(hash_) == F.xxhash64("text"))
     if not spans:
         return docs.join(found, same, "left_anti")
-    words, gaps = F.col("__words"), F.col("__gaps")
-    gone = lambda i: F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    words, gaps = F.col(words_), F.col(gaps_)
+    gone = lambda i: F.exists(spans_, lambda s: (s["start"] <= i) & (i < s["end"]))
     # gaps[i] stands before words[i]; a text that ends in a word has an empty last gap.
     cut = F.concat(F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~gone(i)),
                                             lambda i: F.concat(F.get(gaps, i - 1), F.get(words, i - 1))), ""),
                    F.get(gaps, F.size(words)))
     return (docs.join(found, same, "left").withColumns({
-        "__words": word_list(F.col("text"), BETWEEN.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")),  # A-Z as they are
-        "__gaps": F.split(F.col("text"), INSIDE)})
-        .withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut))
-        .select(*docs.columns))
+        words_: word_list(F.col("text"), BETWEEN.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")),  # A-Z as they are
+        gaps_: F.split(F.col("text"), INSIDE)})
+        .withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(cut))
+        .select(*[quoted(c) for c in docs.columns]))

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import stored
+from lynceus.llm.common import free_names, stored
+from lynceus.operators.values import quoted
 
 LAST = np.uint64(2**64 - 1)
 
@@ -101,25 +102,27 @@ def _cut(text: str, runs) -> tuple[str, int, int]:
     return "\n".join(x for x, s in zip(lines, stays) if s), len(lines), int((~stays).sum())
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with later repeats of runs of ``min_words`` words deleted, and ``lines_deleted`` per row.
+def drop_repeated_lines(docs: DataFrame, min_words: int = 50, deleted: str = "lines_deleted") -> DataFrame:
+    """``docs`` with later repeats of runs of ``min_words`` words deleted, and their number of lines as ``deleted``.
 
+    A column of that name is replaced, all others are kept, whatever their names. An empty table gives an empty one.
     All rows and columns stay; a text of which every line goes is empty. Null and empty texts have no line and stay as
     they are, lines without words go only inside a run. Equal lines of fewer words than ``min_words`` in unequal
     surroundings stay. Rows that repeat an id with its text are one document: each keeps what the document keeps.
     """
+    id_, hash_, runs_, cut_ = free_names(docs, "__id", "__hash", "__runs", "__cut")
     runs = repeated_runs(docs, min_words).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("runs").alias(runs_))
 
     @F.pandas_udf("text string, deleted int")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = [(x, 0) if r is None else _cut(x, r)[::2] for x, r in zip(texts, found)]
         return pd.DataFrame(out, columns=["text", "deleted"])
 
-    met = docs.join(runs, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text")), "left")
-    return (met.withColumn("__cut", cut(F.col("text"), F.col("__runs")))
-            .withColumns({"text": F.col("__cut.text"), "lines_deleted": F.col("__cut.deleted")})
-            .select(*[c for c in docs.columns if c != "lines_deleted"], "lines_deleted"))
+    met = docs.join(runs, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(hash_) == F.xxhash64("text")), "left")
+    return (met.withColumn(cut_, cut(F.col("text"), F.col(runs_)))
+            .withColumns({"text": F.col(cut_)["text"], deleted: F.col(cut_)["deleted"]})
+            .select(*[quoted(c) for c in docs.columns if c != deleted], deleted))
 
 
 def op3(docs: DataFrame) -> DataFrame:

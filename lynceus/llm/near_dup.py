@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import stored
+from lynceus.llm.common import free_names, stored
 from lynceus.llm.components import components
 from lynceus.llm.hashing import BASE, mix, pieces, signed, window_hashes, word_hashes
 
@@ -237,7 +237,10 @@ def _across(texts: DataFrame, known: Frequencies, n: int, threshold: float) -> D
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 12, rows: int = 3,
                     hot: int = 20_000, max_broadcast: int = 1_000_000, small: int = 8) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text) and class_id of every row: the least doc_id of its class.
+    """doc_id, text_hash (xxhash64 of the text), class and class_id of every row: the least doc_id of its class.
+
+    ``class`` tells classes apart whose least doc_id is the same because rows of one doc_id hold different texts; it is
+    null for texts without words.
 
     Texts with the same words (A-Z as a-z) are one node; a class is a connected component of the links between nodes of
     weighted Jaccard ``threshold`` or more. In a bucket of equal band keys each node is paired with the least one and,
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     placed = rows_of.drop("keys").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return (placed.join(least, "class", "left")
-            .select("doc_id", "text_hash", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(
+            .select("doc_id", "text_hash", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(
                 F.col("class_id")).alias("class_id")))
 
 
@@ -311,16 +314,18 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows of that doc_id with another text, or that repeat the document, go as well if they are of the same class. Rows
     without a class_id (no doc_id in their class) all stay. The least text hash decides among texts of one doc_id.
+    All columns are kept, whatever their names; an empty table gives an empty one.
     """
+    id_, hash_, copy = free_names(docs, "__id", "__hash", "__copy")
     found = near_duplicates(docs, **parameters)
-    chosen = (found.where("class_id is not null").groupBy("class_id")
+    chosen = (found.where("class_id is not null").groupBy("class", "class_id")
               .agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
               .unionByName(found.where("class_id is null").select("doc_id", "text_hash"))
-              .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.xxhash64("text"))
+              .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    same = F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(hash_) == F.xxhash64("text"))
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return (docs.join(chosen, same, "left_semi").withColumn("__copy", F.row_number().over(copies))
-            .where("doc_id is null or __copy = 1").drop("__copy"))
+    return (docs.join(chosen, same, "left_semi").withColumn(copy, F.row_number().over(copies))
+            .where(F.col("doc_id").isNull() | (F.col(copy) == 1)).drop(copy))
 
 
 def op4(docs: DataFrame) -> DataFrame:

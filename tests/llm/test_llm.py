@@ -413,6 +413,74 @@ def test_toxicity_finds_held_out_documents(shared):
     assert any(re.search("vile|awful", text[s["start"]:s["end"]]) for s in one["sentences"])
 
 
+def test_toxicity_learns_by_the_plain_gradient():
+    """The same steps with the gradient of the penalised likelihood by differences, on dense arrays."""
+    texts = ["ab cd. ef", "ab. ab gh", "cd ef\nij", "gh. ij. ab", "ef gh"]
+    labels, weight, ridge, rate, sparsity = [1, 0, 0, 1, 0], 2.5, 0.1, 0.5, 0.6
+    names = ["ab", "cd", "ef", "gh", "ij"]
+    bags = [[[float(f in part.split()) for f in names] for part in re.split("[.\n]", t) if part.split()] for t in texts]
+
+    def loss(x):
+        total = ridge / 2 * (x[:-1] ** 2).sum()
+        for bag, y in zip(bags, labels):
+            none = np.prod([1 / (1 + np.exp(np.dot(s, x[:-1]) + x[-1])) for s in bag])
+            total -= weight * np.log(1 - none) if y else np.log(none)
+        return total
+
+    x, seen = np.array([0.0] * 5 + [-4.0]), np.full(6, 1e-8)
+    for _ in range(4):
+        g = np.array([(loss(x + e) - loss(x - e)) / 2e-6 for e in np.eye(6) * 1e-6])
+        seen += g * g
+        step = rate / np.sqrt(seen)
+        x = x - step * g
+        x[:-1] = np.sign(x[:-1]) * np.maximum(0, np.abs(x[:-1]) - step[:-1] * sparsity)
+    model = toxicity.learn(texts, labels, min_docs=1, rounds=4, rate=rate, sparsity=sparsity, ridge=ridge, positive_weight=weight)
+    assert model.bias == pytest.approx(x[-1], abs=1e-4)
+    assert [model.weights.get(f, 0.0) for f in names] == pytest.approx(x[:-1].tolist(), abs=1e-4)
+
+
+def test_toxicity_learns_from_long_texts(shared):
+    rows = [(i, ". ".join(["fine calm day"] * 400 + (["vilely said"] * 400 if i % 2 else [])), i % 2) for i in range(40)]
+    df = frame(shared, rows, "doc_id long, text string, label int")  # a column called as the helper's own
+    labels = df.select("doc_id", F.col("label").alias("toxic"))
+    model = toxicity.fit(df, labels, max_chars=600)
+    assert model.weights["vilely"] > 0 > model.bias
+    assert toxicity.fit(df, labels, max_chars=600) == model
+
+
+CLASHING = ("__id", "__hash", "__copy", "__COPY_", "__runs", "__cut", "__toxicity", "lines_deleted", "label", "__label", "spans",
+            "text_hash", "score", "node")
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_clashing_columns(shared, stage):
+    name, apply = stage
+    docs = frame(shared, ODD).select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING], F.lit(1).alias("a.b"))
+    out = apply(shared, docs, SF)
+    assert apply(shared, docs.limit(0), SF).count() == 0
+    kept = out.collect()
+    if name == "source_mix":
+        assert sorted((r["doc_id"] for r in kept), key=str) == sorted((r[0] for r in ODD), key=str)
+        return
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert all(r[c] == f"own {c}" for r in kept for c in CLASHING)
+    wanted = Counter(r[0:2] for r in ODD)
+    if name == "near_duplicates":  # the other text of 5 is no copy and stays
+        wanted[(3, LONG)] = 1
+        del wanted[(6, "x")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == wanted
+
+
+def test_decontamination_keeps_clashing_columns(shared):
+    bench = frame(shared, [(1, " ".join(f"t{i}" for i in range(13)))], "item_id long, text string")
+    docs = frame(shared, [(1, "x " + " ".join(f"t{i}" for i in range(13)) + " y", "en", "s", 1), (2, "clean", "en", "s", 1)])
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ("__words", "__gaps", "__spans", "__id")])
+    out = decontaminate.decontaminate(docs, bench, spans=True).orderBy("doc_id").collect()
+    assert [r["text"].split() for r in out] == [["x", "y"], ["clean"]]
+    assert [r["__words"] for r in out] == ["__words"] * 2
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_pipeline_on_planted_cases(shared):
     docs = shared.read.parquet(f"{SF}/documents.parquet")
     now, seen = docs, []
