@@ -1,7 +1,9 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``; the last tells
-how many words the mix takes of each document.
+Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``, further ones
+included, whatever their names; the last tells how many words the mix takes of each document. Null and empty texts stay
+(near copies of each other they are not); repeated rows share their fate, but for near duplicates, which keep one of them.
+A stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from lynceus.llm.common import crc_part, table
+from lynceus.llm.common import crc_part, free_names, table
 from lynceus.session import ensure_checkpoint_dir
 
 #: Documents whose score reaches this are rejected.
@@ -24,14 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels outside of the held-out third, does not reject."""
     labels = table(spark, sf_dir, "labels").where(crc_part(F.col("doc_id"), 3) != 1)
     score = toxicity.toxicity(F.col("text"), toxicity.fit(docs, labels))["score"]
-    return docs.withColumn("__toxicity", score).where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    [name] = free_names(docs, "__toxicity")
+    return docs.withColumn(name, score).where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later repeats of runs of fifty words or more."""
-    cut = line_dedup.drop_repeated_lines(docs)
-    length = F.when(F.col("lines_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", length.cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    [deleted] = free_names(docs, "lines_deleted")
+    cut = line_dedup.drop_repeated_lines(docs, deleted=deleted)
+    length = F.when(F.col(deleted) > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length.cast(dict(docs.dtypes)["n_chars"])).drop(deleted)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
