@@ -111,8 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         yield pd.DataFrame({"feature": [None, *model.weights], "weight": [model.bias, *model.weights.values()]},
                            ).astype({"weight": float})
 
-    share = F.floor(F.lit(1_000_000) * max_chars / F.length("text"))
-    drawn = F.filter(F.split("text", END.pattern), lambda s, i: F.pmod(F.xxhash64(i), F.lit(1_000_000)) < share)
+    parts = 1_000_000
+    drawn = F.filter(F.split("text", END.pattern), lambda s, i: (
+        F.pmod(F.xxhash64(i), F.lit(parts)) * F.length("text") < parts * max_chars))
     bounded = F.when(F.length("text") <= max_chars, F.col("text")).otherwise(F.array_join(drawn, "\n"))
     wanted = (labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
               .withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(max_docs))

@@ -446,6 +446,7 @@ def test_toxicity_learns_from_long_texts(shared):
     model = toxicity.fit(df, labels, max_chars=600)
     assert model.weights["vilely"] > 0 > model.bias
     assert toxicity.fit(df, labels, max_chars=600) == model
+    assert toxicity.fit(df, labels, max_chars=10_000).weights["vilely"] > 0
 
 
 CLASHING = ("__id", "__hash", "__copy", "__COPY_", "__runs", "__cut", "__toxicity", "lines_deleted", "label", "__label", "spans",
