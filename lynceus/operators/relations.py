@@ -222,11 +222,11 @@ def value_overlap(a, a_col: str, b, b_col: str) -> DataFrame:
         .alias("match_percent"))
 
 
-# What a share of orphans usually means.
+#: What a share of orphans above so many percent usually means, as codes. The bounds are fixed values.
 ORPHAN_REASONS = (
-    (50, ("Data export timing mismatch", "Different data periods or filters applied")),
-    (10, ("Records deleted from related table", "Data entry errors or inconsistencies")),
-    (-1, ("Recent records not yet synced", "Test/demo data mixed with production")),
+    (50, ("export_timing", "other_period_or_filter")),
+    (10, ("deleted_in_partner", "entry_errors")),
+    (-1, ("not_yet_synced", "test_rows")),
 )
 
 

@@ -762,9 +762,9 @@ SELECT s AS source_unique, t AS target_unique, m AS matched, s - m AS source_orp
 
 
 def reasons(share: str) -> str:
-    return (f"CASE WHEN {share} > 50 THEN 'Data export timing mismatch; Different data periods or filters applied' "
-            f"WHEN {share} > 10 THEN 'Records deleted from related table; Data entry errors or inconsistencies' "
-            f"ELSE 'Recent records not yet synced; Test/demo data mixed with production' END")
+    return (f"CASE WHEN {share} > 50 THEN 'export_timing; other_period_or_filter' "
+            f"WHEN {share} > 10 THEN 'deleted_in_partner; entry_errors' "
+            f"ELSE 'not_yet_synced; test_rows' END")
 
 
 ORACLES["orphans"] = f"""WITH a AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS v FROM documents), o AS (SELECT v FROM a WHERE v NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)),
