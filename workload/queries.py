@@ -377,12 +377,12 @@ def causal_direction(spark, sf):
 
 @query
 def numeric_stats(spark, sf):
-    return rounded(ly.numeric_stats(load(spark, sf, "lineitem")), 4, sum=1, skewness=5)
+    return rounded(ly.numeric_stats(load(spark, sf, "lineitem")), 4, sum=2, skewness=5)
 
 
 @query
 def numeric_stats_orders(spark, sf):
-    return rounded(ly.numeric_stats(load(spark, sf, "orders")), 4, sum=1, skewness=5)
+    return rounded(ly.numeric_stats(load(spark, sf, "orders")), 4, sum=2, skewness=5)
 
 
 @query
