@@ -1,17 +1,17 @@
 """Secrets in texts: three fixed patterns, and spans found by a linear-chain conditional random field.
 
-The field tags tokens as begin (B), inside (I) or outside (O) of a secret from their shape, the words before them and
-features of the whole text, and is decoded by Viterbi. Only stretches around a token with a digit, or after a word such
-as "key", can hold a tag other than O, so each is decoded by itself between two O without changing the best path.
+The field tags every token of a text as begin (B), inside (I) or outside (O) of a secret from its shape, the words before
+it and features of the whole text, and is decoded by Viterbi. The best path can leave O only where a bound on what that
+may gain, taken from the scores of all tokens, is positive; Viterbi runs there, which gives the best path of the text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,18 +25,47 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 #: Chunks without white space that may hold a secret: eight characters of a key's alphabet with a digit among them.
 DIGIT = re.compile(r"[0-9]")
 CHUNK_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 HINT_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "auth", "pwd")
-HINTS = re.compile("|".join(HINT_WORDS), re.I)
+HINTS = re.compile("|".join(HINT_WORDS), re.I | re.A)
+SPACE = re.compile(r"\s")
 B, I, O = 0, 1, 2
 FEATURES = ("bias", "digit", "upper", "lower", "digit_lower", "all_hex", "all_digits", "upper_digit", "mixed_case", "len4",
             "len8", "len16", "len32", "entropy", "changes", "punctuation", "separator", "quote", "assigned", "hint_near",
             "quoted", "at_sign", "dotted", "glued", "after_secretlike", "text_digits", "text_assignments", "text_code")
 
 
+#: Features that are numbers: of the token, of the whole text (with the bias). The others are bits, in this order.
+OF_TOKEN = [FEATURES.index(f) for f in ("entropy", "changes")]
+OF_TEXT = [FEATURES.index(f) for f in ("bias", "text_digits", "text_assignments", "text_code")]
+BITS = [i for i in range(len(FEATURES)) if i not in OF_TOKEN + OF_TEXT]
+HALF = len(BITS) // 2
+#: Features reach this far to the left and right of a token; texts are read in blocks of about BLOCK characters.
+REACH = 40
+BLOCK = 1 << 20
+#: Tokens of a piece of training text.
+PIECE = 128
+BLANK, DIGITS, UPPERS, LOWERS, HEXES, SEPARATORS, QUOTES, ASSIGNS, DOTS, ATS, SIGNS = (1 << i for i in range(11))
+
+
+def _character_classes() -> np.ndarray:
+    """What each ASCII character is; place 128 stands for all others."""
+    classes = np.zeros(129, dtype=np.uint16)
+    kinds = {DIGITS: "0123456789", HEXES: "0123456789abcdef", SEPARATORS: "+/_.-=", QUOTES: "\"'`", ASSIGNS: "=:", DOTS: ".", ATS: "@",
+             UPPERS: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LOWERS: "abcdefghijklmnopqrstuvwxyz"}
+    for kind, chars in kinds.items():
+        classes[[ord(c) for c in chars]] |= kind
+    for i in range(128):
+        classes[i] |= BLANK if chr(i).isspace() else 0 if chr(i).isalnum() else SIGNS
+    return classes
+
+
+CLASSES = _character_classes()
+WIDE_BLANKS = np.array([i for i in range(128, 0x3001) if chr(i).isspace()], dtype=np.uint32)
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights of the features per tag, and of a tag after a tag (row: before; last row: the start)."""
@@ -44,6 +73,39 @@ class Field:
     emit: np.ndarray
     move: np.ndarray
 
+    @cached_property
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of every setting of the first and of the other bits."""
+        low, high = self.emit[BITS[:HALF]], self.emit[BITS[HALF:]]
+        return _settings(np.arange(1 << len(low)), len(low)) @ low, _settings(np.arange(1 << len(high)), len(high)) @ high
+
+
+def _settings(bits: np.ndarray, n: int) -> np.ndarray:
+    return (bits[:, None] >> np.arange(n) & 1).astype(float)
+
+
+@dataclass
+class Tokens:
+    """Tokens of a text in order: start, end, their bits (BITS) and numbers (OF_TOKEN, a row each); ``whole``: OF_TEXT."""
+
+    start: np.ndarray
+    end: np.ndarray
+    bits: np.ndarray
+    numbers: np.ndarray
+    whole: np.ndarray
+
+    def features(self) -> np.ndarray:
+        """A row per token, columns as in FEATURES."""
+        x = np.zeros((len(self.start), len(FEATURES)))
+        x[:, BITS], x[:, OF_TOKEN], x[:, OF_TEXT] = _settings(self.bits, len(BITS)), self.numbers, self.whole
+        return x
+
+    def scores(self, model: Field) -> np.ndarray:
+        """A row per token with the score of each tag."""
+        low, high = model.halves
+        return (low[self.bits & (1 << HALF) - 1] + high[self.bits >> HALF] + self.numbers @ model.emit[OF_TOKEN]
+                + self.whole @ model.emit[OF_TEXT])
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the three patterns: leftmost, not overlapping within a kind, matches that fail a length dropped."""
@@ -114,124 +176,239 @@ def text_features(text: str) -> tuple[float, float, float]:
     return share("0123456789"), share("=:"), share("{}[]();")
 
 
-def token_features(text: str, a: int, b: int, whole: tuple[float, float, float]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Tokens of a stretch and their features (a row each, columns as in FEATURES)."""
-    spans = [(a + m.start(), a + m.end()) for m in TOKEN.finditer(text[a:b])]
-    x = np.zeros((len(spans), len(FEATURES)))
-    hint = -9
-    secretlike = False
-    for i, (s, e) in enumerate(spans):
-        t = text[s:e]
-        size = e - s
-        digits = sum(c.isdigit() for c in t)
-        upper = sum(c.isupper() for c in t)
-        lower = sum(c.islower() for c in t)
-        counts = Counter(t)
-        entropy = -sum(c / size * math.log2(c / size) for c in counts.values())
-        changes = sum(p.isdigit() != q.isdigit() for p, q in zip(t, t[1:])) / size
-        before = text[s - 1:s]
-        near = text[max(a, s - 4):s]
-        word = t.isalnum()
-        if HINTS.search(t):
-            hint = i
-        glued = i > 0 and spans[i - 1][1] == s
-        chunk = text[max(a, s - 40):e + 40]
-        x[i] = (1, digits > 0, upper > 0, lower > 0, digits > 0 and lower > 0, word and not set(t) - set("0123456789abcdef"),
-                digits == size, upper > 0 and digits > 0 and not lower, upper > 0 and lower > 0 and digits > 0, size >= 4,
-                size >= 8, size >= 16, size >= 32, entropy / 4, changes, not word, t in "+/_.-=", t in "\"'`",
-                any(c in "=:" for c in near), i - hint <= 5 and i != hint, before in ("\"", "'", "`") and before != "",
-                "@" in chunk, before == "." or text[e:e + 1] == ".", glued, secretlike and glued, *whole)
-        secretlike = word and size >= 8 and digits > 0 or (secretlike and glued)
-    return spans, x
+def _block_tokens(text: str, a: int, b: int, since: int) -> tuple[Tokens, int]:
+    """Tokens that start in a block of the text, which ends before white space; tokens since the last hint word, at most 9."""
+    left = max(0, a - REACH)
+    part = text[left:b + REACH]
+    if part.isascii():
+        kind = CLASSES[np.frombuffer(part.encode("ascii"), dtype=np.uint8)]
+    else:
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = CLASSES[np.minimum(points, 128)]
+        kind[np.isin(points, WIDE_BLANKS)] = BLANK
+    kind = np.append(kind, np.uint16(BLANK))  # before the first character and behind the last one
+    word = kind & (DIGITS | UPPERS | LOWERS) != 0
+    sign = ~word & (kind & BLANK == 0)
+    begin, stop = sign.copy(), sign.copy()
+    begin |= word & ~np.roll(word, 1)
+    stop[:-1] |= word[:-1] & ~word[1:]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    inside = slice(*np.searchsorted(start, [a - left, b - left]))
+    glued = np.append(False, start[1:] == end[:-1])[inside]
+    start, end = start[inside], end[inside]
+    n, size = len(start), end - start
+
+    def held(mask: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(mask, dtype=np.int32))
+        return total[high] - total[low]
+
+    is_digit = kind & DIGITS != 0
+    digits, upper, lower, hexes = (held(kind & k != 0, start, end) for k in (DIGITS, UPPERS, LOWERS, HEXES))
+    turns = np.append(False, is_digit[1:] != is_digit[:-1])
+    here, before, after = kind[start], kind[start - 1], kind[end]
+    place = np.arange(n)
+    hint = np.zeros(n, dtype=bool)
+    low = part.lower()
+    if any(w in low for w in HINT_WORDS):
+        hint[np.searchsorted(start, [m.start() - left for m in HINTS.finditer(text, a, b)], "right") - 1] = True
+    last_hint = np.maximum.accumulate(np.where(hint, place, -since))
+    secretlike = (size >= 8) & (digits > 0)
+    like = (np.maximum.accumulate(np.where(secretlike, place, -1)) >= np.maximum.accumulate(np.where(glued, -1, place))) & (
+        np.maximum.accumulate(secretlike))
+    some, several = digits > 0, (digits > 0) & (lower > 0)
+    flags = (some, upper > 0, lower > 0, several, hexes == size, digits == size, some & (upper > 0) & (lower == 0),
+             several & (upper > 0), size >= 4, size >= 8, size >= 16, size >= 32, here & SIGNS != 0, here & SEPARATORS != 0,
+             here & QUOTES != 0, held(kind & ASSIGNS != 0, np.maximum(start - 4, 0), start) > 0,
+             (place - last_hint <= 5) & ~hint, before & QUOTES != 0,
+             held(kind & ATS != 0, np.maximum(start - REACH, 0), np.minimum(end + REACH, len(kind))) > 0,
+             (before | after) & DOTS != 0, glued, np.append(False, like[:-1]) & glued)
+    bits = np.zeros(n, dtype=np.int32)
+    for i, flag in enumerate(flags):
+        bits |= flag.astype(np.int32) << i
+    numbers = np.zeros((n, 2))
+    longer = np.flatnonzero(size >= 8)
+    if len(longer):  # the characters of shorter tokens say little
+        of = np.repeat(np.arange(len(longer)), size[longer])
+        where = np.arange(len(of)) + np.repeat(start[longer] - np.append(0, np.cumsum(size[longer])[:-1]), size[longer])
+        chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[where]
+        pairs, counts = np.unique(of * 128 + chars, return_counts=True)
+        share = counts / size[longer][pairs // 128]
+        numbers[longer, 0] = -np.bincount(pairs // 128, share * np.log2(share), len(longer)) / 4
+    numbers[:, 1] = held(turns, start + 1, end) / size
+    since = min(9, int(n - last_hint[-1])) if n else since
+    return Tokens(start + left, end + left, bits, numbers, np.zeros(0)), since
+
+
+def tokens_of(text: str, block: int = BLOCK) -> Tokens:
+    """All tokens of a text: runs of ASCII letters and digits, other characters one by one, white space left out."""
+    whole = np.array([1.0, *text_features(text)])
+    parts, a, since = [], 0, 9
+    while a < len(text) or not parts:
+        space = SPACE.search(text, a + block) if a + block < len(text) else None
+        b = space.start() if space else len(text)
+        found, since = _block_tokens(text, a, b, since)
+        parts.append(found)
+        a = b
+        if space is None:
+            break
+    join = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Tokens(join("start"), join("end"), join("bits"), join("numbers"), whole)
+
+
+def _viterbi(scores: np.ndarray, start: np.ndarray, move: np.ndarray, end: np.ndarray) -> np.ndarray:
+    score = scores[0] + start
+    back = np.zeros((len(scores), 3), dtype=int)
+    for i in range(1, len(scores)):
+        ways = score[:, None] + move
+        back[i] = ways.argmax(0)
+        score = ways.max(0) + scores[i]
+    tags = np.zeros(len(scores), dtype=int)
+    tags[-1] = int((score + end).argmax())
+    for i in range(len(scores) - 1, 0, -1):
+        tags[i - 1] = back[i, tags[i]]
+    return tags
 
 
 def decode(x: np.ndarray, model: Field) -> np.ndarray:
-    """Viterbi: the best tags of a stretch that stands between outside tokens."""
-    if not len(x):
-        return np.zeros(0, dtype=int)
-    emit = x @ model.emit
-    score = emit[0] + model.move[3]
-    back = np.zeros((len(x), 3), dtype=int)
-    for i in range(1, len(x)):
-        ways = score[:, None] + model.move[:3]
-        back[i] = ways.argmax(0)
-        score = ways.max(0) + emit[i]
-    tags = np.zeros(len(x), dtype=int)
-    tags[-1] = int(score.argmax())
-    for i in range(len(x) - 1, 0, -1):
-        tags[i - 1] = back[i, tags[i]]
+    """Viterbi: the best tags of a text with these features."""
+    return _viterbi(x @ model.emit, model.move[3], model.move[:3], np.zeros(3)) if len(x) else np.zeros(0, dtype=int)
+
+
+def best_tags(scores: np.ndarray, model: Field) -> np.ndarray:
+    """The same best tags from the scores of all tokens, by Viterbi where the path may leave O.
+
+    What a run of tags other than O gains over O is at most the sum of its tokens' ``most``, ``enter`` and ``leave``; a
+    token of no run with a positive bound is O.
+    """
+    n, move = len(scores), model.move[:3]
+    tags = np.full(n, O)
+    if not n:
+        return tags
+    reached = move[:, :O].max(0)
+    enter = float((move[O, :O] - reached).max())
+    leave = max(0.0, float((move[:O, O] - move[O, O]).max()))
+    gain = scores[:, :O] - scores[:, O:]
+    most = (gain + reached - move[O, O]).max(1)
+    most[0] = max(most[0], float((gain[0] + model.move[3, :O] - model.move[3, O]).max()) - enter)
+    total = np.append(0, np.cumsum(most))
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], best + enter + leave > -1e-6, [False]])))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        tags[a:b] = _viterbi(scores[a:b], model.move[3 if a == 0 else O], move, move[:, O] if b < n else np.zeros(3))
     return tags
 
 
 def field_spans(text: str, model: Field | None, shortest: int = 8) -> list[tuple[str, int, int]]:
-    """The field's spans of ``shortest`` characters or more."""
-    if model is None or not (ranges := stretches(text)):
+    """The field's spans of ``shortest`` characters or more, all tokens of the text being tagged."""
+    if model is None or not text:
         return []
-    whole = text_features(text)
-    found: list[list[int]] = []
-    for a, b in ranges:
-        spans, x = token_features(text, a, b, whole)
-        previous = O
-        for (s, e), tag in zip(spans, decode(x, model)):
-            if tag == B or (tag == I and previous == O):
-                found.append([s, e])
-            elif tag == I:
-                found[-1][1] = e
-            previous = tag
-    return [("field", s, e) for s, e in found if e - s >= shortest]
+    tokens = tokens_of(text)
+    tags = best_tags(tokens.scores(model), model)
+    held = np.flatnonzero(tags != O)
+    if not len(held):
+        return []
+    first = (tags[held] == B) | (np.diff(held, prepend=-2) > 1)
+    last = np.append(first[1:], True)
+    spans = zip(tokens.start[held[first]].tolist(), tokens.end[held[last]].tolist())
+    return [("field", s, e) for s, e in spans if e - s >= shortest]
+
+
+def _expected(e: np.ndarray, real: np.ndarray, start: np.ndarray, end: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of each token's tag, and the expected number of each tag after each tag, by forward and backward sums.
+
+    ``e``: scores of pieces, tokens and tags; ``start``, ``end``: scores of the first and last tag of a piece.
+    """
+    n, most = real.shape
+    e = np.where(real[..., None], np.exp(e - e.max(2, keepdims=True)), 1.0)
+    a = np.exp(move - move.max())
+    f, g = np.empty((most, n, 3)), np.empty((most, n, 3))
+    e, real = np.ascontiguousarray(e.transpose(1, 0, 2)), real.T[..., None]
+    f[0] = np.exp(start - start.max(1, keepdims=True)) * e[0]
+    f[0] /= f[0].sum(1, keepdims=True)
+    for t in range(1, most):
+        step = f[t - 1] @ a * e[t]
+        f[t] = np.where(real[t], step / step.sum(1, keepdims=True), f[t - 1])
+    g[-1] = np.exp(end - end.max(1, keepdims=True))
+    for t in range(most - 2, -1, -1):
+        step = (e[t + 1] * g[t + 1]) @ a.T
+        g[t] = np.where(real[t + 1], step / step.sum(1, keepdims=True), g[t + 1])
+    p = f * g
+    p /= p.sum(2, keepdims=True)
+    ahead = e[1:] * g[1:]
+    weight = real[1:, :, 0] / np.einsum("tni,ij,tnj->tn", f[:-1], a, ahead, optimize=True)
+    return p.transpose(1, 0, 2), np.einsum("tni,tnj->ij", f[:-1] * weight[..., None], ahead, optimize=True) * a
+
+
+def _tagged(text: str) -> tuple[Tokens, np.ndarray]:
+    """Tokens of a text and the tags that the fixed patterns give them: a value is B, then I."""
+    marks = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    marks += [(s, e) for k, s, e in base_spans(text) if k != "assign"]
+    tokens = tokens_of(text)
+    y = np.full(len(tokens.start), O)
+    for s, e in sorted(set(marks)):
+        a, b = np.searchsorted(tokens.start, s), np.searchsorted(tokens.end, e, "right")
+        if a < b:
+            y[a:b] = I
+            y[a] = B
+    return tokens, y
 
 
 def learn(texts: list[str], rounds: int = 120, rate: float = 0.3, ridge: float = 1.0) -> Field | None:
-    """Maximum likelihood by AdaGrad on stretches whose tags come from the fixed patterns; None without any secret.
+    """Maximum likelihood by AdaGrad on whole texts whose tags come from the fixed patterns; None without any secret.
 
-    A pattern's value (group 2 of an assignment, else the match) is tagged B then I.
+    A pattern's value (group 2 of an assignment, else the match) is tagged B then I. Texts are learned from in pieces of
+    PIECE tokens, given the tags beside a piece, so that all pieces are summed over side by side.
     """
-    xs, ys = [], []
-    for text in texts:
-        marks = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        marks += [(s, e) for k, s, e in base_spans(text) if k != "assign"]
-        whole = text_features(text)
-        for a, b in stretches(text):
-            spans, x = token_features(text, a, b, whole)
-            y = np.full(len(spans), O)
-            for s, e in sorted(set(marks)):
-                inside = [i for i, (p, q) in enumerate(spans) if p >= s and q <= e]
-                if inside:
-                    y[inside] = I
-                    y[inside[0]] = B
-            if len(y):
-                xs.append(x[:64])
-                ys.append(y[:64])
-    if not any((y == B).any() for y in ys):
+    held = [(t, y) for t, y in map(_tagged, texts) if len(y)]
+    if not any((y == B).any() for _, y in held):
         return None
-    n, most = len(xs), max(map(len, xs))
-    x = np.zeros((n, most, len(FEATURES)))
-    y, real = np.full((n, most), O), np.zeros((n, most), dtype=bool)
-    for k, (p, q) in enumerate(zip(xs, ys)):
-        x[k, :len(q)], y[k, :len(q)], real[k, :len(q)] = p, q, True
+    sizes = np.array([len(y) for _, y in held])
+    y = np.concatenate([y for _, y in held])
+    codes, code = np.unique(np.concatenate([t.bits for t, _ in held]), return_inverse=True)
+    numbers = np.concatenate([t.numbers for t, _ in held]).astype(np.float32)
+    whole, text = np.array([t.whole for t, _ in held]), np.repeat(np.arange(len(held)), sizes)
+    settings = _settings(codes, len(BITS))
+    del held
+    # Pieces: the place of their first token, their length, and the tags before and behind (3: the text's start or end).
+    begins = np.cumsum(sizes) - sizes
+    first = np.concatenate([np.arange(b, b + n, PIECE) for b, n in zip(begins, sizes)])
+    last = np.minimum(first + PIECE, (begins + sizes)[text[first]])
+    ahead = np.where(np.isin(first, begins), 3, y[first - 1])
+    behind = np.where(last == (begins + sizes)[text[first]], 3, np.append(y, O)[last])
+    by_size = np.argsort(last - first, kind="stable")
+    groups = [by_size[i:i + 2048] for i in range(0, len(by_size), 2048)]
     emit, move = np.zeros((len(FEATURES), 3)), np.zeros((4, 3))
     ge, gm = np.full(emit.shape, 1e-6), np.full(move.shape, 1e-6)
-    gold = np.eye(3)[y] * real[..., None]
-    pairs = np.einsum("kti,ktj->ij", gold[:, :-1], gold[:, 1:])
-    lse = lambda v, axis: np.logaddexp.reduce(v, axis=axis)
+    gold = np.zeros((4, 3))
+    inner = np.ones(len(y), dtype=bool)
+    inner[begins] = False
+    np.add.at(gold, (np.where(inner, np.roll(y, 1), 3), y), 1)
+    border = first[inner[first]]  # known from both pieces beside it
+    np.add.at(gold, (y[border - 1], y[border]), 1)
     for _ in range(rounds):
-        e = x @ emit
-        f, g = np.zeros((n, most, 3)), np.zeros((n, most, 3))
-        f[:, 0] = e[:, 0] + move[3]
-        for t in range(1, most):
-            step = lse(f[:, t - 1, :, None] + move[None, :3], 1) + e[:, t]
-            f[:, t] = np.where(real[:, t, None], step, f[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            step = lse(move[None, :3] + (e[:, t + 1] + g[:, t + 1])[:, None, :], 2)
-            g[:, t] = np.where(real[:, t + 1, None], step, 0)
-        z = lse(f[:, -1], 1)
-        p = np.exp(f + g - z[:, None, None]) * real[..., None]
-        both = np.zeros((3, 3))
-        for t in range(1, most):
-            q = f[:, t - 1, :, None] + move[None, :3] + (e[:, t] + g[:, t])[:, None, :] - z[:, None, None]
-            both += (np.exp(q) * real[:, t, None, None]).sum(0)
-        de = np.einsum("ktf,kti->fi", x, p - gold) + ridge * emit
-        dm = np.concatenate([both - pairs, (p[:, 0] - gold[:, 0]).sum(0)[None]]) + ridge * move
+        de, dm = np.zeros(emit.shape), -gold
+        by_code, by_text = settings @ emit[BITS], whole @ emit[OF_TEXT]
+        off = np.empty((len(y), 3), dtype=np.float32)
+        for group in groups:
+            n = last[group] - first[group]
+            real = np.arange(n.max()) < n[:, None]
+            at = (first[group][:, None] + np.arange(n.max()))[real]
+            e = np.zeros((*real.shape, 3))
+            e[real] = by_code[code[at]] + by_text[text[at]] + numbers[at] @ emit[OF_TOKEN]
+            end = np.append(move[:3].T, np.zeros((1, 3)), 0)[behind[group]]
+            p, both = _expected(e, real, move[ahead[group]], end, move[:3])
+            off[at] = p[real]
+            dm[:3] += both
+            np.add.at(dm, ahead[group], p[:, 0])
+            inside = behind[group] < 3
+            np.add.at(dm[:3].T, behind[group][inside], p[np.arange(len(n)), n - 1][inside])
+        off[np.arange(len(y)), y] -= 1
+        for k in range(3):
+            de[BITS, k] = np.bincount(code, off[:, k], len(codes)) @ settings
+            de[OF_TEXT, k] = np.bincount(text, off[:, k], len(whole)) @ whole
+        de[OF_TOKEN] = numbers.T @ off
+        de += ridge * emit
+        dm += ridge * move
         ge += de * de
         gm += dm * dm
         emit -= rate * de / np.sqrt(ge)
