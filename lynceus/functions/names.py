@@ -90,14 +90,30 @@ def name_tokens(name: Column) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_type_of_rank(rank: Column) -> Column:
     return F.when(rank == 1, "exact").when(rank == 2, "fuzzy").when(rank == 3, "value_overlap")
 
 
 def name_match_type(a: Column, b: Column) -> Column:
     """exact, fuzzy, value_overlap or null for two column names."""
-    shared = F.array_intersect(name_tokens(a), name_tokens(b))
-    return match_type_of_rank(F.array_min(F.transform(shared, lambda t: t["rank"])))
+    def facts(name: Column) -> Column:
+        # what name_tokens tells, with groups and suffixes as flags: no text is built or compared more than once
+        return _once(normalize_column_name(name), lambda n: _once(name_stem(n), lambda stem: F.struct(
+            n.alias("name"), stem.alias("stem"), F.array(*[contains_any(stem, g) for g in SYNONYM_GROUPS]).alias("groups"),
+            _once(F.lower(name), lambda low: F.array(*[low.endswith(k) for k in KEY_SUFFIXES])).alias("suffixes"))))
+
+    def shared(x: Column, y: Column) -> Column:
+        return F.exists(F.zip_with(x, y, lambda p, q: p & q), lambda both: both)
+
+    return _once(F.struct(facts(a).alias("a"), facts(b).alias("b")), lambda f: (
+        F.when(f["a"]["name"] == f["b"]["name"], "exact")
+        .when((f["a"]["stem"] == f["b"]["stem"]) | shared(f["a"]["groups"], f["b"]["groups"]), "fuzzy")
+        .when(shared(f["a"]["suffixes"], f["b"]["suffixes"]), "value_overlap")))
 
 
 def names_related(a: Column, b: Column) -> Column:
