@@ -13,12 +13,13 @@ from lynceus.table import Table
 
 class Report(Mapping):
     """Named results of one table. A result is computed when it is first asked for; facts of one row per column, the
-    correlation matrix and the trends are shared between results."""
+    correlation matrix and the trends are shared between results. The schema counts the values of all columns, of
+    which the facts of the categories are taken too."""
 
     def __init__(self, t: Table, order: list[str], fast: bool, max_hypotheses: int | None, schema_options: dict):
         self.table, self.order = t, order
         self._parts: dict[str, Callable[[], DataFrame]] = {
-            "schema": lambda: schema.infer_schema(t, **schema_options),
+            "schema": lambda: self._schema(schema_options),
             "summary": lambda: profile.dataset_summary(t),
             "numeric": lambda: profile.numeric_stats(t),
             "categorical": lambda: profile.categorical_stats(t),
@@ -43,6 +44,12 @@ class Report(Mapping):
                 self._parts["time_series"] = lambda: series.time_series_report(t, None, order)
         self._done: dict[str, DataFrame] = {}
 
+    def _schema(self, options: dict) -> DataFrame:
+        with self.table.kept():
+            found = schema.infer_schema(self.table, **options)
+            _ = self.table.categories  # most other parts ask for them
+        return found
+
     @property
     def matrix(self) -> DataFrame:
         return self.table.matrix
